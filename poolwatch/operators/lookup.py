@@ -1,0 +1,94 @@
+"""Joining a large table to a table with at most one row per key.
+
+No broadcast is forced on a lookup table: the planner broadcasts what its own size limit allows,
+adaptive execution does so once the real size is known, and beyond that the join shuffles. In a
+shuffle, a key holding a large share of the rows would land in one task. So when neither side is
+small, such keys are counted first; their rows are spread over as many parts as their count asks
+for, and only their lookup rows are repeated, once per part.
+"""
+
+from pyspark.sql import DataFrame, functions as F
+
+ROWS_PER_PART = 4_000_000
+# Rows read from less than this fit a few tasks whatever their keys are.
+SPLIT_FROM_BYTES = 256 << 20
+
+
+def planned_bytes(df: DataFrame) -> int | None:
+    """Size of the result as the optimizer estimates it; None where it cannot be asked."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_limit(df: DataFrame) -> int:
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number = text.lower().rstrip("b")
+    if number[-1:] in units:
+        return int(number[:-1]) * units[number[-1]]
+    return int(number)
+
+
+def source_bytes(df: DataFrame) -> int | None:
+    """Size of everything the rows are made from; None where it cannot be asked."""
+    plan = getattr(df, "_jdf", None)
+    if plan is None:
+        return None
+    leaves = plan.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def needs_split(rows: DataFrame, lookup: DataFrame) -> bool:
+    size = source_bytes(rows)
+    if size is not None and size <= SPLIT_FROM_BYTES:
+        return False
+    size = planned_bytes(lookup)
+    return size is None or size > broadcast_limit(lookup)
+
+
+def hot_keys(rows: DataFrame, on: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Keys with more rows than one part should hold, and the parts they need.
+
+    There can be no more of them than rows / rows_per_part, which keeps them broadcastable.
+    """
+    return (
+        rows.groupBy(*on)
+        .agg(F.count("*").alias("_n"))
+        .filter(F.col("_n") > rows_per_part)
+        .select(*on, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts"))
+    )
+
+
+def split_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "left",
+    spread: list[str] | None = None,
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """Join with the hot keys split. `spread` names columns that tell the rows of a key apart;
+    parts are taken from their hash, so a repeated task builds the same parts."""
+    parts = F.broadcast(hot_keys(rows, on, rows_per_part))
+    spread = spread or [c for c in rows.columns if c not in on]
+    left = rows.join(parts, on, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")
+    )
+    right = lookup.join(parts, on, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
+    )
+    return left.drop("_parts").join(right.drop("_parts"), on + ["_part"], how).drop("_part")
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: list[str],
+    how: str = "left",
+    spread: list[str] | None = None,
+) -> DataFrame:
+    if needs_split(rows, lookup):
+        return split_join(rows, lookup, on, how, spread)
+    return rows.join(lookup, on, how)
