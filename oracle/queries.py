@@ -2,9 +2,6 @@
 
 from oracle.views import AS_OF, PREFIX, with_views
 
-MINUTE = "date_diff('microsecond', timestamp '1970-01-01', {}) // 1000000"
-
-
 def _audit(keys: str, limits: str) -> str:
     """Concurrency over the limit, from one running sum and the next moment of the key."""
     return f"""
@@ -278,6 +275,63 @@ select doc_id, octet_length(b) > 1024 as truncated, octet_length(b) as full_byte
   case when octet_length(b) > 1024 then 1024 + 24 else octet_length(b) end as kept_bytes,
   md5(case when octet_length(b) > 1024 then b[1:1024] || encode('... [truncated by proxy]') else b end) as kept_md5
 from (select doc_id, encode(text) as b from documents)""",
+    "pool_status_table": f"""
+select namespace, pool, running as current_replicas, ready as ready_replicas, total as total_active_sessions, {AS_OF} as as_of from f_rollup""",
+    "session_state_table": """
+select namespace, session, arg_max(concat('pool-', nk), (ts, seq)) as pool, arg_max(state, (ts, seq)) as state, max(ts) as ts
+from f_state_changes group by 1, 2""",
+    "stream_last_activity": "select namespace, pool, session, max(ts) as last_activity_at from f_activity group by 1, 2, 3",
+    "stream_touch_thinning": """
+select namespace, pool, session, max(ts) as ts from f_activity
+group by namespace, pool, session, time_bucket(interval 2 minutes, ts)
+having time_bucket(interval 2 minutes, max(ts)) + to_minutes(2) <= (select mark from f_mark)""",
+    "stream_idle_sessions": """
+select namespace, pool, user_name, min(ts) as started_at, max(ts) as last_touch_at, count(*) as touches
+from (select *, sum(cut) over (partition by namespace, pool, user_name order by ts) as stretch
+  from (select a.*, p.idle_minutes, case when ts - lag(ts) over (partition by a.namespace, a.pool, user_name order by ts) > to_minutes(p.idle_minutes)
+      then 1 else 0 end as cut
+    from f_activity a join f_pools p on p.namespace = a.namespace and p.pool = a.pool))
+group by namespace, pool, user_name, stretch, idle_minutes
+having max(ts) + to_minutes(idle_minutes) <= (select mark from f_mark)""",
+    "stream_first_requests": "select distinct namespace, pool, user_name from f_activity",
+    "stream_activation_wait": """
+select q.namespace, q.session, q.ts, date_diff('second', q.ts, min(c.ts)) as wait_seconds,
+  case when min(c.ts) is null then 'timeout' when arg_min(c.state, c.ts) in ('Active', 'Idle') then 'ok' else 'failed' end as outcome
+from (select namespace, session, created_at as ts from f_sessions) q
+left join f_state_changes c on c.namespace = q.namespace and c.session = q.session and c.state <> 'Pending'
+  and c.ts between q.ts and q.ts + to_seconds(60)
+where q.ts + to_seconds(60) <= (select max(created_at) from f_sessions) - to_minutes(10)
+group by 1, 2, 3""",
+    "stream_utilisation": """
+select namespace, pool, resource, tick, count(*) as measured_pods,
+  cast(sum((cast(usage as hugeint) * 100000000) // request) // count(*) as bigint) as mean_micro_percent
+from (select i.namespace, i.pool, i.pos, 'cpu' as resource, date_trunc('day', l_shipdate)::timestamp as tick,
+    sum(cast(round(l_extendedprice * 100) as bigint)) as usage,
+    sum(case when pos % 13 = 0 then 0 else 10000000 + 200000 * (pos % 7) end) as request
+  from lineitem join f_instances i on i.pos = l_suppkey and i.state = 'Running' and l_linenumber between 1 and 6
+  group by all having request <> 0)
+where tick + to_days(1) <= (select max(l_shipdate) from lineitem) - to_days(1)
+group by 1, 2, 3, 4""",
+    "stream_live_load": """
+select namespace, concat('pool-', nk) as pool, cast(sum(case when seq = 1 and state = 'Active' then 1
+    when seq = 2 and outcome = 'Active' and state <> 'Active' then -1 else 0 end) as bigint) as live
+from f_state_changes group by 1, 2 having bool_or(outcome = 'Active')""",
+    "stream_session_states": """
+select namespace, pool, session, changed_at, state, reason from (
+  select namespace, pool, session, ts as changed_at, 'Active' as state,
+    case when prev is null then 'opened' when ts - prev > to_minutes(gap) then 'reopened' else 'touched' end as reason
+  from f_touches where prev is null or ts - prev > to_minutes(10)
+  union all
+  select namespace, pool, session, ts + to_minutes(10), 'Idle', 'idle_mark' from f_touches
+  where coalesce(nxt, (select mark from f_mark)) - ts > to_minutes(10) and gap > 10
+  union all
+  select namespace, pool, session, ts + to_minutes(gap), 'Terminating', 'idle_timeout' from f_touches
+  where coalesce(nxt, (select mark from f_mark)) - ts > to_minutes(gap))""",
+    "stream_cooldowns": """
+select namespace, pool, event_id as action_id, ts, date_diff('microsecond', prev, ts) // 1000000 as seconds_since_previous,
+  coalesce(ts - prev <= to_seconds(300), false) as inside_cooldown
+from (select *, lag(ts) over (partition by namespace, pool order by ts, event_id) as prev
+  from f_activity where kind in ('error', 'view'))""",
 }
 
 ORACLES = {name: with_views(sql) for name, sql in _SQL.items()}

@@ -60,8 +60,8 @@ from f_orders""",
 select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, seq,
   {AS_OF} - to_minutes((k * 7) % 1000 + k % 600)
     + to_seconds(case seq when 0 then 0 when 1 then k % 70 else k % 70 + 400 end) as ts,
-  case when seq = 0 then 'Pending' when seq = 2 then 'Terminated' when k % 11 = 0 then 'Failed'
-    when k % 13 = 0 then 'Pending' else 'Active' end as state
+  case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome,
+  case when seq = 0 then 'Pending' when seq = 2 and k % 17 <> 0 then 'Terminated' else outcome end as state, k, nk
 from f_orders cross join (select unnest([0, 1, 2]) as seq) q""",
     "f_usage": """
 select concat('ns-', s_nationkey % 9) as namespace, concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod,
@@ -189,6 +189,13 @@ select namespace, pool, c, unnest(['image', 'version', 'driver.cores', 'driver.m
   unnest([concat('registry.example.com/server:1.', c % 3), concat('3.5.', c % 4), '1', '4g', cast(c % 4 + 1 as varchar), '1',
     concat(4 * (c % 4 + 1), 'g'), cast(c % 10 + 1 as varchar), 'false']) as value
 from f_tenants""",
+    "f_mark": """
+select date_trunc('millisecond', max(ts)) - to_minutes(10) as mark from events""",
+    "f_touches": """
+select a.namespace, a.pool, a.session, a.ts, p.idle_minutes as gap,
+  lead(ts) over (partition by a.namespace, a.pool, session order by ts) as nxt,
+  lag(ts) over (partition by a.namespace, a.pool, session order by ts) as prev
+from f_activity a join f_pools p on p.namespace = a.namespace and p.pool = a.pool""",
     "f_moments": """
 select namespace, pool, user_name, created_at as ts, 1 as d from f_sessions
 union all select namespace, pool, user_name, ended_at, -1 from f_sessions where ended_at is not null""",

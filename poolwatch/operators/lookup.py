@@ -41,6 +41,8 @@ def source_bytes(df: DataFrame) -> int | None:
 
 
 def needs_split(rows: DataFrame, lookup: DataFrame) -> bool:
+    if rows.isStreaming:
+        return False  # a micro-batch joined to a static table
     size = source_bytes(rows)
     if size is not None and size <= SPLIT_FROM_BYTES:
         return False

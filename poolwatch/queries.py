@@ -7,6 +7,7 @@ from poolwatch.functions import hosts, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
 from poolwatch.sources.sample import MANAGER, PREFIX, Sample, as_of
+from poolwatch.streaming import jobs, run
 
 QUERIES = {}
 
@@ -389,3 +390,88 @@ def error_log_trim(s: Sample) -> DataFrame:
         "doc_id", "truncated", "full_bytes", F.octet_length("message_bytes").alias("kept_bytes"),
         F.md5("message_bytes").alias("kept_md5"),
     )
+
+
+# Sinks.
+
+
+@query
+def pool_status_table(s: Sample) -> DataFrame:
+    path = sinks.work_folder(s.spark, "pool-status")
+    rollup = load.pool_rollup(s.pools, s.instances, s.sessions)
+    sinks.write_pool_status(sinks.pool_status(rollup, as_of()), path)
+    return s.spark.read.parquet(path).drop("as_of_date", "tick")
+
+
+@query
+def session_state_table(s: Sample) -> DataFrame:
+    path = sinks.work_folder(s.spark, "session-state")
+    changes = s.state_changes.select("namespace", "session", "pool", "state", "ts", "seq")
+    sinks.write_session_changes(changes, path)
+    return sinks.latest_sessions(s.spark.read.parquet(path).drop("day"), ["ts", "seq"]).drop("seq")
+
+
+# Streams: the same tables read as streams, run to their end.
+
+
+def stream(*streamed: str):
+    """Register a function of the sample views with some tables read as streams."""
+
+    def register(make):
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Sample(spark, sf_dir, streamed))
+        return make
+
+    return register
+
+
+def _instants(df: DataFrame) -> DataFrame:
+    """Instants as clock times, as the batch queries have them."""
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, t in df.dtypes if t == "timestamp"})
+
+
+@stream("events")
+def stream_last_activity(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.last_activity(s.activity), "last-activity", "update", [*V.POOL, "session"]))
+
+
+@stream("events")
+def stream_touch_thinning(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.thin_touches(s.activity), "thin-touches"))
+
+
+@stream("events")
+def stream_idle_sessions(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.idle_sessions(s.activity, s.pools), "idle-sessions"))
+
+
+@stream("events")
+def stream_first_requests(s: Sample) -> DataFrame:
+    rows = s.activity.select(*quota.USER, "ts")
+    return run.finish(jobs.first_requests(rows), "first-requests").select(*quota.USER)
+
+
+@stream("orders")
+def stream_activation_wait(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.activation_wait(s.session_requests, s.state_changes), "activation-wait"))
+
+
+@stream("lineitem")
+def stream_utilisation(s: Sample) -> DataFrame:
+    pods = s.instances.filter(states.is_ready()).select(*V.POOL, "pos", hosts.driver_pod().alias("pod"))
+    wanted = s.container_requests.join(pods, ["namespace", "pod"])
+    return _instants(run.finish(jobs.utilisation(s.usage_readings, wanted, "1 day", "1 day"), "utilisation"))
+
+
+@stream("orders")
+def stream_live_load(s: Sample) -> DataFrame:
+    return run.finish(jobs.live_load(s.state_changes), "live-load", "update", V.POOL)
+
+
+@stream("events")
+def stream_session_states(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.session_states(s.activity, s.pools), "session-states"))
+
+
+@stream("events")
+def stream_cooldowns(s: Sample) -> DataFrame:
+    return _instants(run.finish(jobs.cooldowns(s.scaling_log, s.pools), "cooldowns"))

@@ -44,13 +44,18 @@ def _application_state(s: Column) -> Column:
 
 
 class Sample:
-    """Views over one folder of test tables."""
+    """Views over one folder of test tables; those named in `streamed` are read as streams."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, streamed: tuple[str, ...] = ()):
+        self.spark, self.sf_dir, self.streamed = spark, sf_dir, streamed
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        static = self.spark.read.parquet(path)
+        if name not in self.streamed:
+            return static
+        # A stream takes a folder or a pattern; this pattern fits the one file or folder.
+        return self.spark.readStream.schema(static.schema).parquet(path[:-1] + "[t]")
 
     @cached_property
     def pools(self) -> DataFrame:
@@ -239,6 +244,20 @@ class Sample:
             F.expr("stack(2, 'cpu', cpu, 'memory', memory) as (resource, usage_milli)"),
         )
 
+    @cached_property
+    def usage_readings(self) -> DataFrame:
+        """One reading per order line, at its own time."""
+        owners = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+        nk = F.col("s_nationkey")
+        return lookup_join(self.table("lineitem"), owners, ["l_suppkey"], "inner").select(
+            _namespace(nk).alias("namespace"),
+            _text("pool-", nk, "-", F.col("l_suppkey"), "-driver").alias("pod"),
+            _text("c", F.col("l_linenumber")).alias("container"),
+            F.lit("cpu").alias("resource"),
+            F.col("l_shipdate").alias("ts"),
+            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("usage_milli"),
+        )
+
     @cached_property
     def container_requests(self) -> DataFrame:
         s, nk = F.col("s_suppkey"), F.col("s_nationkey")
@@ -348,16 +367,14 @@ class Sample:
         after = lambda seconds: start + F.make_dt_interval(
             F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")
         )
-        row = lambda seq, ts, state: F.struct(
-            F.lit(seq).alias("seq"), ts.alias("ts"), state.alias("state")
+        row = lambda seq, ts, previous, state: F.struct(
+            F.lit(seq).alias("seq"), ts.alias("ts"), previous.alias("previous"), state.alias("state")
         )
+        outcome = F.when(k % 11 == 0, "Failed").when(k % 13 == 0, "Pending").otherwise("Active")
         rows = F.array(
-            row(0, after(F.lit(0)), F.lit("Pending")),
-            row(
-                1, after(k % 70),
-                F.when(k % 11 == 0, "Failed").when(k % 13 == 0, "Pending").otherwise("Active"),
-            ),
-            row(2, after(k % 70 + 400), F.lit("Terminated")),
+            row(0, after(F.lit(0)), F.lit(""), F.lit("Pending")),
+            row(1, after(k % 70), F.lit("Pending"), outcome),
+            row(2, after(k % 70 + 400), outcome, F.when(k % 17 == 0, outcome).otherwise("Terminated")),
         )
         return self._orders.select(
             _namespace(F.col("nk")).alias("namespace"),

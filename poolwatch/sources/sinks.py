@@ -1,18 +1,21 @@
 """Sinks. All of them write from the executors; nothing is collected."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def work_folder(spark: SparkSession, name: str, fallback: str | None = None) -> str:
-    """A new folder below the shared folder the cluster names.
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared folder the cluster names in spark.checkpoint.dir.
 
-    `fallback` is for tests on one machine, where the cluster setting is unset.
+    Only a local session without that setting gets a folder of this machine.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or fallback
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = tempfile.mkdtemp(prefix="poolwatch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
