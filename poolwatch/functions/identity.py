@@ -36,36 +36,35 @@ def message_user(col: str = "user_id") -> Column:
     return F.nullif(F.coalesce(_user_part(_decoded(F.col(col))), F.col(col)), F.lit(""))
 
 
-def _json_part(token: Column, part: int) -> Column:
-    """A part of a token, base64url without padding, read as JSON."""
-    raw = F.get(F.split(token, r"\."), F.lit(part))
+def token_parts(token: str = "token") -> Column:
+    return F.size(F.split(F.col(token), r"\."))
+
+
+def token_part(token: str, part: int) -> Column:
+    """A part of a token, base64url without padding, as parsed JSON; null when it is not that."""
+    raw = F.get(F.split(F.col(token), r"\."), F.lit(part))
     padded = F.rpad(raw, F.ceil(F.length(raw) / 4).cast("int") * 4, F.lit("="))
     text = F.unbase64(F.translate(padded, "-_", "+/")).cast("string")
-    return F.when(raw.rlike(_BASE64URL), F.try_parse_json(text))
+    return F.try_parse_json(F.when(raw.rlike(_BASE64URL), text))
 
 
-def _is_text(v: Column) -> Column:
-    return F.schema_of_variant(v) == "STRING"
+def token_ok(parts: str, head: str) -> Column:
+    alg = F.try_variant_get(F.col(head), "$.alg", "string")
+    return (F.col(parts) == 3) & alg.isin(*V.TOKEN_ALGORITHMS)
 
 
-def _token_ok(token: Column) -> Column:
-    alg = F.try_variant_get(_json_part(token, 0), "$.alg", "string")
-    return (F.size(F.split(token, r"\.")) == 3) & alg.isin(*V.TOKEN_ALGORITHMS)
+def _is_text(v: Column) -> Column:
+    return F.schema_of_variant(v) == "STRING"
 
 
-def claimed_user(col: str = "token", claim: str = V.USER_CLAIM) -> Column:
+def claimed_user(claims: str, claim: str = V.USER_CLAIM) -> Column:
     """User claim of a token whose signature nobody checked; must be non-empty text."""
-    token = F.col(col)
-    value = F.try_variant_get(_json_part(token, 1), f"$.{claim or V.USER_CLAIM}", "variant")
-    return F.when(
-        _token_ok(token) & _is_text(value), F.nullif(F.try_variant_get(value, "$", "string"), F.lit(""))
-    )
+    value = F.try_variant_get(F.col(claims), f"$.{claim or V.USER_CLAIM}", "variant")
+    return F.when(_is_text(value), F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
 
 
-def claimed_groups(col: str = "token", claim: str = V.GROUPS_CLAIM) -> Column:
+def claimed_groups(claims: str, claim: str = V.GROUPS_CLAIM) -> Column:
     """Text elements of the groups claim; empty when the claim is no list."""
-    items = F.try_variant_get(
-        _json_part(F.col(col), 1), f"$.{claim or V.GROUPS_CLAIM}", "array<variant>"
-    )
+    items = F.try_variant_get(F.col(claims), f"$.{claim or V.GROUPS_CLAIM}", "array<variant>")
     texts = F.transform(F.filter(items, _is_text), lambda v: F.try_variant_get(v, "$", "string"))
     return F.coalesce(texts, F.array().cast("array<string>"))

@@ -15,10 +15,7 @@ _QUANTITY = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(n|u|m|k|M|G|T|P|Ki|Mi
 
 def milli(col: Column) -> Column:
     """Milli-units, rounded up; null for text that is no quantity."""
+    pairs = [x for suffix, per_unit in _MILLI.items() for x in (F.lit(suffix), F.lit(per_unit).cast("decimal(26,6)"))]
     number = F.regexp_extract(col, _QUANTITY, 1).try_cast("decimal(24,9)")
-    factor = F.lit(None).cast("decimal(26,6)")
-    for suffix, per_unit in _MILLI.items():
-        factor = F.when(
-            F.regexp_extract(col, _QUANTITY, 2) == suffix, F.lit(per_unit).cast("decimal(26,6)")
-        ).otherwise(factor)
-    return F.ceil(F.when(col.rlike(_QUANTITY), number * factor)).try_cast("bigint")
+    factor = F.try_element_at(F.create_map(*pairs), F.regexp_extract(col, _QUANTITY, 2))
+    return F.ceil(number * factor).try_cast("bigint")

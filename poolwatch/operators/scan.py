@@ -1,21 +1,28 @@
 """Ordered operators over keys that may be hot.
 
-A plain window keeps all rows of a key in one task. Here the order is cut into buckets: one
-aggregate per (key, bucket) is carried forward over the short list of buckets, enters each bucket
-as an opening row, and the window runs inside (key, bucket).
+A plain window keeps all rows of a key in one task. Here the order is cut into buckets. One
+aggregate per (key, bucket) runs along the short list of buckets of a key; its result enters each
+bucket as one more row, and the window over all rows stays inside (key, bucket).
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+_FIRST, _ROW, _LAST = 0, 1, 2
+
+
+def position_bucket(pos: str, width: int = 4096) -> Column:
+    return F.floor(F.col(pos) / width)
 
-def _with_opening(rows: DataFrame, opening: DataFrame) -> DataFrame:
-    return rows.withColumn("_opening", F.lit(False)).unionByName(
-        opening.withColumn("_opening", F.lit(True)), allowMissingColumns=True
-    )
+
+def time_bucket(ts: str, unit: str = "day") -> Column:
+    return F.date_trunc(unit, F.col(ts))
 
 
-def _without_opening(rows: DataFrame) -> DataFrame:
-    return rows.filter(~F.col("_opening")).drop("_opening", "_bucket")
+def _along(keys: list[str]):
+    buckets = Window.partitionBy(*keys).orderBy("_bucket")
+    earlier = buckets.rowsBetween(Window.unboundedPreceding, -1)
+    later = buckets.rowsBetween(1, Window.unboundedFollowing)
+    return earlier, later
 
 
 def running_sum(
@@ -25,59 +32,60 @@ def running_sum(
 
     `bucket` must grow with `order`; `order` should tell all rows of a key apart.
     """
-    rows = df.withColumn("_bucket", bucket)
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({"_bucket": bucket, "_place": F.lit(_ROW)})
+    earlier, _ = _along(keys)
     opening = (
         rows.groupBy(*keys, "_bucket")
         .agg(F.sum(value).alias(value))
-        .withColumn(value, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+        .withColumns({value: F.sum(value).over(earlier), "_place": F.lit(_FIRST)})
+        .filter(F.col(value).isNotNull())
     )
-    upto = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(F.col("_opening").desc(), *order)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return _without_opening(_with_opening(rows, opening).withColumn(out, F.sum(value).over(upto)))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_place", *order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    stacked = rows.unionByName(opening, allowMissingColumns=True).withColumn(out, F.sum(value).over(upto))
+    return stacked.filter(F.col("_place") == _ROW).drop("_bucket", "_place")
 
 
-def carried(
+def nearest(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    value: str,
-    out: str,
     bucket: Column,
-    strict: bool = False,
-    backwards: bool = False,
+    newest: dict[str, str] | None = None,
+    previous: dict[str, str] | None = None,
+    coming: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Newest non-null `value` at or before this row, or strictly before it.
+    """Nearest non-null values around each row of a key, as new columns.
 
-    With `backwards`, the nearest one at or after it.
+    `newest` maps a column to be made to the column whose value at or before the row it takes,
+    `previous` the same strictly before the row, `coming` at or after it. The values must grow
+    with `order`, as times do: then the newest is the greatest so far, and a hash aggregate per
+    bucket is enough.
     """
-    rows = df.withColumn("_bucket", bucket)
-    turn = (lambda c: F.col(c).desc()) if backwards else (lambda c: F.col(c).asc())
-    nearest = F.min_by if backwards else F.max_by
-    earlier = (
-        Window.partitionBy(*keys).orderBy(turn("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    newest, previous, coming = newest or {}, previous or {}, coming or {}
+    back = {f"_b_{c}": c for c in {**newest, **previous}.values()}
+    ahead = {f"_a_{c}": c for c in coming.values()}
+    rows = df.withColumns(
+        {"_bucket": bucket, "_place": F.lit(_ROW)} | {k: F.col(c) for k, c in {**back, **ahead}.items()}
     )
-    opening = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(nearest(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias(value))
-        .withColumn(value, F.last(value, ignorenulls=True).over(earlier))
+    earlier, later = _along(keys)
+    per_bucket = rows.groupBy(*keys, "_bucket").agg(
+        *[F.max(k).alias(k) for k in back], *[F.min(k).alias(k) for k in ahead]
     )
-    upto = (
-        Window.partitionBy(*keys, "_bucket")
-        .orderBy(F.col("_opening").desc(), *[turn(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+    opening = per_bucket.select(
+        *keys, "_bucket", F.lit(_FIRST).alias("_place"), *[F.max(k).over(earlier).alias(k) for k in back]
     )
-    return _without_opening(
-        _with_opening(rows, opening).withColumn(out, F.last(value, ignorenulls=True).over(upto))
+    closing = per_bucket.select(
+        *keys, "_bucket", F.lit(_LAST).alias("_place"), *[F.min(k).over(later).alias(k) for k in ahead]
     )
-
-
-def position_bucket(pos: str, width: int = 4096) -> Column:
-    return F.floor(F.col(pos) / width)
-
-
-def time_bucket(ts: str, unit: str = "day") -> Column:
-    return F.date_trunc(unit, F.col(ts))
+    for edge in [opening] * bool(back) + [closing] * bool(ahead):
+        rows = rows.unionByName(edge, allowMissingColumns=True)
+
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_place", *order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    onward = inside.rowsBetween(0, Window.unboundedFollowing)
+    found = {out: F.max(f"_b_{c}").over(upto) for out, c in newest.items()}
+    found |= {out: F.max(f"_b_{c}").over(before) for out, c in previous.items()}
+    found |= {out: F.min(f"_a_{c}").over(onward) for out, c in coming.items()}
+    return rows.withColumns(found).filter(F.col("_place") == _ROW).drop("_bucket", "_place", *back, *ahead)

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from poolwatch import values as V
 from poolwatch.functions import settings, states, timing
 from poolwatch.operators.lookup import lookup_join
-from poolwatch.operators.scan import carried, position_bucket, running_sum, time_bucket
+from poolwatch.operators.scan import nearest, position_bucket, running_sum, time_bucket
 
 
 def newest_utilisation(utilisation: DataFrame) -> DataFrame:
@@ -85,9 +85,7 @@ def scaling_audit(log: DataFrame, pools: DataFrame) -> DataFrame:
     """Shrink actions with the time since the pool's previous one; only shrinking stamps the
     clock. A pool shrinks at most once per tick, so a day of one pool is a small group."""
     shrinks = log.filter(F.col("action") == "shrink").select(*V.POOL, "action_id", "ts")
-    with_last = carried(
-        shrinks, V.POOL, ["ts", "action_id"], "ts", "previous", time_bucket("ts"), strict=True
-    )
+    with_last = nearest(shrinks, V.POOL, ["ts", "action_id"], time_bucket("ts"), previous={"previous": "ts"})
     limits = settings.effective_settings(pools).select(*V.POOL, "cooldown_seconds")
     joined = lookup_join(with_last, limits, V.POOL, "left", ["action_id"]).withColumn(
         "cooldown_seconds", settings.cooldown_seconds()

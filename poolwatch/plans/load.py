@@ -12,11 +12,14 @@ INSTANCE = V.POOL + ["instance"]
 def instance_counts(instances: DataFrame, sessions: DataFrame) -> DataFrame:
     """Held and waiting sessions per (pool, instance), listed instances and others alike.
 
-    Instances and sessions are stacked and counted in one aggregation, so sessions are read once
-    and only partial counts are shuffled.
+    Instances and sessions are stacked and counted in one hash aggregation, so sessions are read
+    once and only partial counts are shuffled. The state travels as a number, because text in an
+    aggregate would make it sort its input.
     """
+    codes = F.array(*map(F.lit, V.INSTANCE_STATES))
     listed = instances.select(
-        *INSTANCE, "pos", "state", F.lit(True).alias("listed"), F.lit(0).alias("held"), F.lit(0).alias("waiting")
+        *INSTANCE, F.col("pos").cast("bigint").alias("pos"), F.array_position(codes, F.col("state")).alias("code"),
+        F.lit(0).alias("held"), F.lit(0).alias("waiting"),
     )
     counted = sessions.select(
         *V.POOL,
@@ -29,41 +32,38 @@ def instance_counts(instances: DataFrame, sessions: DataFrame) -> DataFrame:
         .groupBy(*INSTANCE)
         .agg(
             F.max("pos").alias("pos"),
-            F.max("state").alias("state"),
-            F.coalesce(F.max("listed"), F.lit(False)).alias("listed"),
+            F.max("code").alias("code"),
             F.sum("held").alias("held"),
             F.sum("waiting").alias("waiting"),
         )
+        .select(
+            *INSTANCE, "pos",
+            F.try_element_at(codes, F.nullif(F.col("code"), F.lit(0)).cast("int")).alias("state"),
+            F.col("code").isNotNull().alias("listed"),
+            "held", "waiting",
+        )
     )
 
 
-def instance_load(instances: DataFrame, sessions: DataFrame) -> DataFrame:
+def instance_load(counts: DataFrame) -> DataFrame:
     """Active sessions of every listed instance; sessions on unknown instances drop out."""
-    return (
-        instance_counts(instances, sessions)
-        .filter("listed")
-        .select(*INSTANCE, "pos", "state", F.col("held").alias("active_sessions"))
-    )
+    return counts.filter("listed").select(*INSTANCE, "pos", "state", F.col("held").alias("active_sessions"))
 
 
-def pool_rollup(pools: DataFrame, instances: DataFrame, sessions: DataFrame) -> DataFrame:
+def pool_rollup(pools: DataFrame, counts: DataFrame) -> DataFrame:
     """Instances by class, sessions on listed instances and waiting sessions of every pool."""
     listed = F.col("listed")
-    per_pool = (
-        instance_counts(instances, sessions)
-        .groupBy(*V.POOL)
-        .agg(
-            F.count_if(listed).alias("instances"),
-            F.count_if(listed & states.counted_as_running()).alias("running"),
-            F.count_if(listed & states.is_ready()).alias("ready"),
-            F.count_if(listed & states.is_starting()).alias("starting"),
-            F.count_if(listed & (F.col("state") == V.FAILED)).alias("failed"),
-            F.sum(F.when(listed, F.col("held")).otherwise(0)).alias("total"),
-            F.sum("waiting").alias("waiting"),
-        )
+    per_pool = counts.groupBy(*V.POOL).agg(
+        F.count_if(listed).alias("instances"),
+        F.count_if(listed & states.counted_as_running()).alias("running"),
+        F.count_if(listed & states.is_ready()).alias("ready"),
+        F.count_if(listed & states.is_starting()).alias("starting"),
+        F.count_if(listed & (F.col("state") == V.FAILED)).alias("failed"),
+        F.sum(F.when(listed, F.col("held")).otherwise(0)).alias("total"),
+        F.sum("waiting").alias("waiting"),
     )
-    counts = ["instances", "running", "ready", "starting", "failed", "total", "waiting"]
-    return pools.select(*V.POOL).join(per_pool, V.POOL, "left").fillna(0, counts)
+    names = ["instances", "running", "ready", "starting", "failed", "total", "waiting"]
+    return pools.select(*V.POOL).join(per_pool, V.POOL, "left").fillna(0, names)
 
 
 def pod_utilisation(instances: DataFrame, usage: DataFrame, requests: DataFrame) -> DataFrame:

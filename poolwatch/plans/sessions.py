@@ -5,11 +5,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from poolwatch import values as V
 from poolwatch.functions import hosts, settings, states, timing
 from poolwatch.operators.lookup import lookup_join
-from poolwatch.operators.scan import carried, time_bucket
+from poolwatch.operators.scan import nearest, time_bucket
 from poolwatch.plans.load import INSTANCE
 from poolwatch.plans.quota import USER, quota_check
 
 SESSION = ["namespace", "session"]
+_OPEN, _OK, _FAILED = 0, 1, 2
 
 
 def instance_endpoints(instances: DataFrame, services: DataFrame) -> DataFrame:
@@ -150,27 +151,35 @@ def activation_wait(
 
     A request ends with the state its session is in at that moment or takes next, whichever
     first is active or failed, if within the budget. Requests and state changes are laid on one
-    time line per session and looked over once forwards and once backwards, so no request is
-    paired with more than one change. `changes` has a `seq` that orders changes of one moment.
+    time line per session and looked over once, so no request is paired with more than one
+    change. `changes` has a `seq` that orders changes of one moment; the last one of a moment
+    stands, and moment and outcome travel as one growing number.
     """
-    asked = requests.select(*SESSION, "ts", F.lit(1).alias("kind"))
-    happened = changes.select(*SESSION, "ts", F.lit(0).alias("kind"), "seq", "state")
-    line = asked.unionByName(happened, allowMissingColumns=True)
-    decided = states.holds_instance() | states.start_failed()
-    line = line.withColumn("decision", F.when(decided, F.struct("ts", "state")))
-    hour = time_bucket("ts", "hour")
-    line = carried(line, SESSION, ["ts", "kind", "seq"], "state", "now", hour)
-    line = carried(line, SESSION, ["ts", "kind", "seq"], "decision", "next", hour, backwards=True)
-
-    wait = timing.whole_seconds(F.col("ts"), F.col("next.ts"))
-    in_time = F.col("next.ts") <= F.col("ts") + timing.seconds(F.lit(budget))
+    outcome = F.when(states.holds_instance(), _OK).when(states.start_failed(), _FAILED).otherwise(_OPEN)
+    moments = (
+        changes.select(*SESSION, "ts", (F.col("seq") * 4 + outcome).alias("n"))
+        .groupBy(*SESSION, "ts")
+        .agg((F.max("n") % 4).alias("outcome"))
+    )
+    mark = F.unix_micros(F.col("ts").cast("timestamp")) * 4 + F.col("outcome")
+    marks = moments.select(
+        *SESSION, "ts", F.lit(0).alias("kind"), mark.alias("mark"),
+        F.when(F.col("outcome") != _OPEN, mark).alias("decision"),
+    )
+    line = requests.select(*SESSION, "ts", F.lit(1).alias("kind")).unionByName(marks, allowMissingColumns=True)
+    line = nearest(
+        line, SESSION, ["ts", "kind"], time_bucket("ts", "hour"), newest={"now": "mark"}, coming={"next": "decision"}
+    ).filter("kind = 1")
+
+    waited = F.floor(F.col("next") / 4) - F.unix_micros(F.col("ts").cast("timestamp"))
+    in_time = waited <= budget * 1_000_000
     over = F.col("ts") + timing.seconds(F.lit(budget)) < as_of
-    result = lambda state: F.when(states.holds_instance(state), "ok").otherwise("failed")
-    at_once = states.holds_instance("now") | states.start_failed("now")
-    return line.filter("kind = 1").select(
+    at_once = F.col("now") % 4 != _OPEN
+    result = lambda mark: F.when(F.col(mark) % 4 == _OK, "ok").otherwise("failed")
+    return line.select(
         *SESSION, "ts",
-        F.when(at_once, 0).when(in_time, wait).alias("wait_seconds"),
-        F.when(at_once, result("now")).when(in_time, result("next.state"))
+        F.when(at_once, 0).when(in_time, F.floor(waited / 1_000_000)).alias("wait_seconds"),
+        F.when(at_once, result("now")).when(in_time, result("next"))
         .when(over, "timeout").otherwise("pending").alias("outcome"),
     )
 
@@ -189,8 +198,8 @@ def thin_touches(activity: DataFrame, minutes: int = V.TOUCH_MINUTES) -> DataFra
 def touch_gaps(activity: DataFrame) -> DataFrame:
     """Whole seconds since the same session's previous touch."""
     rows = activity.select(*V.POOL, "session", "event_id", "ts")
-    with_last = carried(
-        rows, V.POOL + ["session"], ["ts", "event_id"], "ts", "previous", time_bucket("ts", "hour"), strict=True
+    with_last = nearest(
+        rows, V.POOL + ["session"], ["ts", "event_id"], time_bucket("ts", "hour"), previous={"previous": "ts"}
     )
     return with_last.select(
         *V.POOL, "session", "event_id", "ts",

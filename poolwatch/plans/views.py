@@ -80,13 +80,18 @@ def session_columns(sessions: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _broken_rules(records: DataFrame, key: Column, rules: dict[str, Column]) -> DataFrame:
-    """Rows per broken rule and the first record that breaks it; one pass over the records."""
-    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules.items()]))
-    return (
-        records.select(key.alias("key"), F.explode(broken).alias("rule"))
-        .groupBy("rule")
-        .agg(F.count("*").alias("bad_rows"), F.min("key").alias("first_key"))
-    )
+    """Rows per broken rule and the first record that breaks it: one aggregate without groups
+    over the records, nothing to sort and one row per task to shuffle."""
+    checks = [(rule, F.coalesce(bad, F.lit(False))) for rule, bad in rules.items()]
+    per_rule = [
+        F.struct(
+            F.lit(rule).alias("rule"),
+            F.count_if(bad).alias("bad_rows"),
+            F.min(F.when(bad, key)).alias("first_key"),
+        )
+        for rule, bad in checks
+    ]
+    return records.agg(F.array(*per_rule).alias("r")).select(F.inline("r")).filter("bad_rows > 0")
 
 
 def _not_in(col: str, allowed) -> Column:
@@ -198,12 +203,20 @@ def access_identity(log: DataFrame) -> DataFrame:
 
 
 def token_claims(tokens: DataFrame, user_claim: str = V.USER_CLAIM, groups_claim: str = V.GROUPS_CLAIM) -> DataFrame:
-    """Unverified claims of each token; groups only where there is a user."""
-    user = identity.claimed_user("token", user_claim)
-    return tokens.select(
-        *[c for c in tokens.columns if c != "token"],
-        user.alias("claimed_user"),
-        F.when(user.isNotNull(), identity.claimed_groups("token", groups_claim)).alias("claimed_groups"),
+    """Unverified claims of each token; groups only where there is a user. Each part of a token
+    is parsed once."""
+    rest = [c for c in tokens.columns if c != "token"]
+    parsed = tokens.select(
+        *rest, identity.token_part("token", 0).alias("head"), identity.token_part("token", 1).alias("claims"),
+        identity.token_parts("token").alias("parts"),
+    )
+    known = parsed.select(
+        *rest, "claims",
+        F.when(identity.token_ok("parts", "head"), identity.claimed_user("claims", user_claim)).alias("claimed_user"),
+    )
+    return known.select(
+        *rest, "claimed_user",
+        F.when(F.col("claimed_user").isNotNull(), identity.claimed_groups("claims", groups_claim)).alias("claimed_groups"),
     )
 
 

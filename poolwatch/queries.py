@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from poolwatch import values as V
-from poolwatch.functions import hosts, states
+from poolwatch.functions import hosts, identity, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
 from poolwatch.sources.sample import MANAGER, PREFIX, Sample, as_of
@@ -21,14 +21,18 @@ def query(make):
 # Sessions per instance, capacity.
 
 
+def _counts(s: Sample) -> DataFrame:
+    return load.instance_counts(s.instances, s.sessions)
+
+
 @query
 def instance_load(s: Sample) -> DataFrame:
-    return load.instance_load(s.instances, s.sessions).drop("pos")
+    return load.instance_load(_counts(s)).drop("pos")
 
 
 @query
 def pool_rollup(s: Sample) -> DataFrame:
-    return load.pool_rollup(s.pools, s.instances, s.sessions)
+    return load.pool_rollup(s.pools, _counts(s))
 
 
 @query
@@ -41,21 +45,22 @@ def pod_utilisation(s: Sample) -> DataFrame:
     return load.pod_utilisation(s.instances, s.container_usage, s.container_requests)
 
 
-def _desired(s: Sample) -> DataFrame:
-    rollup = load.pool_rollup(s.pools, s.instances, s.sessions)
+def _desired(s: Sample, counts: DataFrame) -> DataFrame:
+    rollup = load.pool_rollup(s.pools, counts)
     used = load.pool_utilisation(s.instances, s.container_usage, s.container_requests)
     return capacity.desired_replicas(s.pools, rollup, used)
 
 
 @query
 def desired_replicas(s: Sample) -> DataFrame:
-    return _desired(s)
+    return _desired(s, _counts(s))
 
 
 @query
 def capacity_plan(s: Sample) -> DataFrame:
-    loads = load.instance_load(s.instances, s.sessions)
-    return capacity.capacity_plan(s.pools, _desired(s), loads, as_of())
+    counts = sinks.materialise(_counts(s), "instance-counts")
+    desired = sinks.materialise(_desired(s, counts), "desired-replicas")
+    return capacity.capacity_plan(s.pools, desired, load.instance_load(counts), as_of())
 
 
 @query
@@ -73,8 +78,10 @@ def quota_limits(s: Sample) -> DataFrame:
 
 @query
 def group_quota_limits(s: Sample) -> DataFrame:
-    members = s.tokens.select(
-        F.concat(F.lit("user-"), F.col("event_id") % 150).alias("user_name"), views.identity.claimed_groups().alias("groups")
+    claims = s.tokens.select("event_id", identity.token_part("token", 1).alias("claims"))
+    members = claims.select(
+        F.concat(F.lit("user-"), F.col("event_id") % 150).alias("user_name"),
+        identity.claimed_groups("claims").alias("groups"),
     )
     rows = s.quotas.withColumn("match_group", F.concat(F.lit("g"), F.col("pos")))
     return quota.group_quota_limits(rows, members)
@@ -125,7 +132,7 @@ def instance_endpoints(s: Sample) -> DataFrame:
 
 
 def _candidates(s: Sample) -> DataFrame:
-    loads = load.instance_load(s.instances, s.sessions)
+    loads = load.instance_load(_counts(s))
     return sessions.placement_candidates(s.pools, loads, sessions.instance_endpoints(s.instances, s.services))
 
 
@@ -398,7 +405,7 @@ def error_log_trim(s: Sample) -> DataFrame:
 @query
 def pool_status_table(s: Sample) -> DataFrame:
     path = sinks.work_folder(s.spark, "pool-status")
-    rollup = load.pool_rollup(s.pools, s.instances, s.sessions)
+    rollup = load.pool_rollup(s.pools, _counts(s))
     sinks.write_pool_status(sinks.pool_status(rollup, as_of()), path)
     return s.spark.read.parquet(path).drop("as_of_date", "tick")
 

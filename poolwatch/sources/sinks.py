@@ -19,6 +19,14 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """A small table used more than once, written to the shared folder and read back, so that
+    what it is made from is read once and a lost executor costs nothing upstream."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pool_status(rollup: DataFrame, as_of: Column) -> DataFrame:
     """Status row of each pool as the roll-up sees it."""
     return rollup.select(
