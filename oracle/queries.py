@@ -189,6 +189,13 @@ select namespace, pool, pool || '-a' as instance, 0 as pos, case when c % 37 = 0
 select namespace, concat(pool, tag) as pool, pos, case tag when 'a' then 'connect' else 'thrift' end as type,
   concat(tag, c, '.example.com') as host, 10 as max_replicas, 'activeSessions' as metric_type
 from (select namespace, pool, c, unnest(['a', 'b']) as tag, unnest([0, 1]) as pos from f_tenants)""",
+    "session_records": f"""
+select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, concat('user-', c) as user_name, concat('pool-', nk) as pool,
+  ['Pending', '', 'Active', 'Active', 'Idle', 'Terminating', 'Terminated', 'Failed'][k % 8 + 1] as state,
+  case when k % 8 < 2 then '' else concat('pool-', s_nationkey, '-', s_suppkey) end as assigned_instance,
+  {AS_OF} - to_minutes(k % 600) as created_at, case when k % 3 = 0 then concat(1 + k % 8, 'g') end as memory
+from f_orders""",
+    "own_sessions": "select session as name, user_name as user, pool, state from f_sessions where user_name = 'user-7'",
     "instance_states": "select namespace, pool, instance, pos, spark_state, role, app_id, state from f_instances",
     "container_quantities": """
 select concat('pod-', l_suppkey) as pod, concat('c', l_linenumber) as container, r as resource, count(*) as readings,

@@ -285,6 +285,21 @@ def pool_list_documents(s: Sample) -> DataFrame:
     return rows.select("namespace", "pool", "pos", "type", "host", "max_replicas", "metric_type")
 
 
+@query
+def session_records(s: Sample) -> DataFrame:
+    rows = readers.flatten_sessions(readers.session_records(s.session_documents))
+    return rows.select(
+        "namespace", "session", "user_name", "pool", "state", "assigned_instance",
+        F.col("created_at").cast("timestamp_ntz").alias("created_at"),
+        F.col("spark_conf")["spark.executor.memory"].alias("memory"),
+    )
+
+
+@query
+def own_sessions(s: Sample) -> DataFrame:
+    return views.own_sessions(s.sessions, "user-7").select("name", "user", "pool", "state")
+
+
 @query
 def instance_states(s: Sample) -> DataFrame:
     return readers.instances_from_applications(s.applications, PREFIX)

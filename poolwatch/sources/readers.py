@@ -132,6 +132,11 @@ def flatten_sessions(records: DataFrame) -> DataFrame:
     )
 
 
+def session_records(documents: DataFrame, column: str = "doc") -> DataFrame:
+    """Session records out of a column of JSON documents."""
+    return documents.select(F.from_json(F.col(column), schemas.SESSION_RECORD).alias("r")).select("r.*")
+
+
 def read_sessions(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
     """Session snapshots; filter on `snapshot_date` to read only the folders of those days."""
     return flatten_sessions(_load(spark, path, fmt, schemas.SESSION_RECORD))

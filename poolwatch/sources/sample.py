@@ -16,32 +16,27 @@ from poolwatch.sources.readers import flatten_pools, pool_records
 PREFIX = "fleet.example.com"
 MANAGER, PROXY = "fleet-manager", "fleet-proxy"
 AS_OF = "2024-01-31 00:00:00"
+_AS_OF = f"timestamp_ntz'{AS_OF}'"
 
 
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+def _home(nation: str) -> list[str]:
+    """Namespace and pool of a nation."""
+    return [f"concat('ns-', ({nation}) % 9) as namespace", f"concat('pool-', {nation}) as pool"]
 
 
-def _back(ts: Column, minutes: Column) -> Column:
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), minutes.cast("int"))
+def _back(minutes: str, ts: str = _AS_OF) -> str:
+    return f"({ts} - make_dt_interval(0, 0, cast({minutes} as int)))"
 
 
-def _pool_name(nk: Column) -> Column:
-    return _text("pool-", nk)
-
-
-def _namespace(nk: Column) -> Column:
-    return _text("ns-", nk % 9)
-
-
-def _application_state(s: Column) -> Column:
-    states = ["RUNNING"] * 6 + ["PENDING_RERUN", "FAILED", "SUBMITTED", "COMPLETED"]
-    return F.element_at(F.array(*map(F.lit, states)), (s % 10 + 1).cast("int"))
-
+_APPLICATION_STATE = (
+    "element_at(array('RUNNING', 'RUNNING', 'RUNNING', 'RUNNING', 'RUNNING', 'RUNNING', 'PENDING_RERUN', "
+    "'FAILED', 'SUBMITTED', 'COMPLETED'), cast(s_suppkey % 10 + 1 as int))"
+)
+_ROLE = "case when s_suppkey % 10 = 5 then 'draining' else 'active' end"
 
 # Declared, so that opening a table reads no file.
 TABLES = {
@@ -77,299 +72,255 @@ class Sample:
 
     @cached_property
     def pools(self) -> DataFrame:
-        n, r = F.col("n_nationkey"), F.col("n_regionkey")
-        kind = F.when(n % 2 == 0, "connect").otherwise("thrift")
-        heavy = n % 5 == 0
-        threshold = F.element_at(
-            F.array(*map(F.lit, ["0.8", "", "0", "abc", "0.5", "0.9"])), (n % 6 + 1).cast("int")
-        )
-        return self.table("nation").select(
-            _namespace(n).alias("namespace"),
-            _pool_name(n).alias("pool"),
-            n.cast("bigint").alias("pos"),
-            kind.alias("type"),
-            _text("spark-", kind, "-", n, ".example.com").alias("host"),
-            (n % 3).cast("int").alias("min_replicas"),
-            (3 + n % 8).cast("int").alias("max_replicas"),
-            F.when(r == 3, "cpu").when(r == 4, "memory").when(r == 2, "").otherwise("activeSessions")
-            .alias("metric_type"),
-            F.when(n % 10 == 9, 0).when(r.isin(3, 4), 80).when(heavy, 5).otherwise(20)
-            .cast("int").alias("target_per_instance"),
-            threshold.alias("scale_up_threshold"),
-            F.when(n % 7 == 6, 0).otherwise(300).cast("int").alias("cooldown_seconds"),
-            (n % 4 != 0).alias("drain_before_scale_down"),
-            F.when(heavy, 2).otherwise(5).cast("int").alias("max_sessions_per_user"),
-            F.when(n % 11 == 10, 0).when(heavy, 50).otherwise(200).cast("int").alias("max_total_sessions"),
-            F.when(n % 12 == 11, 0).when(heavy, 360).otherwise(720).cast("int").alias("idle_timeout_minutes"),
-            F.when(n > 0, _back(as_of(), n)).alias("last_scale_time"),
-            F.when(n % 4 != 3, maps.literal({"spark.executor.memory": "4g", "spark.executor.cores": "2"}))
-            .alias("default_session_conf"),
+        kind = "case when n_nationkey % 2 = 0 then 'connect' else 'thrift' end"
+        return self.table("nation").selectExpr(
+            *_home("n_nationkey"),
+            "cast(n_nationkey as bigint) as pos",
+            f"{kind} as type",
+            f"concat('spark-', {kind}, '-', n_nationkey, '.example.com') as host",
+            "n_nationkey % 3 as min_replicas",
+            "3 + n_nationkey % 8 as max_replicas",
+            "case n_regionkey when 3 then 'cpu' when 4 then 'memory' when 2 then '' else 'activeSessions' end as metric_type",
+            "case when n_nationkey % 10 = 9 then 0 when n_regionkey in (3, 4) then 80 when n_nationkey % 5 = 0 then 5"
+            " else 20 end as target_per_instance",
+            "element_at(array('0.8', '', '0', 'abc', '0.5', '0.9'), n_nationkey % 6 + 1) as scale_up_threshold",
+            "case when n_nationkey % 7 = 6 then 0 else 300 end as cooldown_seconds",
+            "n_nationkey % 4 <> 0 as drain_before_scale_down",
+            "case when n_nationkey % 5 = 0 then 2 else 5 end as max_sessions_per_user",
+            "case when n_nationkey % 11 = 10 then 0 when n_nationkey % 5 = 0 then 50 else 200 end as max_total_sessions",
+            "case when n_nationkey % 12 = 11 then 0 when n_nationkey % 5 = 0 then 360 else 720 end as idle_timeout_minutes",
+            f"case when n_nationkey > 0 then {_back('n_nationkey')} end as last_scale_time",
+            "case when n_nationkey % 4 <> 3 then map('spark.executor.memory', '4g', 'spark.executor.cores', '2') end"
+            " as default_session_conf",
+        )
+
+    def _at_home(self, rows: DataFrame, customer: str) -> DataFrame:
+        """Rows with the instance their customer works on: every customer has one home."""
+        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
+        seats = suppliers.agg(F.count("*")).scalar()
+        spread = rows.columns
+        return lookup_join(
+            rows.withColumn("s_suppkey", F.col(customer) % seats), suppliers, ["s_suppkey"], "left", spread
         )
 
     @cached_property
     def quotas(self) -> DataFrame:
         """Three override rows per customer; limit 0 overrides nothing."""
-        c = F.col("c_custkey")
-        row = lambda pos, limit, conf: F.struct(
-            F.lit(pos).alias("pos"),
-            limit.cast("int").alias("max_sessions_per_user"),
-            conf.cast("map<string,string>").alias("session_conf"),
-        )
-        rows = F.array(
-            row(
-                0, F.when(c % 50 == 0, 20).otherwise(0),
-                F.when(c % 50 == 0, maps.literal({"spark.executor.memory": "16g"})),
-            ),
-            row(
-                1, F.when(c % 100 == 0, 7).otherwise(0),
-                F.when(c % 100 == 0, maps.literal({"spark.executor.cores": "8"})),
-            ),
-            row(2, F.lit(0), F.lit(None)),
-        )
-        homes = self._at_home(self.table("customer").select("c_custkey"), c)
-        return homes.select(
-            _namespace(F.col("s_nationkey")).alias("namespace"),
-            _pool_name(F.col("s_nationkey")).alias("pool"),
-            _text("user-", c).alias("match_user"),
-            F.inline(rows),
+        rows = """inline(array(
+            named_struct('pos', 0, 'max_sessions_per_user', if(c_custkey % 50 = 0, 20, 0),
+              'session_conf', if(c_custkey % 50 = 0, map('spark.executor.memory', '16g'), null)),
+            named_struct('pos', 1, 'max_sessions_per_user', if(c_custkey % 100 = 0, 7, 0),
+              'session_conf', if(c_custkey % 100 = 0, map('spark.executor.cores', '8'), null)),
+            named_struct('pos', 2, 'max_sessions_per_user', 0, 'session_conf', cast(null as map<string,string>))))"""
+        return self._at_home(self.table("customer").select("c_custkey"), "c_custkey").selectExpr(
+            *_home("s_nationkey"), "concat('user-', c_custkey) as match_user", rows
         )
 
     @cached_property
     def applications(self) -> DataFrame:
         """Exported application records, as JSON documents."""
-        s, nk = F.col("s_suppkey"), F.col("s_nationkey")
-        name = _text("pool-", nk, "-", s)
-        labels = maps.ownership_labels(
-            PREFIX,
-            pool=_pool_name(nk),
-            instance_role=F.when(s % 10 == 5, "draining").otherwise("active"),
-        )
-        doc = F.to_json(
-            F.struct(
-                F.struct(
-                    name.alias("name"), _namespace(nk).alias("namespace"), labels.alias("labels")
-                ).alias("metadata"),
-                F.struct(
-                    F.struct(_application_state(s).alias("state")).alias("applicationState"),
-                    _text("spark-", s).alias("sparkApplicationId"),
-                ).alias("status"),
-            )
-        )
-        return self.table("supplier").select(s.alias("pos"), doc.alias("doc"))
+        doc = f"""to_json(named_struct(
+            'metadata', named_struct(
+              'name', concat('pool-', s_nationkey, '-', s_suppkey), 'namespace', concat('ns-', s_nationkey % 9),
+              'labels', map('{PREFIX}/pool', concat('pool-', s_nationkey), '{PREFIX}/instance-role', {_ROLE})),
+            'status', named_struct(
+              'applicationState', named_struct('state', {_APPLICATION_STATE}),
+              'sparkApplicationId', concat('spark-', s_suppkey)))) as doc"""
+        return self.table("supplier").selectExpr("s_suppkey as pos", doc)
 
     @cached_property
     def instances(self) -> DataFrame:
-        s, nk = F.col("s_suppkey"), F.col("s_nationkey")
-        return (
-            self.table("supplier")
-            .select(
-                _namespace(nk).alias("namespace"),
-                _pool_name(nk).alias("pool"),
-                _text("pool-", nk, "-", s).alias("instance"),
-                s.alias("pos"),
-                _application_state(s).alias("spark_state"),
-                F.when(s % 10 == 5, "draining").otherwise("active").alias("role"),
-                _text("spark-", s).alias("app_id"),
-            )
-            .withColumn("state", instance_state())
+        rows = self.table("supplier").selectExpr(
+            *_home("s_nationkey"),
+            "concat('pool-', s_nationkey, '-', s_suppkey) as instance",
+            "s_suppkey as pos",
+            f"{_APPLICATION_STATE} as spark_state",
+            f"{_ROLE} as role",
+            "concat('spark-', s_suppkey) as app_id",
         )
+        return rows.withColumn("state", instance_state())
 
     @cached_property
     def services(self) -> DataFrame:
         """Two services per application; one application in eleven has no driver service."""
-        s, nk = F.col("s_suppkey"), F.col("s_nationkey")
-        row = lambda pos, name: F.struct(F.lit(pos).alias("pos"), name.alias("service"))
-        driver = F.when(s % 11 == 0, _text("app-", s, "-headless")).otherwise(_text("app-", s, "-driver-svc"))
-        return self.table("supplier").select(
-            _namespace(nk).alias("namespace"),
-            _text("spark-", s).alias("app_id"),
-            F.inline(F.array(row(0, _text("app-", s, "-ui-svc")), row(1, driver))),
-        )
-
-    def _at_home(self, rows: DataFrame, customer: Column) -> DataFrame:
-        """Rows with the instance their customer works on: every customer has one home."""
-        suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
-        seats = suppliers.agg(F.count("*")).scalar()
-        spread = rows.columns
-        return lookup_join(rows.withColumn("s_suppkey", customer % seats), suppliers, ["s_suppkey"], "left", spread)
+        rows = """inline(array(
+            named_struct('pos', 0, 'service', concat('app-', s_suppkey, '-ui-svc')),
+            named_struct('pos', 1, 'service', concat('app-', s_suppkey, if(s_suppkey % 11 = 0, '-headless', '-driver-svc')))))"""
+        return self.table("supplier").selectExpr(_home("s_nationkey")[0], "concat('spark-', s_suppkey) as app_id", rows)
 
     @cached_property
     def _orders(self) -> DataFrame:
         """Orders at home; some name another pool, some a pool that is gone."""
-        k = F.col("o_orderkey")
-        rows = self._at_home(self.table("orders").select("o_orderkey", "o_custkey"), F.col("o_custkey"))
-        pool = F.when(k % 89 == 0, 99).when(k % 23 == 0, k % 25).otherwise(F.col("s_nationkey"))
-        return rows.withColumn("nk", pool)
+        rows = self._at_home(self.table("orders").select("o_orderkey", "o_custkey"), "o_custkey")
+        return rows.selectExpr(
+            "o_orderkey as k", "o_custkey as c", "s_nationkey", "s_suppkey",
+            "case when o_orderkey % 89 = 0 then 99 when o_orderkey % 23 = 0 then o_orderkey % 25 else s_nationkey end as nk",
+        )
 
     @cached_property
     def sessions(self) -> DataFrame:
-        k = F.col("o_orderkey")
-        seat = _text("pool-", F.col("s_nationkey"), "-", F.col("s_suppkey"))
+        seen = _back("(k * 7) % 1000")
         state = (
-            F.when((k > 0) & (k % 1009 == 0), "Assigning")
-            .when(k % 8 == 0, "Pending").when(k % 8 == 1, "").when(k % 8 == 4, "Idle")
-            .when(k % 8 == 5, "Terminating").when(k % 8 == 6, "Terminated").when(k % 8 == 7, "Failed")
-            .otherwise("Active")
-        )
-        seen = _back(as_of(), (k * 7) % 1000)
-        user = _text("user-", F.col("o_custkey"))
-        pool = _pool_name(F.col("nk"))
-        conf = maps.overlay(
-            F.when(k % 3 == 0, F.create_map(F.lit("spark.executor.memory"), _text(1 + k % 8, "g"))),
-            F.when(k % 5 == 0, F.create_map(F.lit("spark.dynamicAllocation.maxExecutors"), _text(k % 9))),
-        )
-        return self._orders.select(
-            _namespace(F.col("nk")).alias("namespace"),
-            _text("session-", k).alias("session"),
-            user.alias("user_name"),
-            pool.alias("pool"),
-            state.alias("state"),
-            F.when(k % 8 < 2, "").when(k % 97 == 0, "gone-instance")
-            .otherwise(F.coalesce(seat, F.lit(""))).alias("assigned_instance"),
-            _back(seen, k % 600).alias("created_at"),
-            F.when(k % 101 != 0, seen).alias("last_activity_at"),
-            F.when(k % 8 > 4, seen).alias("ended_at"),
-            maps.ownership_labels(
-                PREFIX,
-                user=F.when(k % 50 == 0, _text("other-", F.col("o_custkey"))).otherwise(user),
-                pool=pool,
-                origin=F.lit("proxy"),
-            ).alias("labels"),
-            F.when(F.size(conf) > 0, conf).alias("spark_conf"),
+            "case when k > 0 and k % 1009 = 0 then 'Assigning' else element_at(array('Pending', '', 'Active', 'Active', "
+            "'Idle', 'Terminating', 'Terminated', 'Failed'), cast(k % 8 + 1 as int)) end"
+        )
+        labels = (
+            f"map('{PREFIX}/user', concat(if(k % 50 = 0, 'other-', 'user-'), c), '{PREFIX}/pool', concat('pool-', nk), "
+            f"'{PREFIX}/origin', 'proxy')"
+        )
+        conf = """case when k % 3 = 0 and k % 5 = 0
+              then map('spark.executor.memory', concat(1 + k % 8, 'g'), 'spark.dynamicAllocation.maxExecutors', string(k % 9))
+            when k % 3 = 0 then map('spark.executor.memory', concat(1 + k % 8, 'g'))
+            when k % 5 = 0 then map('spark.dynamicAllocation.maxExecutors', string(k % 9)) end"""
+        return self._orders.selectExpr(
+            *_home("nk"),
+            "concat('session-', k) as session",
+            "concat('user-', c) as user_name",
+            f"{state} as state",
+            "case when k % 8 < 2 then '' when k % 97 = 0 then 'gone-instance'"
+            " else coalesce(concat('pool-', s_nationkey, '-', s_suppkey), '') end as assigned_instance",
+            f"{_back('k % 600', seen)} as created_at",
+            f"case when k % 101 <> 0 then {seen} end as last_activity_at",
+            f"case when k % 8 > 4 then {seen} end as ended_at",
+            f"{labels} as labels",
+            f"{conf} as spark_conf",
         )
 
+    @cached_property
+    def session_documents(self) -> DataFrame:
+        """Exported session records, as JSON documents; a new session has no state at all."""
+        doc = f"""to_json(named_struct(
+            'namespace', concat('ns-', nk % 9), 'name', concat('session-', k),
+            'labels', map('{PREFIX}/user', concat('user-', c)),
+            'spec', named_struct('user', concat('user-', c), 'pool', concat('pool-', nk),
+              'sparkConf', if(k % 3 = 0, map('spark.executor.memory', concat(1 + k % 8, 'g')), null)),
+            'status', named_struct('state', if(k % 8 = 1, null, element_at(array('Pending', '', 'Active', 'Active', 'Idle',
+                'Terminating', 'Terminated', 'Failed'), cast(k % 8 + 1 as int))),
+              'assignedInstance', if(k % 8 < 2, null, concat('pool-', s_nationkey, '-', s_suppkey)),
+              'createdAt', date_format({_back("k % 600")}, "yyyy-MM-dd'T'HH:mm:ss'Z'")))) as doc"""
+        return self._orders.selectExpr(doc)
+
     @cached_property
     def container_usage(self) -> DataFrame:
         """Usage per pod, container, resource and month."""
-        lines = self.table("lineitem").select(
-            F.col("l_suppkey").alias("s_suppkey"),
-            _text("c", F.col("l_linenumber")).alias("container"),
-            F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("tick"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cpu"),
-            F.round(F.col("l_quantity") * 100000).cast("bigint").alias("memory"),
-        )
-        per_tick = lines.groupBy("s_suppkey", "container", "tick").agg(
-            F.sum("cpu").alias("cpu"), F.sum("memory").alias("memory")
-        )
-        owners = self.table("supplier").select("s_suppkey", "s_nationkey")
-        owned = lookup_join(per_tick, owners, ["s_suppkey"], "inner", ["container", "tick"])
-        nk = F.col("s_nationkey")
-        return owned.select(
-            _namespace(nk).alias("namespace"),
-            _text("pool-", nk, "-", F.col("s_suppkey"), "-driver").alias("pod"),
-            "container",
+        per_tick = (
+            self.table("lineitem")
+            .selectExpr(
+                "l_suppkey", "l_linenumber", "cast(date_trunc('month', l_shipdate) as timestamp_ntz) as tick",
+                "cast(round(l_extendedprice * 100) as bigint) as cpu", "cast(round(l_quantity * 100000) as bigint) as memory",
+            )
+            .groupBy("l_suppkey", "l_linenumber", "tick")
+            .agg(F.sum("cpu").alias("cpu"), F.sum("memory").alias("memory"))
+        )
+        owners = self.table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey")
+        owned = lookup_join(per_tick, owners, ["l_suppkey"], "inner", ["l_linenumber", "tick"])
+        return owned.selectExpr(
+            _home("s_nationkey")[0],
+            "concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod",
+            "concat('c', l_linenumber) as container",
             "tick",
-            F.expr("stack(2, 'cpu', cpu, 'memory', memory) as (resource, usage_milli)"),
+            "stack(2, 'cpu', cpu, 'memory', memory) as (resource, usage_milli)",
         )
 
     @cached_property
     def usage_readings(self) -> DataFrame:
         """One reading per order line, at its own time."""
-        owners = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-        nk = F.col("s_nationkey")
-        return lookup_join(self.table("lineitem"), owners, ["l_suppkey"], "inner").select(
-            _namespace(nk).alias("namespace"),
-            _text("pool-", nk, "-", F.col("l_suppkey"), "-driver").alias("pod"),
-            _text("c", F.col("l_linenumber")).alias("container"),
-            F.lit("cpu").alias("resource"),
-            F.col("l_shipdate").alias("ts"),
-            F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("usage_milli"),
+        owners = self.table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey")
+        rows = lookup_join(self.table("lineitem"), owners, ["l_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
+        return rows.selectExpr(
+            _home("s_nationkey")[0],
+            "concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod",
+            "concat('c', l_linenumber) as container",
+            "'cpu' as resource",
+            "l_shipdate as ts",
+            "cast(round(l_extendedprice * 100) as bigint) as usage_milli",
         )
 
     @cached_property
     def container_requests(self) -> DataFrame:
-        s, nk = F.col("s_suppkey"), F.col("s_nationkey")
-        return (
-            self.table("supplier")
-            .select(
-                _namespace(nk).alias("namespace"),
-                _text("pool-", nk, "-", s, "-driver").alias("pod"),
-                F.when(s % 13 == 0, 0).otherwise(10000000 + 200000 * (s % 7)).cast("bigint").alias("request_milli"),
-                F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i"),
-            )
-            .select(
-                "namespace", "pod", _text("c", F.col("i")).alias("container"),
-                F.explode(F.array(F.lit("cpu"), F.lit("memory"))).alias("resource"), "request_milli",
-            )
+        rows = self.table("supplier").selectExpr(
+            _home("s_nationkey")[0],
+            "concat('pool-', s_nationkey, '-', s_suppkey, '-driver') as pod",
+            "cast(if(s_suppkey % 13 = 0, 0, 10000000 + 200000 * (s_suppkey % 7)) as bigint) as request_milli",
+            "explode(sequence(1, 6)) as i",
+        )
+        return rows.selectExpr(
+            "namespace", "pod", "concat('c', i) as container", "explode(array('cpu', 'memory')) as resource", "request_milli"
+        )
+
+    @cached_property
+    def pod_metrics(self) -> DataFrame:
+        """Exported readings with amounts as text, one per order line."""
+        n = "l_linenumber"
+        containers = f"""array(named_struct('name', concat('c', {n}), 'usage', named_struct(
+            'cpu', element_at(array(concat({n}, '00m'), string({n}), concat('0.', {n}), concat({n}, 'e1'),
+              concat({n}, '000u'), 'bad'), cast(l_orderkey % 6 + 1 as int)),
+            'memory', element_at(array(concat({n}, 'Ki'), concat({n}, 'Mi'), concat({n}, '.5Gi'), concat({n}, 'M'), null),
+              cast(l_orderkey % 5 + 1 as int))))) as containers"""
+        return self.table("lineitem").selectExpr(
+            "'ns-0' as namespace", "concat('pod-', l_suppkey) as pod", "l_shipdate as timestamp", containers
         )
 
     @cached_property
     def activity(self) -> DataFrame:
-        u = F.col("user_id")
-        return self.table("events").select(
-            "event_id",
-            _namespace(u % 25).alias("namespace"),
-            _pool_name(u % 25).alias("pool"),
-            _text("session-user-", u).alias("session"),
-            _text("user-", u).alias("user_name"),
-            "ts",
-            F.col("event_type").alias("kind"),
+        return self.table("events").selectExpr(
+            "event_id", *_home("user_id % 25"), "concat('session-user-', user_id) as session",
+            "concat('user-', user_id) as user_name", "ts", "event_type as kind",
         )
 
     @cached_property
     def requests(self) -> DataFrame:
         """Access log with raw hosts and credentials in many forms."""
-        e, u, nk = F.col("event_id"), F.col("user_id"), F.col("user_id") % 25
-        kind = F.when(nk % 2 == 0, "connect").otherwise("thrift")
-        host = _text("spark-", kind, "-", nk, ".example.com")
-        code = lambda *parts: F.base64(F.encode(_text(*parts), "UTF-8"))
-        header = (
-            F.when(e % 9 == 0, _text("Basic ", code("user-", u, ":pw")))
-            .when(e % 9 == 1, _text("bearer ", code("user-", u, ":a:b")))
-            .when(e % 9 == 2, code("user-", u, ":pw"))
-            .when(e % 9 == 3, _text("Basic not*base64-", u))
-            .when(e % 9 == 4, _text("Basic ", code("user-", u)))
-            .when(e % 9 == 5, _text("Basic ", code(":pw", u)))
-            .when(e % 9 == 6, _text("Digest ", code("user-", u, ":pw")))
-        )
-        return self.table("events").select(
-            e.alias("request_id"),
-            _namespace(nk).alias("namespace"),
+        code = lambda *parts: f"base64(encode(concat({', '.join(parts)}), 'UTF-8'))"
+        named = self.table("events").selectExpr(
+            "*", "event_id as e", "user_id % 25 as nk", "if(user_id % 25 % 2 = 0, 'connect', 'thrift') as kind",
+        )
+        rows = named.selectExpr("*", "concat('spark-', kind, '-', nk, '.example.com') as own_host")
+        header = f"""element_at(array(
+            concat('Basic ', {code("'user-'", "user_id", "':pw'")}), concat('bearer ', {code("'user-'", "user_id", "':a:b'")}),
+            {code("'user-'", "user_id", "':pw'")}, concat('Basic not*base64-', user_id),
+            concat('Basic ', {code("'user-'", "user_id")}), concat('Basic ', {code("':pw'", "user_id")}),
+            concat('Digest ', {code("'user-'", "user_id", "':pw'")}), null, null), cast(e % 9 + 1 as int))"""
+        inner = code("'inner-'", "user_id", "':x'")
+        return rows.selectExpr(
+            "e as request_id",
+            "concat('ns-', nk % 9) as namespace",
             "ts",
-            _text("user-", u).alias("user_name"),
-            F.when(e % 7 == 0, "thrift").otherwise(kind).alias("door"),
-            F.when(e % 5 == 0, _text(host, ":443")).when(e % 5 == 1, "").otherwise(host).alias("forwarded_host"),
-            F.when(e % 11 == 0, "").when(e % 11 == 1, "nowhere.example.com:80").otherwise(host).alias("authority"),
-            header.alias("authorization"),
-            F.when(e % 4 == 0, "").when(e % 4 == 1, _text("named-", u)).alias("header_user"),
-            (e % 3 != 0).alias("has_password"),
-            F.when(e % 6 == 0, code("inner-", u, ":x")).when(e % 6 == 1, _text("plain-", u))
-            .when(e % 6 == 2, "").alias("user_id"),
+            "concat('user-', user_id) as user_name",
+            "if(e % 7 = 0, 'thrift', kind) as door",
+            "case e % 5 when 0 then concat(own_host, ':443') when 1 then '' else own_host end as forwarded_host",
+            "case e % 11 when 0 then '' when 1 then 'nowhere.example.com:80' else own_host end as authority",
+            f"{header} as authorization",
+            "case e % 4 when 0 then '' when 1 then concat('named-', user_id) end as header_user",
+            "e % 3 <> 0 as has_password",
+            f"case e % 6 when 0 then {inner} when 1 then concat('plain-', user_id) when 2 then '' end as user_id",
         )
 
     @cached_property
     def tokens(self) -> DataFrame:
         """Tokens with proper and improper claims."""
-        e, u = F.col("event_id"), F.col("user_id")
-        url = lambda text: F.rtrim(
-            F.translate(F.base64(F.encode(text, "UTF-8")), "+/", "-_"), F.lit("=")
-        )
+        url = lambda text: f"rtrim('=', translate(base64(encode({text}, 'UTF-8')), '+/', '-_'))"
         head = (
-            F.when(e % 10 == 7, '{"alg":"XX1"}').when(e % 10 == 8, '{"typ":"JWT"}')
-            .otherwise('{"alg":"RS256","typ":"JWT"}')
-        )
-        claims = (
-            F.when(e % 10 == 1, _text('{"sub":', u, ',"groups":["a"]}'))
-            .when(e % 10 == 2, F.lit('{"groups":["a","b"]}'))
-            .when(e % 10 == 3, F.lit('{"sub":"","groups":[]}'))
-            .when(e % 10 == 4, _text('{"sub":"üser-', u, '","groups":["g', u % 5, '",7,null,"x?~"]}'))
-            .when(e % 10 == 5, _text('{"sub":"user-', u, '","groups":"admins"}'))
-            .otherwise(_text('{"sub":"user-', u, '","groups":["g', u % 5, '","h', u % 3, '"]}'))
-        )
-        token = F.concat_ws(".", url(head), url(claims), F.lit("c2ln"))
-        return self.table("events").select(
-            "event_id", F.when(e % 10 == 9, F.lit("no-token")).otherwise(token).alias("token")
+            """case event_id % 10 when 7 then '{"alg":"XX1"}' when 8 then '{"typ":"JWT"}' """
+            """else '{"alg":"RS256","typ":"JWT"}' end"""
+        )
+        claims = """case event_id % 10
+            when 1 then concat('{"sub":', user_id, ',"groups":["a"]}')
+            when 2 then '{"groups":["a","b"]}'
+            when 3 then '{"sub":"","groups":[]}'
+            when 4 then concat('{"sub":"üser-', user_id, '","groups":["g', user_id % 5, '",7,null,"x?~"]}')
+            when 5 then concat('{"sub":"user-', user_id, '","groups":"admins"}')
+            else concat('{"sub":"user-', user_id, '","groups":["g', user_id % 5, '","h', user_id % 3, '"]}') end"""
+        return self.table("events").selectExpr(
+            "event_id",
+            f"if(event_id % 10 = 9, 'no-token', concat_ws('.', {url(head)}, {url(claims)}, 'c2ln')) as token",
         )
 
     @cached_property
     def scaling_log(self) -> DataFrame:
-        u = F.col("user_id")
-        return self.table("events").select(
-            F.col("event_id").alias("action_id"),
-            _namespace(u % 25).alias("namespace"),
-            _pool_name(u % 25).alias("pool"),
-            "ts",
-            F.when(F.col("event_type").isin("error", "view"), "shrink").otherwise("grow").alias("action"),
+        return self.table("events").selectExpr(
+            "event_id as action_id", *_home("user_id % 25"), "ts",
+            "if(event_type in ('error', 'view'), 'shrink', 'grow') as action",
         )
 
     @cached_property
@@ -380,117 +331,68 @@ class Sample:
     @cached_property
     def state_changes(self) -> DataFrame:
         """What became of each started session, some seconds after its request."""
-        k = F.col("o_orderkey")
-        start = _back(_back(as_of(), (k * 7) % 1000), k % 600)
-        after = lambda seconds: start + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)")
-        )
-        row = lambda seq, ts, previous, state: F.struct(
-            F.lit(seq).alias("seq"), ts.alias("ts"), previous.alias("previous"), state.alias("state")
-        )
-        outcome = F.when(k % 11 == 0, "Failed").when(k % 13 == 0, "Pending").otherwise("Active")
-        rows = F.array(
-            row(0, after(F.lit(0)), F.lit(""), F.lit("Pending")),
-            row(1, after(k % 70), F.lit("Pending"), outcome),
-            row(2, after(k % 70 + 400), outcome, F.when(k % 17 == 0, outcome).otherwise("Terminated")),
-        )
-        return self._orders.select(
-            _namespace(F.col("nk")).alias("namespace"),
-            _pool_name(F.col("nk")).alias("pool"),
-            _text("session-", k).alias("session"),
-            F.inline(rows),
+        rows = self._orders.selectExpr(
+            *_home("nk"), "concat('session-', k) as session", "k",
+            f"{_back('(k * 7) % 1000 + k % 600')} as start",
+            "case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome",
+        )
+        after = lambda seconds: f"start + make_dt_interval(0, 0, 0, cast({seconds} as decimal(18,6)))"
+        changes = f"""inline(array(
+            named_struct('seq', 0, 'ts', start, 'previous', '', 'state', 'Pending'),
+            named_struct('seq', 1, 'ts', {after("k % 70")}, 'previous', 'Pending', 'state', outcome),
+            named_struct('seq', 2, 'ts', {after("k % 70 + 400")}, 'previous', outcome,
+              'state', if(k % 17 = 0, outcome, 'Terminated'))))"""
+        return rows.selectExpr("namespace", "pool", "session", changes)
+
+    @cached_property
+    def termination_asks(self) -> DataFrame:
+        """Requests to end sessions: by owners, by others, and for sessions that do not exist."""
+        return self._orders.selectExpr(
+            "k as request_id", _home("nk")[0], "concat(if(k % 7 = 0, 'session-none-', 'session-'), k) as session",
+            "if(k % 3 = 0, 'user-other', concat('user-', c)) as user_name",
         )
 
     @cached_property
     def pool_documents(self) -> DataFrame:
         """Pool records of many tenants, as exported JSON: fields missing, zero or wrong."""
-        c = F.col("c_custkey")
-        pick = lambda n, *vs: F.element_at(F.array(*vs), (c % n + 1).cast("int"))
-        none, i = F.lit(None).cast("int"), F.lit
-        text_or_none = lambda *vs: [F.lit(v).cast("string") for v in vs]
-        kind = F.when(c % 41 == 0, "batch").when(c % 2 == 0, "connect").otherwise("thrift")
-        metric = F.when(c % 59 == 0, F.lit("latency")).otherwise(
-            pick(5, *text_or_none("activeSessions", "activeSessions", None, "cpu", "memory"))
-        )
-        scaling = F.struct(
-            F.struct(
-                metric.alias("type"),
-                F.when(c % 7 == 0, none).when(c % 7 == 1, 0).otherwise((5 + c % 20).cast("int"))
-                .alias("targetPerInstance"),
-            ).alias("metrics"),
-            pick(6, *text_or_none("0.8", "", "0", "abc", None, "1e-1")).alias("scaleUpThreshold"),
-            pick(4, none, i(0), i(120), i(180)).alias("cooldownSeconds"),
-            pick(4, F.lit(None).cast("boolean"), i(False), i(True), i(True)).alias("drainBeforeScaleDown"),
-        )
-        template = F.struct(
-            _text("registry.example.com/server:1.", c % 3).alias("image"),
-            _text("3.5.", c % 4).alias("sparkVersion"),
-            F.struct(F.lit(1).alias("cores"), F.lit("4g").alias("memory")).alias("driver"),
-            F.struct(
-                (c % 4 + 1).cast("int").alias("cores"), _text(4 * (c % 4 + 1), "g").alias("memory"),
-                F.lit(1).alias("instances"),
-            ).alias("executor"),
-            F.create_map(
-                F.lit("spark.dynamicAllocation.maxExecutors"), _text(c % 10 + 1),
-                F.lit("spark.sql.parquet.mergeSchema"), F.lit("false"),
-            ).alias("sparkConf"),
-        )
-        policy = F.struct(
-            pick(6, i(2), none, i(0), i(3), i(4), i(5)).alias("maxSessionsPerUser"),
-            F.when(c % 8 != 1, (50 + c % 10).cast("int")).alias("maxTotalSessions"),
-            pick(5, none, i(0), i(360), i(360), i(90)).alias("idleTimeoutMinutes"),
-            F.when(
-                c % 3 != 0,
-                F.create_map(
-                    F.lit("spark.executor.memory"), _text(1 + c % 4, "g"),
-                    F.lit("spark.executor.cores"), F.lit("2"),
-                ),
-            ).alias("defaultSessionConf"),
-            F.when(
-                c % 5 < 3,
-                F.array(
-                    F.struct(
-                        F.struct(
-                            F.array(_text("user-", c), F.lit("admin")).alias("users"),
-                            F.array(_text("team-", c % 4)).alias("groups"),
-                        ).alias("match"),
-                        (c % 3 * 4).cast("int").alias("maxSessionsPerUser"),
-                        F.create_map(F.lit("spark.executor.memory"), F.lit("16g")).alias("sessionConf"),
-                    )
-                ),
-            ).alias("quotas"),
-        )
-        status = F.struct(
-            F.array(
-                F.struct(
-                    _text("tenant-", c, "-a").alias("name"),
-                    F.when(c % 37 == 0, "Lost").otherwise("Running").alias("state"),
-                    (c % 6).cast("int").alias("activeSessions"),
-                    _text("tenant-", c, "-driver-svc.fleet.svc").alias("endpoint"),
-                    F.lit("RUNNING").alias("sparkApplicationState"),
-                )
-            ).alias("instances"),
-            (c % 30).cast("int").alias("totalActiveSessions"),
-            (c % 4).cast("int").alias("currentReplicas"),
-            (c % 3).cast("int").alias("readyReplicas"),
-        )
-        doc = F.struct(
-            _text("ns-", F.col("c_nationkey")).alias("namespace"),
-            _text("tenant-", c).alias("name"),
-            F.struct(
-                kind.alias("type"),
-                F.when(c % 43 == 0, "").otherwise(_text("tenant-", c, ".example.com")).alias("host"),
-                F.struct(
-                    F.when(c % 47 == 0, -1).otherwise((c % 3).cast("int")).alias("min"),
-                    F.when(c % 53 == 0, 0).when(c % 6 != 0, (3 + c % 8).cast("int")).alias("max"),
-                ).alias("replicas"),
-                scaling.alias("scaling"),
-                F.struct(template.alias("spec")).alias("sparkApplicationTemplate"),
-                policy.alias("sessionPolicy"),
-            ).alias("spec"),
-            status.alias("status"),
-        )
-        return self.table("customer").select(c.alias("pos"), F.to_json(doc).alias("doc"))
+        pick = lambda *vs: f"element_at(array({', '.join(vs)}), cast(c % {len(vs)} + 1 as int))"
+        doc = f"""named_struct(
+          'namespace', concat('ns-', c_nationkey), 'name', concat('tenant-', c),
+          'spec', named_struct(
+            'type', case when c % 41 = 0 then 'batch' when c % 2 = 0 then 'connect' else 'thrift' end,
+            'host', if(c % 43 = 0, '', concat('tenant-', c, '.example.com')),
+            'replicas', named_struct(
+              'min', if(c % 47 = 0, -1, int(c % 3)),
+              'max', case when c % 53 = 0 then 0 when c % 6 <> 0 then int(3 + c % 8) end),
+            'scaling', named_struct(
+              'metrics', named_struct(
+                'type', if(c % 59 = 0, 'latency', {pick("'activeSessions'", "'activeSessions'", "null", "'cpu'", "'memory'")}),
+                'targetPerInstance', case when c % 7 = 0 then null when c % 7 = 1 then 0 else int(5 + c % 20) end),
+              'scaleUpThreshold', {pick("'0.8'", "''", "'0'", "'abc'", "null", "'1e-1'")},
+              'cooldownSeconds', {pick("null", "0", "120", "180")},
+              'drainBeforeScaleDown', {pick("null", "false", "true", "true")}),
+            'sparkApplicationTemplate', named_struct('spec', named_struct(
+              'image', concat('registry.example.com/server:1.', c % 3), 'sparkVersion', concat('3.5.', c % 4),
+              'driver', named_struct('cores', 1, 'memory', '4g'),
+              'executor', named_struct('cores', int(c % 4 + 1), 'memory', concat(4 * (c % 4 + 1), 'g'), 'instances', 1),
+              'sparkConf', map('spark.dynamicAllocation.maxExecutors', string(c % 10 + 1),
+                'spark.sql.parquet.mergeSchema', 'false'))),
+            'sessionPolicy', named_struct(
+              'maxSessionsPerUser', {pick("2", "null", "0", "3", "4", "5")},
+              'maxTotalSessions', if(c % 8 = 1, null, int(50 + c % 10)),
+              'idleTimeoutMinutes', {pick("null", "0", "360", "360", "90")},
+              'defaultSessionConf', if(c % 3 <> 0,
+                map('spark.executor.memory', concat(1 + c % 4, 'g'), 'spark.executor.cores', '2'), null),
+              'quotas', if(c % 5 < 3, array(named_struct(
+                'match', named_struct('users', array(concat('user-', c), 'admin'), 'groups', array(concat('team-', c % 4))),
+                'maxSessionsPerUser', int(c % 3 * 4), 'sessionConf', map('spark.executor.memory', '16g'))), null))),
+          'status', named_struct(
+            'instances', array(named_struct('name', concat('tenant-', c, '-a'), 'state', if(c % 37 = 0, 'Lost', 'Running'),
+              'activeSessions', int(c % 6), 'endpoint', concat('tenant-', c, '-driver-svc.fleet.svc'),
+              'sparkApplicationState', 'RUNNING')),
+            'totalActiveSessions', int(c % 30), 'currentReplicas', int(c % 4), 'readyReplicas', int(c % 3)))"""
+        rows = self.table("customer").selectExpr("c_custkey as c", "c_nationkey")
+        return rows.selectExpr("c as pos", f"to_json({doc}) as doc")
 
     @cached_property
     def pool_records(self) -> DataFrame:
@@ -503,16 +405,15 @@ class Sample:
     @cached_property
     def pool_lists(self) -> DataFrame:
         """Documents that each hold a list of two pools."""
-        c = F.col("c_custkey")
-        item = lambda tag, kind: F.struct(
-            _text("tenant-", c, tag).alias("name"),
-            F.struct(F.lit(kind).alias("type"), _text(tag, c, ".example.com").alias("host")).alias("spec"),
+        item = lambda tag, kind: (
+            f"named_struct('name', concat('tenant-', c_custkey, '{tag}'), "
+            f"'spec', named_struct('type', '{kind}', 'host', concat('{tag}', c_custkey, '.example.com')))"
         )
-        doc = F.struct(
-            _text("ns-", F.col("c_nationkey")).alias("namespace"),
-            F.array(item("a", "connect"), item("b", "thrift")).alias("pools"),
+        doc = (
+            "named_struct('namespace', concat('ns-', c_nationkey), "
+            f"'pools', array({item('a', 'connect')}, {item('b', 'thrift')}))"
         )
-        return self.table("customer").select(F.to_json(doc).alias("doc"))
+        return self.table("customer").selectExpr(f"to_json({doc}) as doc")
 
     @cached_property
     def desired_routes(self) -> DataFrame:
@@ -521,58 +422,21 @@ class Sample:
     @cached_property
     def actual_routes(self) -> DataFrame:
         """The desired routes with every kind of fault; some belong to pools that are gone."""
-        c = F.regexp_extract("pool", r"(\d+)$", 1).cast("bigint")
         protocol = "nginx.ingress.kubernetes.io/backend-protocol"
+        rows = self.desired_routes.withColumn("c", F.expr("bigint(substring_index(pool, '-', -1))"))
         extra = maps.overlay(F.col("annotations"), maps.literal({"other.example.com/note": "kept"}))
-        return self.desired_routes.filter(c % 6 != 1).withColumns(
+        return rows.filter("c % 6 <> 1").withColumns(
             {
-                "route": F.when(c % 29 == 0, F.concat(F.lit("gone-"), "route")).otherwise(F.col("route")),
-                "host": F.when(c % 6 == 2, "wrong.example.com").otherwise(F.col("host")),
-                "annotations": F.when(c % 6 == 3, F.map_filter("annotations", lambda k, v: k != protocol))
-                .when(c % 6 == 4, extra)
-                .otherwise(F.col("annotations")),
-                "labels": F.when(
-                    c % 6 == 5, F.map_filter("labels", lambda k, v: k != f"{PREFIX}/managed-by")
-                ).otherwise(F.col("labels")),
-                "path": F.when(c % 31 == 0, "/other").otherwise(F.col("path")),
+                "route": F.expr("if(c % 29 = 0, concat('gone-', route), route)"),
+                "host": F.expr("if(c % 6 = 2, 'wrong.example.com', host)"),
+                "annotations": F.when(F.expr("c % 6 = 4"), extra).otherwise(
+                    F.expr(f"if(c % 6 = 3, map_filter(annotations, (k, v) -> k <> '{protocol}'), annotations)")
+                ),
+                "labels": F.expr(f"if(c % 6 = 5, map_filter(labels, (k, v) -> k <> '{PREFIX}/managed-by'), labels)"),
+                "path": F.expr("if(c % 31 = 0, '/other', path)"),
             }
         )
 
-    @cached_property
-    def pod_metrics(self) -> DataFrame:
-        """Exported readings with amounts as text, one per order line."""
-        n = F.col("l_linenumber")
-        cpu = F.element_at(
-            F.array(
-                _text(n, "00m"), _text(n), _text("0.", n), _text(n, "e1"), _text(n, "000u"), F.lit("bad")
-            ),
-            (F.col("l_orderkey") % 6 + 1).cast("int"),
-        )
-        memory = F.element_at(
-            F.array(_text(n, "Ki"), _text(n, "Mi"), _text(n, ".5Gi"), _text(n, "M"), F.lit(None).cast("string")),
-            (F.col("l_orderkey") % 5 + 1).cast("int"),
-        )
-        container = F.struct(
-            _text("c", n).alias("name"), F.struct(cpu.alias("cpu"), memory.alias("memory")).alias("usage")
-        )
-        return self.table("lineitem").select(
-            F.lit("ns-0").alias("namespace"),
-            _text("pod-", F.col("l_suppkey")).alias("pod"),
-            F.col("l_shipdate").alias("timestamp"),
-            F.array(container).alias("containers"),
-        )
-
-    @cached_property
-    def termination_asks(self) -> DataFrame:
-        """Requests to end sessions: by owners, by others, and for sessions that do not exist."""
-        k = F.col("o_orderkey")
-        return self._orders.select(
-            k.alias("request_id"),
-            _namespace(F.col("nk")).alias("namespace"),
-            F.when(k % 7 == 0, _text("session-none-", k)).otherwise(_text("session-", k)).alias("session"),
-            F.when(k % 3 == 0, "user-other").otherwise(_text("user-", F.col("o_custkey"))).alias("user_name"),
-        )
-
     @cached_property
     def messages(self) -> DataFrame:
-        return self.table("documents").select("doc_id", F.col("text").alias("message"))
+        return self.table("documents").selectExpr("doc_id", "text as message")
