@@ -110,8 +110,7 @@ where state not in ('Terminated', 'Failed') and not exists (select 1 from f_pool
 union all
 select 'instance', namespace, 'pool-gone', instance from f_instances where pos % 17 = 0
 union all
-select 'route', namespace, pool, case when c % 29 = 0 then 'gone-' else '' end || pool || '-' || type
-from f_tenants where type <> 'batch' and c % 6 <> 1 and max_replicas <= 0""",
+select 'route', namespace, 'tenant-gone', concat('route-', c) from f_tenants where c % 29 = 0""",
     "session_reuse": """
 select r.request_id, r.namespace, r.pool, r.user_name, s.session from f_routed r
 left join (select namespace, pool, user_name, arg_min(session, (created_at, session)) as session from f_sessions

@@ -4,13 +4,14 @@ from pyspark.sql import Column, functions as F
 
 from poolwatch import values as V
 
-_BASE64 = r"^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$"
-_BASE64URL = r"^([A-Za-z0-9_-]{4})*([A-Za-z0-9_-]{2}|[A-Za-z0-9_-]{3})?$"
+_BASE64 = r"^[A-Za-z0-9+/]*={0,2}$"
+_BASE64URL = r"^[A-Za-z0-9_-]*$"
 
 
 def _decoded(col: Column) -> Column:
     """Text behind padded base64; null when it is not that."""
-    return F.when(col.rlike(_BASE64), F.unbase64(col).cast("string"))
+    padded = col.rlike(_BASE64) & (F.length(col) % 4 == 0)
+    return F.when(padded, F.unbase64(col).cast("string"))
 
 
 def _user_part(credentials: Column) -> Column:
@@ -45,7 +46,8 @@ def token_part(token: str, part: int) -> Column:
     raw = F.get(F.split(F.col(token), r"\."), F.lit(part))
     padded = F.rpad(raw, F.ceil(F.length(raw) / 4).cast("int") * 4, F.lit("="))
     text = F.unbase64(F.translate(padded, "-_", "+/")).cast("string")
-    return F.try_parse_json(F.when(raw.rlike(_BASE64URL), text))
+    proper = raw.rlike(_BASE64URL) & (F.length(raw) % 4 != 1)
+    return F.try_parse_json(F.when(proper, text))
 
 
 def token_ok(parts: str, head: str) -> Column:

@@ -10,12 +10,13 @@ _MILLI = {
     "Ki": "1024000", "Mi": "1048576000", "Gi": "1073741824000", "Ti": "1099511627776000",
     "Pi": "1125899906842624000",
 }
-_QUANTITY = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(n|u|m|k|M|G|T|P|Ki|Mi|Gi|Ti|Pi)?$"
+_SUFFIX_LETTERS = "numkMGTPKi"
 
 
 def milli(col: Column) -> Column:
     """Milli-units, rounded up; null for text that is no quantity."""
     pairs = [x for suffix, per_unit in _MILLI.items() for x in (F.lit(suffix), F.lit(per_unit).cast("decimal(26,6)"))]
-    number = F.regexp_extract(col, _QUANTITY, 1).try_cast("decimal(24,9)")
-    factor = F.try_element_at(F.create_map(*pairs), F.regexp_extract(col, _QUANTITY, 2))
-    return F.ceil(number * factor).try_cast("bigint")
+    number = F.rtrim(col, F.lit(_SUFFIX_LETTERS))
+    factor = F.try_element_at(F.create_map(*pairs), F.substr(col, F.length(number) + 1))
+    amount = F.when(F.instr(col, " ") == 0, number.try_cast("decimal(24,9)"))
+    return F.ceil(amount * factor).try_cast("bigint")

@@ -174,10 +174,8 @@ def orphans(s: Sample) -> DataFrame:
     away = s.instances.withColumnRenamed("instance", "name").withColumn(
         "pool", F.when(F.col("pos") % 17 == 0, "pool-gone").otherwise(F.col("pool"))
     )
-    routes = s.actual_routes.select(
-        "namespace", F.col("route").alias("name"), F.col("labels")[f"{PREFIX}/pool"].alias("pool")
-    )
-    tenants = s.tenant_pools.filter("max_replicas > 0").select("namespace", "pool")
+    routes = s.route_owners
+    tenants = routes.select("namespace", F.col("tenant").alias("pool"))
     return sessions.orphans(s.pools, session=placed, instance=away).unionByName(sessions.orphans(tenants, route=routes))
 
 

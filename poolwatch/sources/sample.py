@@ -206,7 +206,7 @@ class Sample:
         per_tick = (
             self.table("lineitem")
             .selectExpr(
-                "l_suppkey", "l_linenumber", "cast(date_trunc('month', l_shipdate) as timestamp_ntz) as tick",
+                "l_suppkey", "l_linenumber", "cast(trunc(l_shipdate, 'month') as timestamp_ntz) as tick",
                 "cast(round(l_extendedprice * 100) as bigint) as cpu", "cast(round(l_quantity * 100000) as bigint) as memory",
             )
             .groupBy("l_suppkey", "l_linenumber", "tick")
@@ -336,7 +336,7 @@ class Sample:
             f"{_back('(k * 7) % 1000 + k % 600')} as start",
             "case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome",
         )
-        after = lambda seconds: f"start + make_dt_interval(0, 0, 0, cast({seconds} as decimal(18,6)))"
+        after = lambda seconds: f"timestampadd(second, int({seconds}), start)"
         changes = f"""inline(array(
             named_struct('seq', 0, 'ts', start, 'previous', '', 'state', 'Pending'),
             named_struct('seq', 1, 'ts', {after("k % 70")}, 'previous', 'Pending', 'state', outcome),
@@ -437,6 +437,14 @@ class Sample:
             }
         )
 
+    @cached_property
+    def route_owners(self) -> DataFrame:
+        """Owner of each tenant's route; one in 29 names a pool that is gone."""
+        return self.table("customer").selectExpr(
+            "concat('ns-', c_nationkey) as namespace", "concat('tenant-', c_custkey) as tenant",
+            "concat('route-', c_custkey) as name", "if(c_custkey % 29 = 0, 'tenant-gone', concat('tenant-', c_custkey)) as pool",
+        )
+
     @cached_property
     def messages(self) -> DataFrame:
         return self.table("documents").selectExpr("doc_id", "text as message")

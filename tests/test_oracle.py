@@ -1,0 +1,43 @@
+"""Every registered query against its SQL twin."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+
+import __spark_entry__ as contract
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for path in glob.glob(f"{SF_DIR}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    return con
+
+
+def _sorted(columns, data):
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return [columns[i] for i in order], sorted(tuple(str(r[i]) for i in order) for r in data)
+
+
+def test_every_query_has_a_twin():
+    assert set(QUERIES) == set(ORACLES)
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_equals_sql(spark, duck, name):
+    got = QUERIES[name](spark, SF_DIR)
+    want = duck.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert _sorted(got.columns, got.collect()) == _sorted(columns, want.fetchall())
+
+
+def test_entry(spark):
+    df = contract.entry(spark)
+    assert df.columns == QUERIES["desired_replicas"](spark, SF_DIR).columns
+    assert df.count() == 25
