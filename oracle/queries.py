@@ -325,7 +325,7 @@ from f_state_changes group by 1, 2 having bool_or(outcome = 'Active')""",
     "stream_session_states": """
 select namespace, pool, session, changed_at, state, reason from (
   select namespace, pool, session, ts as changed_at, 'Active' as state,
-    case when prev is null then 'opened' when ts - prev > to_minutes(gap) then 'reopened' else 'touched' end as reason
+    case when prev is null or ts - prev > to_minutes(gap) then 'opened' else 'touched' end as reason
   from f_touches where prev is null or ts - prev > to_minutes(10)
   union all
   select namespace, pool, session, ts + to_minutes(10), 'Idle', 'idle_mark' from f_touches

@@ -74,7 +74,7 @@ def split_join(
     """Join with the hot keys split. `spread` names columns that tell the rows of a key apart;
     parts are taken from their hash, so a repeated task builds the same parts."""
     parts = F.broadcast(hot_keys(rows, on, rows_per_part))
-    spread = spread or [c for c in rows.columns if c not in on]
+    spread = spread or [c for c in rows.columns if c not in on] or on
     left = rows.join(parts, on, "left").withColumn(
         "_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")
     )

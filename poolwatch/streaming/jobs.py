@@ -43,7 +43,8 @@ def idle_sessions(activity: DataFrame, pools: DataFrame, delay: str = DELAY) ->
 
 
 def first_requests(requests: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One request per user and pool under a burst: the one that starts the session."""
+    """One request per user and pool under a burst: the one that starts the session. A key is
+    free again once the watermark is past its request by the delay."""
     return timed(requests, delay).dropDuplicatesWithinWatermark(USER)
 
 

@@ -50,7 +50,7 @@ class SessionClock(StatefulProcessor):
                 out.extend(gone)
                 phase = gone[-1][1] if gone else phase
                 if phase != "Active":
-                    out.append((first, "Active", "touched" if phase == "Idle" else "reopened"))
+                    out.append((first, "Active", "touched" if phase == "Idle" else "opened"))
             phase, last = "Active", newest if last is None else max(newest, last)
         self.clock.update((last, minutes, phase))
         for timer in self._timers(last, minutes):
