@@ -43,12 +43,12 @@ from (select *, lag(ts) over (partition by namespace, pool order by ts, event_id
   from f_activity where kind in ('error', 'view'))""",
     "quota_limits": "select namespace, pool, user_name, override from f_limits",
     "group_quota_limits": """
-select namespace, pool, concat('user-', event_id % 150) as user_name, arg_max(lim, pos) as override
-from (select event_id, unnest(case when event_id % 10 in (0, 6) then [concat('g', user_id % 5), concat('h', user_id % 3)]
-    when event_id % 10 = 4 then [concat('g', user_id % 5), 'x?~'] when event_id % 10 in (1, 7, 8, 9) then
-      case event_id % 10 when 1 then ['a'] when 9 then [] else [concat('g', user_id % 5), concat('h', user_id % 3)] end
-    when event_id % 10 = 2 then ['a', 'b'] else [] end) as g from events) m
-join f_quotas q on concat('g', q.pos) = m.g where lim > 0 group by 1, 2, 3""",
+select m.namespace, m.pool, m.user_name, arg_max(lim, pos) as override
+from (select distinct concat('ns-', (user_id % 25) % 9) as namespace, concat('pool-', user_id % 25) as pool, concat('user-', user_id) as user_name,
+    unnest(case when event_id % 10 in (0, 6, 7, 8) then [concat('g', user_id % 5), concat('h', user_id % 3)]
+      when event_id % 10 = 4 then [concat('g', user_id % 5), 'x?~'] when event_id % 10 = 1 then ['a']
+      when event_id % 10 = 2 then ['a', 'b'] else [] end) as g from events) m
+join f_quotas q on q.namespace = m.namespace and q.pool = m.pool and concat('g', q.pos) = m.g where lim > 0 group by 1, 2, 3""",
     "live_sessions": "select namespace, pool, user_name, count(*) as live from f_live group by all",
     "quota_check": "select * from f_check",
     "quota_pressure": """
@@ -286,6 +286,7 @@ select namespace, pool, running as current_replicas, ready as ready_replicas, to
     "session_state_table": """
 select namespace, session, arg_max(concat('pool-', nk), (ts, seq)) as pool, arg_max(state, (ts, seq)) as state, max(ts) as ts
 from f_state_changes group by 1, 2""",
+    "sessions_by_pool": "select namespace, pool, session, state from f_sessions where namespace = 'ns-3' and pool = 'pool-3'",
     "stream_last_activity": "select namespace, pool, session, max(ts) as last_activity_at from f_activity group by 1, 2, 3",
     "stream_touch_thinning": """
 select namespace, pool, session, max(ts) as ts from f_activity

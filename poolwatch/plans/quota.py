@@ -19,17 +19,24 @@ def quota_limits(quotas: DataFrame) -> DataFrame:
     )
 
 
-def group_quota_limits(quotas: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Override per pool and user through a group the user is in. Off unless called: limits
-    declared for groups are documented but not enforced."""
-    rows = quotas.filter("max_sessions_per_user > 0").select(
-        *V.POOL, "pos", F.col("match_group").alias("group_name"), "max_sessions_per_user"
+def group_quota_limits(users: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Override of each (pool, user) in question through a group the user is in. Off unless
+    called: limits declared for groups are documented but not enforced.
+
+    `users` has namespace, pool, user_name and groups; `quotas` has match_group. The rules come
+    down to one row per pool and group first, so a user meets one row per group.
+    """
+    group = V.POOL + ["group_name"]
+    rules = (
+        quotas.filter("max_sessions_per_user > 0")
+        .groupBy(*V.POOL, F.col("match_group").alias("group_name"))
+        .agg(F.max_by("max_sessions_per_user", "pos").alias("n"), F.max("pos").alias("pos"))
     )
-    members = memberships.select("user_name", F.explode("groups").alias("group_name")).distinct()
+    members = users.select(*USER, F.explode(F.array_distinct("groups")).alias("group_name"))
     return (
-        lookup_join(members, rows, ["group_name"], "inner", ["user_name"])
+        lookup_join(members, rules, group, "inner", ["user_name"])
         .groupBy(*USER)
-        .agg(F.max_by("max_sessions_per_user", "pos").alias("override"))
+        .agg(F.max_by("n", "pos").alias("override"))
     )
 
 

@@ -78,13 +78,10 @@ def quota_limits(s: Sample) -> DataFrame:
 
 @query
 def group_quota_limits(s: Sample) -> DataFrame:
-    claims = s.tokens.select("event_id", identity.token_part("token", 1).alias("claims"))
-    members = claims.select(
-        F.concat(F.lit("user-"), F.col("event_id") % 150).alias("user_name"),
-        identity.claimed_groups("claims").alias("groups"),
-    )
-    rows = s.quotas.withColumn("match_group", F.concat(F.lit("g"), F.col("pos")))
-    return quota.group_quota_limits(rows, members)
+    users = s.tokens.select(*quota.USER, identity.token_part("token", 1).alias("claims"))
+    users = users.select(*quota.USER, identity.claimed_groups("claims").alias("groups"))
+    rules = s.quotas.withColumn("match_group", F.concat(F.lit("g"), F.col("pos")))
+    return quota.group_quota_limits(users, rules)
 
 
 @query
@@ -400,7 +397,7 @@ def access_identity(s: Sample) -> DataFrame:
 
 @query
 def token_claims(s: Sample) -> DataFrame:
-    claims = views.token_claims(s.tokens)
+    claims = views.token_claims(s.tokens.select("event_id", "token"))
     return claims.withColumn("claimed_groups", F.array_join("claimed_groups", ","))
 
 
@@ -431,6 +428,16 @@ def session_state_table(s: Sample) -> DataFrame:
     return sinks.latest_sessions(s.spark.read.parquet(path).drop("day"), ["ts", "seq"]).drop("seq")
 
 
+@query
+def sessions_by_pool(s: Sample) -> DataFrame:
+    path = sinks.work_folder(s.spark, "sessions")
+    snapshot = s.sessions.withColumn("snapshot_date", as_of().cast("date"))
+    sinks.write_sessions(snapshot, path)
+    kept = s.spark.read.schema(snapshot.schema).parquet(path)
+    on_day = kept.filter("snapshot_date = date'2024-01-31' and namespace = 'ns-3' and pool = 'pool-3'")
+    return on_day.select("namespace", "pool", "session", "state")
+
+
 # Streams: the same tables read as streams, run to their end.
 
 

@@ -18,6 +18,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings that can change at run time to a session somebody else made."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    if spark.sparkContext.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # One machine: a state store per core and operator is enough.
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
@@ -26,5 +29,17 @@ def builder(master: str | None = None, app: str = "poolwatch", **conf):
     if master:
         made = made.master(master)
     for key, value in {**SETTINGS, **conf}.items():
-        made = made.config(key.replace("__", "."), value)
+        made = made.config(key, value)
     return made
+
+
+def cluster_settings(cores: int) -> dict[str, str]:
+    """Settings that grow with the cluster: start from many small shuffle partitions and let
+    adaptive execution join them up to an even size."""
+    return {
+        "spark.sql.shuffle.partitions": str(2 * cores),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(4 * cores),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    }

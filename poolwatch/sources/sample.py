@@ -313,6 +313,8 @@ class Sample:
             else concat('{"sub":"user-', user_id, '","groups":["g', user_id % 5, '","h', user_id % 3, '"]}') end"""
         return self.table("events").selectExpr(
             "event_id",
+            *_home("user_id % 25"),
+            "concat('user-', user_id) as user_name",
             f"if(event_id % 10 = 9, 'no-token', concat_ws('.', {url(head)}, {url(claims)}, 'c2ln')) as token",
         )
 

@@ -50,9 +50,24 @@ def write_pool_status(status: DataFrame, path: str) -> None:
     )
 
 
+def _write_by_day(rows: DataFrame, day: str, order: list[str], mode: str, path: str) -> None:
+    """Files of even size per day: small days share a task, a large day is split over several."""
+    balanced = rows.hint("rebalance", F.col(day)).sortWithinPartitions(day, *order)
+    balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def write_sessions(snapshot: DataFrame, path: str) -> None:
+    """Write the session snapshot of a day (`snapshot_date`), replacing that day.
+
+    Rows lie in the order of their pool, so a read of one pool skips most of each file.
+    """
+    _write_by_day(snapshot, "snapshot_date", ["namespace", "pool"], "overwrite", path)
+
+
 def write_session_changes(changes: DataFrame, path: str) -> None:
     """Append state changes (namespace, session, state, reason, ts)."""
-    changes.withColumn("day", F.col("ts").cast("date")).write.mode("append").partitionBy("day").parquet(path)
+    dated = changes.withColumn("day", F.col("ts").cast("date"))
+    _write_by_day(dated, "day", ["namespace", "session"], "append", path)
 
 
 def latest_sessions(changes: DataFrame, order: list[str] = ["ts"]) -> DataFrame:  # noqa: B006

@@ -5,7 +5,6 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from poolwatch.sources.sample import Sample
 
 SF_DIR = "/root/testdata/sf0.001"
 BATCH = {n: q for n, q in contract.queries().items() if not n.startswith("stream_")}
@@ -32,9 +31,6 @@ def test_counting_sessions_needs_no_sort(spark):
         assert "SortAggregate" not in plan, name
 
 
-def test_state_filter_reaches_the_files(spark, tmp_path):
-    sessions = Sample(spark, SF_DIR).sessions.select("namespace", "pool", "session", "state")
-    sessions.write.parquet(f"{tmp_path}/sessions")
-    plan = spark.read.parquet(f"{tmp_path}/sessions").filter("state in ('Active', 'Idle') and pool = 'pool-1'")
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [" in text and "EqualTo(pool,pool-1)" in text
+def test_pool_and_day_filters_reach_the_files(spark):
+    plan = contract.queries()["sessions_by_pool"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(pool,pool-3)" in plan and "PartitionFilters: [isnotnull(snapshot_date" in plan

@@ -450,11 +450,13 @@ def test_termination_needs_the_owner(rows):
         (1, "accepted", "Terminating"), (2, "forbidden", None), (3, "not_found", None)]
 
 
-def test_group_limits_are_distinct_per_user(rows):
+def test_group_limits_take_the_last_rule_of_any_group(rows):
     rules = rows("namespace string, pool string, pos int, match_group string, max_sessions_per_user int",
-                 ("n", "p", 0, "g", 3), ("n", "p", 1, "h", 9), ("n", "p", 2, "g", 0))
-    members = rows("user_name string, groups array<string>", ("u", ["g", "h", "g"]), ("v", ["g"]), ("w", []))
-    assert sorted(column(quota.group_quota_limits(rules, members), "user_name", "override")) == [("u", 9), ("v", 3)]
+                 ("n", "p", 0, "g", 3), ("n", "p", 1, "h", 9), ("n", "p", 2, "g", 0), ("n", "q", 5, "g", 8))
+    users = rows("namespace string, pool string, user_name string, groups array<string>",
+                 ("n", "p", "u", ["g", "h", "g"]), ("n", "p", "v", ["g"]), ("n", "p", "w", []), ("n", "q", "v", ["g"]), ("m", "p", "u", ["g"]))
+    got = quota.group_quota_limits(users, rules)
+    assert sorted(column(got, "pool", "user_name", "override")) == [("p", "u", 9), ("p", "v", 3), ("q", "v", 8)]
 
 
 def test_cooldown_and_idle_are_strict(rows):
