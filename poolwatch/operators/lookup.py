@@ -7,9 +7,13 @@ small, such keys are counted first; their rows are spread over as many parts as
 for, and only their lookup rows are repeated, once per part.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, functions as F
 
 ROWS_PER_PART = 4_000_000
+NO_KEY_PARTS = 1000
 # Rows read from less than this fit a few tasks whatever their keys are.
 SPLIT_FROM_BYTES = 256 << 20
 
@@ -75,9 +79,10 @@ def split_join(
     parts are taken from their hash, so a repeated task builds the same parts."""
     parts = F.broadcast(hot_keys(rows, on, rows_per_part))
     spread = spread or [c for c in rows.columns if c not in on] or on
-    left = rows.join(parts, on, "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_parts")), F.lit(0)).cast("int")
-    )
+    # A row without a key matches nothing, so such rows may go anywhere.
+    no_key = reduce(or_, [F.col(c).isNull() for c in on])
+    wide = F.when(no_key, NO_KEY_PARTS).otherwise(F.coalesce(F.col("_parts"), F.lit(1)))
+    left = rows.join(parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), wide).cast("int"))
     right = lookup.join(parts, on, "left").withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))
     )

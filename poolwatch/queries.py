@@ -404,7 +404,8 @@ def token_claims(s: Sample) -> DataFrame:
 @query
 def error_log_trim(s: Sample) -> DataFrame:
     return views.error_log_trim(s.messages).select(
-        "doc_id", "truncated", "full_bytes", F.octet_length("message_bytes").alias("kept_bytes"),
+        "doc_id", "truncated", F.col("full_bytes").cast("bigint").alias("full_bytes"),
+        F.octet_length("message_bytes").cast("bigint").alias("kept_bytes"),
         F.md5("message_bytes").alias("kept_md5"),
     )
 

@@ -1,5 +1,6 @@
 """Streaming forms of the jobs. All use event time: a late touch never moves a clock back."""
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from poolwatch import values as V
@@ -7,9 +8,11 @@ from poolwatch.functions import settings, states, timing
 from poolwatch.operators.lookup import lookup_join
 from poolwatch.plans.quota import USER
 from poolwatch.plans.sessions import SESSION
-from poolwatch.streaming.state import (
-    COOLDOWN_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock,
-)
+from poolwatch.streaming import state
+from poolwatch.streaming.state import COOLDOWN_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock
+
+# The processors travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(state)
 
 DELAY = "10 minutes"
 

@@ -3,7 +3,7 @@
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
-from poolwatch import values as V
+from poolwatch.values import IDLE_MARK_MINUTES
 
 STATE_OUTPUT = "namespace string, pool string, session string, changed_at timestamp, state string, reason string"
 COOLDOWN_OUTPUT = (
@@ -75,7 +75,7 @@ class SessionClock(StatefulProcessor):
     @staticmethod
     def _gone(last, now, minutes, phase):
         """Changes between the last touch and `now` that have not come out yet."""
-        idle, end = last + V.IDLE_MARK_MINUTES * _MINUTE, last + minutes * _MINUTE
+        idle, end = last + IDLE_MARK_MINUTES * _MINUTE, last + minutes * _MINUTE
         out = []
         if phase == "Active" and idle < now and idle < end:
             out.append((idle, "Idle", "idle_mark"))
@@ -86,7 +86,7 @@ class SessionClock(StatefulProcessor):
     @staticmethod
     def _timers(last, minutes):
         """The first millisecond past each limit."""
-        return sorted({(last + m * _MINUTE) // 1000 + 1 for m in (V.IDLE_MARK_MINUTES, minutes)})
+        return sorted({(last + m * _MINUTE) // 1000 + 1 for m in (IDLE_MARK_MINUTES, minutes)})
 
     def _drop_timers(self, last, minutes) -> None:
         for timer in self._timers(last, minutes):

@@ -1,10 +1,13 @@
 """Streams fed in several batches, with late rows and clocks that run out."""
 
 import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 
 from poolwatch.sources import readers
 from poolwatch.streaming import jobs, run
@@ -156,6 +159,13 @@ def test_stream_sources_declare_their_schema(spark, tmp_path):
     assert "user_name" in activity.columns and "forwarded_host" in requests.columns
 
 
+def test_processors_travel_without_the_package(tmp_path):
+    sent = cloudpickle.dumps([jobs.SessionClock(), jobs.CooldownClock()])
+    load = "import pickle, sys; print(len(pickle.loads(sys.stdin.buffer.read())), 'poolwatch' in sys.modules)"
+    done = subprocess.run([sys.executable, "-c", load], input=sent, cwd=tmp_path, capture_output=True, check=True)
+    assert done.stdout.split() == [b"2", b"False"]
+
+
 def test_tick_is_a_trigger(feed, tmp_path):
     query = run.start(jobs.thin_touches(feed(TOUCH, touches(0))), f"{tmp_path}/tick", every="1 second")
     try:
