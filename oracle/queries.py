@@ -130,6 +130,11 @@ from (select q.namespace, q.session, q.ts, arg_max(c.state, (c.ts, c.seq)) filte
   left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)""",
     "last_activity": """
 select namespace, pool, session, max(ts) as last_activity_at, count(*) as touches from f_activity group by 1, 2, 3""",
+    "touched_sessions": """
+select namespace, session,
+  case when state = 'Idle' and (last_activity_at is null or e.ts > last_activity_at) and e.ts is not null then 'Active' else state end as state,
+  greatest(last_activity_at, e.ts) as last_activity_at
+from f_sessions left join events e on e.event_id = k""",
     "touch_thinning": """
 select namespace, pool, session, max(ts) as ts from f_activity group by namespace, pool, session, time_bucket(interval 2 minutes, ts)""",
     "touch_gaps": """

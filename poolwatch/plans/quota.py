@@ -105,13 +105,13 @@ def _message() -> Column:
     return (
         F.when(
             verdict == "user_over_quota",
-            F.format_string("user %s has reached max sessions (%d/%d)", "user_name", "user_used", "user_limit"),
+            F.expr("concat('user ', user_name, ' has reached max sessions (', user_used, '/', user_limit, ')')"),
         )
         .when(
             verdict == "pool_over_quota",
-            F.format_string("pool %s has reached max total sessions (%d/%d)", "pool", "pool_used", "pool_limit"),
+            F.expr("concat('pool ', pool, ' has reached max total sessions (', pool_used, '/', pool_limit, ')')"),
         )
-        .when(verdict == "pool_missing", F.format_string("pool %s not found", "pool"))
+        .when(verdict == "pool_missing", F.expr("concat('pool ', pool, ' not found')"))
         .otherwise("")
     )
 

@@ -189,6 +189,22 @@ def last_activity(activity: DataFrame) -> DataFrame:
     return activity.groupBy(*V.POOL, "session").agg(F.max("ts").alias("last_activity_at"), F.count("*").alias("touches"))
 
 
+def touched_sessions(sessions: DataFrame, activity: DataFrame) -> DataFrame:
+    """The snapshot after the touches of a log: a touch newer than the recorded activity moves it,
+    and wakes an idle session; an older one changes nothing."""
+    newest = activity.groupBy(*SESSION).agg(F.max("ts").alias("touched_at"))
+    rows = lookup_join(sessions, newest, SESSION, "left", ["user_name"])
+    moved = F.col("touched_at").isNotNull() & (
+        F.col("last_activity_at").isNull() | (F.col("touched_at") > F.col("last_activity_at"))
+    )
+    return rows.withColumns(
+        {
+            "state": F.when(moved & (F.col("state") == "Idle"), "Active").otherwise(F.col("state")),
+            "last_activity_at": F.when(moved, F.col("touched_at")).otherwise(F.col("last_activity_at")),
+        }
+    ).drop("touched_at")
+
+
 def thin_touches(activity: DataFrame, minutes: int = V.TOUCH_MINUTES) -> DataFrame:
     """At most one touch per session and interval: the newest of it."""
     cell = F.window("ts", f"{minutes} minutes")

@@ -194,6 +194,12 @@ def last_activity(s: Sample) -> DataFrame:
     return sessions.last_activity(s.activity)
 
 
+@query
+def touched_sessions(s: Sample) -> DataFrame:
+    after = sessions.touched_sessions(s.sessions, s.session_touches)
+    return after.select("namespace", "session", "state", "last_activity_at")
+
+
 @query
 def touch_thinning(s: Sample) -> DataFrame:
     return sessions.thin_touches(s.activity)

@@ -346,6 +346,12 @@ class Sample:
               'state', if(k % 17 = 0, outcome, 'Terminated'))))"""
         return rows.selectExpr("namespace", "pool", "session", changes)
 
+    @cached_property
+    def session_touches(self) -> DataFrame:
+        """Touches of the sessions: event by event, of the session with that number."""
+        events = self.table("events").selectExpr("event_id as k", "ts")
+        return events.join(self._orders, "k").selectExpr(*_home("nk"), "concat('session-', k) as session", "ts")
+
     @cached_property
     def termination_asks(self) -> DataFrame:
         """Requests to end sessions: by owners, by others, and for sessions that do not exist."""

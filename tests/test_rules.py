@@ -442,6 +442,17 @@ def test_reusable_states(rows):
     assert column(df.select(states.is_reusable(known=True).alias("r")), "r") == [True] * 6 + [False] * 2
 
 
+def test_touches_wake_idle_sessions_and_never_move_back(rows):
+    schema = "namespace string, session string, user_name string, state string, last_activity_at timestamp_ntz"
+    table = rows(schema, ("n", "idle", "u", "Idle", ago(hours=2)), ("n", "late", "u", "Idle", ago(hours=1)), ("n", "none", "u", "Idle", None),
+                 ("n", "busy", "u", "Active", ago(hours=2)), ("n", "still", "u", "Idle", ago(hours=3)))
+    touched = rows("namespace string, session string, ts timestamp_ntz", *[("n", s, ago(minutes=90 + m)) for s in ("idle", "late", "none", "busy") for m in (0, 5)])
+    got = sessions.touched_sessions(table, touched)
+    t = ago(minutes=90)
+    assert sorted(column(got, "session", "state", "last_activity_at")) == [
+        ("busy", "Active", t), ("idle", "Active", t), ("late", "Idle", ago(hours=1)), ("none", "Active", t), ("still", "Idle", ago(hours=3))]
+
+
 def test_termination_needs_the_owner(rows):
     table = rows("namespace string, session string, user_name string", ("n", "s", "u"))
     asked = rows("request_id int, namespace string, session string, user_name string", (1, "n", "s", "u"), (2, "n", "s", "v"), (3, "m", "s", "u"))
