@@ -5,8 +5,7 @@ CONDITION = (
     "observedGeneration:bigint,lastTransitionTime:timestamp>"
 )
 
-POOL_RECORD = f"""
-namespace string, name string, creationTimestamp timestamp, spec struct<
+POOL_SPEC = """struct<
   type:string, host:string,
   replicas:struct<min:int,max:int>,
   scaling:struct<
@@ -19,7 +18,10 @@ namespace string, name string, creationTimestamp timestamp, spec struct<
     defaultSessionConf:map<string,string>,
     quotas:array<struct<
       match:struct<users:array<string>,groups:array<string>>,
-      maxSessionsPerUser:int, sessionConf:map<string,string>>>>>,
+      maxSessionsPerUser:int, sessionConf:map<string,string>>>>>"""
+
+POOL_RECORD = f"""
+namespace string, name string, creationTimestamp timestamp, spec {POOL_SPEC},
 status struct<
   instances:array<struct<name:string,state:string,activeSessions:int,
     endpoint:string,sparkApplicationState:string>>,
@@ -27,6 +29,8 @@ status struct<
   lastScaleTime:timestamp, conditions:array<{CONDITION}>>
 """
 
+POOL_LIST = f"namespace string, pools array<struct<name:string,spec:{POOL_SPEC}>>"
+
 SESSION_RECORD = f"""
 namespace string, name string, labels map<string,string>, creationTimestamp timestamp,
 spec struct<user:string, pool:string, sparkConf:map<string,string>>,

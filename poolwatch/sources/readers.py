@@ -4,8 +4,9 @@ default they would get on admission, zero values are left for the settings funct
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwatch import schemas, values as V
-from poolwatch.functions import quantity, states
+from poolwatch.functions import quantity
 from poolwatch.functions.states import instance_state
+from poolwatch.operators.lookup import lookup_join
 
 
 def _load(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
@@ -21,28 +22,18 @@ def pool_records(documents: DataFrame, column: str = "doc") -> DataFrame:
 
 def explode_pool_list(documents: DataFrame, column: str = "doc") -> DataFrame:
     """Pool records out of documents that each hold a list of {name, spec} and a namespace."""
-    item = "array<struct<" + ",".join(
-        part.strip() for part in ["name:string", "spec:" + _spec_type()]
-    ) + ">>"
-    parsed = F.from_json(F.col(column), f"namespace string, pools {item}")
+    parsed = F.from_json(F.col(column), schemas.POOL_LIST)
     rows = documents.select(parsed.alias("r")).select("r.namespace", F.posexplode("r.pools").alias("pos", "p"))
     return rows.select("namespace", F.col("p.name").alias("name"), "pos", "p.spec")
 
 
-def _spec_type() -> str:
-    """Type of the spec field inside the declared pool record."""
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schemas.POOL_RECORD)["spec"].dataType.simpleString()
-
-
 def flatten_pools(records: DataFrame) -> DataFrame:
     """One row per pool with admission defaults filled in."""
     spec, status = (lambda f: F.col(f"spec.{f}")), (lambda f: F.col(f"status.{f}"))
     or_default = lambda col, value: F.coalesce(col, F.lit(value))
     keep = [c for c in ("pos",) if c in records.columns]
     has_status = "status" in records.columns
-    flat = records.select(
+    return records.select(
         "namespace",
         F.col("name").alias("pool"),
         *keep,
@@ -73,7 +64,6 @@ def flatten_pools(records: DataFrame) -> DataFrame:
             else []
         ),
     )
-    return flat
 
 
 def explode_quotas(records: DataFrame, kind: str = "users") -> DataFrame:
@@ -239,6 +229,4 @@ def with_label_columns(rows: DataFrame, prefix: str, **columns: str) -> DataFram
 
 def lookup_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is in a set of keys."""
-    from poolwatch.operators.lookup import lookup_join
-
     return lookup_join(rows, keys.select(*on).distinct(), on, "left_semi")
