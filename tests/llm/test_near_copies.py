@@ -1,0 +1,112 @@
+import random
+from collections import Counter
+
+import pytest
+
+from poolwatch.llm import near_copies
+from poolwatch.llm.components import components
+
+
+def brute(rows):
+    """doc_id -> (size, component) by comparing all pairs."""
+    sets = {}
+    for i, text in rows:
+        words = "".join(c.lower() if c.isascii() else c for c in text or "")
+        for c in "\t\n\x0b\x0c\r":
+            words = words.replace(c, " ")
+        words = [w for w in words.split(" ") if w]
+        k = min(5, len(words))
+        sets[i] = {tuple(words[j : j + k]) for j in range(len(words) - k + 1)} if words else set()
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def answer(df, **how):
+    rows = near_copies.near_copies(df, **how).collect()
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in rows)
+
+
+def expected(rows):
+    return Counter((i, *x) for i, x in brute(rows).items())
+
+
+@pytest.mark.parametrize("buckets", [1 << 4, 1 << 16])
+def test_against_all_pairs(docs, buckets):
+    seed = random.Random(7)
+    word = lambda: "".join(seed.choice("abcde") for _ in range(seed.randint(1, 4)))
+    passage = [word() for _ in range(30)]
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(seed.randint(1, 80))] + (passage if seed.random() < 0.5 else [])
+        for _ in range(seed.randint(1, 9)):
+            copy = list(base)
+            for _ in range(seed.randint(0, 4)):
+                at = seed.randrange(len(copy))
+                copy[at : at + 1] = seed.choice([[word()], [], [copy[at], word()]])
+            texts.append(" ".join(copy) if copy else "")
+    rows = list(enumerate(texts))
+    seed.shuffle(rows)
+    assert answer(docs(*rows), buckets=buckets) == expected(rows)
+
+
+def test_sample_table(small):
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    assert answer(small) == expected(rows)
+
+
+def test_edges(docs):
+    rows = [
+        (1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one\x0btwo"), (6, "ÉCOLE x"), (7, "école x"),
+        (8, "a b c d e"), (9, "a b c d e f"), (10, "word " * 5000), (11, "word " * 4), (12, "word " * 5),
+    ]
+    assert answer(docs(*rows)) == expected(rows)
+
+
+def test_threshold_is_exact(docs):
+    # 7 shared of 9 and 6 shared of 8 shingles: 0.78 and exactly 0.75; 5 of 7: 0.71.
+    base = [f"w{i}" for i in range(11)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-1] + ["x"]) + " y"), (3, " ".join(base[:10] + ["z"] * 2))]
+    assert answer(docs(*rows)) == expected(rows)
+
+
+def test_repeated_rows_and_missing_ids(docs):
+    text = "a b c d e f g h"
+    got = answer(docs((3, text), (3, text), (5, text), (None, text), (None, "lone words here and there now")))
+    assert got == Counter({(3, 4, 3): 2, (5, 4, 3): 1, (None, 4, 3): 1, (None, 2, None): 1})
+
+
+def test_two_texts_of_one_id(docs):
+    a, b = "a b c d e f g h", "m n o p q r s t"
+    got = answer(docs((1, a), (1, b), (2, a), (3, b)))
+    assert got == Counter({(1, 4, 1): 2, (2, 4, 1): 1, (3, 4, 1): 1})
+
+
+def test_empty_table(docs):
+    assert near_copies.near_copies(docs((1, "a")).filter("false")).count() == 0
+
+
+def test_one_of_each_group_stays(docs):
+    text = "a b c d e f g h"
+    df = docs((2, text), (1, text), (1, text), (4, "other words that stand alone here"), (5, None), (6, ""))
+    kept = near_copies.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6]
+
+
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(10, 60)] + [(5, 100), (100, 7), (8, 8)]
+    random.Random(1).shuffle(chain)
+    got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
+    assert got == {i: 10 for i in range(10, 61)} | {5: 5, 100: 5, 7: 5}

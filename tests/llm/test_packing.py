@@ -1,0 +1,73 @@
+import zlib
+
+import numpy as np
+from tokenizers import Tokenizer
+
+from poolwatch.llm import packing
+
+
+def direct(text):
+    coder = Tokenizer.from_file(packing.vocabulary())
+    return coder.encode(text or "", add_special_tokens=False).ids + [packing.END]
+
+
+ODD = [
+    None, "", " ", "\n\n", "It's we'll I'd've", "ÄÖÜ straße É é Ñ 12345 x²½ªº", "İstanbul ΣΑΣ ςσ", "日本語 と English",
+    "<|endoftext|> a<|startoftext|>b", "tab\there\x0bthere\x1cnext\x85line wide\xa0hard", "A###!!$ 3.14",
+    "🙂 family 👨‍👩‍👧 ‮ rtl", "a" * 3000, "ŉ ſ ﬁ Ǆ K", "­ soft­hyphen", "word " * 9000,
+]
+
+
+def test_ids_equal_the_tokenizer(small):
+    coder = packing.Encoder(packing.vocabulary(), kept=500)
+    for text in [t or "" for t in ODD] + [r.text for r in small.limit(60).collect()]:
+        assert np.frombuffer(coder.ids(text), coder.kind).tolist() == direct(text)[:-1], text[:50]
+
+
+def check(rows, pieces, window):
+    want = {}
+    for i, text in rows:
+        want.setdefault(i, []).append(direct(text))
+    by_doc, by_sequence = {}, {}
+    for p in pieces:
+        ids = np.frombuffer(p.ids, "<u4")
+        assert len(ids) == p.length and zlib.crc32(p.ids) == p.ids_crc32
+        by_doc.setdefault(p.doc_id, []).append((p.start, ids.tolist(), p.doc_tokens))
+        by_sequence.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert set(by_doc) == set(want)
+    for i, texts in want.items():
+        assert sum(len(x[1]) for x in by_doc[i]) == sum(map(len, texts))
+        if len(texts) == 1:
+            assert sum((x[1] for x in sorted(by_doc[i])), []) == texts[0]
+    for s, parts in by_sequence.items():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end == window or s == max(by_sequence) and end <= window
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+
+
+def test_round_trip(docs):
+    rows = list(enumerate(ODD))
+    for window in (64, 4096):
+        pieces = packing.pack(docs(*rows).repartition(5), packing.vocabulary(), window=window)
+        check(rows, pieces.collect(), window)
+
+
+def test_repeated_and_missing_ids(docs):
+    rows = [(1, "same text"), (1, "same text"), (None, "no id"), (2, "x" * 50)]
+    check(rows, packing.pack(docs(*rows), packing.vocabulary(), window=8).collect(), 8)
+
+
+def test_empty_table(docs):
+    assert packing.pack(docs((1, "a")).filter("false"), packing.vocabulary()).count() == 0
+
+
+def test_sequences(docs):
+    pieces = packing.pack(docs((1, "a b c"), (2, "d e"), (3, "f")), packing.vocabulary(), window=4)
+    rows = packing.sequences(pieces, 4).orderBy("sequence_id").collect()
+    whole = direct("a b c") + direct("d e") + direct("f")
+    assert sum((np.frombuffer(r.ids, "<u4").tolist() for r in rows), []) == whole
+    assert [r.n_tokens for r in rows] == [4, 4, 1] and rows[-1].padding == 0
+    assert rows[0].boundaries[0].doc_id == 1
