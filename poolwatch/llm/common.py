@@ -18,7 +18,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once a row, also where lambdas inside use it."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda x: body(x))[0]
 
 
 def salt(*cols: str) -> Column:

@@ -1,12 +1,17 @@
 """The operators as registered queries, and the SQL of those that SQL can express."""
 
-from poolwatch.llm import language, lines, mixing, near_copies, packing
+from poolwatch.llm import fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
     "op2_near_copies": near_copies.op2_near_copies,
+    "op3_licenses": licenses.op3_licenses,
     "op4_packing": packing.op4_packing,
     "op5_language": language.op5_language,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pages": pages.op7_pages,
+    "op8_quality": quality.op8_quality,
+    "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op1_line_dedup": lines.ORACLE}
+ORACLES = {"op1_line_dedup": lines.ORACLE, "op3_licenses": licenses.ORACLE}

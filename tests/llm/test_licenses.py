@@ -1,0 +1,72 @@
+import re
+from math import ceil
+
+import pytest
+
+from poolwatch.llm import licenses
+
+
+def brute(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    cut = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", t) if w]
+    words = cut(low)
+    starts = {
+        label: [i for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        for p, label in licenses.PHRASES.items()
+    }
+    every = sorted(i for x in starts.values() for i in x)
+    base = sorted(x for x, at in starts.items() if at)
+    found, best = set(), 0.0
+    for block in re.split(r"\n[ \t\r]*\n", low):
+        held = set(cut(block))
+        for name, template in licenses.TEMPLATES.items():
+            tokens = licenses.tokens_of(template)
+            shared = len(held.intersection(tokens))
+            if shared >= ceil(licenses.CONTAINED * len(tokens)):
+                found.add(name)
+                best = max(best, shared / len(tokens))
+    return (
+        len(words), len(every), every[0] if every else None, every[-1] if every else None, ",".join(base),
+        ",".join(sorted({*base, *found})), 1.0 if every else best,
+    )
+
+
+def answer(df):
+    rows = licenses.scan(df).collect()
+    return sorted(((r.doc_id, (*r[1:7], pytest.approx(r.score))) for r in rows), key=lambda x: str(x[0]))
+
+
+def expected(rows):
+    return sorted(((i, brute(t)) for i, t in rows), key=lambda x: str(x[0]))
+
+
+def same(df, rows):
+    got, want = answer(df), expected(rows)
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert w[0] == g[0] and w[1][:6] == g[1][:6] and w[1][6] == g[1][6], (g, w)
+
+
+def test_sample_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    same(df, rows)
+    assert any(brute(t)[4] for _, t in rows)
+
+
+def test_edges(docs):
+    notice = licenses.TEMPLATES["mit-permission"]
+    parts = notice.split()
+    rows = [
+        (1, None), (2, ""), (3, "..."), (4, "MIT License mit-license MIT/LICENSE xmit license"), (5, "general public\nlicense"),
+        (6, "The General PUBLIC License, Apache License"), (7, notice), (8, " ".join(parts[: len(parts) // 2])),
+        (9, "words\n\n" + notice.replace(",", " ,") + "\n \nmore"), (10, "\n\n".join([" ".join(parts[:40]), " ".join(parts[40:])])),
+        (11, "MİT License MIT LİCENSE ÀMIT LICENSE"), (12, "K License Kelvin mit license"), (13, "é" * 10), (None, "MIT license"),
+        (14, "mit license " * 20_000), (14, "mit license " * 20_000),
+    ]
+    same(docs(*rows), rows)
+    assert licenses.TEMPLATES.keys() >= {"mit-permission"} and "mit-permission" in brute(notice)[5]
+
+
+def test_empty_table(docs):
+    assert licenses.scan(docs((1, "a")).filter("false")).count() == 0
