@@ -21,6 +21,8 @@ words than a shingle are one shingle; repeated rows and rows of one doc_id are o
 without doc_id has the component of documents with its set, or none; an empty table gives no rows; extra columns are not read.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,7 +36,9 @@ WORDS = 5
 SIMILAR = (75, 100)
 # Counters of the global order: 4 bytes each, the only table sent to all tasks.
 BUCKETS = 1 << 22
-_CHUNK = 1 << 15
+_CHUNK = 1 << 16
+# Documents to be compared up to which their ids are broadcast (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 FRAGMENTS = 8
 KEPT_WORDS = 400_000
 
@@ -81,25 +85,25 @@ def bucket_counts(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
                 np.add.at(held, _bucket(np.concatenate(sets), buckets), 1)
         for begin in range(0, buckets, chunk):
             part = held[begin : begin + chunk]
-            used = np.nonzero(part)[0].astype(np.uint32)
-            if used.size:
+            if part.any():
+                # Mostly small numbers: a few bits per bucket after compression.
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([begin // chunk], pa.int32()), pa.array([used.tobytes()], pa.binary()),
-                     pa.array([part[used].tobytes()], pa.binary())], names=["chunk", "used", "n"])
+                    [pa.array([begin // chunk], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())],
+                    names=["chunk", "n"])
 
     def add(batches):
         held = {}
         for batch in batches:
-            for c, used, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for c, n in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 if c not in held:
                     held[c] = np.zeros(chunk, np.int64)
-                held[c][np.frombuffer(used, np.uint32)] += np.frombuffer(n, np.uint32)
+                held[c] += np.frombuffer(zlib.decompress(n), np.uint32)
         if held:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
                 names=["chunk", "n"])
 
-    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "chunk int, used binary, n binary")
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "chunk int, n binary")
     summed = parts.repartition("chunk").mapInArrow(add, "chunk int, n binary")
     # One number per bucket comes to the driver, whatever the input.
     out = np.zeros(buckets, np.int64)
@@ -189,8 +193,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words
         .join(classes, "set").select("set", F.col("id").alias("doc_id")),
         "named",
     )
+    ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = segments(named.join(texts, "doc_id"), order, words).dropDuplicates(["set", "fragment"])
+    cut = segments(texts.join(ids, "doc_id"), order, words).dropDuplicates(["set", "fragment"])
     cut = stored(cut, "segments")
     left = cut.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("left"))
     right = cut.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("right"))
