@@ -2,8 +2,9 @@
 
 The lexicon holds the terms whose inverse document frequency lies in a band: neither the words of
 every text nor the rare ones that any edit brings or takes. A document keeps its distinct lexicon
-terms, sorted; random parts of the lexicon each select some of them, and each selection is hashed. The likeness of two fingerprints is the share of equal hashes among the subsets that select
-anything in either. Subsets differ in size: large ones tell copies from edits, small ones tell edits
+terms, sorted; random parts of the lexicon each select some of them, and each selection is hashed.
+The likeness of two fingerprints is the share of equal hashes among the subsets that select anything
+in either. Subsets differ in size: large ones tell copies from edits, small ones tell edits
 from other texts.
 
 Terms stand for their 64-bit hashes, and subset membership is read off the bits of a seeded one, so
@@ -12,8 +13,8 @@ no random numbers are stored.
 Defined results: a null text is empty; a text without lexicon terms has the empty fingerprint, like
 only to another empty one; the next document of the last is the first; of rows with one doc_id the
 least text is the next document; a null doc_id comes after the last; without any doc_id there is no
-next document and near_next is 0; repeated rows are all
-returned; an empty table gives no rows; extra columns are not read.
+next document and near_next is 0; repeated rows are all returned; an empty table gives no rows; extra
+columns are not read.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
