@@ -10,7 +10,7 @@ packed like any other; an empty table gives no pieces; extra columns are not rea
 scan order.
 """
 
-import unicodedata
+import struct
 import zlib
 
 import numpy as np
@@ -30,7 +30,7 @@ TOKENS = "doc_id long, n long, ids binary, part int, place long"
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
-# Latin text, on which the file's normalizer is plain lower-casing of each character.
+# Latin text, on which the file's normalizer is plain lower-casing of each character: NFC leaves it as it is.
 _LATIN = regex.compile("[!-~¡-įı-ž]+")
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -52,7 +52,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.whole.get_vocab_size() < 1 << 16 else "<u4")
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.model = self.whole.model if self._plain(json.loads(open(path, encoding="utf-8").read())) else None
         self.bytes = _byte_letters()
         self.kept, self.new, self.old, self.parts = kept, {"": b""}, {}, {}
@@ -61,21 +61,31 @@ class Encoder:
     def _plain(file: dict) -> bool:
         steps = [x["type"] for x in (file.get("normalizer") or {}).get("normalizers", [])]
         cut = (file.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        return steps == ["NFC", "Replace", "Lowercase"] and cut[0].get("pattern", {}).get("Regex") == _PIECES.pattern
+        marked = all(t["content"].startswith("<|") for t in file.get("added_tokens", []))
+        return steps == ["NFC", "Replace", "Lowercase"] and marked and cut[0].get("pattern", {}).get("Regex") == _PIECES.pattern
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.parts.get(piece)
+        if got is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.bytes)
+            got = self._packed([t.id for t in self.model.tokenize(shown)])
+            if len(self.parts) >= self.kept:
+                self.parts.clear()
+            self.parts[piece] = got
+        return got
 
     def _word(self, word: str) -> bytes:
-        if self.model is None or not _LATIN.fullmatch(word) or any(x in word for x in self.special):
-            ids = self.whole.encode(word, add_special_tokens=False).ids
-        else:
-            ids = []
-            for piece in _PIECES.findall(unicodedata.normalize("NFC", word).lower()):
-                if (got := self.parts.get(piece)) is None:
-                    got = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.bytes))]
-                    if len(self.parts) >= self.kept:
-                        self.parts.clear()
-                    self.parts[piece] = got
-                ids += got
-        return np.array(ids, self.kind).tobytes()
+        if not (word.isascii() and word.isprintable() or _LATIN.fullmatch(word)) or "<|" in word:
+            return self._packed(self.whole.encode(word, add_special_tokens=False).ids)
+        word = word.lower()
+        if word.isalpha():
+            return self._piece(word)
+        if word[-1] in ".,!" and word[:-1].isalpha():
+            return self._piece(word[:-1]) + self._piece(word[-1])
+        return b"".join(map(self._piece, _PIECES.findall(word)))
 
     def ids(self, text: str) -> bytes:
         if self.model is None:
