@@ -113,7 +113,7 @@ union all
 select 'route', namespace, 'tenant-gone', concat('route-', c) from f_tenants where c % 29 = 0""",
     "session_reuse": """
 select r.request_id, r.namespace, r.pool, r.user_name, s.session from f_routed r
-left join (select namespace, pool, user_name, arg_min(session, (created_at, session)) as session from f_sessions
+left join (select namespace, pool, label_user as user_name, arg_min(session, (created_at, session)) as session from f_sessions
   where state in ('Active', 'Idle', 'Pending', 'Assigning') group by 1, 2, 3) s
   on s.namespace = r.namespace and s.pool = r.pool and s.user_name = r.user_name
 where r.status = 'ok'""",
@@ -200,11 +200,12 @@ select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, con
   {AS_OF} - to_minutes(k % 600) as created_at, case when k % 3 = 0 then concat(1 + k % 8, 'g') end as memory
 from f_orders""",
     "own_sessions": "select session as name, user_name as user, pool, state from f_sessions where user_name = 'user-7'",
-    "instance_states": "select namespace, pool, instance, pos, spark_state, role, app_id, state from f_instances",
+    "instance_states": "select namespace, pool, instance, pos, spark_state, role, app_id, app_state as state from f_instances",
     "container_quantities": """
 select concat('pod-', l_suppkey) as pod, concat('c', l_linenumber) as container, r as resource, count(*) as readings,
-  cast(sum(case r when 'cpu' then [n * 100, n * 1000, n * 100, n * 10000, n, 0][l_orderkey % 6 + 1]
-    else [n * 1024000, n * 1048576000, n * 1073741824000 + 536870912000, n * 1000000000, 0][l_orderkey % 5 + 1] end) as bigint) as usage_milli
+  cast(ceil(cast(sum(case r when 'cpu' then [n * 100000000, n * 1000000000, n * 100000000, n * 10000000000, n * 1000000, null, n * 10 + 7][l_orderkey % 7 + 1]
+    else [n * 1024000, n * 1048576000, n * 1073741824000 + 536870912000, n * 1000000000, 0][l_orderkey % 5 + 1]::hugeint * 1000000 end) as decimal(38,0)) / 1000000) as bigint) as usage_milli,
+  count(*) filter (r = 'cpu' and l_orderkey % 7 = 5) as unreadable
 from (select *, cast(l_linenumber as bigint) as n from lineitem) cross join (select unnest(['cpu', 'memory']) as r) x group by 1, 2, 3""",
     "label_selection": "select namespace, session, user_name from f_sessions where namespace = 'ns-3' and pool = 'pool-3'",
     "keyed_sessions": """
@@ -274,9 +275,9 @@ group by 1, 2, 3""",
     "access_identity": """
 select event_id as request_id, coalesce(h, e, m) as user_name,
   case when h is not null then 'authorization' when e is not null then 'explicit' when m is not null then 'message' else 'none' end as source
-from (select event_id, case when event_id % 9 < 2 then concat('user-', user_id) end as h,
-    case when event_id % 3 <> 0 and event_id % 4 = 1 then concat('named-', user_id) end as e,
-    case event_id % 6 when 0 then concat('inner-', user_id) when 1 then concat('plain-', user_id) end as m from events)""",
+from (select event_id, event_id % 7 <> 0 and user_id % 25 % 2 = 0 as connect, case when event_id % 9 < 2 then concat('user-', user_id) end as h,
+    case when connect and event_id % 3 <> 0 and event_id % 4 = 1 then concat('named-', user_id) end as e,
+    case when connect then case event_id % 6 when 0 then concat('inner-', user_id) when 1 then concat('plain-', user_id) end end as m from events)""",
     "token_claims": """
 select event_id, case when event_id % 10 in (0, 5, 6) then concat('user-', user_id) when event_id % 10 = 4 then concat('üser-', user_id) end as claimed_user,
   case when event_id % 10 in (0, 6) then concat('g', user_id % 5, ',h', user_id % 3) when event_id % 10 = 4 then concat('g', user_id % 5, ',x?~')
@@ -305,7 +306,13 @@ from (select *, sum(cut) over (partition by namespace, pool, user_name order by
     from f_activity a join f_pools p on p.namespace = a.namespace and p.pool = a.pool))
 group by namespace, pool, user_name, stretch, idle_minutes
 having max(ts) + to_minutes(idle_minutes) <= (select mark from f_mark)""",
-    "stream_first_requests": "select distinct namespace, pool, user_name from f_activity",
+    "stream_first_requests": """
+select namespace, pool, user_name, min(ts) as ts
+from (select *, sum(cut) over (partition by namespace, pool, user_name order by ts) as burst
+  from (select *, case when ts - lag(ts) over (partition by namespace, pool, user_name order by ts) >= to_minutes(10)
+      then 1 else 0 end as cut from f_activity))
+group by namespace, pool, user_name, burst
+having max(ts) + to_minutes(10) <= (select mark from f_mark)""",
     "stream_activation_wait": """
 select q.namespace, q.session, q.ts, date_diff('second', q.ts, min(c.ts)) as wait_seconds,
   case when min(c.ts) is null then 'timeout' when arg_min(c.state, c.ts) in ('Active', 'Idle') then 'ok' else 'failed' end as outcome

@@ -37,7 +37,8 @@ select concat('ns-', s_nationkey % 9) as namespace, concat('pool-', s_nationkey)
   case s_suppkey % 10 when 6 then 'PENDING_RERUN' when 7 then 'FAILED' when 8 then 'SUBMITTED' when 9 then 'COMPLETED' else 'RUNNING' end as spark_state,
   case when s_suppkey % 10 = 5 then 'draining' else 'active' end as role,
   concat('spark-', s_suppkey) as app_id,
-  case s_suppkey % 10 when 5 then 'Draining' when 6 then 'Pending' when 7 then 'Failed' when 8 then 'Pending' when 9 then 'Failed' else 'Running' end as state
+  case s_suppkey % 10 when 5 then 'Draining' when 6 then 'Pending' when 7 then 'Failed' when 8 then 'Pending' when 9 then 'Failed' else 'Running' end as app_state,
+  case s_suppkey % 20 when 8 then 'Submitted' when 6 then 'Lost' else app_state end as state
 from supplier""",
     "f_orders": """
 select o_orderkey as k, o_custkey as c, s_nationkey, s_suppkey,
@@ -93,14 +94,15 @@ select p.namespace, p.pool, coalesce(instances, 0) as instances, coalesce(runnin
   coalesce(starting, 0) as starting, coalesce(failed, 0) as failed, coalesce(total, 0) as total, coalesce(waiting, 0) as waiting
 from f_pools p
 left join (select namespace, pool, count(*) as instances, count(*) filter (state in ('Running', 'Draining')) as running,
-    count(*) filter (state = 'Running') as ready, count(*) filter (state = 'Pending') as starting,
+    count(*) filter (state = 'Running') as ready, count(*) filter (state in ('Pending', 'Submitted')) as starting,
     count(*) filter (state = 'Failed') as failed, cast(sum(active_sessions) as bigint) as total from f_load group by 1, 2) l
   on l.namespace = p.namespace and l.pool = p.pool
 left join (select namespace, pool, count(*) as waiting from f_sessions
     where state in ('Pending', '') and assigned_instance = '' group by 1, 2) w
   on w.namespace = p.namespace and w.pool = p.pool""",
     "f_newest": """
-select namespace, pool, resource, arg_max(mean_percent, tick) as mean_percent from f_util group by 1, 2, 3""",
+select namespace, pool, resource, arg_max(mean_percent, tick) as mean_percent from f_util
+where tick <= timestamp '2001-06-15 00:00:00' and tick > timestamp '2001-06-15 00:00:00' - to_days(31) group by 1, 2, 3""",
     "f_wanted": """
 select p.namespace, p.pool, p.min_replicas, p.max_replicas, r.running, r.ready, r.starting, r.total + r.waiting as effective_load,
   case when p.metric_type = 'activeSessions' then
@@ -150,9 +152,10 @@ select event_id, concat('ns-', (user_id % 25) % 9) as namespace, concat('pool-',
     "f_requests": """
 select event_id as request_id, concat('ns-', n % 9) as namespace, ts, concat('user-', user_id) as user_name,
   case when event_id % 7 = 0 then 'thrift' else t end as door,
-  case event_id % 5 when 0 then h || ':443' when 1 then '' else h end as forwarded_host,
+  case event_id % 5 when 0 then h || ':443' when 1 then '' when 2 then null else h end as forwarded_host,
   case event_id % 11 when 0 then '' when 1 then 'nowhere.example.com:80' else h end as authority,
-  regexp_replace(coalesce(nullif(forwarded_host, ''), authority), '^(.+):[^:]*$', '\\1') as host
+  case when forwarded_host is null or forwarded_host = '' and door <> 'connect' then authority else forwarded_host end as raw_host,
+  regexp_replace(raw_host, '^(.+):[^:]*$', '\\1') as host
 from (select *, user_id % 25 as n, case when n % 2 = 0 then 'connect' else 'thrift' end as t,
   concat('spark-', t, '-', n, '.example.com') as h from events)""",
     "f_routed": """

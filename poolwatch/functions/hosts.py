@@ -10,10 +10,12 @@ def safe_user(col: str = "user_name") -> Column:
     return F.translate(F.lower(F.col(col)), "_.", "--")
 
 
-def request_host(forwarded: str = "forwarded_host", host: str = "authority") -> Column:
+def request_host(forwarded: str = "forwarded_host", host: str = "authority", door: str = "door") -> Column:
     """Forwarded host if there is one, else the host; the part after the last colon goes
-    unless that colon comes first."""
-    raw = F.coalesce(F.nullif(F.col(forwarded), F.lit("")), F.col(host), F.lit(""))
+    unless that colon comes first. At the connect door an empty forwarded host is an answer;
+    at the other it is none."""
+    given = F.when(F.col(door) == "connect", F.col(forwarded)).otherwise(F.nullif(F.col(forwarded), F.lit("")))
+    raw = F.coalesce(given, F.col(host), F.lit(""))
     return F.regexp_replace(raw, r"(?s)^(.+):[^:]*$", "$1")
 
 

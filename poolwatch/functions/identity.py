@@ -59,14 +59,22 @@ def _is_text(v: Column) -> Column:
     return F.schema_of_variant(v) == "STRING"
 
 
+def _claim_path(name: str) -> str:
+    """Path of a claim by its whole name, which may hold dots and slashes."""
+    quote = '"' if "'" in name else "'"
+    if quote in name:
+        raise ValueError(f"a claim name with both kinds of quotes: {name}")
+    return f"$[{quote}{name}{quote}]"
+
+
 def claimed_user(claims: str, claim: str = V.USER_CLAIM) -> Column:
     """User claim of a token whose signature nobody checked; must be non-empty text."""
-    value = F.try_variant_get(F.col(claims), f"$.{claim or V.USER_CLAIM}", "variant")
+    value = F.try_variant_get(F.col(claims), _claim_path(claim or V.USER_CLAIM), "variant")
     return F.when(_is_text(value), F.nullif(F.try_variant_get(value, "$", "string"), F.lit("")))
 
 
 def claimed_groups(claims: str, claim: str = V.GROUPS_CLAIM) -> Column:
     """Text elements of the groups claim; empty when the claim is no list."""
-    items = F.try_variant_get(F.col(claims), f"$.{claim or V.GROUPS_CLAIM}", "array<variant>")
+    items = F.try_variant_get(F.col(claims), _claim_path(claim or V.GROUPS_CLAIM), "array<variant>")
     texts = F.transform(F.filter(items, _is_text), lambda v: F.try_variant_get(v, "$", "string"))
     return F.coalesce(texts, F.array().cast("array<string>"))

@@ -1,4 +1,4 @@
-"""Resource quantities as whole milli-units."""
+"""Resource quantities in milli-units, exact."""
 
 from pyspark.sql import Column, functions as F
 
@@ -6,17 +6,22 @@ from pyspark.sql import Column, functions as F
 _MILLI = {
     "n": "0.000001", "u": "0.001", "m": "1", "": "1000",
     "k": "1000000", "M": "1000000000", "G": "1000000000000", "T": "1000000000000000",
-    "P": "1000000000000000000",
+    "P": "1000000000000000000", "E": "1000000000000000000000",
     "Ki": "1024000", "Mi": "1048576000", "Gi": "1073741824000", "Ti": "1099511627776000",
-    "Pi": "1125899906842624000",
+    "Pi": "1125899906842624000", "Ei": "1152921504606846976000",
 }
-_SUFFIX_LETTERS = "numkMGTPKi"
+_UNIT = "(n|u|m|k|[KMGTPE]i?)$"
+_KIND = "decimal(38,6)"
 
 
 def milli(col: Column) -> Column:
-    """Milli-units, rounded up; null for text that is no quantity."""
-    pairs = [x for suffix, per_unit in _MILLI.items() for x in (F.lit(suffix), F.lit(per_unit).cast("decimal(26,6)"))]
-    number = F.rtrim(col, F.lit(_SUFFIX_LETTERS))
-    factor = F.try_element_at(F.create_map(*pairs), F.substr(col, F.length(number) + 1))
-    amount = F.when(F.instr(col, " ") == 0, number.try_cast("decimal(24,9)"))
-    return F.ceil(amount * factor).try_cast("bigint")
+    """Milli-units with their parts, so that sums are exact; null for text that is no quantity or
+    has more digits than any real amount. An exponent is written in place of a unit."""
+    unit = F.regexp_extract(col, _UNIT, 1)
+    number = F.left(col, F.length(col) - F.length(unit))
+    plain = F.when(~F.contains(col, F.lit(" ")), number)
+    # Whole numbers, nearly all there are, need no decimals wider than a machine word.
+    scale = F.lit(None).cast("decimal(28,6)")
+    for suffix, per_unit in _MILLI.items():
+        scale = F.when(unit == suffix, F.lit(per_unit).cast("decimal(28,6)")).otherwise(scale)
+    return F.try_multiply(plain.try_cast("decimal(24,9)"), scale).try_cast(_KIND)

@@ -4,24 +4,33 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import settings, states, timing
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.operators.scan import nearest, position_bucket, running_sum, time_bucket
 
 
-def newest_utilisation(utilisation: DataFrame) -> DataFrame:
-    """Newest measured mean per pool and resource."""
-    return utilisation.groupBy(*V.POOL, F.col("resource").alias("metric_type")).agg(
+def current(rows: DataFrame, as_of: Column, measured_minutes: int, ts: str = "tick") -> DataFrame:
+    """Rows of a measurement that counts at a moment: not after it, and no older than that. Plain
+    column filters, to go ahead of the joins, so that files of other days are not read."""
+    oldest = as_of - F.make_dt_interval(mins=F.lit(measured_minutes))
+    return rows.filter((F.col(ts) <= as_of) & (F.col(ts) > oldest))
+
+
+def newest_utilisation(utilisation: DataFrame, as_of: Column, measured_minutes: int) -> DataFrame:
+    """Newest measured mean per pool and resource at a moment."""
+    return current(utilisation, as_of, measured_minutes).groupBy(*V.POOL, F.col("resource").alias("metric_type")).agg(
         F.max_by("mean_percent", "tick").alias("mean_percent")
     )
 
 
-def desired_replicas(pools: DataFrame, rollup: DataFrame, utilisation: DataFrame) -> DataFrame:
-    """Replicas every pool wants now, with the rule that decided."""
+def desired_replicas(
+    pools: DataFrame, rollup: DataFrame, utilisation: DataFrame, as_of: Column, measured_minutes: int = V.MEASURED_MINUTES
+) -> DataFrame:
+    """Replicas every pool wants at a moment, with the rule that decided. A pool that was not
+    measured in the minutes before falls back to its minimum."""
     facts = (
         settings.effective_settings(pools)
         .join(rollup, V.POOL, "left")
         .fillna(0, ["running", "ready", "starting", "total", "waiting"])
-        .join(newest_utilisation(utilisation), V.POOL + ["metric_type"], "left")
+        .join(newest_utilisation(utilisation, as_of, measured_minutes), V.POOL + ["metric_type"], "left")
         .withColumn("effective_load", F.col("total") + F.col("waiting"))
     )
     load, ready = F.col("effective_load"), F.col("ready")
@@ -69,7 +78,7 @@ def capacity_plan(pools: DataFrame, desired: DataFrame, load: DataFrame, as_of:
         & timing.cooldown_over("last_scale_time", as_of, settings.cooldown_seconds())
     ).select(*V.POOL, "drain_before_scale_down", (F.col("running") - F.col("desired")).alias("k"))
 
-    ready = lookup_join(load.filter(states.is_ready()), shrink, V.POOL, "inner", ["instance"]).withColumn(
+    ready = load.filter(states.is_ready()).join(shrink, V.POOL).withColumn(
         "removable", F.when(F.col("drain_before_scale_down") & (F.col("active_sessions") > 0), 0).otherwise(1)
     )
     ranked = running_sum(ready, V.POOL, ["pos", "instance"], "removable", "upto", position_bucket("pos"))
@@ -87,7 +96,7 @@ def scaling_audit(log: DataFrame, pools: DataFrame) -> DataFrame:
     shrinks = log.filter(F.col("action") == "shrink").select(*V.POOL, "action_id", "ts")
     with_last = nearest(shrinks, V.POOL, ["ts", "action_id"], time_bucket("ts"), previous={"previous": "ts"})
     limits = settings.effective_settings(pools).select(*V.POOL, "cooldown_seconds")
-    joined = lookup_join(with_last, limits, V.POOL, "left", ["action_id"]).withColumn(
+    joined = with_last.join(limits, V.POOL, "left").withColumn(
         "cooldown_seconds", settings.cooldown_seconds()
     )
     inside = ~timing.cooldown_over("previous", F.col("ts"), F.col("cooldown_seconds"))

@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import hosts, states
-from poolwatch.operators.lookup import lookup_join
 
 INSTANCE = V.POOL + ["instance"]
 
@@ -12,35 +11,21 @@ INSTANCE = V.POOL + ["instance"]
 def instance_counts(instances: DataFrame, sessions: DataFrame) -> DataFrame:
     """Held and waiting sessions per (pool, instance), listed instances and others alike.
 
-    Instances and sessions are stacked and counted in one hash aggregation, so sessions are read
-    once and only partial counts are shuffled. The state travels as a number, because text in an
-    aggregate would make it sort its input.
+    Only counts of sessions are shuffled; an instance keeps its state whatever it is.
     """
-    codes = F.array(*map(F.lit, V.INSTANCE_STATES))
-    listed = instances.select(
-        *INSTANCE, F.col("pos").cast("bigint").alias("pos"), F.array_position(codes, F.col("state")).alias("code"),
-        F.lit(0).alias("held"), F.lit(0).alias("waiting"),
-    )
-    counted = sessions.select(
-        *V.POOL,
-        states.clean("assigned_instance").alias("instance"),
-        states.holds_instance().cast("int").alias("held"),
-        states.is_waiting().cast("int").alias("waiting"),
-    )
-    return (
-        listed.unionByName(counted, allowMissingColumns=True)
-        .groupBy(*INSTANCE)
+    counted = (
+        sessions.groupBy(*V.POOL, states.clean("assigned_instance").alias("instance"))
         .agg(
-            F.max("pos").alias("pos"),
-            F.max("code").alias("code"),
-            F.sum("held").alias("held"),
-            F.sum("waiting").alias("waiting"),
+            F.sum(states.holds_instance().cast("int")).alias("held"),
+            F.sum(states.is_waiting().cast("int")).alias("waiting"),
         )
+    )
+    listed = instances.select(*INSTANCE, F.col("pos").cast("bigint").alias("pos"), "state", F.lit(True).alias("listed"))
+    return (
+        listed.join(counted, INSTANCE, "full")
         .select(
-            *INSTANCE, "pos",
-            F.try_element_at(codes, F.nullif(F.col("code"), F.lit(0)).cast("int")).alias("state"),
-            F.col("code").isNotNull().alias("listed"),
-            "held", "waiting",
+            *INSTANCE, "pos", "state", F.coalesce("listed", F.lit(False)).alias("listed"),
+            F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("waiting", F.lit(0)).alias("waiting"),
         )
     )
 
@@ -69,17 +54,24 @@ def pool_rollup(pools: DataFrame, counts: DataFrame) -> DataFrame:
 def pod_utilisation(instances: DataFrame, usage: DataFrame, requests: DataFrame) -> DataFrame:
     """Usage and request of each driver pod of a ready instance, per tick and resource.
 
-    Only containers with both a usage and a request count; pods without any request are left out.
+    Only containers with both a usage and a request count; pods without any request are left out,
+    and so are pods with an amount that cannot be read. Amounts are summed exactly and rounded up
+    to milli-units once.
     The two small tables meet first, so the usage table is joined once.
     """
     pods = instances.filter(states.is_ready()).select(*V.POOL, hosts.driver_pod().alias("pod"))
-    wanted = lookup_join(requests, pods, ["namespace", "pod"], "inner")
+    wanted = requests.join(pods, ["namespace", "pod"])
     key = ["namespace", "pod", "container", "resource"]
     return (
-        lookup_join(usage.select(*key, "tick", "usage_milli"), wanted, key, "inner", ["tick"])
+        usage.select(*key, "tick", "usage_milli").join(wanted, key)
         .groupBy(*V.POOL, "pod", "tick", "resource")
-        .agg(F.sum("usage_milli").alias("usage"), F.sum("request_milli").alias("request"))
-        .filter(F.col("request") != 0)
+        .agg(
+            F.ceil(F.sum("usage_milli")).cast("bigint").alias("usage"),
+            F.ceil(F.sum("request_milli")).cast("bigint").alias("request"),
+            F.count_if(F.col("usage_milli").isNull() | F.col("request_milli").isNull()).alias("unreadable"),
+        )
+        .filter((F.col("request") != 0) & (F.col("unreadable") == 0))
+        .drop("unreadable")
     )
 
 

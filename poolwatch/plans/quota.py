@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import states, timing
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.operators.scan import running_sum, time_bucket
 
 USER = V.POOL + ["user_name"]
@@ -34,7 +33,7 @@ def group_quota_limits(users: DataFrame, quotas: DataFrame) -> DataFrame:
     )
     members = users.select(*USER, F.explode(F.array_distinct("groups")).alias("group_name"))
     return (
-        lookup_join(members, rules, group, "inner", ["user_name"])
+        members.join(rules, group)
         .groupBy(*USER)
         .agg(F.max_by("n", "pos").alias("override"))
     )
@@ -74,8 +73,8 @@ def quota_check(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) -> Dat
     instead of taken by a window over the pool, so a crowded pool needs no single task.
     """
     new = sessions.filter(states.is_new()).select(*USER, "session", "state")
-    joined = lookup_join(new, pool_facts(pools, sessions), V.POOL, "left", ["session"])
-    joined = lookup_join(joined, user_facts(sessions, quotas), USER, "left", ["session"])
+    joined = new.join(pool_facts(pools, sessions), V.POOL, "left")
+    joined = joined.join(user_facts(sessions, quotas), USER, "left")
     own = states.counts_toward_quota().cast("int")
     used = joined.withColumns(
         {
@@ -121,7 +120,7 @@ def quota_pressure(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) ->
     limits = pools.select(*V.POOL, "max_sessions_per_user")
     users = user_facts(sessions, quotas).filter("user_live > 0")
     limit = F.coalesce("override", "max_sessions_per_user")
-    return lookup_join(users, limits, V.POOL, "inner", ["user_name"]).select(
+    return users.join(limits, V.POOL).select(
         *USER,
         F.col("user_live").alias("used"),
         limit.alias("user_limit"),
@@ -152,7 +151,7 @@ def quota_audit(history: DataFrame, limits: DataFrame, keys: list[str], as_of: C
     `limits` has the keys and `session_limit`.
     """
     timeline = concurrency(history, keys)
-    rows = lookup_join(timeline, limits, keys, "left", ["ts"])
+    rows = timeline.join(limits, keys, "left")
     limit, live = F.col("session_limit"), F.col("live")
     over = (limit > 0) & (live > limit)
     was_over = (limit > 0) & (live - F.col("delta") > limit)
@@ -180,7 +179,7 @@ def pool_limits(pools: DataFrame) -> DataFrame:
 def user_limits(history: DataFrame, pools: DataFrame, quotas: DataFrame) -> DataFrame:
     """Limit of every (pool, user) seen in the history."""
     users = history.select(*USER).distinct()
-    with_pool = lookup_join(users, pools.select(*V.POOL, "max_sessions_per_user"), V.POOL, "left")
+    with_pool = users.join(pools.select(*V.POOL, "max_sessions_per_user"), V.POOL, "left")
     return with_pool.join(quota_limits(quotas), USER, "left").select(
         *USER, F.coalesce("override", "max_sessions_per_user").alias("session_limit")
     )

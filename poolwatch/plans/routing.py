@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import hosts, maps
-from poolwatch.operators.lookup import lookup_join
 
 ROUTE = ["namespace", "route"]
 SPEC = ["class", "host", "path", "path_type", "service", "port"]
@@ -28,9 +27,9 @@ def pool_of_type(pools: DataFrame) -> DataFrame:
 def route_requests(requests: DataFrame, pools: DataFrame) -> DataFrame:
     """Pool of each request: by host, or without a host the only pool of the door's type."""
     rows = requests.withColumn("host", hosts.request_host())
-    rows = lookup_join(rows, pool_by_host(pools), ["namespace", "host"], "left", ["request_id"])
+    rows = rows.join(pool_by_host(pools), ["namespace", "host"], "left")
     doors = pool_of_type(pools).withColumnRenamed("type", "door")
-    rows = lookup_join(rows, doors, ["namespace", "door"], "left", ["request_id"])
+    rows = rows.join(doors, ["namespace", "door"], "left")
     named = F.col("host") != ""
     status = (
         F.when(named & F.col("host_pool").isNull(), "no_pool")

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import hosts, settings, states, timing
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.operators.scan import nearest, time_bucket
 from poolwatch.plans.load import INSTANCE
 from poolwatch.plans.quota import USER, quota_check
@@ -47,7 +46,7 @@ def placement_candidates(pools: DataFrame, load: DataFrame, endpoints: DataFrame
 
 def waiting_outlook(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
     """What happens to each new session next: refused, placed, or still without an instance."""
-    joined = lookup_join(verdicts, candidates.select(*V.POOL, "instance", "endpoint"), V.POOL, "left", ["session"])
+    joined = verdicts.join(candidates.select(*V.POOL, "instance", "endpoint"), V.POOL, "left")
     ok = F.col("verdict") == "ok"
     placed = ok & F.col("instance").isNotNull()
     return joined.select(
@@ -61,10 +60,7 @@ def waiting_outlook(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
 def alive_sessions(sessions: DataFrame, instances: DataFrame, alive: bool = True) -> DataFrame:
     """Placed sessions whose instance is ready, or those whose instance is not."""
     ready = instances.filter(states.is_ready()).select(*V.POOL, F.col("instance").alias("assigned_instance"))
-    return lookup_join(
-        sessions.filter(states.holds_instance()), ready, V.POOL + ["assigned_instance"],
-        "left_semi" if alive else "left_anti", ["session"],
-    )
+    return sessions.filter(states.holds_instance()).join(ready, V.POOL + ["assigned_instance"], "left_semi" if alive else "left_anti")
 
 
 def session_transitions(
@@ -78,7 +74,7 @@ def session_transitions(
     ready = instances.filter(states.is_ready())
     can_place = ready.select(*V.POOL).distinct().withColumn("can_place", F.lit(True))
     verdicts = quota_check(sessions, pools, quotas)
-    new = lookup_join(verdicts, can_place, V.POOL, "left", ["session"])
+    new = verdicts.join(can_place, V.POOL, "left")
     placed = F.col("can_place").isNotNull()
     new = new.select(
         *SESSION, "pool", "state",
@@ -95,8 +91,8 @@ def session_transitions(
     seats = ready.select(
         *V.POOL, F.col("instance").alias("assigned_instance"), F.lit(True).alias("instance_ready")
     )
-    held = lookup_join(held, limits, V.POOL, "left", ["session"])
-    held = lookup_join(held, seats, V.POOL + ["assigned_instance"], "left", ["session"])
+    held = held.join(limits, V.POOL, "left")
+    held = held.join(seats, V.POOL + ["assigned_instance"], "left")
     idle = lambda limit: timing.idle_longer_than("last_activity_at", as_of, limit)
     to = lambda state, why: F.struct(state.alias("next_state"), F.lit(why).alias("reason"))
     step = (
@@ -123,7 +119,7 @@ def termination_requests(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     `requests` has namespace, session, user_name (who asks) and request_id.
     """
     owner = sessions.select(*SESSION, F.col("user_name").alias("owner"))
-    joined = lookup_join(requests, owner, SESSION, "left", ["request_id"])
+    joined = requests.join(owner, SESSION, "left")
     allowed = F.col("owner") == F.col("user_name")
     return joined.select(
         "request_id", *SESSION, "user_name",
@@ -132,16 +128,17 @@ def termination_requests(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def session_reuse(routed: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Session each routed request falls to: the oldest reusable one of its user in its pool;
-    none means a new session would be made."""
+def session_reuse(routed: DataFrame, sessions: DataFrame, prefix: str) -> DataFrame:
+    """Session each routed request falls to: the oldest reusable one whose labels name its user and
+    its pool; none means a new session would be made."""
+    labelled = {c: F.try_element_at("labels", F.lit(f"{prefix}/{x}")) for c, x in (("user_name", "user"), ("pool", "pool"))}
     reusable = (
-        sessions.filter(states.is_reusable())
+        sessions.filter(states.is_reusable()).withColumns(labelled)
         .groupBy(*USER)
         .agg(F.min_by("session", F.struct("created_at", "session")).alias("session"))
     )
     ok = routed.filter(F.col("status") == "ok").select("request_id", *USER)
-    return lookup_join(ok, reusable, USER, "left", ["request_id"])
+    return ok.join(reusable, USER, "left")
 
 
 def activation_wait(
@@ -193,7 +190,7 @@ def touched_sessions(sessions: DataFrame, activity: DataFrame) -> DataFrame:
     """The snapshot after the touches of a log: a touch newer than the recorded activity moves it,
     and wakes an idle session; an older one changes nothing."""
     newest = activity.groupBy(*SESSION).agg(F.max("ts").alias("touched_at"))
-    rows = lookup_join(sessions, newest, SESSION, "left", ["user_name"])
+    rows = sessions.join(newest, SESSION, "left")
     moved = F.col("touched_at").isNotNull() & (
         F.col("last_activity_at").isNull() | (F.col("touched_at") > F.col("last_activity_at"))
     )
@@ -235,7 +232,7 @@ def idle_sessions(activity: DataFrame, pools: DataFrame) -> DataFrame:
         F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n")
     )
     limits = pools.select(*V.POOL, settings.idle_minutes().alias("idle_minutes"))
-    cells = lookup_join(cells, limits, V.POOL, "left", ["cell", "user_name"]).fillna(
+    cells = cells.join(limits, V.POOL, "left").fillna(
         V.ZERO_IDLE_MINUTES, ["idle_minutes"]
     )
     by_time = Window.partitionBy(*USER).orderBy("cell")
@@ -251,8 +248,6 @@ def orphans(pools: DataFrame, **tables: DataFrame) -> DataFrame:
     """Rows that name a pool which is gone. Each table has namespace, pool and name."""
     found = None
     for kind, rows in tables.items():
-        lost = lookup_join(
-            rows.select(*V.POOL, "name"), pools.select(*V.POOL), V.POOL, "left_anti", ["name"]
-        ).withColumn("kind", F.lit(kind))
+        lost = rows.select(*V.POOL, "name").join(pools.select(*V.POOL), V.POOL, "left_anti").withColumn("kind", F.lit(kind))
         found = lost if found is None else found.unionByName(lost)
     return found

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import identity, maps, settings, states, text, timing
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.plans.quota import USER
 
 
@@ -173,8 +172,8 @@ def effective_conf(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) ->
         .groupBy(*V.POOL, F.col("match_user").alias("user_name"))
         .agg(F.max_by("session_conf", "pos").alias("session_conf"))
     )
-    rows = lookup_join(sessions.select(*USER, "session", "spark_conf"), defaults, V.POOL, "left", ["session"])
-    rows = lookup_join(rows, overrides, USER, "left", ["session"])
+    rows = sessions.select(*USER, "session", "spark_conf").join(defaults, V.POOL, "left")
+    rows = rows.join(overrides, USER, "left")
     layers = [F.col(c) for c in ("default_session_conf", "session_conf", "spark_conf")]
     origin = maps.origin(pool=layers[0], quota=layers[1], session=layers[2])
     merged = rows.select("namespace", "session", maps.overlay(*layers).alias("conf"), origin.alias("origin"))
@@ -184,13 +183,15 @@ def effective_conf(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) ->
 
 
 def access_identity(log: DataFrame) -> DataFrame:
-    """User behind each logged request and where the name comes from: the authorization header,
-    else the explicit headers, else the id inside the message. No password leaves the scan."""
+    """User behind each logged request and where the name comes from: the authorization header;
+    at the connect door else the explicit headers, else the id inside the message. No password
+    leaves the scan."""
+    connect = F.col("door") == "connect"
     found = log.select(
         "request_id",
         identity.header_user().alias("by_header"),
-        identity.explicit_user().alias("by_name"),
-        identity.message_user().alias("by_message"),
+        F.when(connect, identity.explicit_user()).alias("by_name"),
+        F.when(connect, identity.message_user()).alias("by_message"),
     )
     return found.select(
         "request_id",

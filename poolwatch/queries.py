@@ -6,7 +6,7 @@ from poolwatch import values as V
 from poolwatch.functions import hosts, identity, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
-from poolwatch.sources.sample import MANAGER, PREFIX, Sample, as_of
+from poolwatch.sources.sample import MANAGER, MEASURED_MINUTES, PREFIX, Sample, as_of, measured_at
 from poolwatch.streaming import jobs, run
 
 QUERIES = {}
@@ -47,8 +47,9 @@ def pod_utilisation(s: Sample) -> DataFrame:
 
 def _desired(s: Sample, counts: DataFrame) -> DataFrame:
     rollup = load.pool_rollup(s.pools, counts)
-    used = load.pool_utilisation(s.instances, s.container_usage, s.container_requests)
-    return capacity.desired_replicas(s.pools, rollup, used)
+    usage = capacity.current(s.container_usage, measured_at(), MEASURED_MINUTES)
+    used = load.pool_utilisation(s.instances, usage, s.container_requests)
+    return capacity.desired_replicas(s.pools, rollup, used, measured_at(), MEASURED_MINUTES)
 
 
 @query
@@ -178,7 +179,7 @@ def orphans(s: Sample) -> DataFrame:
 
 @query
 def session_reuse(s: Sample) -> DataFrame:
-    return sessions.session_reuse(routing.route_requests(s.requests, s.pools), s.sessions)
+    return sessions.session_reuse(routing.route_requests(s.requests, s.pools), s.sessions, PREFIX)
 
 
 @query
@@ -310,7 +311,8 @@ def instance_states(s: Sample) -> DataFrame:
 def container_quantities(s: Sample) -> DataFrame:
     rows = readers.usage_rows(s.pod_metrics)
     return rows.groupBy("pod", "container", "resource").agg(
-        F.count("*").alias("readings"), F.sum("usage_milli").cast("bigint").alias("usage_milli")
+        F.count("*").alias("readings"), F.ceil(F.sum("usage_milli")).cast("bigint").alias("usage_milli"),
+        F.count_if(F.col("usage_milli").isNull()).alias("unreadable"),
     )
 
 
@@ -481,7 +483,7 @@ def stream_idle_sessions(s: Sample) -> DataFrame:
 @stream("events")
 def stream_first_requests(s: Sample) -> DataFrame:
     rows = s.activity.select(*quota.USER, "ts")
-    return run.finish(jobs.first_requests(rows), "first-requests").select(*quota.USER)
+    return _instants(run.finish(jobs.first_requests(rows), "first-requests"))
 
 
 @stream("orders")

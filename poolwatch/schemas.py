@@ -55,7 +55,8 @@ ACTIVITY_RECORD = "namespace string, pool string, session string, user_name stri
 
 REQUEST_RECORD = """
 request_id string, namespace string, ts timestamp, door string,
-forwarded_host string, authority string, user_name string
+forwarded_host string, authority string, user_name string,
+authorization string, header_user string, has_password boolean, user_id string
 """
 
 ROUTE_RECORD = """

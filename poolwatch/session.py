@@ -6,6 +6,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A hot key is split also where that costs one more shuffle after the join.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.streaming.stateStore.providerClass": (
@@ -41,5 +43,4 @@ def cluster_settings(cores: int) -> dict[str, str]:
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(4 * cores),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.files.maxPartitionBytes": "256m",
-        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     }

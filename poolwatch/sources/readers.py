@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from poolwatch import schemas, values as V
 from poolwatch.functions import quantity
 from poolwatch.functions.states import instance_state
-from poolwatch.operators.lookup import lookup_join
 
 
 def _load(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
@@ -156,13 +155,14 @@ def _quantities(records: DataFrame, field: str, extra: list[Column], out: str) -
     names = [c for c in rows.columns if c not in ("namespace", "pod", "c")]
     return (
         rows.select("namespace", "pod", F.col("c.name").alias("container"), *names, F.explode(both).alias("resource", "text"))
-        .withColumn(out, F.coalesce(quantity.milli(F.col("text")), F.lit(0).cast("bigint")))
+        # Nothing stated is nothing; text that cannot be read stays unknown.
+        .withColumn(out, F.when(F.col("text").isNull(), F.lit(0).cast("decimal(38,6)")).otherwise(quantity.milli(F.col("text"))))
         .drop("text")
     )
 
 
 def usage_rows(records: DataFrame) -> DataFrame:
-    """Usage per container and resource, in milli-units."""
+    """Usage per container and resource, in milli-units; null where the amount cannot be read."""
     return _quantities(records, "usage", [F.col("timestamp").alias("tick")], "usage_milli")
 
 
@@ -229,4 +229,4 @@ def with_label_columns(rows: DataFrame, prefix: str, **columns: str) -> DataFram
 
 def lookup_keys(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key is in a set of keys."""
-    return lookup_join(rows, keys.select(*on).distinct(), on, "left_semi")
+    return rows.join(keys.select(*on).distinct(), on, "left_semi")

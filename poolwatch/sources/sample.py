@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from poolwatch.functions import maps
 from poolwatch.functions.states import instance_state
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.plans.routing import desired_routes
 from poolwatch.sources.readers import flatten_pools, pool_records
 
@@ -19,6 +18,14 @@ AS_OF = "2024-01-31 00:00:00"
 _AS_OF = f"timestamp_ntz'{AS_OF}'"
 
 
+# The sample's measures are monthly and end before its sessions begin.
+MEASURED_AT, MEASURED_MINUTES = "2001-06-15 00:00:00", 31 * 24 * 60
+
+
+def measured_at() -> Column:
+    return F.lit(MEASURED_AT).cast("timestamp_ntz")
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -99,9 +106,7 @@ class Sample:
         suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
         seats = suppliers.agg(F.count("*")).scalar()
         spread = rows.columns
-        return lookup_join(
-            rows.withColumn("s_suppkey", F.col(customer) % seats), suppliers, ["s_suppkey"], "left", spread
-        )
+        return rows.withColumn("s_suppkey", F.col(customer) % seats).join(suppliers, ["s_suppkey"], "left")
 
     @cached_property
     def quotas(self) -> DataFrame:
@@ -138,7 +143,9 @@ class Sample:
             f"{_ROLE} as role",
             "concat('spark-', s_suppkey) as app_id",
         )
-        return rows.withColumn("state", instance_state())
+        # Two states that no application tells, as old status records have them.
+        odd = F.expr("case s_suppkey % 20 when 8 then 'Submitted' when 6 then 'Lost' end".replace("s_suppkey", "pos"))
+        return rows.withColumn("state", F.coalesce(odd, instance_state()))
 
     @cached_property
     def services(self) -> DataFrame:
@@ -213,7 +220,7 @@ class Sample:
             .agg(F.sum("cpu").alias("cpu"), F.sum("memory").alias("memory"))
         )
         owners = self.table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey")
-        owned = lookup_join(per_tick, owners, ["l_suppkey"], "inner", ["l_linenumber", "tick"])
+        owned = per_tick.join(owners, ["l_suppkey"])
         return owned.selectExpr(
             _home("s_nationkey")[0],
             "concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod",
@@ -226,7 +233,7 @@ class Sample:
     def usage_readings(self) -> DataFrame:
         """One reading per order line, at its own time."""
         owners = self.table("supplier").selectExpr("s_suppkey as l_suppkey", "s_nationkey")
-        rows = lookup_join(self.table("lineitem"), owners, ["l_suppkey"], "inner", ["l_orderkey", "l_linenumber"])
+        rows = self.table("lineitem").join(owners, ["l_suppkey"])
         return rows.selectExpr(
             _home("s_nationkey")[0],
             "concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod",
@@ -254,7 +261,7 @@ class Sample:
         n = "l_linenumber"
         containers = f"""array(named_struct('name', concat('c', {n}), 'usage', named_struct(
             'cpu', element_at(array(concat({n}, '00m'), string({n}), concat('0.', {n}), concat({n}, 'e1'),
-              concat({n}, '000u'), 'bad'), cast(l_orderkey % 6 + 1 as int)),
+              concat({n}, '000u'), 'bad', concat({n}, '7n')), cast(l_orderkey % 7 + 1 as int)),
             'memory', element_at(array(concat({n}, 'Ki'), concat({n}, 'Mi'), concat({n}, '.5Gi'), concat({n}, 'M'), null),
               cast(l_orderkey % 5 + 1 as int))))) as containers"""
         return self.table("lineitem").selectExpr(
@@ -288,7 +295,7 @@ class Sample:
             "ts",
             "concat('user-', user_id) as user_name",
             "if(e % 7 = 0, 'thrift', kind) as door",
-            "case e % 5 when 0 then concat(own_host, ':443') when 1 then '' else own_host end as forwarded_host",
+            "case e % 5 when 0 then concat(own_host, ':443') when 1 then '' when 2 then null else own_host end as forwarded_host",
             "case e % 11 when 0 then '' when 1 then 'nowhere.example.com:80' else own_host end as authority",
             f"{header} as authorization",
             "case e % 4 when 0 then '' when 1 then concat('named-', user_id) end as header_user",

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import settings, states, timing
-from poolwatch.operators.lookup import lookup_join
 from poolwatch.plans.quota import USER
 from poolwatch.plans.sessions import SESSION
 from poolwatch.streaming import state
@@ -36,7 +35,7 @@ def thin_touches(activity: DataFrame, minutes: int = V.TOUCH_MINUTES, delay: str
 def idle_sessions(activity: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
     """Stretches of use per user and pool, emitted once the pool's idle timeout has passed."""
     limits = pools.select(*V.POOL, settings.idle_minutes().alias("idle_minutes"))
-    rows = lookup_join(timed(activity, delay), limits, V.POOL, "left").fillna(V.ZERO_IDLE_MINUTES, ["idle_minutes"])
+    rows = timed(activity, delay).join(limits, V.POOL, "left").fillna(V.ZERO_IDLE_MINUTES, ["idle_minutes"])
     gap = F.concat(F.col("idle_minutes").cast("string"), F.lit(" minutes"))
     return (
         rows.groupBy(*USER, F.session_window("ts", gap))
@@ -46,9 +45,10 @@ def idle_sessions(activity: DataFrame, pools: DataFrame, delay: str = DELAY) ->
 
 
 def first_requests(requests: DataFrame, delay: str = DELAY) -> DataFrame:
-    """One request per user and pool under a burst: the one that starts the session. A key is
-    free again once the watermark is past its request by the delay."""
-    return timed(requests, delay).dropDuplicatesWithinWatermark(USER)
+    """The first request of each burst per user and pool: the one that starts the session. A burst
+    ends with a pause as long as the delay, by event time, however the rows are cut into batches."""
+    bursts = timed(requests, delay).groupBy(*USER, F.session_window("ts", delay))
+    return bursts.agg(F.min("ts").alias("ts")).drop("session_window")
 
 
 def activation_wait(
@@ -85,7 +85,7 @@ def utilisation(
     """Mean over the pods of a pool per tick. `wanted` has the requests of the pods in question
     (namespace, pool, pod, container, resource, request_milli)."""
     key = ["namespace", "pod", "container", "resource"]
-    rows = lookup_join(timed(usage, delay), wanted, key, "inner")
+    rows = timed(usage, delay).join(wanted, key)
     per_pod = (
         rows.groupBy(*V.POOL, "pod", "resource", F.window("ts", tick))
         .agg(F.sum("usage_milli").alias("usage"), F.sum("request_milli").alias("request"))
@@ -114,7 +114,7 @@ def live_load(changes: DataFrame, by: list[str] = V.POOL) -> DataFrame:
 def session_states(activity: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
     """State changes of every session as touches arrive and clocks run out; append mode."""
     limits = pools.select(*V.POOL, settings.idle_minutes().alias("idle_minutes"))
-    rows = lookup_join(timed(activity, delay), limits, V.POOL, "left").fillna(V.ZERO_IDLE_MINUTES, ["idle_minutes"])
+    rows = timed(activity, delay).join(limits, V.POOL, "left").fillna(V.ZERO_IDLE_MINUTES, ["idle_minutes"])
     return (
         rows.select(*V.POOL, "session", "ts", "idle_minutes")
         .groupBy(*V.POOL, "session")
@@ -127,7 +127,7 @@ def session_states(activity: DataFrame, pools: DataFrame, delay: str = DELAY) ->
 def cooldowns(log: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
     """Shrink actions with the time since the pool's previous one; append mode."""
     limits = pools.select(*V.POOL, settings.cooldown_seconds().alias("cooldown_seconds"))
-    rows = lookup_join(timed(log.filter(F.col("action") == "shrink"), delay), limits, V.POOL, "left").fillna(
+    rows = timed(log.filter(F.col("action") == "shrink"), delay).join(limits, V.POOL, "left").fillna(
         V.ZERO_COOLDOWN_SECONDS, ["cooldown_seconds"]
     )
     return (

@@ -68,6 +68,9 @@ START_BUDGET_SECONDS = 60
 TOUCH_MINUTES = 2
 TICK_SECONDS = 30
 
+# Age at which a measurement no longer counts: ten ticks.
+MEASURED_MINUTES = 5
+
 # Identity and error text.
 AUTH_SCHEMES = ("basic", "bearer")
 USER_CLAIM, GROUPS_CLAIM = "sub", "groups"

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import Window, functions as F
 
-from poolwatch.operators import lookup
 from poolwatch.operators.scan import nearest, position_bucket, running_sum, time_bucket
 
 
@@ -18,55 +17,28 @@ def hot(spark):
     return spark.createDataFrame(data, "k string, i int, v int")
 
 
-@pytest.fixture(scope="module")
-def names(spark):
-    return spark.createDataFrame([("hot", 1)] + [(f"k{n}", n) for n in range(0, 60, 2)], "k string, n int")
-
-
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_split_join_equals_plain_join(hot, names, how):
-    want = sorted(map(tuple, hot.join(names, ["k"], how).collect()), key=str)
-    got = lookup.split_join(hot, names, ["k"], how, ["i"], rows_per_part=100)
-    assert sorted(map(tuple, got.collect()), key=str) == want
-
-
-def test_hot_keys_ask_for_parts(hot):
-    parts = dict(map(tuple, lookup.hot_keys(hot, ["k"], 100).collect()))
-    assert parts["hot"] == 10 and set(parts) == {"hot", None}
-
-
-def test_rows_of_a_hot_key_and_rows_without_key_are_spread(hot, names):
-    seen = lookup.split_join(hot, names.withColumn("n", F.lit(1)), ["k"], "left", ["i"], 100)
-    assert seen.count() == hot.count()
-
-
-def test_split_join_pairs_nothing_more_than_needed(hot, names):
-    plan = lookup.split_join(hot, names, ["k"], "left", ["i"], 100)._jdf.queryExecution().executedPlan().toString()
-    assert "_part" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
-
-
-def test_lookup_join_splits_only_when_both_sides_are_large(spark, hot, names, monkeypatch, tmp_path):
-    names.write.parquet(f"{tmp_path}/names")
-    small = spark.read.parquet(f"{tmp_path}/names")
-    assert not lookup.needs_split(small, names)
-    assert not lookup.needs_split(hot, small)
-    monkeypatch.setattr(lookup, "SPLIT_FROM_BYTES", 0)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+def test_adaptive_execution_splits_a_hot_key(spark, how):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
     try:
-        assert lookup.needs_split(hot, small)
-        want = sorted(map(tuple, hot.join(small, ["k"], "left").collect()), key=str)
-        got = lookup.lookup_join(hot, small, ["k"], "left", ["i"])
-        assert sorted(map(tuple, got.collect()), key=str) == want
+        many = spark.range(0, 40000, 1, 8).selectExpr("if(id % 3 = 0, -1, id % 500) as k", "id", "uuid() as filler")
+        keys = spark.range(-1, 400).selectExpr("id as k", "id * 2 as n")
+        joined = many.join(keys, ["k"], how).groupBy("k").agg(F.count("*").alias("n"))
+        got = dict(joined.collect())
+        plan = joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-
-
-def test_broadcast_limit_reads_units(spark):
-    df = spark.range(1)
-    for text, size in [("10485760", 10485760), ("10MB", 10 << 20), ("1g", 1 << 30), ("64k", 64 << 10), ("-1", -1)]:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", text)
-        assert lookup.broadcast_limit(df) == size
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        for key in small:
+            spark.conf.unset(key)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    hot = 13334
+    assert got.get(-1) == (None if how == "left_anti" else hot)
+    assert "skew=true" in plan
 
 
 @pytest.mark.parametrize("width", [1, 7, 500, 100000])

@@ -7,9 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from poolwatch.queries import QUERIES as OWN
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+# The queries over training text have tests of their own.
+QUERIES = {n: q for n, q in contract.queries().items() if n in OWN}
+ORACLES = {n: q for n, q in contract.oracle_sql().items() if n in OWN}
 
 
 @pytest.fixture(scope="module")
@@ -31,10 +34,20 @@ def test_every_query_has_a_twin():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, duck, name):
-    got = QUERIES[name](spark, SF_DIR)
     want = duck.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
-    assert _sorted(got.columns, got.collect()) == _sorted(columns, want.fetchall())
+    rows = _sorted(columns, want.fetchall())
+    got = QUERIES[name](spark, SF_DIR)
+    assert _sorted(got.columns, got.collect()) == rows
+    if name.startswith("stream_"):
+        return
+    # As on large tables, where nothing fits a broadcast.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = QUERIES[name](spark, SF_DIR)
+        assert _sorted(got.columns, got.collect()) == rows
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_entry(spark):

@@ -1,6 +1,7 @@
 """One hand-made row per branch of the rules."""
 
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -55,15 +56,17 @@ def test_desired_replicas(rows):
         pools.append(("ns", f"p{i}", *spec, 300, 720))
         rollup.append(("ns", f"p{i}", *counts))
         if mean is not None:
-            used.append(("ns", f"p{i}", spec[2], ago(hours=1), mean))
-            used.append(("ns", f"p{i}", spec[2], ago(hours=2), 999.0))
+            used.append(("ns", f"p{i}", spec[2], ago(minutes=1), mean))
+            used.append(("ns", f"p{i}", spec[2], ago(minutes=2), 999.0))
+        used.append(("ns", f"p{i}", spec[2], ago(minutes=5), 999.0))  # too old
+        used.append(("ns", f"p{i}", spec[2], ago(minutes=-1), 999.0))  # not yet known
     pools = rows(
         "namespace string, pool string, min_replicas int, max_replicas int, metric_type string, target_per_instance int, "
         "scale_up_threshold string, cooldown_seconds int, idle_timeout_minutes int", *pools)
     rollup = rows(
         "namespace string, pool string, running long, ready long, starting long, total long, waiting long", *rollup)
     used = rows("namespace string, pool string, resource string, tick timestamp_ntz, mean_percent double", *used)
-    got = {r.pool: (r.desired, r.reason) for r in capacity.desired_replicas(pools, rollup, used).collect()}
+    got = {r.pool: (r.desired, r.reason) for r in capacity.desired_replicas(pools, rollup, used, F.lit(NOW)).collect()}
     assert got == {f"p{i}": want for i, (_, _, _, want) in enumerate(DESIRED)}
 
 
@@ -130,6 +133,38 @@ def test_counts_keep_namespaces_apart_and_ignore_unknown_instances(rows):
     assert sorted(got) == [("n1", 1, 1, 1, 0, 2, 2), ("n2", 1, 1, 0, 0, 0, 0), ("n3", 0, 0, 0, 0, 0, 0)]
 
 
+def test_instances_keep_states_that_no_list_knows(rows):
+    states_ = ["Submitted", "Lost", "Running", "Assigning", "", None]
+    instances = rows("namespace string, pool string, instance string, pos long, state string",
+                     *[("n", "p", f"i{k}", k, s) for k, s in enumerate(states_)])
+    none = rows("namespace string, pool string, session string, state string, assigned_instance string")
+    counts = load.instance_counts(instances, none)
+    assert column(load.instance_load(counts).orderBy("pos"), "state") == states_
+    (got,) = load.pool_rollup(rows("namespace string, pool string", ("n", "p")), counts).collect()
+    assert (got.instances, got.running, got.starting) == (6, 1, 3)
+
+
+def test_measures_are_cut_ahead_of_the_joins(spark, rows, tmp_path):
+    usage = rows("namespace string, pod string, container string, resource string, tick timestamp_ntz, usage_milli long",
+                 ("n", "a-driver", "c", "cpu", NOW, 1))
+    usage.write.parquet(f"{tmp_path}/usage")
+    kept = capacity.current(spark.read.schema(usage.schema).parquet(f"{tmp_path}/usage"), F.lit(NOW), 5)
+    instances = rows("namespace string, pool string, instance string, state string", ("n", "p", "a", "Running"))
+    ask = rows("namespace string, pod string, container string, resource string, request_milli long", ("n", "a-driver", "c", "cpu", 1))
+    plan = load.pool_utilisation(instances, kept, ask)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(tick," in plan and "LessThanOrEqual(tick," in plan
+
+
+def test_amounts_are_summed_exactly_and_unreadable_pods_left_out(rows):
+    instances = rows("namespace string, pool string, instance string, state string", ("n", "p", "a", "Running"), ("n", "p", "b", "Running"))
+    usage = rows("namespace string, pod string, container string, resource string, tick timestamp_ntz, usage_milli decimal(38,6)",
+                 ("n", "a-driver", "c1", "cpu", NOW, Decimal("0.4")), ("n", "a-driver", "c2", "cpu", NOW, Decimal("0.4")),
+                 ("n", "b-driver", "c1", "cpu", NOW, None), ("n", "b-driver", "c2", "cpu", NOW, Decimal(5)))
+    ask = rows("namespace string, pod string, container string, resource string, request_milli long",
+               *[("n", f"{p}-driver", c, "cpu", 10) for p in "ab" for c in ("c1", "c2")])
+    assert column(load.pod_utilisation(instances, usage, ask), "pod", "usage", "request") == [("a-driver", 1, 20)]
+
+
 def test_utilisation_takes_joined_containers_and_unweighted_pods(rows):
     instances = rows("namespace string, pool string, instance string, state string",
                      ("n", "p", "a", "Running"), ("n", "p", "b", "Running"), ("n", "p", "z", "Running"), ("n", "p", "d", "Draining"))
@@ -245,10 +280,23 @@ def test_endpoints_take_the_first_driver_service(rows):
     ("::1", "", ":"), ("", "", ""), (None, None, ""), ("a:b:c", "", "a:b"), ("h:", "", "h"),
 ])
 def test_request_host(rows, forwarded, host, want):
-    df = rows("forwarded_host string, authority string", (forwarded, host))
+    df = rows("forwarded_host string, authority string, door string", (forwarded, host, "thrift"))
     assert column(df.select(hosts.request_host().alias("h")), "h") == [want]
 
 
+@pytest.mark.parametrize("door, forwarded, want", [("connect", "", ""), ("connect", None, "h"), ("thrift", "", "h"), ("connect", "f:1", "f")])
+def test_empty_forwarded_host_counts_at_the_connect_door(rows, door, forwarded, want):
+    df = rows("forwarded_host string, authority string, door string", (forwarded, "h:80", door))
+    assert column(df.select(hosts.request_host().alias("h")), "h") == [want]
+
+
+@pytest.mark.parametrize("door, want", [("connect", ("al", "explicit")), ("thrift", (None, "none")), (None, (None, "none"))])
+def test_names_beside_the_header_count_at_the_connect_door(rows, door, want):
+    df = rows("request_id int, door string, authorization string, header_user string, has_password boolean, user_id string",
+              (1, door, None, "al", True, "bo"))
+    assert column(views.access_identity(df), "user_name", "source") == [want]
+
+
 def test_routing(rows):
     pools = rows("namespace string, pool string, pos long, type string, host string",
                  ("n", "late", 2, "connect", "two"), ("n", "early", 1, "thrift", "two"), ("n", "solo", 3, "connect", "one"),
@@ -265,10 +313,15 @@ def test_routing(rows):
 def test_session_reuse_takes_the_oldest_usable(rows):
     routed = rows("request_id int, namespace string, pool string, user_name string, status string",
                   (1, "n", "p", "u", "ok"), (2, "n", "p", "v", "ok"), (3, "n", "p", "u", "no_pool"))
-    table = rows("namespace string, session string, user_name string, pool string, state string, created_at timestamp_ntz",
+    plain = rows("namespace string, session string, user_name string, pool string, state string, created_at timestamp_ntz",
                  ("n", "dead", "u", "p", "Failed", ago(hours=9)), ("n", "blank", "u", "p", "", ago(hours=8)),
                  ("n", "b", "u", "p", "Idle", ago(hours=5)), ("n", "a", "u", "p", "Pending", ago(hours=5)), ("n", "c", "v", "q", "Active", NOW))
-    assert sorted(column(sessions.session_reuse(routed, table), "request_id", "session"), key=str) == [(1, "a"), (2, None)]
+    label = lambda user, pool: F.create_map(F.lit("x/user"), user, F.lit("x/pool"), pool)
+    table = plain.withColumn("labels", label(F.col("user_name"), F.col("pool")))
+    assert sorted(column(sessions.session_reuse(routed, table, "x"), "request_id", "session"), key=str) == [(1, "a"), (2, None)]
+    # The labels decide, not the columns.
+    other = plain.withColumns({"labels": label(F.lit("v"), F.lit("p")), "user_name": F.lit("u")})
+    assert sorted(column(sessions.session_reuse(routed, other, "x"), "request_id", "session"), key=str) == [(1, None), (2, "a")]
 
 
 def test_activation_wait(rows):
@@ -401,6 +454,13 @@ def test_token_claims_under_other_names(rows):
     assert (got.claimed_user, got.claimed_groups) == ("al", ["r"])
 
 
+def test_claim_names_are_whole_names(rows):
+    token = _token('{"https://x/groups":["g"],"preferred.name":"al","it\'s":"bo"}')
+    (got,) = views.token_claims(rows("token string", (token,)), "preferred.name", "https://x/groups").collect()
+    assert (got.claimed_user, got.claimed_groups) == ("al", ["g"])
+    assert column(views.token_claims(rows("token string", (token,)), "it's"), "claimed_user") == ["bo"]
+
+
 def test_long_base64_is_no_trouble(rows):
     long = "u" * 200_000
     df = rows("authorization string, token string", (f"Basic {_b64(long + ':pw')}", _token('{"sub":"%s"}' % long)))
@@ -419,10 +479,12 @@ def test_bounded_message(rows):
 
 @pytest.mark.parametrize("amount, want", [
     ("100m", 100), ("2", 2000), ("0.1", 100), ("1e3", 1_000_000), ("12E2", 1_200_000), ("1Ki", 1_024_000), ("1.5Gi", 1_610_612_736_000),
-    ("16Gi", 17_179_869_184_000), ("1n", 1), ("1500u", 2), ("bad", None), ("", None), ("1 ", None), ("1mm", None), (None, None), ("3M", 3_000_000_000),
+    ("16Gi", 17_179_869_184_000), ("1n", "0.000001"), ("1500u", "1.5"), ("1234567n", "1.234567"),
+    ("10P", 10**19), ("1E", 10**21), ("1Ei", 2**60 * 1000), ("1K", None), ("bad", None), ("", None), ("1 ", None), ("1mm", None), (None, None), ("3M", 3_000_000_000),
 ])
 def test_quantity(rows, amount, want):
-    assert column(rows("q string", (amount,)).select(quantity.milli(F.col("q")).alias("m")), "m") == [want]
+    assert column(rows("q string", (amount,)).select(quantity.milli(F.col("q")).alias("m")), "m") == [
+        None if want is None else Decimal(want)]
 
 
 @pytest.mark.parametrize("raw, want", [("0.5", 0.5), ("", 0.8), ("0", 0.8), ("abc", 0.8), (None, 0.8), ("1e-1", 0.1), (" 0.5", 0.8), ("0.5d", 0.8), (".5", 0.5)])
