@@ -126,8 +126,7 @@ select namespace, session, ts, case when now in ('Active', 'Idle', 'Failed', 'Te
 from (select q.namespace, q.session, q.ts, arg_max(c.state, (c.ts, c.seq)) filter (c.ts <= q.ts) as now,
     min(c.ts) filter (c.ts > q.ts and c.state <> 'Pending') as next_ts,
     arg_min(c.state, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_state
-  from (select namespace, session, created_at as ts from f_sessions) q
-  left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)""",
+  from f_asked q left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)""",
     "last_activity": """
 select namespace, pool, session, max(ts) as last_activity_at, count(*) as touches from f_activity group by 1, 2, 3""",
     "touched_sessions": """
@@ -314,13 +313,16 @@ from (select *, sum(cut) over (partition by namespace, pool, user_name order by
 group by namespace, pool, user_name, burst
 having max(ts) + to_minutes(10) <= (select mark from f_mark)""",
     "stream_activation_wait": """
-select q.namespace, q.session, q.ts, date_diff('second', q.ts, min(c.ts)) as wait_seconds,
-  case when min(c.ts) is null then 'timeout' when arg_min(c.state, c.ts) in ('Active', 'Idle') then 'ok' else 'failed' end as outcome
-from (select namespace, session, created_at as ts from f_sessions) q
-left join f_state_changes c on c.namespace = q.namespace and c.session = q.session and c.state <> 'Pending'
-  and c.ts between q.ts and q.ts + to_seconds(60)
-where q.ts + to_seconds(60) <= (select max(created_at) from f_sessions) - to_minutes(10)
-group by 1, 2, 3""",
+select namespace, session, ts, case when now in ('Active', 'Idle', 'Failed', 'Terminated', 'Terminating') then 0
+    when next_ts <= ts + to_seconds(60) then date_diff('second', ts, next_ts) end as wait_seconds,
+  case when now in ('Active', 'Idle') then 'ok' when now in ('Failed', 'Terminated', 'Terminating') then 'failed'
+    when next_ts <= ts + to_seconds(60) then case when next_state in ('Active', 'Idle') then 'ok' else 'failed' end
+    else 'timeout' end as outcome
+from (select q.namespace, q.session, q.ts, arg_max(c.state, (c.ts, c.seq)) filter (c.ts <= q.ts) as now,
+    min(c.ts) filter (c.ts > q.ts and c.state <> 'Pending') as next_ts,
+    arg_min(c.state, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_state
+  from f_asked q left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)
+where ts + to_seconds(60) < (select max(ts) from f_asked) - to_minutes(10)""",
     "stream_utilisation": """
 select namespace, pool, resource, tick, count(*) as measured_pods,
   cast(sum((cast(usage as hugeint) * 100000000) // request) // count(*) as bigint) as mean_micro_percent

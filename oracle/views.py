@@ -64,6 +64,9 @@ select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, seq
   case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome,
   case when seq = 0 then 'Pending' when seq = 2 and k % 17 <> 0 then 'Terminated' else outcome end as state, k, nk
 from f_orders cross join (select unnest([0, 1, 2]) as seq) q""",
+    "f_asked": """
+select namespace, session, created_at as ts from f_sessions
+union all select namespace, session, created_at + to_seconds(100) from f_sessions where k % 5 = 0""",
     "f_usage": """
 select concat('ns-', s_nationkey % 9) as namespace, concat('pool-', s_nationkey, '-', l_suppkey, '-driver') as pod,
   concat('c', l_linenumber) as container, date_trunc('month', l_shipdate) as tick, r as resource,

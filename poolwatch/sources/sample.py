@@ -334,8 +334,12 @@ class Sample:
 
     @cached_property
     def session_requests(self) -> DataFrame:
-        """One start request per session."""
-        return self.sessions.select("namespace", "session", F.col("created_at").alias("ts"))
+        """A start request per session; for one in five another later, when its fate is known."""
+        again = "if(k % 5 = 0, array(0, 100), array(0))"
+        rows = self._orders.selectExpr(
+            *_home("nk"), "concat('session-', k) as session", f"explode({again}) as after", f"{_back('(k * 7) % 1000 + k % 600')} as start",
+        )
+        return rows.selectExpr("namespace", "session", "timestampadd(second, after, start) as ts")
 
     @cached_property
     def state_changes(self) -> DataFrame:

@@ -8,7 +8,9 @@ from poolwatch.functions import settings, states, timing
 from poolwatch.plans.quota import USER
 from poolwatch.plans.sessions import SESSION
 from poolwatch.streaming import state
-from poolwatch.streaming.state import COOLDOWN_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock
+from poolwatch.streaming.state import (
+    ASKED, COOLDOWN_OUTPUT, FAILED, OK, OPEN, START_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock, StartClock,
+)
 
 # The processors travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(state)
@@ -54,28 +56,20 @@ def first_requests(requests: DataFrame, delay: str = DELAY) -> DataFrame:
 def activation_wait(
     requests: DataFrame, changes: DataFrame, budget: int = V.START_BUDGET_SECONDS, delay: str = DELAY
 ) -> DataFrame:
-    """Outcome of each start request; one without a match comes out as a timeout once the
-    watermark has passed its budget."""
-    asked = timed(requests, delay).select(*SESSION, "ts")
-    decided = timed(changes.filter(states.holds_instance() | states.start_failed()), delay).select(
-        F.col("namespace").alias("d_namespace"), F.col("session").alias("d_session"),
-        F.col("ts").alias("d_ts"), "state",
-    )
-    within = (
-        (F.col("namespace") == F.col("d_namespace"))
-        & (F.col("session") == F.col("d_session"))
-        & (F.col("d_ts") >= F.col("ts"))
-        & F.expr(f"d_ts <= ts + interval {int(budget)} seconds")
-    )
-    nearest = (
-        asked.join(decided, within, "leftOuter")
-        .groupBy(*SESSION, "ts")
-        .agg(F.min("d_ts").alias("d_ts"), F.min_by("state", "d_ts").alias("state"))
-    )
-    return nearest.select(
-        *SESSION, "ts",
-        timing.whole_seconds(F.col("ts"), F.col("d_ts")).alias("wait_seconds"),
-        F.when(F.col("state").isNull(), "timeout").when(states.holds_instance(), "ok").otherwise("failed").alias("outcome"),
+    """Outcome of each start request, as the batch job has it: the state its session is in at that
+    moment or the next that decides within the budget. It comes out once the watermark has passed
+    the budget, so it does not depend on how rows are cut into batches. `changes` has a `seq` that
+    orders changes of one moment."""
+    outcome = F.when(states.holds_instance(), OK).when(states.start_failed(), FAILED).otherwise(OPEN)
+    asked = timed(requests, delay).select(*SESSION, "ts", F.lit(ASKED).alias("kind"), F.lit(0).cast("bigint").alias("seq"))
+    became = timed(changes, delay).select(*SESSION, "ts", outcome.alias("kind"), F.col("seq").cast("bigint").alias("seq"))
+    return (
+        asked.unionByName(became)
+        .withColumn("budget", F.lit(budget).cast("bigint"))
+        .groupBy(*SESSION)
+        .transformWithStateInPandas(
+            statefulProcessor=StartClock(), outputStructType=START_OUTPUT, outputMode="append", timeMode="eventTime"
+        )
     )
 
 

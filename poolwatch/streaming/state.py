@@ -1,4 +1,4 @@
-"""State that outlives a micro-batch: the clock of a session and the cooldown of a pool."""
+"""State that outlives a micro-batch: clocks of sessions and start requests, cooldown of a pool."""
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
@@ -10,6 +10,10 @@ COOLDOWN_OUTPUT = (
     "namespace string, pool string, action_id bigint, ts timestamp, "
     "seconds_since_previous bigint, inside_cooldown boolean"
 )
+START_OUTPUT = "namespace string, session string, ts timestamp, wait_seconds bigint, outcome string"
+# What a change of state means to a start request, and the request itself.
+OPEN, OK, FAILED, ASKED = 0, 1, 2, 3
+_OUTCOMES = {OK: "ok", FAILED: "failed"}
 _MINUTE = 60_000_000
 
 
@@ -106,6 +110,83 @@ class SessionClock(StatefulProcessor):
         )
 
 
+class StartClock(StatefulProcessor):
+    """Start requests of a session and its state changes, kept until a request is decided.
+
+    Changes that no open or coming request can ask about are dropped, but for the last of them.
+    """
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.asked = handle.getListState("asked", "ts bigint, due bigint")
+        self.changes = handle.getListState("changes", "ts bigint, seq bigint, kind int")
+
+    def handleInputRows(self, key, rows, timerValues):
+        asked, changes = [], []
+        for part in rows:
+            at = _micros(part["ts"])
+            for ts, kind, seq, budget in zip(at.tolist(), part["kind"].tolist(), part["seq"].tolist(), part["budget"].tolist()):
+                if kind == ASKED:
+                    asked.append((ts, ts + budget * 1_000_000))
+                else:
+                    changes.append((ts, seq, kind))
+        if asked:
+            self.asked.appendList(asked)
+            for due in {due for _, due in asked}:
+                self.handle.registerTimer(due // 1000 + 1)
+        if changes:
+            self.changes.put(self._kept([*self.changes.get(), *changes], [*self.asked.get()], timerValues))
+        yield self._frame(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        asked, changes = [*self.asked.get()], sorted(tuple(c) for c in self.changes.get())
+        open_ = [tuple(a) for a in asked if a[1] >= now]
+        out = [self._decided(ts, due, changes) for ts, due in sorted(tuple(a) for a in asked) if due < now]
+        if open_:
+            self.asked.put(open_)
+        else:
+            self.asked.clear()
+        if changes:
+            self.changes.put(self._kept(changes, open_, timerValues))
+        yield self._frame(key, out)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _kept(changes, asked, timerValues) -> list[tuple]:
+        """The changes from the last one before the first request that is open or may still come."""
+        changes = sorted(tuple(c) for c in changes)
+        first = min([timerValues.getCurrentWatermarkInMs() * 1000, *[a[0] for a in asked]])
+        before = [i for i, c in enumerate(changes) if c[0] <= first]
+        return changes[before[-1] :] if before else changes
+
+    @staticmethod
+    def _decided(ts, due, changes) -> tuple:
+        held = [c for c in changes if c[0] <= ts]
+        if held and held[-1][2] != OPEN:
+            return ts, 0, _OUTCOMES[held[-1][2]]
+        # The last change of a moment stands.
+        last = {c[0]: c[2] for c in changes if ts < c[0] <= due}
+        for at, kind in sorted(last.items()):
+            if kind != OPEN:
+                return ts, (at - ts) // 1_000_000, _OUTCOMES[kind]
+        return ts, None, "timeout"
+
+    @staticmethod
+    def _frame(key, out) -> pd.DataFrame:
+        return pd.DataFrame(
+            {
+                "namespace": pd.Series([key[0]] * len(out), dtype="object"),
+                "session": pd.Series([key[1]] * len(out), dtype="object"),
+                "ts": pd.to_datetime(pd.Series([o[0] for o in out], dtype="int64"), unit="us"),
+                "wait_seconds": pd.Series([o[1] for o in out], dtype="Int64"),
+                "outcome": pd.Series([o[2] for o in out], dtype="object"),
+            }
+        )
+
+
 class CooldownClock(StatefulProcessor):
     """The last shrink of a pool. A pool acts once per tick, so a batch of one pool is small."""
 

@@ -8,7 +8,9 @@ from pathlib import Path
 
 import pytest
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
+from poolwatch.plans import sessions
 from poolwatch.sources import readers
 from poolwatch.streaming import jobs, run
 
@@ -67,23 +69,40 @@ def test_idle_sessions_close_after_the_timeout(feed, pools):
     assert sorted((minutes(r.started_at), minutes(r.last_touch_at), r.touches) for r in got.collect()) == [(0, 30, 2), (61, 70, 2)]
 
 
-def test_first_requests_keeps_one_per_burst(feed):
-    later = [("n", "p", "x", "other", T + timedelta(minutes=90))]
-    stream = feed(TOUCH, touches(0, 0.1, 0.2), touches(1), later, touches(100), touches(101))
+@pytest.mark.parametrize("cut", [False, True])
+def test_first_requests_are_told_by_event_time(feed, cut):
+    rows_ = touches(0, 0.1, 5, 100, 101, 220, 341)
+    batches = [[r] for r in rows_] if cut else [rows_]
+    stream = feed(TOUCH, *batches, touches(900), touches(2000))
     got = run.finish(jobs.first_requests(stream.drop("session")), "t").filter("user_name = 'u'")
-    assert sorted(minutes(r.ts) // 50 for r in got.collect()) == [0, 2]
+    assert sorted(minutes(r.ts) for r in got.collect()) == [0, 100, 220, 341, 900]
 
 
-def test_activation_wait_has_its_deadline(feed):
+@pytest.mark.parametrize("cut", [False, True])
+def test_activation_wait_equals_the_batch_job(spark, feed, cut):
     at = lambda s: T + timedelta(seconds=s)
-    asked = feed("namespace string, session string, ts timestamp",
-                 [("n", "a", at(0)), ("n", "b", at(0)), ("n", "c", at(0)), ("n", "d", at(0))], [("n", "z", at(9000))])
-    changes = feed("namespace string, session string, ts timestamp, state string",
-                   [("n", "a", at(0), "Pending"), ("n", "a", at(60), "Active"), ("n", "b", at(61), "Active"),
-                    ("n", "c", at(5), "Failed"), ("n", "c", at(9), "Active")], [("n", "y", at(9000), "Active")])
-    got = run.finish(jobs.activation_wait(asked, changes), "t")
-    want = {"a": (60, "ok"), "b": (None, "timeout"), "c": (5, "failed"), "d": (None, "timeout")}
-    assert {r.session: (r.wait_seconds, r.outcome) for r in got.collect()} == want
+    change = "namespace string, session string, ts timestamp, seq long, state string"
+    asked = [("n", x, at(100)) for x in ("active", "failed", "s30", "s60", "s61", "never", "woken")] + [("n", "s30", at(200))]
+    became = [
+        ("n", "active", at(0), 0, "Pending"), ("n", "active", at(10), 1, "Active"), ("n", "failed", at(50), 0, "Failed"),
+        ("n", "s30", at(100), 0, "Pending"), ("n", "s30", at(130), 1, "Active"), ("n", "s60", at(160), 0, "Active"),
+        ("n", "s61", at(161), 0, "Active"), ("n", "woken", at(90), 0, "Active"), ("n", "woken", at(90), 1, "Pending"),
+        ("n", "woken", at(105), 2, "Failed"), ("n", "woken", at(106), 3, "Active"),
+    ]
+    end = [("n", "end", at(9000))], [("n", "end", at(9000), 0, "Active")]
+    ask = feed("namespace string, session string, ts timestamp", *([[r] for r in asked] if cut else [asked]), end[0], end[0])
+    changes = feed(change, *([[r] for r in became] if cut else [became]), end[1], end[1])
+    got = run.finish(jobs.activation_wait(ask, changes), "t")
+    plain = lambda df: df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = sessions.activation_wait(
+        plain(spark.createDataFrame(asked, "namespace string, session string, ts timestamp")),
+        plain(spark.createDataFrame(became, change)), F.lit(at(9000)).cast("timestamp_ntz"),
+    )
+    told = lambda df: sorted((r.session, str(r.ts), r.wait_seconds, r.outcome) for r in df.collect())
+    assert told(got) == told(want)
+    by = {(r.session, r.wait_seconds, r.outcome) for r in got.collect()}
+    assert by == {("active", 0, "ok"), ("failed", 0, "failed"), ("s30", 30, "ok"), ("s30", 0, "ok"), ("s60", 60, "ok"),
+                  ("s61", None, "timeout"), ("never", None, "timeout"), ("woken", 5, "failed")}
 
 
 def test_utilisation_per_tick(feed, rows):
@@ -160,10 +179,10 @@ def test_stream_sources_declare_their_schema(spark, tmp_path):
 
 
 def test_processors_travel_without_the_package(tmp_path):
-    sent = cloudpickle.dumps([jobs.SessionClock(), jobs.CooldownClock()])
+    sent = cloudpickle.dumps([jobs.SessionClock(), jobs.CooldownClock(), jobs.StartClock()])
     load = "import pickle, sys; print(len(pickle.loads(sys.stdin.buffer.read())), 'poolwatch' in sys.modules)"
     done = subprocess.run([sys.executable, "-c", load], input=sent, cwd=tmp_path, capture_output=True, check=True)
-    assert done.stdout.split() == [b"2", b"False"]
+    assert done.stdout.split() == [b"3", b"False"]
 
 
 def test_tick_is_a_trigger(feed, tmp_path):
