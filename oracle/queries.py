@@ -166,8 +166,21 @@ from (select *, unnest(['nginx.ingress.kubernetes.io/backend-protocol', 'yandex.
       else ['nginx.ingress.kubernetes.io/proxy-body-size'] end) as a
   from f_tenants where type <> 'batch')""",
     "ownership_labels": f"""
-select session, unnest(['{PREFIX}/user', '{PREFIX}/pool', '{PREFIX}/origin']) as label, unnest([label_user, pool, 'proxy']) as label_value
+select session, unnest(['{PREFIX}/user', '{PREFIX}/pool', '{PREFIX}/origin']) as label, unnest([user_name, pool, 'proxy']) as label_value
 from f_sessions""",
+    "instance_labels": f"""
+select instance, unnest(['{PREFIX}/pool', '{PREFIX}/pool-type', '{PREFIX}/managed-by', '{PREFIX}/instance-role']) as label,
+  unnest([i.pool, p.type, 'fleet-manager', 'active']) as label_value
+from f_instances i join f_pools p on p.namespace = i.namespace and p.pool = i.pool""",
+    "service_records": """
+select namespace, concat('app-', pos, unnest(['-ui-svc', case when pos % 11 = 0 then '-headless' else '-driver-svc' end])) as service,
+  app_id, unnest([0, 1]) as pos from f_instances""",
+    "route_records": """
+select namespace, concat(pool, '-', type) as route, 'nginx' as class, host, '/' as path, 'Prefix' as path_type, 'fleet-proxy' as service,
+  case type when 'connect' then 15002 else 10009 end as port from f_tenants where type <> 'batch'""",
+    "written_listing": """
+select concat('{"name":"', session, '","user":"', user_name, '","pool":"', pool, '","state":"', state, '"}') as value
+from f_sessions where user_name = 'user-7'""",
     "route_drift": f"""
 select namespace, concat(pool, '-', type) as route,
   case when c % 6 = 1 or c % 29 = 0 then 'create' when differs = '' then 'keep' else 'update' end as verdict,
@@ -248,8 +261,11 @@ from (select *, unnest([case when type = 'batch' then 'type_unknown' end, case w
   from f_tenants) where rule is not null group by 1""",
     "validate_sessions": """
 select rule, count(*) as bad_rows, min(concat(namespace, '/', session)) as first_key
-from (select *, unnest([case when state = '' then 'state_empty' end, case when state = 'Assigning' then 'state_unknown' end,
-    case when label_user <> user_name then 'user_label_differs' end]) as rule from f_sessions) where rule is not null group by 1""",
+from (select *, unnest([case when state = '' and k % 16 <> 1 then 'state_empty' end, case when state = 'Assigning' then 'state_unknown' end,
+    case when label_user <> user_name then 'user_label_differs' end, case when k % 21 = 0 then 'condition_type' end,
+    case when k % 33 = 0 then 'condition_status' end, case when k % 39 = 0 or k % 51 = 0 then 'condition_reason' end,
+    case when k % 57 = 0 then 'condition_message' end, case when k % 87 = 0 then 'condition_generation_below_0' end,
+    case when k % 93 = 0 then 'condition_time_missing' end]) as rule from f_sessions) where rule is not null group by 1""",
     "template_profile": "select namespace, pool, setting, value from f_profile",
     "template_differences": """
 select setting, value, count(*) as pools, min(pool) as first_pool, any_value(values_seen) as values_seen
@@ -312,6 +328,13 @@ from (select *, sum(cut) over (partition by namespace, pool, user_name order by
       then 1 else 0 end as cut from f_activity))
 group by namespace, pool, user_name, burst
 having max(ts) + to_minutes(10) <= (select mark from f_mark)""",
+    "stream_access_identity": """
+select cast(event_id as varchar) as request_id, coalesce(h, e, m) as user_name,
+  case when h is not null then 'authorization' when e is not null then 'explicit' when m is not null then 'message' else 'none' end as source
+from (select event_id, event_id % 7 <> 0 and user_id % 25 % 2 = 0 as connect, case when event_id % 9 < 2 then concat('user-', user_id) end as h,
+    case when connect and event_id % 3 <> 0 and event_id % 4 = 1 then concat('named-', user_id) end as e,
+    case when connect then case event_id % 6 when 0 then concat('inner-', user_id) when 1 then concat('plain-', user_id) end end as m from events)""",
+    "stream_activity_records": "select namespace, pool, session, user_name, kind, ts from f_activity",
     "stream_activation_wait": """
 select namespace, session, ts, case when now in ('Active', 'Idle', 'Failed', 'Terminated', 'Terminating') then 0
     when next_ts <= ts + to_seconds(60) then date_diff('second', ts, next_ts) end as wait_seconds,

@@ -50,6 +50,13 @@ def origin(**layers: Column) -> Column:
     return overlay(*[named(name, m) for name, m in layers.items()])
 
 
+def instance_labels(prefix: str, manager: str, pool: str = "pool", pool_type: str = "type") -> Column:
+    """Labels a server instance starts with."""
+    return ownership_labels(
+        prefix, pool=F.col(pool), pool_type=F.col(pool_type), managed_by=F.lit(manager), instance_role=F.lit("active")
+    )
+
+
 def ownership_labels(prefix: str, **labels: Column) -> Column:
     """Labels that say whom a record belongs to, under the cluster's label prefix."""
     return F.create_map(

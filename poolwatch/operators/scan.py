@@ -26,23 +26,26 @@ def _along(keys: list[str]):
 
 
 def running_sum(
-    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, bucket: Column
+    df: DataFrame, keys: list[str], order: list[str], value: str, out: str, bucket: Column, coarser: Column | None = None
 ) -> DataFrame:
     """Sum of `value` over the rows of a key up to and including this one.
 
-    `bucket` must grow with `order`; `order` should tell all rows of a key apart.
+    `bucket` must grow with `order`; `order` should tell all rows of a key apart. With `coarser`, a
+    bucket of the column `_fine`, the buckets themselves are summed in two levels, for keys that
+    have very many of them.
     """
     rows = df.withColumns({"_bucket": bucket, "_place": F.lit(_ROW)})
-    earlier, _ = _along(keys)
-    opening = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(F.sum(value).alias(value))
-        .withColumns({value: F.sum(value).over(earlier), "_place": F.lit(_FIRST)})
-        .filter(F.col(value).isNotNull())
-    )
+    totals = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias(value))
+    if coarser is None:
+        earlier, _ = _along(keys)
+        carried = totals.withColumn(value, F.sum(value).over(earlier))
+    else:
+        upto = running_sum(totals.withColumnRenamed("_bucket", "_fine"), keys, ["_fine"], value, "_upto", coarser)
+        carried = upto.select(*keys, F.col("_fine").alias("_bucket"), (F.col("_upto") - F.col(value)).alias(value))
+    opening = carried.withColumn("_place", F.lit(_FIRST)).filter(F.col(value).isNotNull())
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_place", *order)
-    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
-    stacked = rows.unionByName(opening, allowMissingColumns=True).withColumn(out, F.sum(value).over(upto))
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    stacked = rows.unionByName(opening, allowMissingColumns=True).withColumn(out, F.sum(value).over(so_far))
     return stacked.filter(F.col("_place") == _ROW).drop("_bucket", "_place")
 
 

@@ -133,14 +133,15 @@ def concurrency(history: DataFrame, keys: list[str]) -> DataFrame:
     """Live sessions per key after each moment at which their number changed.
 
     Starts and ends at one moment are netted first: that is the rule that an end comes before a
-    start, and it bounds a key to one row per moment. The running sum is cut into days.
+    start, and it bounds a key to one row per moment. The running sum is cut into minutes, and those
+    into days, so that a crowded day of one key is many small groups.
     """
     starts = history.select(*keys, F.col("started_at").alias("ts"), F.lit(1).alias("delta"))
     ends = history.filter("ended_at is not null").select(
         *keys, F.col("ended_at").alias("ts"), F.lit(-1).alias("delta")
     )
     net = starts.unionByName(ends).groupBy(*keys, "ts").agg(F.sum("delta").alias("delta"))
-    return running_sum(net, keys, ["ts"], "delta", "live", time_bucket("ts"))
+    return running_sum(net, keys, ["ts"], "delta", "live", time_bucket("ts", "minute"), time_bucket("_fine"))
 
 
 def quota_audit(history: DataFrame, limits: DataFrame, keys: list[str], as_of: Column) -> DataFrame:

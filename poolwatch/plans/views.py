@@ -97,12 +97,21 @@ def _not_in(col: str, allowed) -> Column:
     return F.col(col).isNotNull() & ~F.col(col).isin(*allowed)
 
 
-def _bad_conditions() -> dict[str, Column]:
-    any_of = lambda bad: F.exists(F.col("status.conditions"), bad)
+def _bad_conditions(conditions: str) -> dict[str, Column]:
+    any_of = lambda bad: F.exists(F.col(conditions), bad)
+    wrong = lambda proper: ~F.coalesce(proper, F.lit(False))  # noqa: E731  also what is missing
+    fits = lambda c, field, most: F.length(c[field]) <= most
     return {
-        "condition_reason": any_of(lambda c: ~c["reason"].rlike(V.CONDITION_REASON)),
-        "condition_type": any_of(lambda c: ~c["type"].rlike(V.CONDITION_TYPE)),
-        "condition_status": any_of(lambda c: ~c["status"].isin(*V.CONDITION_STATES)),
+        "condition_reason": any_of(
+            lambda c: wrong(c["reason"].rlike(V.CONDITION_REASON) & fits(c, "reason", V.CONDITION_REASON_CHARS))
+        ),
+        "condition_type": any_of(
+            lambda c: wrong(c["type"].rlike(V.CONDITION_TYPE) & fits(c, "type", V.CONDITION_TYPE_CHARS))
+        ),
+        "condition_status": any_of(lambda c: wrong(c["status"].isin(*V.CONDITION_STATES))),
+        "condition_message": any_of(lambda c: wrong(fits(c, "message", V.CONDITION_MESSAGE_CHARS))),
+        "condition_time_missing": any_of(lambda c: c["lastTransitionTime"].isNull()),
+        "condition_generation_below_0": any_of(lambda c: c["observedGeneration"] < 0),
     }
 
 
@@ -119,20 +128,25 @@ def validate_pools(records: DataFrame) -> DataFrame:
         "instance_state_unknown": F.exists(
             F.col("status.instances"), lambda i: ~i["state"].isin(*V.INSTANCE_STATES)
         ),
+        "instance_field_missing": F.exists(
+            F.col("status.instances"), lambda i: i["name"].isNull() | i["state"].isNull()
+        ),
     }
-    return _broken_rules(records, F.concat_ws("/", "namespace", "name"), rules | _bad_conditions())
+    return _broken_rules(records, F.concat_ws("/", "namespace", "name"), rules | _bad_conditions("status.conditions"))
 
 
 def validate_sessions(sessions: DataFrame, prefix: str) -> DataFrame:
-    """Checks of the declared session schema, and labels that contradict the record."""
+    """Checks of the declared session schema, and labels that contradict the record. A session
+    without a status is a new one; inside a status the state is required."""
     seen = F.try_element_at(F.col("labels"), F.lit(f"{prefix}/user"))
     rules = {
         "user_missing": F.col("user_name").isNull(),
         "pool_missing": F.col("pool").isNull(),
-        "state_empty": states.clean("state") == "",
+        "state_empty": F.col("has_status") & (states.clean("state") == ""),
         "state_unknown": (states.clean("state") != "") & _not_in("state", V.SESSION_STATES),
         "user_label_differs": ~seen.eqNullSafe(F.col("user_name")),
     }
+    rules |= _bad_conditions("conditions")
     return _broken_rules(sessions, F.concat_ws("/", "namespace", "session"), rules)
 
 

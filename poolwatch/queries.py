@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from poolwatch import values as V
-from poolwatch.functions import hosts, identity, states
+from poolwatch.functions import hosts, identity, maps, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
 from poolwatch.sources.sample import MANAGER, MEASURED_MINUTES, PREFIX, Sample, as_of, measured_at
@@ -249,7 +249,14 @@ def desired_routes(s: Sample) -> DataFrame:
 
 @query
 def ownership_labels(s: Sample) -> DataFrame:
-    return s.sessions.select("session", F.explode("labels").alias("label", "label_value"))
+    labels = maps.ownership_labels(PREFIX, user=F.col("user_name"), pool=F.col("pool"), origin=F.lit("proxy"))
+    return s.sessions.select("session", F.explode(labels).alias("label", "label_value"))
+
+
+@query
+def instance_labels(s: Sample) -> DataFrame:
+    rows = s.instances.join(s.pools.select(*V.POOL, "type"), V.POOL)
+    return rows.select("instance", F.explode(maps.instance_labels(PREFIX, MANAGER)).alias("label", "label_value"))
 
 
 @query
@@ -281,6 +288,35 @@ def pool_instances(s: Sample) -> DataFrame:
     return readers.explode_instances(s.pool_records)
 
 
+def _exported(rows: DataFrame, name: str) -> str:
+    """Folder with rows written as the JSON records a cluster exports."""
+    path = sinks.work_folder(rows.sparkSession, name)
+    rows.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
+    return path
+
+
+@query
+def service_records(s: Sample) -> DataFrame:
+    app = F.create_map(F.lit("spark-app-selector"), F.col("app_id"))
+    rows = s.services.select("namespace", F.col("service").alias("name"), app.alias("labels"), "pos")
+    return readers.read_services(s.spark, _exported(rows, "services"))
+
+
+@query
+def route_records(s: Sample) -> DataFrame:
+    path = _exported(s.desired_routes.withColumnRenamed("route", "name"), "routes")
+    return readers.read_routes(s.spark, path).select(
+        "namespace", "route", "class", "host", "path", "path_type", "service", "port"
+    )
+
+
+@query
+def written_listing(s: Sample) -> DataFrame:
+    path = sinks.work_folder(s.spark, "listing")
+    sinks.write_listing(views.own_sessions(s.sessions, "user-7").select("name", "user", "pool", "state"), path)
+    return s.spark.read.text(path)
+
+
 @query
 def pool_list_documents(s: Sample) -> DataFrame:
     rows = readers.flatten_pools(readers.explode_pool_list(s.pool_lists))
@@ -486,6 +522,18 @@ def stream_first_requests(s: Sample) -> DataFrame:
     return _instants(run.finish(jobs.first_requests(rows), "first-requests"))
 
 
+@stream()
+def stream_access_identity(s: Sample) -> DataFrame:
+    log = readers.requests_stream(s.spark, _exported(s.requests, "requests"))
+    return run.finish(views.access_identity(log), "access-identity")
+
+
+@stream()
+def stream_activity_records(s: Sample) -> DataFrame:
+    records = readers.activity_stream(s.spark, _exported(s.activity.drop("event_id"), "activity"))
+    return _instants(run.finish(records, "activity"))
+
+
 @stream("orders")
 def stream_activation_wait(s: Sample) -> DataFrame:
     return _instants(run.finish(jobs.activation_wait(s.session_requests, s.state_changes), "activation-wait"))

@@ -117,6 +117,8 @@ def flatten_sessions(records: DataFrame) -> DataFrame:
         F.col("status.lastActivityAt").alias("last_activity_at"),
         "labels",
         F.col("spec.sparkConf").alias("spark_conf"),
+        F.col("status").isNotNull().alias("has_status"),
+        F.col("status.conditions").alias("conditions"),
         "snapshot_date",
     )
 

@@ -179,6 +179,10 @@ class Sample:
               then map('spark.executor.memory', concat(1 + k % 8, 'g'), 'spark.dynamicAllocation.maxExecutors', string(k % 9))
             when k % 3 = 0 then map('spark.executor.memory', concat(1 + k % 8, 'g'))
             when k % 5 = 0 then map('spark.dynamicAllocation.maxExecutors', string(k % 9)) end"""
+        conditions = """array(named_struct('type', if(k % 7 = 0, 'not a type', 'Ready'), 'status', if(k % 11 = 0, null, 'True'),
+            'reason', case when k % 13 = 0 then null when k % 17 = 0 then '' else 'Placed' end,
+            'message', if(k % 19 = 0, null, ''), 'observedGeneration', if(k % 29 = 0, -1L, 1L),
+            'lastTransitionTime', if(k % 31 = 0, null, timestamp'2024-01-01')))"""
         return self._orders.selectExpr(
             *_home("nk"),
             "concat('session-', k) as session",
@@ -191,6 +195,8 @@ class Sample:
             f"case when k % 8 > 4 then {seen} end as ended_at",
             f"{labels} as labels",
             f"{conf} as spark_conf",
+            "k % 16 <> 1 as has_status",
+            f"if(k % 3 = 0, {conditions}, null) as conditions",
         )
 
     @cached_property

@@ -82,6 +82,7 @@ MESSAGE_BYTES = 1024
 MESSAGE_SUFFIX = "... [truncated by proxy]"
 
 # Patterns of a status condition.
+CONDITION_REASON_CHARS, CONDITION_TYPE_CHARS, CONDITION_MESSAGE_CHARS = 1024, 316, 32768
 CONDITION_REASON = r"^[A-Za-z]([A-Za-z0-9_,:]*[A-Za-z0-9_])?$"
 CONDITION_TYPE = (
     r"^([a-z0-9]([-a-z0-9]*[a-z0-9])?(\.[a-z0-9]([-a-z0-9]*[a-z0-9])?)*/)?"

@@ -49,6 +49,14 @@ def test_running_sum_equals_one_window(hot, width):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+@pytest.mark.parametrize("fine, coarse", [(1, 1), (7, 100), (50, 3000)])
+def test_running_sum_in_two_levels(hot, fine, coarse):
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    want = hot.withColumn("s", F.sum("v").over(w))
+    got = running_sum(hot, ["k"], ["i"], "v", "s", position_bucket("i", fine), position_bucket("_fine", coarse))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 @pytest.mark.parametrize("unit", ["minute", "hour", "day"])
 def test_nearest_equals_windows(hot, unit):
     rows = hot.withColumn("ts", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, i, 0)"))
