@@ -27,6 +27,8 @@ IDF = (3.5, 5.3)
 DRAWS, HALVINGS = 3, 8
 # Terms of the lexicon up to which it is broadcast (16 bytes each); a larger one is joined by shuffle.
 BROADCAST_TERMS = 1_000_000
+# A doc_id: its number, and whether it is null.
+ID = ["id", "none"]
 TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -77,73 +79,78 @@ def likeness(a: Column, b: Column) -> Column:
     return let(kind, share)
 
 
-def fingerprints(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(h, n, signature) of every distinct text (h, n, text): its hash, its length and itself."""
-    held = terms.count()
+def marked(rows: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` has the keys and text; in place of it comes its signature. Where the lexicon is
+    broadcast, rows stay in the task they are in if that holds all rows of their first keys."""
     # Term 0 is in every text, so that none is lost; it is taken out again below.
     known = terms.union(terms.sparkSession.createDataFrame([(0,)], "term long"))
-    known = F.broadcast(known) if held <= BROADCAST_TERMS else known
-    rows = texts.select("h", "n", F.explode(F.concat(F.array(F.lit(0).cast("long")), term_hashes(F.col("text")))).alias("term"))
-    sets = rows.join(known, "term").groupBy("h", "n").agg(F.collect_set("term").alias("terms"))
-    return sets.select("h", "n", let(F.array_remove("terms", 0), signature).alias("signature"))
+    known = F.broadcast(known) if terms.count() <= BROADCAST_TERMS else known
+    every = F.concat(F.array(F.lit(0).cast("long")), term_hashes(F.col("text")))
+    sets = (
+        rows.select(*keys, F.explode(every).alias("term")).join(known, "term")
+        .groupBy(*keys).agg(F.collect_set("term").alias("terms"))
+    )
+    return sets.select(*keys, let(F.array_remove("terms", 0), signature).alias("signature"))
 
 
 def followers(docs: DataFrame) -> DataFrame:
-    """(of, need, next): for each doc_id the next one, and how much of its text an edit needs."""
-    ids = docs.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    dealt = stored(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    named = dealt.filter("doc_id is not null")
+    """(of, of_none, need, id, none): for each doc_id the next one, and how much of its text an edit
+    needs."""
+    ids = docs.select(*ID, F.length("text").alias("n")).groupBy(*ID).agg(F.max("n").alias("n"))
+    dealt = stored(ids.repartitionByRange(*ID).withColumn("part", F.spark_partition_id()), "ids")
+    named = dealt.filter("not none")
     # A row per partition.
-    firsts = named.groupBy("part").agg(F.min("doc_id").alias("first")).orderBy("part").collect()
+    firsts = named.groupBy("part").agg(F.min("id").alias("first")).orderBy("part").collect()
     after = [(a["part"], b["first"]) for a, b in zip(firsts, firsts[1:] + firsts[:1])]
     edge = docs.sparkSession.createDataFrame(after, "part int, edge long")
     first = firsts[0]["first"] if firsts else None
-    step = Window.partitionBy("part").orderBy("doc_id")
-    inner = named.withColumn("next", F.lead("doc_id").over(step)).join(F.broadcast(edge), "part").select(
-        F.col("doc_id").alias("of"), F.expr("n div 2").alias("need"), F.coalesce("next", "edge").alias("next")
+    step = Window.partitionBy("part").orderBy("id")
+    half = F.expr("n div 2").alias("need")
+    inner = named.withColumn("next", F.lead("id").over(step)).join(F.broadcast(edge), "part").select(
+        F.col("id").alias("of"), F.lit(False).alias("of_none"), half, F.coalesce("next", "edge").alias("id"),
+        F.lit(False).alias("none"),
     )
-    none = dealt.filter("doc_id is null").select(
-        F.col("doc_id").alias("of"), F.expr("n div 2").alias("need"), F.lit(first).cast("long").alias("next")
+    none = dealt.filter("none").select(
+        F.col("id").alias("of"), F.lit(True).alias("of_none"), half, F.lit(first).cast("long").alias("id"),
+        F.lit(False).alias("none"),
     )
-    return stored(inner.union(none), "followers")
+    return stored(inner.union(none.filter("id is not null")), "followers")
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """Distinct rows (doc_id, text, copies), each with its edited text and the hash and length of
-    its own, the edited and the next document's text."""
-    rows = docs.repartition("doc_id").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
+    """Distinct rows of docs and their number (copies), each with its edited text and the hash and
+    length of the next document's text. Texts are dealt out once, by their id, and only as much of
+    a text as an edit needs goes on to the document before it."""
+    dealt = docs.repartition(*ID)
+    rows = dealt.groupBy(*ID, "text").agg(F.count("*").alias("copies"))
     heads = (
-        docs.repartition("doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-        .join(followers(docs), F.col("doc_id") == F.col("next"))
-        .select("of", F.left("text", F.col("need").cast("int")).alias("head"), F.xxhash64("text").alias("next_h"),
-                F.length("text").alias("next_n"))
+        dealt.groupBy(*ID).agg(F.min("text").alias("text")).join(followers(docs), ID)
+        .select(F.col("of").alias("id"), F.col("of_none").alias("none"), F.left("text", F.col("need").cast("int")).alias("head"),
+                F.xxhash64("text").alias("next_h"), F.length("text").alias("next_n"))
     )
     n, half = F.length("text"), F.expr("cast(length(text) div 2 as int)")
     changed = F.concat(F.left("text", n - half), F.left(F.coalesce("head", F.lit("")), half))
-    return rows.join(heads, F.col("doc_id").eqNullSafe(F.col("of")), "left").select(
-        "doc_id", "copies", "text", F.xxhash64("text").alias("h"), n.alias("n"), changed.alias("edited"),
-        "next_h", "next_n",
-    )
+    return rows.join(heads, ID, "left").select(*ID, "copies", "text", changed.alias("edited"), "next_h", "next_n")
 
 
 def imatch(docs: DataFrame, idf: tuple[float, float] = IDF) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    both = edited(docs)
-    base = both.select(
-        "doc_id", "copies", "h", "n", F.xxhash64("edited").alias("eh"), F.length("edited").alias("en"),
-        F.sha2("edited", 256).alias("edited_sha256"), "next_h", "next_n",
-    )
-    texts = docs.select(F.xxhash64("text").alias("h"), F.length("text").alias("n"), "text").union(
-        both.select(F.xxhash64("edited").alias("h"), F.length("edited").alias("n"), F.col("edited").alias("text"))
+    given = F.col("doc_id").cast("long")
+    docs = docs.select(
+        F.coalesce(given, F.lit(0)).alias("id"), given.isNull().alias("none"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    marks = stored(fingerprints(texts, lexicon(docs, idf)), "fingerprints")
-    base = stored(base, "edited")
-    own = marks.toDF("h", "n", "own")
-    other = marks.toDF("eh", "en", "other")
-    following = marks.toDF("next_h", "next_n", "following")
-    found = base.join(own, ["h", "n"]).join(other, ["eh", "en"]).join(following, ["next_h", "next_n"], "left")
+    terms = lexicon(docs, idf)
+    facts = [*ID, "copies", "h", "n", "edited_sha256", "next_h", "next_n"]
+    both = edited(docs).withColumns(
+        {"h": F.xxhash64("text"), "n": F.length("text"), "edited_sha256": F.sha2("edited", 256)}
+    ).select(*facts, F.posexplode(F.array("text", "edited")).alias("changed", "text"))
+    marks = stored(marked(both, terms, [*facts, "changed"]), "marks")
+    own = marks.filter("changed = 0").select(*facts, F.col("signature").alias("own"))
+    other = marks.filter("changed = 1").select(*ID, "h", "n", F.col("signature").alias("other"))
+    following = own.select(F.col("h").alias("next_h"), F.col("n").alias("next_n"), F.col("own").alias("following"))
+    found = own.join(other, [*ID, "h", "n"]).join(following.dropDuplicates(["next_h", "next_n"]), ["next_h", "next_n"], "left")
     return found.select(
-        "doc_id", F.col("n").cast("long").alias("n_chars"), "edited_sha256",
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_chars"), "edited_sha256",
         written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other")).alias("near_edited"),
         F.when(F.col("following").isNull(), 0.0).otherwise(likeness(F.col("own"), F.col("following"))).alias("near_next"),
