@@ -168,7 +168,7 @@ def oracle(templates: dict[str, str] | None = None, contained: float = CONTAINED
     def starts(phrase):
         parts = phrase.split()
         held = " and ".join(f"w[i + {j + 1}] = '{p}'" for j, p in enumerate(parts))
-        return f"list_filter(range(len(w)), i -> {held})"
+        return f"list_filter(range(len(w)), lambda i: {held})"
 
     base = ", ".join(f"{starts(p)} as at_{label}" for p, label in PHRASES.items())
     labels = list(PHRASES.values())
@@ -182,7 +182,7 @@ with low as (
 ), worded as (select r, doc_id, t, regexp_extract_all(t, {word}) as w from low),
 based as (select r, doc_id, len(w) as n_words, {base} from worded),
 joined as (
-  select r, doc_id, n_words, {every} as every, list_filter([{cases}], x -> x is not null) as base from based
+  select r, doc_id, n_words, {every} as every, list_filter([{cases}], lambda x: x is not null) as base from based
 ), templates(template, held, need) as (values {values}),
 blocks as (select r, regexp_extract_all(unnest(regexp_split_to_array(t, '\\n[ \\t\\r]*\\n')), {word}) as tokens from low),
 matches as (

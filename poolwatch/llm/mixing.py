@@ -194,6 +194,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # Rows of one doc_id share its place in the seeded order but for their sizes: they go by the most of them.
     times = mixed.groupBy("of").agg(F.max("copies").alias("copies"))
     rows = docs.alias("d").join(times.alias("t"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("t.of")))
-    return rows.select("d.*", F.explode(F.sequence(F.lit(1), F.col("t.copies").cast("int"))).alias("_copy")).filter(
-        F.col("_copy") >= 1
-    ).drop("_copy")
+    every = F.array_repeat(F.lit(0), F.col("t.copies").cast("int"))
+    return rows.select(F.explode(every).alias("copy"), *[F.col(f"d.`{c}`").alias(f"d_{c}") for c in docs.columns]).drop(
+        "copy"
+    ).toDF(*docs.columns)
