@@ -7,7 +7,7 @@ for several n-grams, which leaves the order exact as an order.
 1. Documents of equal sets are one class.
 2. Prefixes: two sets of the wanted similarity share an n-gram among the first of either; the
    shorter one needs even fewer. Only prefixes are shuffled, by n-gram; n-grams of one class drop out.
-3. Each class is paired with the least class of every n-gram, so that a large group of near copies
+3. Each class is paired with the one in which an n-gram stands earliest, for each n-gram, so that a large group of near copies
    becomes one component by as many pairs as it has members. Then classes of different components
    are paired wherever the lengths and places of a shared n-gram still allow the similarity.
 4. The global order is cut into fragments. The segments of a pair are intersected fragment by
@@ -195,13 +195,16 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words
     )
     ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = segments(texts.join(ids, "doc_id"), order, words).dropDuplicates(["set", "fragment"])
-    cut = stored(cut, "segments")
-    left = cut.select(F.col("set").alias("a"), "fragment", F.col("grams").alias("left"))
-    right = cut.select(F.col("set").alias("b"), "fragment", F.col("grams").alias("right"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select(
-        "a", "na", "b", "nb", F.size(F.array_intersect("left", "right")).cast("long").alias("shared")
+    # Dealt out once for both sides of a pair, and the same way whatever its size.
+    cut = segments(texts.join(ids, "doc_id"), order, words).repartition("set", "fragment")
+    wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).alias("p")
+    met = (
+        wanted.join(cut.hint("merge").alias("l"), F.expr("p.a = l.set and p.fragment = l.fragment"))
+        .join(cut.hint("merge").alias("r"), F.expr("p.b = r.set and p.fragment = r.fragment"))
     )
+    shared = F.size(F.array_intersect("l.grams", "r.grams")).cast("long")
+    # Repeated rows of a document have equal segments.
+    partial = met.groupBy("p.a", "p.na", "p.b", "p.nb", "p.fragment").agg(F.max(shared).alias("shared"))
     total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
     x, y = similar
     return total.filter(F.col("shared") * y >= (F.col("na") + F.col("nb") - F.col("shared")) * x).select("a", "b")
@@ -217,30 +220,35 @@ def near_copies(
     full = sets.filter("n > 0")
     classes = stored(full.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
 
-    dealt = full.select("set", "n", F.posexplode("prefix").alias("place", "gram")).repartition("gram")
+    # Size and place travel as one number: three words a row is all that is shuffled of a prefix.
+    packed = (F.shiftleft("n", 31) + F.col("place")).alias("packed")
+    dealt = full.select("set", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", "set", packed)
+    dealt = dealt.repartition("gram")
     shared = dealt.groupBy("gram").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
-    posts = stored(dealt.join(shared.select("gram", "lo").hint("shuffle_hash"), "gram").distinct(), "posts")
+    posts = dealt.join(shared.select("gram").hint("shuffle_hash"), "gram").distinct().select(
+        "gram", "set", F.shiftright("packed", 31).alias("n"), (F.col("packed") % (1 << 31)).alias("place")
+    )
+    posts = stored(posts, "posts")
 
     def possible(n, place, m, other):
         fits = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other)) >= needed(F.col(n), F.col(m), similar)
         return fits & (F.col(n) * similar[1] >= F.col(m) * similar[0]) & (F.col(m) * similar[1] >= F.col(n) * similar[0])
 
-    centre = posts.filter("set = lo").select(
-        "gram", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa")
-    )
-    around = posts.filter("set <> lo").select(
-        "gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")
-    )
-    stars = (
-        around.join(centre, "gram").filter(possible("na", "pa", "nb", "pb")).select("a", "na", "b", "nb").distinct()
+    # The class in which an n-gram stands earliest has the fewest rare n-grams of its own: of a group
+    # of edited copies, the text they were made from.
+    centre = posts.groupBy("gram").agg(F.min(F.struct("place", "set", "n")).alias("c")).select(
+        "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa")
     )
+    around = posts.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+    met = around.join(centre, "gram").filter("a <> b").filter(possible("na", "pa", "nb", "pb"))
+    stars = met.select("a", "na", "b", "nb").distinct()
     stars = stored(stars, "stars")
     first = stored(verified(stars, classes, docs, order, words, similar), "star-links")
     joined = stored(components(first), "star-components")
 
     # Pairs across components: the shorter set, by its shorter prefix, against the longer one's.
     placed = stored(
-        posts.drop("lo").join(joined.withColumnRenamed("id", "set"), "set", "left")
+        posts.join(joined.withColumnRenamed("id", "set"), "set", "left")
         .withColumn("component", F.coalesce("component", "set")),
         "placed",
     )
