@@ -292,3 +292,28 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op2_near_copies(spark, sf_dir: str) -> DataFrame:
     return near_copies(documents(spark, sf_dir))
+
+
+# All pairs that share a shingle, and everything reachable from each document.
+ORACLE = r"""
+with recursive worded as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+), shingles as (
+  select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from worded where len(w) > 0)
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+links as (
+  select a, b from (
+    select x.doc_id as a, y.doc_id as b, count(*) as shared
+    from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by 1, 2
+  ) join sizes p on p.doc_id = a join sizes q on q.doc_id = b
+  where 100 * shared >= 75 * (p.n + q.n - shared)
+), reach(id, root) as (
+  select distinct a, a from links union select b, root from reach join links on a = id
+)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c.component_id, d.doc_id) as component_id
+from documents d left join sizes z on z.doc_id = d.doc_id
+left join (select id, min(root) as component_id from reach group by id) c on c.id = d.doc_id
+"""

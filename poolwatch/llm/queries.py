@@ -14,4 +14,8 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
 }
-ORACLES = {"op1_line_dedup": lines.ORACLE, "op3_licenses": licenses.ORACLE}
+ORACLES = {
+    "op1_line_dedup": lines.ORACLE,
+    "op2_near_copies": near_copies.ORACLE,
+    "op3_licenses": licenses.ORACLE,
+}
