@@ -198,3 +198,64 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     return rows.select(F.explode(every).alias("copy"), *[F.col(f"d.`{c}`").alias(f"d_{c}") for c in docs.columns]).drop(
         "copy"
     ).toDF(*docs.columns)
+
+
+def _pick(name: str, gaps: str, gone: list[str], nearest: bool) -> str:
+    """SQL of the document per source that comes closest to its gap, and of the gap it leaves."""
+    fits = "abs(c.size - g.gap) < g.gap" if nearest else "c.size <= g.gap"
+    skip = "".join(f" and not exists (select 1 from {x} x where x.key = c.key and x.upto = c.upto)" for x in gone)
+    return f"""
+{name} as (
+  select s, key, upto, size from (
+    select c.*, row_number() over (partition by c.s order by abs(c.size - g.gap), c.key, c.upto) as place
+    from chosen c join {gaps} g on g.s = c.s where g.gap > 0 and extra = 0 and c.size > 0 and {fits}{skip}
+  ) where place = 1
+), {name}_gap as (select g.s, g.gap - coalesce(p.size, 0) as gap from {gaps} g left join {name} p on p.s = g.s)"""
+
+
+# A null source is called by a character that sorts after all others.
+ORACLE = f"""
+with recursive sized as (
+  select row_number() over () as r, doc_id, coalesce(source, chr(1114111)) as s,
+    coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+    md5(concat('{SEED}:', coalesce(cast(doc_id as varchar), 'null'))) as key
+  from documents
+), sources as (
+  select s, cast(sum(size) as bigint) as total, [{', '.join(map(str, WEIGHTS))}][(row_number() over (order by s) - 1) % {len(WEIGHTS)} + 1] as w
+  from sized group by s
+), filling(round, s, total, w, remaining, share, settled) as (
+  select 0, s, total, w, cast(sum(total) over () as double), cast(0 as double), false from sources
+  union all
+  select round + 1, s, total, w, remaining - sum(case when over then {REPEATS} * total else 0 end) over (),
+    case when over then {REPEATS} * total else share end, over or not any_over
+  from (
+    select *, bool_or(over) over () as any_over from (
+      select round, s, total, w, remaining, remaining * w / sum(w) over () as share,
+        remaining * w / sum(w) over () > {REPEATS} * total as over
+      from filling where not settled
+    )
+  )
+), targets as (select s, total, share as target from filling where settled),
+plan as (
+  select s, total, target, least(cast(round_even(target, 0) as bigint), {REPEATS} * total) as flow,
+    case when total > 0 then flow // total else 0 end as passes, case when total > 0 then flow % total else 0 end as rest
+  from targets
+), ordered as (
+  select d.*, p.rest, sum(size) over (partition by s order by key, size rows unbounded preceding) as upto
+  from sized d join plan p using (s)
+), chosen as (select *, case when upto <= rest then 1 else 0 end as extra from ordered),
+gaps as (select s, max(rest) - sum(size * extra) as gap from chosen group by s),
+{_pick('one', 'gaps', [], True)},
+{_pick('two', 'gaps', [], False)},
+{_pick('three', 'two_gap', ['two'], False)},
+{_pick('four', 'three_gap', ['two', 'three'], True)},
+fills as (
+  select one.key, one.upto from one join one_gap a on a.s = one.s join four_gap b on b.s = one.s where abs(a.gap) <= abs(b.gap)
+  union all
+  select f.key, f.upto from (select * from two union all select * from three union all select * from four) f
+  join one_gap a on a.s = f.s join four_gap b on b.s = f.s where abs(a.gap) > abs(b.gap)
+)
+select c.doc_id, c.size, p.total as source_size, p.target,
+  cast(c.size * (p.passes + c.extra + (f.key is not null)::int) as bigint) as taken
+from chosen c join plan p using (s) left join fills f on f.key = c.key and f.upto = c.upto
+"""

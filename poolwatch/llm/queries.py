@@ -18,4 +18,5 @@ ORACLES = {
     "op1_line_dedup": lines.ORACLE,
     "op2_near_copies": near_copies.ORACLE,
     "op3_licenses": licenses.ORACLE,
+    "op10_mixing": mixing.ORACLE,
 }
