@@ -1,11 +1,22 @@
 """Sinks. All of them write from the executors; nothing is collected."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+@cache
+def _own_folder() -> str:
+    """One folder of this machine for the whole process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="poolwatch-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder the cluster names in spark.checkpoint.dir.
 
@@ -15,7 +26,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="poolwatch-")
+        base = _own_folder()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
