@@ -37,7 +37,7 @@ SIMILAR = (75, 100)
 # Counters of the global order: 4 bytes each, the only table sent to all tasks.
 BUCKETS = 1 << 22
 _CHUNK = 1 << 16
-# Documents to be compared up to which their ids are broadcast (16 bytes each); more are joined by shuffle.
+# Rows of ids (16 bytes each) up to which they are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FRAGMENTS = 8
 KEPT_WORDS = 400_000
@@ -155,6 +155,11 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>")
 
 
+def counted(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is known to be small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
     """Least overlap of two sets of these sizes that are similar."""
     a, b = similar
@@ -193,10 +198,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words
         .join(classes, "set").select("set", F.col("id").alias("doc_id")),
         "named",
     )
-    ids = F.broadcast(named) if named.count() <= BROADCAST_IDS else named
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Dealt out once for both sides of a pair, and the same way whatever its size.
-    cut = segments(texts.join(ids, "doc_id"), order, words).repartition("set", "fragment")
+    cut = segments(texts.join(counted(named), "doc_id"), order, words).repartition("set", "fragment")
     wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).alias("p")
     met = (
         wanted.join(cut.hint("merge").alias("l"), F.expr("p.a = l.set and p.fragment = l.fragment"))
@@ -248,12 +252,12 @@ def near_copies(
 
     # Pairs across components: the shorter set, by its shorter prefix, against the longer one's.
     placed = stored(
-        posts.join(joined.withColumnRenamed("id", "set"), "set", "left")
+        posts.join(counted(joined).withColumnRenamed("id", "set"), "set", "left")
         .withColumn("component", F.coalesce("component", "set")),
         "placed",
     )
     several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = placed.join(several.select("gram"), "gram", "left_semi")
+    open_ = placed.join(counted(stored(several.select("gram"), "several")), "gram", "left_semi")
     short = open_.filter(F.col("n") - F.col("place") >= needed(F.col("n"), F.col("n"), similar)).select(
         "gram", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"),
         F.col("component").alias("ca"),
