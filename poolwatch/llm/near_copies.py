@@ -73,8 +73,8 @@ def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (grams & np.uint64(buckets - 1)).astype(np.int64)
 
 
-def bucket_counts(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
-    """N-grams of all documents in each hash bucket."""
+def bucket_counts(docs: DataFrame, words: int, buckets: int) -> list[tuple[int, bytes]]:
+    """N-grams of all documents in each hash bucket, as numbered chunks of compressed 64-bit counts."""
     chunk = min(_CHUNK, buckets)
 
     def count(batches):
@@ -100,24 +100,26 @@ def bucket_counts(docs: DataFrame, words: int, buckets: int) -> np.ndarray:
                 held[c] += np.frombuffer(zlib.decompress(n), np.uint32)
         if held:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())],
+                [pa.array(list(held), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in held.values()], pa.binary())],
                 names=["chunk", "n"])
 
     parts = docs.select(F.col("text").cast("string")).mapInArrow(count, "chunk int, n binary")
     summed = parts.repartition("chunk").mapInArrow(add, "chunk int, n binary")
     # One number per bucket comes to the driver, whatever the input.
-    out = np.zeros(buckets, np.int64)
-    for c, n in summed.collect():
-        out[c * chunk : (c + 1) * chunk] = np.frombuffer(n, np.int64)
-    return out
+    return [(c, bytes(n)) for c, n in summed.collect()]
 
 
 class Order:
     """The global order: rank of a bucket's count in steps of a quarter octave, then the hash."""
 
-    def __init__(self, counts: np.ndarray, fragments: int = FRAGMENTS):
-        self.rank = np.ceil(4 * np.log2(np.maximum(counts, 1))).astype(np.uint8)
-        mass = np.bincount(self.rank, counts, 256)
+    def __init__(self, counts: list[tuple[int, bytes]], buckets: int, fragments: int = FRAGMENTS):
+        self.rank, mass = np.zeros(buckets, np.uint8), np.zeros(256)
+        # A chunk at a time, for the driver's memory.
+        for c, packed in counts:
+            n = np.frombuffer(zlib.decompress(packed), np.int64)
+            rank = np.ceil(4 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+            self.rank[c * n.size : (c + 1) * n.size] = rank
+            mass += np.bincount(rank, n, 256)
         self.share = mass / max(mass.sum(), 1)
         self.before = np.cumsum(self.share) - self.share
         self.fragments = fragments
@@ -219,7 +221,7 @@ def near_copies(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(Order(bucket_counts(docs, words, buckets)))
+    order = spark.sparkContext.broadcast(Order(bucket_counts(docs, words, buckets), buckets))
     sets = stored(prefixes(docs, order, words, similar), "sets")
     full = sets.filter("n > 0")
     classes = stored(full.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
