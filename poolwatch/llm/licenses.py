@@ -22,16 +22,29 @@ from poolwatch.llm.common import documents, let, stored
 # Names of licenses and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# The public notices that texts under these licenses carry.
+# The public notices that texts under these licenses carry. Blocks end at blank lines, so a
+# notice that is printed with blank lines also stands here by its paragraphs.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
         on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    "apache-2.0-notice-basis": """Unless required by applicable law or agreed to in writing, software distributed under the
+        License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied.""",
+    "apache-2.0-notice-use": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at""",
     "bsd-conditions": """Redistribution and use in source and binary forms, with or without modification, are permitted
         provided that the following conditions are met: Redistributions of source code must retain the above copyright
         notice, this list of conditions and the following disclaimer.""",
+    "bsd-conditions-binary": """Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the
+        distribution.""",
+    "bsd-conditions-source": """Redistributions of source code must retain the above copyright notice, this list of
+        conditions and the following disclaimer.""",
+    "bsd-conditions-use": """Redistribution and use in source and binary forms, with or without modification, are permitted
+        provided that the following conditions are met:""",
     "cc-by-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "gpl-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
@@ -46,6 +59,13 @@ TEMPLATES = {
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice shall be included in all copies or substantial portions of
         the Software.""",
+    "mit-permission-copies": """The above copyright notice and this permission notice shall be included in all copies or
+        substantial portions of the Software.""",
+    "mit-permission-grant": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+        and associated documentation files (the "Software"), to deal in the Software without restriction, including
+        without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+        of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+        conditions:""",
     "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
         the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
 }

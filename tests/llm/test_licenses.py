@@ -70,3 +70,54 @@ def test_edges(docs):
 
 def test_empty_table(docs):
     assert licenses.scan(docs((1, "a")).filter("false")).count() == 0
+
+
+# The notices as they are printed, with their blank lines.
+PRINTED = {
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "bsd-conditions": """Copyright (c) 2020, The Authors
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "mit-permission": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+}
+PARAGRAPHS = {
+    "apache-2.0-notice": {"apache-2.0-notice-use", "apache-2.0-notice-basis"},
+    "bsd-conditions": {"bsd-conditions-use", "bsd-conditions-source", "bsd-conditions-binary"},
+    "mit-permission": {"mit-permission-grant", "mit-permission-copies"},
+}
+
+
+def test_printed_notices(docs):
+    rows = [(i, text) for i, text in enumerate(PRINTED.values())]
+    got = {r.doc_id: r for r in licenses.scan(docs(*rows)).collect()}
+    for i, name in enumerate(PRINTED):
+        assert PARAGRAPHS[name] <= set(got[i].labels.split(",")) and got[i].score == 1.0
+    # A notice that is cut to one paragraph has the label of that one.
+    first = licenses.scan(docs((1, PRINTED["mit-permission"].split("\n\n")[0]))).collect()[0]
+    assert first.labels == "mit-permission-grant"
