@@ -3,7 +3,7 @@
 Documents are aggregated by membership pattern (the set of sources that hold them). The capacity of
 a pattern, its words once, twice, up to `repeats` times, costs more with each repetition; sources
 take up to their targets. The flow says how often each pattern is read: whole passes over all its
-documents, and a rest that a seeded order fills, with the few documents that close its gap best.
+documents, and a rest that a seeded order fills, with the documents that close its gap best.
 
 The running sum along the seeded order has two levels, buckets of the key and rows inside a bucket,
 so a pattern with a third of all rows is spread over all tasks.
@@ -14,6 +14,7 @@ empty table gives no rows; extra columns are not read.
 """
 
 from collections import defaultdict, deque
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -95,34 +96,71 @@ def min_cost_flow(sizes: dict[tuple, int], quotas: dict, repeats: int = REPEATS)
             room[b, a] += push
 
 
+def _along(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds `name`, the running sum of size along the key in each pattern. `rows` has the key's bucket."""
+    before = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = (
+        rows.groupBy("members", "bucket").agg(F.sum("size").alias("held"))
+        .select("members", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    )
+    inside = Window.partitionBy("members", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.join(buckets, ["members", "bucket"]).withColumn(name, F.col("before") + F.sum("size").over(inside))
+    return summed.drop("before")
+
+
 def _filled(chosen: DataFrame) -> DataFrame:
-    """Adds fills, 1 for the few documents beside the seeded order that bring a pattern to its rest:
-    the one that ends nearest, or the longest that fits, twice, and then the nearest, as is better."""
-    spark = chosen.sparkSession
-    kind = "members array<string>, key string, upto long"
-    given = chosen.groupBy("members").agg(F.max("rest").alias("rest"), F.sum(F.col("size") * F.col("extra")).alias("n"))
-    # Here and below a row per pattern.
-    gaps = {tuple(r["members"]): r["rest"] - r["n"] for r in given.collect()}
+    """Adds fills, 1 for the documents beside the seeded order that bring a pattern to its rest: the
+    one that ends nearest, or the longest that fits, twice, and then the nearest, as is better. Where
+    more than one document still fits the gap after those three, the seeded order goes on over all that
+    do, first those of at most half the gap, so that two rounds halve the gap, until none fits."""
+    place = ["members", "key", "upto"]
+    free = chosen.filter("extra = 0 and size > 0")
+
+    def beside(gaps, gone):
+        rows = free.join(gaps.filter("gap > 0"), "members")
+        for x in gone:
+            rows = rows.join(x, place, "left_anti")
+        return rows
 
-    def picks(steps):
-        left, picked = dict(gaps), {p: [] for p in gaps}
+    def less(gaps, taken):
+        held = taken.groupBy("members").agg(F.sum("size").alias("held"))
+        gap = (F.col("gap") - F.coalesce("held", F.lit(0))).alias("gap")
+        return stored(gaps.join(held, "members", "left").select("members", gap), "mix-gaps")
+
+    def picks(gaps, gone, steps):
+        picked = []
         for nearest in steps:
-            open_ = spark.createDataFrame([(list(p), g) for p, g in left.items() if g > 0], "members array<string>, gap long")
-            gone = spark.createDataFrame([x for p in picked.values() for x in p], kind)
-            free = chosen.filter("extra = 0 and size > 0").join(F.broadcast(open_), "members")
-            free = free.join(F.broadcast(gone), ["members", "key", "upto"], "left_anti")
             off = F.abs(F.col("size") - F.col("gap"))
             fits = off < F.col("gap") if nearest else F.col("size") <= F.col("gap")
             best = F.min(F.struct(off.alias("off"), "key", "upto", "size")).alias("x")
-            for r in free.filter(fits).groupBy("members").agg(best).collect():
-                left[tuple(r["members"])] -= r["x"]["size"]
-                picked[tuple(r["members"])].append((r["members"], r["x"]["key"], r["x"]["upto"]))
-        return left, picked
+            found = beside(gaps, gone + picked).filter(fits).groupBy("members").agg(best)
+            picked.append(stored(found.select("members", "x.key", "x.upto", "x.size"), "mix-picks"))
+            gaps = less(gaps, picked[-1])
+        return gaps, picked
 
-    (one_left, one), (more_left, more) = picks([True]), picks([False, False, True])
-    picked = [x for p in gaps for x in (one if abs(one_left[p]) <= abs(more_left[p]) else more)[p]]
-    fills = spark.createDataFrame([(*p, 1) for p in picked], kind + ", fills int")
-    return chosen.join(F.broadcast(fills), ["members", "key", "upto"], "left")
+    given = chosen.groupBy("members").agg(F.max("rest").alias("rest"), F.sum(F.col("size") * F.col("extra")).alias("n"))
+    gaps = stored(given.select("members", (F.col("rest") - F.col("n")).alias("gap")), "mix-gaps")
+    (one_gap, one), (more_gap, more) = picks(gaps, [], [True]), picks(gaps, [], [False, False, True])
+    fits = beside(more_gap, more).filter("size <= gap").groupBy("members").agg(F.count("*").alias("n"))
+    on = stored(fits.filter("n > 1").select("members"), "mix-on")
+    while not on.isEmpty():
+        small = F.max(F.col("size") * 2 <= F.col("gap"))
+        left = beside(more_gap.join(on, "members", "left_semi"), more).filter("size <= gap")
+        still = stored(left.groupBy("members").agg(F.max("gap").alias("gap"), small.alias("small")), "mix-still")
+        if still.isEmpty():
+            last_gap, last = picks(more_gap.join(on, "members", "left_semi"), more, [True])
+            more_gap, more = last_gap.union(more_gap.join(on, "members", "left_anti")), more + last
+            break
+        rows = beside(still, more).filter("size <= if(small, gap div 2, gap)")
+        taken = _along(rows, ["key", "upto"], "now").filter("now <= gap").select(*place, "size")
+        more.append(stored(taken, "mix-picks"))
+        more_gap = less(more_gap, more[-1])
+    better = one_gap.withColumnRenamed("gap", "one").join(more_gap.withColumnRenamed("gap", "more"), "members")
+    is_one = stored(better.select("members", (F.abs("one") <= F.abs("more")).alias("is_one")), "mix-better")
+    fills = [x.join(is_one.filter("is_one"), "members", "left_semi") for x in one]
+    fills += [x.join(is_one.filter("not is_one"), "members", "left_semi") for x in more]
+    every = reduce(DataFrame.union, fills).select(*place, F.lit(1).alias("fills"))
+    return chosen.join(every, place, "left")
 
 
 def mix(docs: DataFrame, members: Column, seed: str = SEED, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
@@ -157,19 +195,8 @@ def mix(docs: DataFrame, members: Column, seed: str = SEED, weights=WEIGHTS, rep
         plan, "members array<string>, passes long, rest long, targets array<double>, source_sizes array<double>"
     )
     rows = rows.join(F.broadcast(plan), "members").withColumn("bucket", F.left("key", F.lit(BUCKET_DIGITS)))
-    before = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        rows.groupBy("members", "bucket").agg(F.sum("size").alias("held"))
-        .select("members", "bucket", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
-    )
-    inside = Window.partitionBy("members", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    chosen = stored(
-        rows.join(buckets, ["members", "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("size").over(inside))
-        .withColumn("extra", (F.col("upto") <= F.col("rest")).cast("long"))
-        .drop("before"),
-        "mix-chosen",
-    )
+    extra = (F.col("upto") <= F.col("rest")).cast("long")
+    chosen = stored(_along(rows, ["key", "size"], "upto").withColumn("extra", extra), "mix-chosen")
     out = _filled(chosen)
     copies = F.col("passes") + F.col("extra") + F.coalesce(F.col("fills"), F.lit(0))
     return out.select(

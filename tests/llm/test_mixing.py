@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -73,3 +74,20 @@ def test_edges(docs):
 
 def test_empty_table(docs):
     assert mixing.mix(docs((1, "a")).filter("false"), F.array("source")).count() == 0
+
+
+def taken_of(df, **how):
+    rows = mixing.mix(df, F.array("source"), **how).collect()
+    taken = {}
+    for r in rows:
+        taken[r.members[0]] = taken.get(r.members[0], 0) + r.size * r.copies
+    return taken, {r.members[0]: r.targets[0] for r in rows}
+
+
+def test_long_document_early_in_the_order(docs):
+    """The first document in the seeded order is longer than the rest, and short ones can fill it."""
+    ids = sorted(range(400), key=lambda i: hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest())
+    rows = [(i, "w " * (10_000 if i == ids[0] else 5000 if i == ids[1] else 1 + i % 20), "en", "a") for i in ids]
+    rows.append((1000, "w " * 22_000, "en", "b"))
+    taken, wanted = taken_of(docs(*rows), weights=(1, 4))
+    assert 8000 < wanted["a"] < 10_000 and abs(taken["a"] - wanted["a"]) <= 1
