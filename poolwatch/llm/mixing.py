@@ -24,7 +24,7 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SEED = "mix"
 BUCKET_DIGITS = 3
-# Patterns the flow may hold on the driver; more are refused, not dropped.
+# Patterns of several sources the flow may hold on the driver; more are refused, not dropped.
 MAX_PATTERNS = 100_000
 
 
@@ -96,6 +96,72 @@ def min_cost_flow(sizes: dict[tuple, int], quotas: dict, repeats: int = REPEATS)
             room[b, a] += push
 
 
+def source_targets(own: DataFrame, weights=WEIGHTS, repeats: int = REPEATS) -> DataFrame:
+    """targets() of a table (source, own): adds target. The sources stay in their tasks; a row per
+    partition and a row per round come to the driver."""
+    dealt = stored(own.repartitionByRange(F.col("source").isNull(), "source").withColumn("part", F.spark_partition_id()), "mix-own")
+    counts, before = dict(dealt.groupBy("part").count().collect()), 0
+    starts = []
+    for part in sorted(counts):
+        starts.append((part, before))
+        before += counts[part]
+    starts = dealt.sparkSession.createDataFrame(starts, "part int, start long")
+    inside = Window.partitionBy("part").orderBy(F.col("source").isNull(), "source")
+    place = F.col("start") + F.row_number().over(inside) - 1
+    weight = F.get(F.array(*[F.lit(w) for w in weights]), (place % len(weights)).cast("int"))
+    rows = stored(dealt.join(F.broadcast(starts), "part").select("source", "own", weight.alias("weight")), "mix-weights")
+    total, every = rows.agg(F.coalesce(F.sum("own"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    left, whole, settled = total, every, 0
+    while True:
+        share = F.lit(float(left)) * F.col("weight") / F.lit(float(max(whole, 1)))
+        most = repeats * F.col("own")
+        n, held, gone = rows.filter(share > most).agg(F.count("*"), F.sum(most), F.sum("weight")).first()
+        # Sources that reached their most stay there, as the share of the others only grows.
+        if n <= settled:
+            return rows.select("source", "own", F.when(share > most, most).otherwise(share).alias("target"))
+        left, whole, settled = total - held, every - gone, n
+
+
+def _planned(rows: DataFrame, weights, repeats: int) -> DataFrame:
+    """passes, rest, targets and source_sizes of each pattern. A source that no pattern of several
+    sources names is a flow of its own, the least of its target and its capacity; the others and
+    their patterns go through the flow on the driver."""
+    sized = stored(rows.groupBy("members").agg(F.sum("size").alias("size")), "mix-patterns")
+    parts = sized.select(F.explode("members").alias("source"), (F.col("size") / F.size("members")).alias("own"))
+    # A word that several sources hold counts for each of them in part.
+    wanted = stored(source_targets(parts.groupBy("source").agg(F.sum("own").alias("own")), weights, repeats), "mix-targets")
+    several = sized.filter(F.size("members") != 1).limit(MAX_PATTERNS + 1).collect()
+    if len(several) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of several sources")
+    spark = rows.sparkSession
+    linked = spark.createDataFrame([(s,) for s in {s for r in several for s in r["members"]}], "source string")
+    one = sized.filter(F.size("members") == 1).withColumn("of", F.col("members")[0])
+    one = one.join(wanted, F.col("of").eqNullSafe(F.col("source"))).drop("of")
+
+    def named(x, how):
+        return x.alias("x").join(linked.alias("l"), F.expr("x.source <=> l.source"), how)
+
+    alone = named(one, "left_anti")
+    most = F.least(F.rint("target").cast("long"), repeats * F.col("size"))
+    alone = alone.withColumn("flow", most).select(
+        "members", F.when(F.col("size") > 0, F.expr("flow div size")).otherwise(0).alias("passes"),
+        F.when(F.col("size") > 0, F.col("flow") % F.col("size")).otherwise(0).alias("rest"),
+        F.array("target").alias("targets"), F.array("own").alias("source_sizes"),
+    )
+    if several:
+        sizes = {tuple(r["members"]): r["size"] for r in several + named(one, "left_semi").select("members", "size").collect()}
+        of = {r["source"]: (r["target"], r["own"]) for r in named(wanted, "left_semi").collect()}
+        flow = min_cost_flow(sizes, {s: round(t) for s, (t, _) in of.items()}, repeats)
+        shared = [
+            (list(p), *(divmod(flow[p], n) if n else (0, 0)), [of[s][0] for s in p], [of[s][1] for s in p])
+            for p, n in sizes.items()
+        ]
+        alone = alone.union(spark.createDataFrame(
+            shared, "members array<string>, passes long, rest long, targets array<double>, source_sizes array<double>"
+        ))
+    return stored(alone, "mix-plan")
+
+
 def _along(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """Adds `name`, the running sum of size along the key in each pattern. `rows` has the key's bucket."""
     before = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,25 +242,8 @@ def mix(docs: DataFrame, members: Column, seed: str = SEED, weights=WEIGHTS, rep
         ),
         "mix",
     )
-    by_pattern = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MAX_PATTERNS + 1).collect()
-    if len(by_pattern) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    sizes = {tuple(r["members"]): r["size"] for r in by_pattern}
-    own = defaultdict(int)
-    for pattern, size in sizes.items():
-        for source in pattern:
-            # A word that several sources hold counts for each of them in part.
-            own[source] += size / len(pattern)
-    wanted = targets(dict(own), weights, repeats)
-    flow = min_cost_flow(sizes, {s: round(t) for s, t in wanted.items()}, repeats)
-    plan = [
-        (list(p), *(divmod(flow[p], n) if n else (0, 0)), [wanted[s] for s in p], [float(own[s]) for s in p])
-        for p, n in sizes.items()
-    ]
-    plan = rows.sparkSession.createDataFrame(
-        plan, "members array<string>, passes long, rest long, targets array<double>, source_sizes array<double>"
-    )
-    rows = rows.join(F.broadcast(plan), "members").withColumn("bucket", F.left("key", F.lit(BUCKET_DIGITS)))
+    plan = _planned(rows, weights, repeats)
+    rows = rows.join(plan, "members").withColumn("bucket", F.left("key", F.lit(BUCKET_DIGITS)))
     extra = (F.col("upto") <= F.col("rest")).cast("long")
     chosen = stored(_along(rows, ["key", "size"], "upto").withColumn("extra", extra), "mix-chosen")
     out = _filled(chosen)

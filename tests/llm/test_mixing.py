@@ -91,3 +91,17 @@ def test_long_document_early_in_the_order(docs):
     rows.append((1000, "w " * 22_000, "en", "b"))
     taken, wanted = taken_of(docs(*rows), weights=(1, 4))
     assert 8000 < wanted["a"] < 10_000 and abs(taken["a"] - wanted["a"]) <= 1
+
+
+def test_more_sources_than_patterns_on_the_driver(docs, monkeypatch):
+    """Sources alone in their patterns never go through the flow, and their targets are as on the driver."""
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 1)
+    seed = random.Random(5)
+    rows = [(i, "w " * seed.choice([1, 3, 40, 900]), "en", seed.choice([f"s{k}" for k in range(60)] + [None])) for i in range(300)]
+    sizes = {}
+    for _, text, _, source in rows:
+        sizes[source] = sizes.get(source, 0) + len(text.split())
+    _, wanted = taken_of(docs(*rows))
+    assert wanted == mixing.targets(sizes)
+    with pytest.raises(ValueError):
+        mixing.mix(docs((1, "x", "en", "a b"), (2, "y", "en", "b c")), F.split("source", " "))
