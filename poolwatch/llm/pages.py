@@ -6,7 +6,8 @@ holds no main text, beside an article element, or as a heading. A decision tree,
 small labelled table below, tells main text from the rest.
 
 Defined results: a null or empty page and a page without main text give the empty string; an
-unfinished tag at the end is dropped; an unclosed script or comment lasts to the end; repeated rows
+unfinished tag at the end is dropped; an unclosed script or comment lasts to the end, an unclosed
+drawing is its tag alone; a head needs no end tag; repeated rows
 and null ids are extracted like any other; an empty table gives no rows; extra columns are not read.
 """
 
@@ -24,7 +25,9 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
-RAW = "script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head"
+RAW = "script|style|noscript|template|iframe|object|textarea|select|title"
+# The same, but a tag of these that ends in /> is the whole element.
+DRAWN = "svg|math"
 NOT_MAIN = frozenset("nav footer aside form button dialog menu label legend fieldset".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promos?|promotion|sponsor(?:ed)?|side-?bar|menu|nav|navbar|"
@@ -37,11 +40,14 @@ HINT = re.compile(
 ROLES = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|dialog|alertdialog|alert|menu|menubar|toolbar)\b", re.I)
 _TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    rf"|<(?P<drawn>{DRAWN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|(?<!/)>(?:.*?</(?P=drawn)\s*>)?)"
+    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<!/)>(?:.*?</(?P=raw)\s*>|.*\Z)|(?<=/)>(?:.*?</(?P=raw)\s*>)?)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)",
     re.I | re.S,
 )
+# Class names that tell what a page has or is filed under, not what the element is.
+_ABOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|category|tag)-\S+|\S*comments?-(?:open|closed))(?=\s|$)", re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
            "option": {"option"}, "a": {"a"}}
@@ -59,11 +65,11 @@ class Block:
 
 
 def _hinted(tag: str, attrs: str) -> bool:
-    if tag in ("html", "body", "main") or not attrs or attrs.isspace():
+    if tag in ("html", "head", "body", "main") or not attrs or attrs.isspace():
         return False
     for name, value, bare in _ATTR.findall(attrs):
         name, value = (name or bare).lower(), value.strip("\"'")
-        if name in ("class", "id") and HINT.search(value) or name == "role" and ROLES.search(value) or name == "hidden":
+        if name in ("class", "id") and HINT.search(_ABOUT.sub("", value) if name == "class" else value) or name == "role" and ROLES.search(value) or name == "hidden":
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
@@ -72,8 +78,10 @@ def _hinted(tag: str, attrs: str) -> bool:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    # Open elements: tag, whether they or one around them hold no main text, whether inside an article.
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # Open elements: tag, whether they or one around them hold no main text, whether inside an article,
+    # whether they hold none by their tags, and by these and the hints inside the article alone.
+    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    within: list[bool] = []
     parts: list[tuple[str, bool]] = []
     heading = ""
 
@@ -83,7 +91,8 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(html.unescape(p).split()) for p, link in parts if link)
             words = html.unescape(text).split()
             if words:
-                _, outside, inside = stack[-1]
+                _, outside, inside, _, own = stack[-1]
+                within.append(own)
                 out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), outside, inside, bool(heading)))
         parts.clear()
 
@@ -93,7 +102,7 @@ def blocks(page: str) -> list[Block]:
     end = 0
     for m in _TOKEN.finditer(page):
         if m.start() > end:
-            parts.append((page[end : m.start()], any(t == "a" for t, _, _ in stack)))
+            parts.append((page[end : m.start()], any(t == "a" for t, *_ in stack)))
         end = m.end()
         tag = m["tag"]
         if tag is None:
@@ -119,16 +128,22 @@ def blocks(page: str) -> list[Block]:
             _close_open(stack, {"p"}, frozenset())
         if tag in _CLOSES:
             _close_open(stack, _CLOSES[tag], _LISTS)
-        _, outside, inside = stack[-1]
-        apart = tag in NOT_MAIN or tag == "header" and not inside or _hinted(tag, m["attrs"])
+        _, outside, inside, by_tag, own = stack[-1]
+        named = tag in NOT_MAIN or tag == "header" and not inside
+        apart = named or _hinted(tag, m["attrs"])
         if apart and not is_block:
             close()
-        stack.append((tag, outside or apart, inside or tag in ("article", "main")))
+        opens = tag in ("article", "main") and not inside
+        stack.append((tag, outside or apart, inside or opens, by_tag or named, (by_tag if opens else own) or apart))
         if tag[0] == "h" and tag[1:].isdigit():
             heading = tag
     if end < len(page):
-        parts.append((page[end:], any(t == "a" for t, _, _ in stack)))
+        parts.append((page[end:], any(t == "a" for t, *_ in stack)))
     close()
+    # Hints around an article do not count where nothing else on the page is left.
+    if all(b.outside for b in out):
+        for b, own in zip(out, within):
+            b.outside = own or not b.inside
     return out
 
 

@@ -55,6 +55,24 @@ def test_pages(tree, name):
     assert pages.main_text(page, tree) == want
 
 
+OPEN = {
+    "head without its end": f"<html><head><meta charset=utf-8><title>x</title><script>'<p>no</p>'</script><body><article><p>{LONG}</p></article>",
+    "head with its end": f"<head><title>x</title></head><body><article><p>{LONG}</p></article>",
+    "self-closed drawing": f'<article><svg class="i" viewBox="0 0 1 1"/><p>{LONG}</p></article>',
+    "drawing": f"<article><svg><path d='M0'/><text>no</text></svg><p>{LONG}</p></article>",
+    "drawing without its end": f"<article><svg viewBox='0 0 1 1'><path d='M0'/><p>{LONG}</p></article>",
+    "self-closed frame": f'<article><iframe src="x" /><p>{LONG}</p></article>',
+    "class of the page": f'<div class="content has-sidebar"><article class="post category-legal"><p>{LONG}</p></article></div>',
+    "comments open": f'<div class="site comments-open"><article><p>{LONG}</p></article><div class="comments"><p>{LONG} not</p></div></div>',
+    "hint around the article": f'<div id="social"><nav>Home</nav><article><p>{LONG}</p><div class="related">no</div></article></div>',
+}
+
+
+@pytest.mark.parametrize("name", OPEN)
+def test_open_elements_and_wrappers(tree, name):
+    assert pages.main_text(OPEN[name], tree) == LONG
+
+
 def test_edges(spark, tree):
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (None, "u", f"<article><p>{LONG}</p></article>", "x"),
             (3, "u", f"<article>{'<p>' + LONG + '</p>'}</article>" * 1, "x"), (3, "u", "<div>" * 20_000, "x"),
