@@ -1,6 +1,6 @@
 """The operators as registered queries, and the SQL of those that SQL can express."""
 
-from poolwatch.llm import fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
+from poolwatch.llm import benchmark, fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -13,10 +13,12 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
+    "op11_decontamination": benchmark.op11_decontamination,
 }
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
     "op2_near_copies": near_copies.ORACLE,
     "op3_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_decontamination": benchmark.ORACLE,
 }

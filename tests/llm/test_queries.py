@@ -31,7 +31,7 @@ def test_equals_sql(spark, name):
 
 def test_one_query_per_operator():
     names = [n for n in contract.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 1 + len(QUERIES)))
     assert set(names) == set(QUERIES) and "pipeline" in contract.queries()
 
 
