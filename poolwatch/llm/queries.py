@@ -1,6 +1,6 @@
 """The operators as registered queries, and the SQL of those that SQL can express."""
 
-from poolwatch.llm import benchmark, fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
+from poolwatch.llm import benchmark, collocations, fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
     "op11_decontamination": benchmark.op11_decontamination,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op1_line_dedup": lines.ORACLE,
@@ -21,4 +22,5 @@ ORACLES = {
     "op3_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_decontamination": benchmark.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
