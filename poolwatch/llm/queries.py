@@ -1,6 +1,8 @@
 """The operators as registered queries, and the SQL of those that SQL can express."""
 
-from poolwatch.llm import benchmark, collocations, fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, quality, toxicity
+from poolwatch.llm import (
+    benchmark, collocations, fingerprints, language, licenses, lines, mixing, near_copies, packing, pages, prefix_trie, quality, toxicity,
+)
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -14,6 +16,7 @@ QUERIES = {
     "op9_fingerprints": fingerprints.op9_fingerprints,
     "op10_mixing": mixing.op10_mixing,
     "op11_decontamination": benchmark.op11_decontamination,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
@@ -22,5 +25,6 @@ ORACLES = {
     "op3_licenses": licenses.ORACLE,
     "op10_mixing": mixing.ORACLE,
     "op11_decontamination": benchmark.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
     "op13_collocations": collocations.ORACLE,
 }
