@@ -200,7 +200,8 @@ def test_validation_names_every_broken_rule(spark, put):
     records = spark.read.schema(readers.schemas.POOL_RECORD).json(put(POOL, bad))
     got = {r.rule: (r.bad_rows, r.first_key) for r in views.validate_pools(records).collect()}
     assert set(got) == {"type_unknown", "host_empty", "min_replicas_below_0", "max_replicas_below_1", "scaling_missing", "scaling.metrics_missing",
-                        "instance_state_unknown", "condition_type", "condition_status", "condition_reason"}
+                        "instance_state_unknown", "condition_type", "condition_status", "condition_reason", "condition_message",
+                        "condition_time_missing"}
     assert set(got.values()) == {(1, "dev/bad")}
 
 
