@@ -163,7 +163,9 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list:
         share = F.when(F.col("toxic") == value, int((1 << 30) * min(1.0, 0.9 * half / n))).otherwise(share)
     fold = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(FOLDS))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", "text")
-    chosen = known.filter(F.col("place") < share).join(texts, "doc_id")
+    # At most `sample` ids are sent to the texts; the texts stay where they are.
+    ids = known.filter(F.col("place") < share).select("doc_id", "low_quality", "toxic").limit(sample)
+    chosen = texts.join(F.broadcast(ids), "doc_id")
     return chosen.select("text", "low_quality", "toxic", fold.alias("fold")).limit(sample).collect()
 
 
