@@ -40,22 +40,32 @@ _CHUNK = 1 << 16
 # Rows of ids (16 bytes each) up to which they are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 FRAGMENTS = 8
-KEPT_WORDS = 400_000
+# Words of at most LONGEST_WORD bytes whose hashes a task keeps, until it ends.
+KEPT_WORDS = 250_000
+LONGEST_WORD = 64
 
 _STEPS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-_known: dict[bytes, int] = {}
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+class Hashes(dict):
+    """Hashes of words, worked out when they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        got = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST_WORD:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = got
+        return got
+
+
+def shingles(text: str | None, words: int = WORDS, known: Hashes | None = None) -> np.ndarray:
     """Sorted hashes of the distinct shingles, as unsigned 64-bit numbers."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z alone become lower case
     if not found:
         return np.empty(0, np.uint64)
-    for word in set(found).difference(_known):
-        _known[word] = xxhash.xxh3_64_intdigest(word)
-    hashes = np.fromiter(map(_known.__getitem__, found), np.uint64, len(found))
-    if len(_known) > KEPT_WORDS:
-        _known.clear()
+    known = Hashes() if known is None else known
+    hashes = np.fromiter(map(known.__getitem__, found), np.uint64, len(found))
     width = min(words, len(found))
     m = len(found) - width + 1
     out = np.full(m, np.uint64(width), np.uint64)
@@ -78,10 +88,10 @@ def bucket_counts(docs: DataFrame, words: int, buckets: int) -> list[tuple[int,
     chunk = min(_CHUNK, buckets)
 
     def count(batches):
-        held = np.zeros(buckets, np.uint32)
+        held, known = np.zeros(buckets, np.uint32), Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [shingles(t, words) for t in batch.column(0).slice(at, 256).to_pylist()]
+                sets = [shingles(t, words, known) for t in batch.column(0).slice(at, 256).to_pylist()]
                 np.add.at(held, _bucket(np.concatenate(sets), buckets), 1)
         for begin in range(0, buckets, chunk):
             part = held[begin : begin + chunk]
@@ -141,11 +151,11 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     a, b = similar
 
     def run(batches):
-        ranks = order.value
+        ranks, known = order.value, Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 rows = batch.slice(at, 256)
-                sets = [shingles(t, words) for t in rows.column(1).to_pylist()]
+                sets = [shingles(t, words, known) for t in rows.column(1).to_pylist()]
                 firsts = [ranks.sort(s)[0][: s.size - -(-a * s.size // b) + 1].view(np.int64) if s.size else None
                           for s in sets]
                 names = [set_name(s) for s in sets]
@@ -172,13 +182,13 @@ def segments(docs: DataFrame, order, words: int) -> DataFrame:
     """(set, fragment, grams): the set of each document cut by the fragments of the global order."""
 
     def run(batches):
-        ranks = order.value
+        ranks, known = order.value, Hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 out = [], [], []
                 rows = batch.slice(at, 64)
                 for name, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                    grams = shingles(text, words)
+                    grams = shingles(text, words, known)
                     if set_name(grams) != name:
                         continue  # another row of this doc_id
                     grams, rank = ranks.sort(grams)

@@ -55,7 +55,12 @@ class Encoder:
         self.code = "H" if self.kind.itemsize == 2 else "I"
         self.model = self.whole.model if self._plain(json.loads(open(path, encoding="utf-8").read())) else None
         self.bytes = _byte_letters()
-        self.kept, self.new, self.old, self.parts = kept, {"": b""}, {}, {}
+        self.kept = kept
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words looked up so far."""
+        self.new, self.old, self.parts = {"": b""}, {}, {}
 
     @staticmethod
     def _plain(file: dict) -> bool:
@@ -121,18 +126,21 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         coder, part, place = encoder(path), TaskContext.get().partitionId(), 0
         mark = np.array([end], coder.kind).tobytes()
         size = coder.kind.itemsize
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = [coder.ids(t or "") + mark for t in rows.column(1).to_pylist()]
-                n = np.array([len(x) // size for x in ids], np.int64)
-                places = place + np.cumsum(n) - n
-                place += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(n), pa.array(ids, pa.binary()),
-                     pa.array(np.full(len(n), part, np.int32)), pa.array(places)],
-                    names=["doc_id", "n", "ids", "part", "place"],
-                )
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    rows = batch.slice(at, 256)
+                    ids = [coder.ids(t or "") + mark for t in rows.column(1).to_pylist()]
+                    n = np.array([len(x) // size for x in ids], np.int64)
+                    places = place + np.cumsum(n) - n
+                    place += int(n.sum())
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column(0), pa.array(n), pa.array(ids, pa.binary()),
+                         pa.array(np.full(len(n), part, np.int32)), pa.array(places)],
+                        names=["doc_id", "n", "ids", "part", "place"],
+                    )
+        finally:
+            coder.forget()  # the worker goes on to other tasks
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, TOKENS)
 
