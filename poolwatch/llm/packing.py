@@ -155,13 +155,12 @@ def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> Da
         base.append((part, before))
         before += total
     bases = tokens.sparkSession.createDataFrame(base, "part int, before long")
-    kind = encoder(path).kind.str
 
     def cut(batches):
         for batch in batches:
             out = [[] for _ in range(8)]
             for doc, n, ids, begin in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                wide = np.frombuffer(ids, kind).astype("<u4")
+                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 at = 0
                 while at < n:
                     where = begin + at
