@@ -360,6 +360,71 @@ group by 1, 2, 3, 4""",
 select namespace, concat('pool-', nk) as pool, cast(sum(case when seq = 1 and state = 'Active' then 1
     when seq = 2 and outcome = 'Active' and state <> 'Active' then -1 else 0 end) as bigint) as live
 from f_state_changes group by 1, 2 having bool_or(outcome = 'Active')""",
+    "stream_session_transitions": f"""
+, base as (
+  select s.*, p.idle_minutes, p.pool is not null as pool_known, i.instance is not null as seated,
+    case when asked.session is not null then {AS_OF} + to_minutes(5) end as ask_at,
+    case when i.pos % 20 = 0 then {AS_OF} + to_minutes(7) end as lost_at,
+    case when s.pool = 'pool-7' and p.pool is not null then {AS_OF} + to_minutes(8) end as gone_at
+  from f_sessions s left join f_pools p on p.namespace = s.namespace and p.pool = s.pool
+  left join (select * from f_instances where state = 'Running') i
+    on i.namespace = s.namespace and i.pool = s.pool and i.instance = s.assigned_instance
+  left join (select namespace, session, user_name from f_sessions where k % 3 <> 0 and k % 7 <> 0) asked
+    on asked.namespace = s.namespace and asked.session = s.session
+), outlook as (
+  select c.session, c.namespace, c.verdict, d.instance, coalesce(d.endpoint, '') as endpoint, i.pos
+  from f_check c left join f_candidates d on d.namespace = c.namespace and d.pool = c.pool left join f_instances i on i.instance = d.instance
+), started as (
+  select b.* exclude (state, assigned_instance, last_activity_at, lost_at), b.state as was, assigned_instance as old_instance, '' as old_endpoint,
+    b.last_activity_at as old_last,
+    case when b.state = 'Terminating' then 'Terminated'
+      when b.state in ('Active', 'Idle') then case when not pool_known then 'Terminated' when not seated then 'Pending'
+        when b.last_activity_at + to_minutes(idle_minutes) < {AS_OF} then 'Terminating'
+        when b.state = 'Active' and b.last_activity_at + to_minutes(10) < {AS_OF} then 'Idle' else b.state end
+      when b.state in ('Pending', '') then case when not pool_known or o.verdict <> 'ok' then 'Failed' when o.instance is not null then 'Active' else b.state end
+      else b.state end as state,
+    case when b.state = 'Terminating' then 'closing'
+      when b.state in ('Active', 'Idle') then case when not pool_known then 'pool_deleted' when not seated then 'instance_lost'
+        when b.last_activity_at + to_minutes(idle_minutes) < {AS_OF} then 'idle_timeout'
+        when b.state = 'Active' and b.last_activity_at + to_minutes(10) < {AS_OF} then 'idle_mark' end
+      when b.state in ('Pending', '') then case when not pool_known then 'pool_missing' when o.verdict <> 'ok' then o.verdict when o.instance is not null then 'placed' end
+      end as reason,
+    case when reason = 'placed' then o.instance when reason = 'instance_lost' then '' else b.assigned_instance end as inst,
+    case when reason = 'placed' then o.endpoint else '' end as ep,
+    case when reason = 'placed' then {AS_OF} else b.last_activity_at end as last,
+    case when reason = 'placed' then case when o.pos % 20 = 0 then {AS_OF} + to_minutes(7) end else b.lost_at end as lost_at
+  from base b left join outlook o on o.session = b.session and o.namespace = b.namespace
+  where b.state in ('Active', 'Idle', 'Pending', '', 'Terminating')
+), live as (
+  select *, state in ('Active', 'Idle') as held, last + to_minutes(10) as idle_at, last + to_minutes(idle_minutes) as end_at,
+    coalesce(least(ask_at, lost_at, gone_at), timestamp '9999-01-01') as held_until
+  from started where state in ('Active', 'Idle', 'Pending', '')
+), held as (
+  select *, state = 'Active' and idle_at < end_at and idle_at < held_until as idles,
+    coalesce(end_at < held_until, false) as times_out
+  from live where held
+), waits as (
+  select namespace, pool, session, inst, ep, last, ask_at, gone_at, {AS_OF} as since from live where not held
+  union all select namespace, pool, session, '', '', last, ask_at, gone_at, lost_at from held
+    where not times_out and lost_at = held_until and coalesce(ask_at > lost_at, true)
+)
+select namespace, pool, session, changed_at, state, reason, inst as assigned_instance, ep as endpoint, last as last_activity_at from (
+  select namespace, pool, session, {AS_OF} as changed_at, state, reason, inst, ep, last from started where reason is not null
+  union all select namespace, pool, session, {AS_OF}, 'Terminated', 'closing', inst, ep, last from started where state = 'Terminating'
+  union all select namespace, pool, session, idle_at, 'Idle', 'idle_mark', inst, ep, last from held where idles
+  union all select namespace, pool, session, end_at, unnest(['Terminating', 'Terminated']), unnest(['idle_timeout', 'closing']), inst, ep, last
+    from held where times_out
+  union all select namespace, pool, session, ask_at, unnest(['Terminating', 'Terminated']), unnest(['ended_by_owner', 'closing']), inst, ep, last
+    from held where not times_out and ask_at = held_until
+  union all select namespace, pool, session, lost_at, 'Pending', 'instance_lost', '', '', last
+    from held where not times_out and lost_at = held_until and coalesce(ask_at > lost_at, true)
+  union all select namespace, pool, session, gone_at, 'Terminated', 'pool_deleted', inst, ep, last
+    from held where not times_out and gone_at = held_until
+  union all select namespace, pool, session, ask_at, unnest(['Terminating', 'Terminated']), unnest(['ended_by_owner', 'closing']), inst, ep, last
+    from waits where ask_at > since
+  union all select namespace, pool, session, gone_at, 'Failed', 'pool_missing', inst, ep, last
+    from waits where gone_at > since and ask_at is null
+)""",
     "stream_session_states": """
 select namespace, pool, session, changed_at, state, reason from (
   select namespace, pool, session, ts as changed_at, 'Active' as state,

@@ -556,6 +556,33 @@ def stream_session_states(s: Sample) -> DataFrame:
     return _instants(run.finish(jobs.session_states(s.activity, s.pools), "session-states"))
 
 
+def _news(s: Sample) -> DataFrame:
+    """News after the snapshot: outlooks at once, requests to end after 5 minutes, every 20th instance lost after
+    7, one pool gone after 8, a session of its own much later."""
+    after = lambda minutes: as_of() + F.make_dt_interval(mins=F.lit(minutes))
+    outlook = sessions.waiting_outlook(quota.quota_check(s.sessions, s.pools, s.quotas), _candidates(s)).withColumn("ts", after(0))
+    asks = s.termination_asks.join(s.sessions.select("namespace", "session", "pool"), ["namespace", "session"]).withColumn("ts", after(5))
+    lost = s.instances.filter("pos % 20 = 0").withColumns({"ts": after(7), "state": F.lit(V.FAILED)})
+    gone = s.pools.filter("pool = 'pool-7'").withColumns({"ts": after(8), "known": F.lit(False)})
+    late = s.pools.limit(1).select(*V.POOL, F.lit("late").alias("session"), after(2 * 24 * 60).alias("ts"))
+    parts = [
+        jobs.outlook_news(outlook), jobs.end_news(asks), jobs.instance_news(lost), jobs.pool_news(gone), jobs.touch_news(late),
+    ]
+    news = parts[0]
+    for part in parts[1:]:
+        news = news.unionByName(part)
+    path = sinks.work_folder(s.spark, "news")
+    news.write.parquet(path)
+    return s.spark.readStream.schema(news.schema).parquet(path)
+
+
+@stream()
+def stream_session_transitions(s: Sample) -> DataFrame:
+    start = jobs.life_snapshot(s.sessions, s.pools, s.instances, as_of().cast("timestamp"))
+    rows = _instants(run.finish(jobs.session_transitions(_news(s), start), "session-transitions"))
+    return rows.select("namespace", "pool", "session", "changed_at", "state", "reason", "assigned_instance", "endpoint", "last_activity_at")
+
+
 @stream("events")
 def stream_cooldowns(s: Sample) -> DataFrame:
     return _instants(run.finish(jobs.cooldowns(s.scaling_log, s.pools), "cooldowns"))

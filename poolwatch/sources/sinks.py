@@ -38,6 +38,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of `df` in the shared folder, without the plan that made them."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(work_folder(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
 def pool_status(rollup: DataFrame, as_of: Column) -> DataFrame:
     """Status row of each pool as the roll-up sees it."""
     return rollup.select(

@@ -1,21 +1,26 @@
 """Streaming forms of the jobs. All use event time: a late touch never moves a clock back."""
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import settings, states, timing
 from poolwatch.plans.quota import USER
 from poolwatch.plans.sessions import SESSION
-from poolwatch.streaming import state
+from poolwatch.sources.sinks import checkpointed
+from poolwatch.streaming import life, state
+from poolwatch.streaming.life import LIFE_OUTPUT, SessionLife
 from poolwatch.streaming.state import (
     ASKED, COOLDOWN_OUTPUT, FAILED, OK, OPEN, START_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock, StartClock,
 )
 
 # The processors travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(state)
+cloudpickle.register_pickle_by_value(life)
 
 DELAY = "10 minutes"
+# Keys a pool's sessions are dealt to; news of the pool goes to each.
+SHARDS = 64
 
 
 def timed(rows: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -118,6 +123,76 @@ def session_states(activity: DataFrame, pools: DataFrame, delay: str = DELAY) ->
     )
 
 
+_NEWS = {
+    "session": "string", "ts": "timestamp", "seq": "bigint", "user_name": "string", "state": "string", "instance": "string",
+    "endpoint": "string", "minutes": "int", "flag": "boolean", "reason": "string", "created_at": "timestamp", "last_activity_at": "timestamp",
+}
+
+
+def _news(rows: DataFrame, kind: int, shards: int, **given: Column) -> DataFrame:
+    """Rows of one kind in the shape all news has. Without a session they go to every shard of the pool."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    shard = F.pmod(F.xxhash64("session"), F.lit(shards)).cast("int") if "session" in rows.columns else each
+    held = lambda c: given[c] if c in given else F.col(c) if c in rows.columns else F.lit(None)
+    return rows.select(*V.POOL, shard.alias("shard"), F.lit(kind).alias("kind"), *[held(c).cast(t).alias(c) for c, t in _NEWS.items()])
+
+
+def touch_news(activity: DataFrame, shards: int = SHARDS) -> DataFrame:
+    return _news(activity.select(*V.POOL, "session", "ts"), life.TOUCH, shards)
+
+
+def end_news(asks: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Requests to end a session, by `user_name`; the owner's alone are heard."""
+    return _news(asks.select(*V.POOL, "session", "ts", "user_name"), life.END, shards)
+
+
+def record_news(records: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """New sessions with their owner."""
+    return _news(records.select(*V.POOL, "session", "ts", "user_name"), life.RECORD, shards)
+
+
+def outlook_news(outlook: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """What `waiting_outlook` said of new sessions at `ts`; those that go on waiting are no news."""
+    said = outlook.filter("outlook <> 'no running instance'")
+    return _news(said.select(*V.POOL, "session", "ts", "instance", "endpoint", F.col("verdict").alias("reason")), life.OUTLOOK, shards)
+
+
+def pool_news(pools: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Pools as they are from `ts` on; `known` is false for one that is gone."""
+    rows = pools.select(*V.POOL, "ts", "known", settings.idle_minutes().alias("minutes"))
+    return _news(rows, life.POOL, shards, flag=F.col("known"))
+
+
+def instance_news(instances: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Instances as they are from `ts` on."""
+    return _news(instances.select(*V.POOL, "instance", "ts", "state"), life.INSTANCE, shards, flag=states.is_ready())
+
+
+def life_snapshot(sessions: DataFrame, pools: DataFrame, instances: DataFrame, as_of: Column, shards: int = SHARDS) -> DataFrame:
+    """Where `session_transitions` begins: all that is known at `as_of`."""
+    facts = pool_news(pools.withColumns({"ts": as_of, "known": F.lit(True)}), shards)
+    seats = instance_news(instances.filter(states.is_ready()).withColumn("ts", as_of), shards)
+    rows = sessions.withColumns({"ts": as_of, "instance": F.col("assigned_instance")})
+    if "endpoint" not in rows.columns:
+        rows = rows.withColumn("endpoint", F.lit(""))
+    return facts.unionByName(seats).unionByName(_news(rows, life.SNAPSHOT, shards))
+
+
+def session_transitions(news: DataFrame, snapshot: DataFrame, delay: str = DELAY) -> DataFrame:
+    """Every change of every session, with the instance, endpoint and times it has then; append mode.
+
+    `news` is any union of touches, requests to end, new sessions, outlooks, pools and instances;
+    pools and instances are news like the rest, so a changed timeout counts from its moment on.
+    The sessions of the snapshot are looked at once at its moment, by the rules of the batch job.
+    """
+    key = [*V.POOL, "shard"]
+    return timed(news, delay).groupBy(*key).transformWithStateInPandas(
+        statefulProcessor=SessionLife(), outputStructType=LIFE_OUTPUT, outputMode="append", timeMode="eventTime",
+        # The state operator is sent with the plan of its initial rows, so that plan must be rows alone.
+        initialState=checkpointed(snapshot).groupBy(*key),
+    )
+
+
 def cooldowns(log: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
     """Shrink actions with the time since the pool's previous one; append mode."""
     limits = pools.select(*V.POOL, settings.cooldown_seconds().alias("cooldown_seconds"))
