@@ -16,6 +16,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def in_small_batches(docs: DataFrame, rows: int = 1_000) -> DataFrame:
+    """The same table, of whose texts a task hands at most `rows` at once to Python: Spark's own number is made for
+    short rows, and a batch is held several times, on either side."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """`body` of a value that is worked out once a row, also where lambdas inside use it."""
     return F.transform(F.array(value), lambda x: body(x))[0]

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwatch.llm.common import documents
+from poolwatch.llm.common import documents, in_small_batches
 
 ORDER = 4
 SAMPLE = 400
@@ -321,7 +321,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             kept = [not x[3] for x in judge(own, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

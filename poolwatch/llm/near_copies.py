@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from poolwatch.llm.common import documents, stored
+from poolwatch.llm.common import documents, in_small_batches, stored
 from poolwatch.llm.components import components
 
 WORDS = 5
@@ -230,7 +230,7 @@ def near_copies(
     docs: DataFrame, words: int = WORDS, similar: tuple[int, int] = SIMILAR, buckets: int = BUCKETS
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    spark = docs.sparkSession
+    spark = in_small_batches(docs).sparkSession
     order = spark.sparkContext.broadcast(Order(bucket_counts(docs, words, buckets), buckets))
     sets = stored(prefixes(docs, order, words, similar), "sets")
     full = sets.filter("n > 0")

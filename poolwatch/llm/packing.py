@@ -19,7 +19,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from poolwatch.llm.common import documents, stored
+from poolwatch.llm.common import documents, in_small_batches, stored
 
 WINDOW = 4096
 END = 2
@@ -147,7 +147,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
 def pack(docs: DataFrame, path: str, end: int = END, window: int = WINDOW) -> DataFrame:
     """Pieces of all documents; `ids` holds a piece's ids as unsigned little-endian 32-bit numbers."""
-    tokens = stored(tokenized(docs, path, end), "tokens")
+    tokens = stored(tokenized(in_small_batches(docs), path, end), "tokens")
     # One row for each task of the first pass, whatever the number of documents.
     totals = sorted(tuple(r) for r in tokens.groupBy("part").agg(F.max(F.col("place") + F.col("n"))).collect())
     before, base = 0, []
