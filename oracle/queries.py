@@ -76,22 +76,7 @@ select c.namespace, c.pool, user_name, session, verdict,
   case when verdict <> 'ok' then 'refused' when d.instance is null then 'no running instance' else 'placed' end as outlook,
   case when verdict = 'ok' then d.instance end as instance, case when verdict = 'ok' then d.endpoint end as endpoint
 from f_check c left join f_candidates d on d.namespace = c.namespace and d.pool = c.pool""",
-    "session_transitions": f"""
-select s.namespace, s.session, s.pool, s.state,
-  case when s.state in ('Pending', '') then case when c.verdict <> 'ok' then 'Failed' when r.ready > 0 then 'Active' else s.state end
-    when s.state in ('Active', 'Idle') then case when p.pool is null then 'Terminated' when i.instance is null then 'Pending'
-      when {AS_OF} - last_activity_at > to_minutes(p.idle_minutes) then 'Terminating'
-      when s.state = 'Active' and {AS_OF} - last_activity_at > to_minutes(10) then 'Idle' else s.state end
-    when s.state = 'Terminating' then 'Terminated' else s.state end as next_state,
-  case when s.state in ('Pending', '') then case when c.verdict <> 'ok' then c.verdict when r.ready > 0 then 'placed' else 'no_running_instance' end
-    when s.state in ('Active', 'Idle') then case when p.pool is null then 'pool_deleted' when i.instance is null then 'instance_lost'
-      when {AS_OF} - last_activity_at > to_minutes(p.idle_minutes) then 'idle_timeout'
-      when s.state = 'Active' and {AS_OF} - last_activity_at > to_minutes(10) then 'idle_mark' else 'none' end
-    when s.state = 'Terminating' then 'closing' else 'none' end as reason
-from f_sessions s left join f_pools p on p.namespace = s.namespace and p.pool = s.pool
-left join f_check c on c.namespace = s.namespace and c.session = s.session
-left join f_rollup r on r.namespace = s.namespace and r.pool = s.pool
-left join f_instances i on i.namespace = s.namespace and i.pool = s.pool and i.instance = s.assigned_instance and i.state = 'Running'""",
+    "session_transitions": "select * from f_transitions",
     "alive_sessions": """
 select s.namespace, session, assigned_instance from f_sessions s join f_instances i on i.namespace = s.namespace and i.pool = s.pool
   and i.instance = s.assigned_instance and i.state = 'Running' where s.state in ('Active', 'Idle')""",
@@ -117,15 +102,29 @@ left join (select namespace, pool, label_user as user_name, arg_min(session, (cr
   where state in ('Active', 'Idle', 'Pending', 'Assigning') group by 1, 2, 3) s
   on s.namespace = r.namespace and s.pool = r.pool and s.user_name = r.user_name
 where r.status = 'ok'""",
+    "session_reuse_known": """
+select r.request_id, r.namespace, r.pool, r.user_name, s.session from f_routed r
+left join (select namespace, pool, label_user as user_name, arg_min(session, (created_at, session)) as session from f_sessions
+  where state in ('Active', 'Idle', 'Pending', 'Assigning') or state = '' and k % 16 = 1 group by 1, 2, 3) s
+  on s.namespace = r.namespace and s.pool = r.pool and s.user_name = r.user_name
+where r.status = 'ok'""",
+    "session_table": """
+, moved as (
+  select s.namespace, s.session, s.pool, s.user_name, o.next_state, o.reason, o.assigned_instance, o.endpoint, o.created_at, o.last_activity_at,
+    a.k is not null as asked
+  from f_sessions s join f_transitions o on o.namespace = s.namespace and o.session = s.session
+  left join (select k from f_orders where k % 3 <> 0 and k % 7 <> 0) a on a.k = s.k
+)
+select namespace, session, pool, user_name, case when asked then 'Terminating' else next_state end as state,
+  assigned_instance, endpoint, created_at, last_activity_at from moved""",
     "activation_wait": f"""
-select namespace, session, ts, case when now in ('Active', 'Idle', 'Failed', 'Terminated', 'Terminating') then 0
+select namespace, session, ts, case when now is not null then 0
     when next_ts <= ts + to_seconds(60) then date_diff('second', ts, next_ts) end as wait_seconds,
-  case when now in ('Active', 'Idle') then 'ok' when now in ('Failed', 'Terminated', 'Terminating') then 'failed'
-    when next_ts <= ts + to_seconds(60) then case when next_state in ('Active', 'Idle') then 'ok' else 'failed' end
+  case when now is not null then now when next_ts <= ts + to_seconds(60) then next_result
     when ts + to_seconds(60) < {AS_OF} then 'timeout' else 'pending' end as outcome
-from (select q.namespace, q.session, q.ts, arg_max(c.state, (c.ts, c.seq)) filter (c.ts <= q.ts) as now,
+from (select q.namespace, q.session, q.ts, arg_max(coalesce(c.result, ''), (c.ts, c.seq)) filter (c.ts <= q.ts) as latest, nullif(latest, '') as now,
     min(c.ts) filter (c.ts > q.ts and c.state <> 'Pending') as next_ts,
-    arg_min(c.state, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_state
+    arg_min(c.result, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_result
   from f_asked q left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)""",
     "last_activity": """
 select namespace, pool, session, max(ts) as last_activity_at, count(*) as touches from f_activity group by 1, 2, 3""",
@@ -212,6 +211,8 @@ select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, con
   {AS_OF} - to_minutes(k % 600) as created_at, case when k % 3 = 0 then concat(1 + k % 8, 'g') end as memory
 from f_orders""",
     "own_sessions": "select session as name, user_name as user, pool, state from f_sessions where user_name = 'user-7'",
+    "own_sessions_by_label": """
+select session as name, user_name as user, label_user as "labelUser", pool, state from f_sessions where label_user = 'user-7'""",
     "instance_states": "select namespace, pool, instance, pos, spark_state, role, app_id, app_state as state from f_instances",
     "container_quantities": """
 select concat('pod-', l_suppkey) as pod, concat('c', l_linenumber) as container, r as resource, count(*) as readings,
@@ -303,7 +304,12 @@ select doc_id, octet_length(b) > 1024 as truncated, octet_length(b) as full_byte
   md5(case when octet_length(b) > 1024 then b[1:1024] || encode('... [truncated by proxy]') else b end) as kept_md5
 from (select doc_id, encode(text) as b from documents)""",
     "pool_status_table": f"""
-select namespace, pool, running as current_replicas, ready as ready_replicas, total as total_active_sessions, {AS_OF} as as_of from f_rollup""",
+select r.namespace, r.pool, running as current_replicas, ready as ready_replicas, total as total_active_sessions,
+  {AS_OF} + to_seconds(30 * tick) as as_of,
+  coalesce(i.names, '') as instances
+from f_rollup r left join (select namespace, pool, string_agg(concat_ws('/', instance, state, active_sessions), ',' order by pos) as names
+    from f_load group by 1, 2) i on i.namespace = r.namespace and i.pool = r.pool
+cross join (select unnest([0, 1, 2, 3]) as tick) t""",
     "session_state_table": """
 select namespace, session, arg_max(concat('pool-', nk), (ts, seq)) as pool, arg_max(state, (ts, seq)) as state, max(ts) as ts
 from f_state_changes group by 1, 2""",
@@ -336,24 +342,23 @@ from (select event_id, event_id % 7 <> 0 and user_id % 25 % 2 = 0 as connect, ca
     case when connect then case event_id % 6 when 0 then concat('inner-', user_id) when 1 then concat('plain-', user_id) end end as m from events)""",
     "stream_activity_records": "select namespace, pool, session, user_name, kind, ts from f_activity",
     "stream_activation_wait": """
-select namespace, session, ts, case when now in ('Active', 'Idle', 'Failed', 'Terminated', 'Terminating') then 0
+select namespace, session, ts, case when now is not null then 0
     when next_ts <= ts + to_seconds(60) then date_diff('second', ts, next_ts) end as wait_seconds,
-  case when now in ('Active', 'Idle') then 'ok' when now in ('Failed', 'Terminated', 'Terminating') then 'failed'
-    when next_ts <= ts + to_seconds(60) then case when next_state in ('Active', 'Idle') then 'ok' else 'failed' end
+  case when now is not null then now when next_ts <= ts + to_seconds(60) then next_result
     else 'timeout' end as outcome
-from (select q.namespace, q.session, q.ts, arg_max(c.state, (c.ts, c.seq)) filter (c.ts <= q.ts) as now,
+from (select q.namespace, q.session, q.ts, arg_max(coalesce(c.result, ''), (c.ts, c.seq)) filter (c.ts <= q.ts) as latest, nullif(latest, '') as now,
     min(c.ts) filter (c.ts > q.ts and c.state <> 'Pending') as next_ts,
-    arg_min(c.state, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_state
+    arg_min(c.result, (c.ts, c.seq)) filter (c.ts > q.ts and c.state <> 'Pending') as next_result
   from f_asked q left join f_state_changes c on c.namespace = q.namespace and c.session = q.session group by 1, 2, 3)
 where ts + to_seconds(60) < (select max(ts) from f_asked) - to_minutes(10)""",
     "stream_utilisation": """
 select namespace, pool, resource, tick, count(*) as measured_pods,
   cast(sum((cast(usage as hugeint) * 100000000) // request) // count(*) as bigint) as mean_micro_percent
 from (select i.namespace, i.pool, i.pos, 'cpu' as resource, date_trunc('day', l_shipdate)::timestamp as tick,
-    sum(cast(round(l_extendedprice * 100) as bigint)) as usage,
+    cast(ceil(sum(cast(round(l_extendedprice * 100) as decimal(18,0)) + case when l_orderkey % 5 = 0 then 0.25 else 0 end)) as bigint) as usage,
     sum(case when pos % 13 = 0 then 0 else 10000000 + 200000 * (pos % 7) end) as request
   from lineitem join f_instances i on i.pos = l_suppkey and i.state = 'Running' and l_linenumber between 1 and 6
-  group by all having request <> 0)
+  group by all having request <> 0 and count(*) filter (l_orderkey % 31 = 0) = 0)
 where tick + to_days(1) <= (select max(l_shipdate) from lineitem) - to_days(1)
 group by 1, 2, 3, 4""",
     "stream_live_load": """

@@ -62,7 +62,10 @@ select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, seq
   {AS_OF} - to_minutes((k * 7) % 1000 + k % 600)
     + to_seconds(case seq when 0 then 0 when 1 then k % 70 else k % 70 + 400 end) as ts,
   case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome,
-  case when seq = 0 then 'Pending' when seq = 2 and k % 17 <> 0 then 'Terminated' else outcome end as state, k, nk
+  case when seq = 0 then 'Pending' when seq = 2 and k % 17 <> 0 then 'Terminated' else outcome end as state, k, nk,
+  case when seq > 0 and k % 19 <> 0 then concat('app-', k, '.svc') else '' end as endpoint,
+  case when state in ('Active', 'Idle') then case when endpoint = '' then 'no_endpoint' else 'ok' end
+    when state in ('Failed', 'Terminated', 'Terminating') then 'failed' end as result
 from f_orders cross join (select unnest([0, 1, 2]) as seq) q""",
     "f_asked": """
 select namespace, session, created_at as ts from f_sessions
@@ -149,6 +152,27 @@ select p.namespace, p.pool, b.instance, b.active_sessions,
 from f_pools p left join (select namespace, pool, instance, active_sessions from f_load where state = 'Running'
   qualify row_number() over (partition by namespace, pool order by active_sessions, pos) = 1) b on b.namespace = p.namespace and b.pool = p.pool
 left join f_endpoints e on e.instance = b.instance""",
+    "f_transitions": f"""
+select s.namespace, s.session, s.pool, s.state,
+  case when s.state in ('Pending', '') then case when c.verdict <> 'ok' then 'Failed' when r.ready > 0 then 'Active' else s.state end
+    when s.state in ('Active', 'Idle') then case when p.pool is null then 'Terminated' when i.instance is null then 'Pending'
+      when {AS_OF} - last_activity_at > to_minutes(p.idle_minutes) then 'Terminating'
+      when s.state = 'Active' and {AS_OF} - last_activity_at > to_minutes(10) then 'Idle' else s.state end
+    when s.state = 'Terminating' then 'Terminated' else s.state end as next_state,
+  case when s.state in ('Pending', '') then case when c.verdict <> 'ok' then c.verdict when r.ready > 0 then 'placed' else 'no_running_instance' end
+    when s.state in ('Active', 'Idle') then case when p.pool is null then 'pool_deleted' when i.instance is null then 'instance_lost'
+      when {AS_OF} - last_activity_at > to_minutes(p.idle_minutes) then 'idle_timeout'
+      when s.state = 'Active' and {AS_OF} - last_activity_at > to_minutes(10) then 'idle_mark' else 'none' end
+    when s.state = 'Terminating' then 'closing' else 'none' end as reason,
+  case reason when 'placed' then d.instance when 'instance_lost' then '' else s.assigned_instance end as assigned_instance,
+  case when reason = 'placed' then d.endpoint else '' end as endpoint,
+  case when reason = 'placed' then {AS_OF} else s.created_at end as created_at,
+  case when reason = 'placed' then {AS_OF} else s.last_activity_at end as last_activity_at
+from f_sessions s left join f_pools p on p.namespace = s.namespace and p.pool = s.pool
+left join f_candidates d on d.namespace = s.namespace and d.pool = s.pool
+left join f_check c on c.namespace = s.namespace and c.session = s.session
+left join f_rollup r on r.namespace = s.namespace and r.pool = s.pool
+left join f_instances i on i.namespace = s.namespace and i.pool = s.pool and i.instance = s.assigned_instance and i.state = 'Running'""",
     "f_activity": """
 select event_id, concat('ns-', (user_id % 25) % 9) as namespace, concat('pool-', user_id % 25) as pool,
   concat('session-user-', user_id) as session, concat('user-', user_id) as user_name, ts, event_type as kind from events""",

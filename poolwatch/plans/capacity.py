@@ -95,7 +95,7 @@ def scaling_audit(log: DataFrame, pools: DataFrame) -> DataFrame:
     clock. A pool shrinks at most once per tick, so a day of one pool is a small group."""
     shrinks = log.filter(F.col("action") == "shrink").select(*V.POOL, "action_id", "ts")
     with_last = nearest(shrinks, V.POOL, ["ts", "action_id"], time_bucket("ts"), previous={"previous": "ts"})
-    limits = settings.effective_settings(pools).select(*V.POOL, "cooldown_seconds")
+    limits = pools.select(*V.POOL, "cooldown_seconds")
     joined = with_last.join(limits, V.POOL, "left").withColumn(
         "cooldown_seconds", settings.cooldown_seconds()
     )

@@ -66,13 +66,14 @@ def pool_facts(pools: DataFrame, sessions: DataFrame) -> DataFrame:
     )
 
 
-def quota_check(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) -> DataFrame:
-    """Verdict on every new session against the snapshot, the session itself not counted.
+def quota_check(sessions: DataFrame, pools: DataFrame, quotas: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Verdict on every new session against the snapshot, the session itself not counted. Its columns in `keep`
+    come along.
 
     The user limit is looked at first; a limit of zero or less is none. Counts are joined back
     instead of taken by a window over the pool, so a crowded pool needs no single task.
     """
-    new = sessions.filter(states.is_new()).select(*USER, "session", "state")
+    new = sessions.filter(states.is_new()).select(*USER, "session", "state", *keep)
     joined = new.join(pool_facts(pools, sessions), V.POOL, "left")
     joined = joined.join(user_facts(sessions, quotas), USER, "left")
     own = states.counts_toward_quota().cast("int")
@@ -93,7 +94,7 @@ def quota_check(sessions: DataFrame, pools: DataFrame, quotas: DataFrame) -> Dat
     )
     return used.withColumn("verdict", verdict).select(
         *USER, "session", "state", "user_used", "user_limit", "pool_used", "pool_limit", "verdict",
-        _message().alias("message"),
+        _message().alias("message"), *keep,
     )
 
 

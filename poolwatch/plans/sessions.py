@@ -9,7 +9,7 @@ from poolwatch.plans.load import INSTANCE
 from poolwatch.plans.quota import USER, quota_check
 
 SESSION = ["namespace", "session"]
-_OPEN, _OK, _FAILED = 0, 1, 2
+_OPEN, _OK, _FAILED, _NO_ENDPOINT = 0, 1, 2, 3
 
 
 def instance_endpoints(instances: DataFrame, services: DataFrame) -> DataFrame:
@@ -64,28 +64,40 @@ def alive_sessions(sessions: DataFrame, instances: DataFrame, alive: bool = True
 
 
 def session_transitions(
-    sessions: DataFrame, pools: DataFrame, instances: DataFrame, quotas: DataFrame, as_of: Column
+    sessions: DataFrame, pools: DataFrame, instances: DataFrame, quotas: DataFrame, as_of: Column, candidates: DataFrame | None = None
 ) -> DataFrame:
     """Next state of every session and why; a reason of `none` means it stays.
 
+    With `candidates` (`placement_candidates`) each row also has the instance, endpoint and times the
+    session has then: a placed one those of its candidate and the moment, a lost one none, any other its own.
     New, placed and other sessions go separate ways, so only new ones meet the quota tables and
     only placed ones meet the instance table.
     """
     ready = instances.filter(states.is_ready())
-    can_place = ready.select(*V.POOL).distinct().withColumn("can_place", F.lit(True))
-    verdicts = quota_check(sessions, pools, quotas)
-    new = verdicts.join(can_place, V.POOL, "left")
-    placed = F.col("can_place").isNotNull()
+    outcome = ("assigned_instance", "endpoint", "created_at", "last_activity_at") if candidates is not None else ()
+    if outcome and "endpoint" not in sessions.columns:
+        sessions = sessions.withColumn("endpoint", F.lit(""))
+    if candidates is None:
+        seat = ready.select(*V.POOL).distinct().withColumn("seat", F.lit(""))
+    else:
+        seat = candidates.filter("instance is not null").select(*V.POOL, F.col("instance").alias("seat"), F.col("endpoint").alias("seat_endpoint"))
+    verdicts = quota_check(sessions, pools, quotas, outcome)
+    new = verdicts.join(seat, V.POOL, "left")
+    placed = F.col("seat").isNotNull()
+    taken = (F.col("verdict") == "ok") & placed
+    at = {"assigned_instance": F.col("seat"), "endpoint": F.col("seat_endpoint"), "created_at": as_of, "last_activity_at": as_of} if outcome else {}
     new = new.select(
         *SESSION, "pool", "state",
         F.when(F.col("verdict") != "ok", "Failed").when(placed, "Active").otherwise(F.col("state"))
         .alias("next_state"),
         F.when(F.col("verdict") != "ok", F.col("verdict")).when(placed, "placed")
         .otherwise("no_running_instance").alias("reason"),
+        *[F.when(taken, at[c]).otherwise(F.col(c)).alias(c) for c in outcome],
     )
 
+    own = [c for c in outcome if c not in ("assigned_instance", "last_activity_at")]
     held = sessions.filter(states.holds_instance()).select(
-        *SESSION, "pool", "state", "assigned_instance", "last_activity_at"
+        *SESSION, "pool", "state", "assigned_instance", "last_activity_at", *own
     )
     limits = pools.select(*V.POOL, settings.idle_minutes().alias("idle_minutes"), F.lit(True).alias("pool_known"))
     seats = ready.select(
@@ -102,13 +114,15 @@ def session_transitions(
         .when(idle(F.lit(V.IDLE_MARK_MINUTES)) & (F.col("state") == "Active"), to(F.lit("Idle"), "idle_mark"))
         .otherwise(to(F.col("state"), "none"))
     )
-    held = held.select(*SESSION, "pool", "state", step.alias("step")).select(*SESSION, "pool", "state", "step.*")
+    held = held.select(*SESSION, "pool", "state", step.alias("step"), *outcome)
+    cleared = lambda c: F.when(F.col("step.reason") == "instance_lost", "").otherwise(F.col(c)) if c in ("assigned_instance", "endpoint") else F.col(c)
+    held = held.select(*SESSION, "pool", "state", "step.*", *[cleared(c).alias(c) for c in outcome])
 
     closing = F.col("state") == "Terminating"
     rest = sessions.filter(~states.is_new() & ~states.holds_instance()).select(
         *SESSION, "pool", "state",
         F.when(closing, "Terminated").otherwise(F.col("state")).alias("next_state"),
-        F.when(closing, "closing").otherwise("none").alias("reason"),
+        F.when(closing, "closing").otherwise("none").alias("reason"), *outcome,
     )
     return new.unionByName(held).unionByName(rest)
 
@@ -128,17 +142,26 @@ def termination_requests(sessions: DataFrame, requests: DataFrame) -> DataFrame:
     )
 
 
-def session_reuse(routed: DataFrame, sessions: DataFrame, prefix: str) -> DataFrame:
+def session_reuse(routed: DataFrame, sessions: DataFrame, prefix: str, known: DataFrame | None = None) -> DataFrame:
     """Session each routed request falls to: the oldest reusable one whose labels name its user and
-    its pool; none means a new session would be made."""
+    its pool; none means a new session would be made. `known` names sessions the proxy made itself
+    (namespace, session), which may still have no state.
+
+    Times are compared as numbers, by hash; names decide among the few that are left.
+    """
     labelled = {c: F.try_element_at("labels", F.lit(f"{prefix}/{x}")) for c, x in (("user_name", "user"), ("pool", "pool"))}
-    reusable = (
-        sessions.filter(states.is_reusable()).withColumns(labelled)
-        .groupBy(*USER)
-        .agg(F.min_by("session", F.struct("created_at", "session")).alias("session"))
-    )
+    usable = states.is_reusable()
+    if known is not None:
+        made = known.select(*SESSION).distinct().withColumn("made", F.lit(True))
+        sessions = sessions.join(made, SESSION, "left")
+        usable = usable | (F.col("made").isNotNull() & states.is_reusable(known=True))
+    # A session without a time is older than any.
+    made_at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 62)))
+    reusable = sessions.filter(usable).withColumns(labelled).select(*USER, "session", made_at.alias("made_at")).dropna(subset=USER)
+    oldest = reusable.groupBy(*USER).agg(F.min("made_at").alias("made_at"))
+    first = reusable.join(oldest, [*USER, "made_at"]).groupBy(*USER).agg(F.min("session").alias("session"))
     ok = routed.filter(F.col("status") == "ok").select("request_id", *USER)
-    return ok.join(reusable, USER, "left")
+    return ok.join(first, USER, "left")
 
 
 def activation_wait(
@@ -150,9 +173,14 @@ def activation_wait(
     first is active or failed, if within the budget. Requests and state changes are laid on one
     time line per session and looked over once, so no request is paired with more than one
     change. `changes` has a `seq` that orders changes of one moment; the last one of a moment
-    stands, and moment and outcome travel as one growing number.
+    stands, and moment and outcome travel as one growing number. A session that is active without an
+    endpoint serves nobody: `no_endpoint`, where `changes` tells endpoints.
     """
-    outcome = F.when(states.holds_instance(), _OK).when(states.start_failed(), _FAILED).otherwise(_OPEN)
+    lost = states.clean("endpoint") == "" if "endpoint" in changes.columns else F.lit(False)
+    outcome = (
+        F.when(states.holds_instance() & lost, _NO_ENDPOINT).when(states.holds_instance(), _OK)
+        .when(states.start_failed(), _FAILED).otherwise(_OPEN)
+    )
     moments = (
         changes.select(*SESSION, "ts", (F.col("seq") * 4 + outcome).alias("n"))
         .groupBy(*SESSION, "ts")
@@ -172,7 +200,9 @@ def activation_wait(
     in_time = waited <= budget * 1_000_000
     over = F.col("ts") + timing.seconds(F.lit(budget)) < as_of
     at_once = F.col("now") % 4 != _OPEN
-    result = lambda mark: F.when(F.col(mark) % 4 == _OK, "ok").otherwise("failed")
+    result = lambda mark: (
+        F.when(F.col(mark) % 4 == _OK, "ok").when(F.col(mark) % 4 == _NO_ENDPOINT, "no_endpoint").otherwise("failed")
+    )
     return line.select(
         *SESSION, "ts",
         F.when(at_once, 0).when(in_time, F.floor(waited / 1_000_000)).alias("wait_seconds"),

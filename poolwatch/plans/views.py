@@ -7,9 +7,11 @@ from poolwatch.functions import identity, maps, settings, states, text, timing
 from poolwatch.plans.quota import USER
 
 
-def session_listing(sessions: DataFrame) -> DataFrame:
-    """Sessions as their owners see them; empty fields are null, so the JSON sink drops them."""
+def session_listing(sessions: DataFrame, prefix: str | None = None) -> DataFrame:
+    """Sessions as their owners see them; empty fields are null, so the JSON sink drops them. With the
+    `prefix` of the labels also the user they name (`labelUser`), who may be another."""
     conf = F.col("spark_conf")
+    labelled = [F.try_element_at("labels", F.lit(f"{prefix}/user")).alias("labelUser")] if prefix else []
     return sessions.select(
         F.col("session").alias("name"),
         F.col("user_name").alias("user"),
@@ -18,12 +20,14 @@ def session_listing(sessions: DataFrame) -> DataFrame:
         F.nullif(F.col("assigned_instance"), F.lit("")).alias("assignedInstance"),
         F.when(F.size(conf) > 0, conf).alias("sparkConf"),
         F.col("created_at").alias("createdAt"),
-        F.col("last_activity_at").alias("lastActivityAt"),
+        F.col("last_activity_at").alias("lastActivityAt"), *labelled,
     )
 
 
-def own_sessions(sessions: DataFrame, me: str) -> DataFrame:
-    return session_listing(sessions.filter(F.col("user_name") == me))
+def own_sessions(sessions: DataFrame, me: str, prefix: str | None = None) -> DataFrame:
+    """Sessions of one user: by their owner, or with the `prefix` of the labels by the user these name."""
+    owner = F.try_element_at("labels", F.lit(f"{prefix}/user")) if prefix else F.col("user_name")
+    return session_listing(sessions.filter(owner == me), prefix)
 
 
 def pool_listing(pools: DataFrame) -> DataFrame:

@@ -6,8 +6,8 @@ from poolwatch import values as V
 from poolwatch.functions import hosts, identity, maps, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
-from poolwatch.sources.sample import MANAGER, MEASURED_MINUTES, PREFIX, Sample, as_of, measured_at
-from poolwatch.streaming import jobs, run
+from poolwatch.sources.sample import AS_OF, MANAGER, MEASURED_MINUTES, PREFIX, Sample, as_of, measured_at
+from poolwatch.streaming import jobs, run, steps
 
 QUERIES = {}
 
@@ -146,7 +146,26 @@ def waiting_outlook(s: Sample) -> DataFrame:
 
 @query
 def session_transitions(s: Sample) -> DataFrame:
-    return sessions.session_transitions(s.sessions, s.pools, s.instances, s.quotas, as_of())
+    return sessions.session_transitions(s.sessions, s.pools, s.instances, s.quotas, as_of(), _candidates(s))
+
+
+@query
+def session_table(s: Sample) -> DataFrame:
+    """Sessions after what became of them was written back, made the new base, and requests to end were heard; the
+    last batch is written twice."""
+    path = sinks.work_folder(s.spark, "session-table")
+    fields = ["assigned_instance", "endpoint", "created_at", "last_activity_at"]
+    snapshot = s.sessions.withColumn("endpoint", F.lit(""))
+    sinks.write_session_base(snapshot.select("namespace", "session", "pool", "user_name", "state", *fields), path)
+    outcome = sessions.session_transitions(s.sessions, s.pools, s.instances, s.quotas, as_of(), _candidates(s)).filter("reason <> 'none'")
+    changes = outcome.select("namespace", "session", F.col("next_state").alias("state"), *fields, as_of().alias("ts"), F.lit(0).alias("seq"))
+    sinks.write_session_batch(changes, path, 0)
+    sinks.compact_sessions(s.spark, path)
+    heard = sessions.termination_requests(s.sessions, s.termination_asks).filter("answer = 'accepted'")
+    ended = heard.select("namespace", "session", F.col("next_state").alias("state"), as_of().alias("ts"), F.col("request_id").alias("seq"))
+    for _ in range(2):
+        sinks.write_session_batch(ended, path, 1)
+    return sinks.read_session_table(s.spark, path)
 
 
 @query
@@ -182,6 +201,13 @@ def session_reuse(s: Sample) -> DataFrame:
     return sessions.session_reuse(routing.route_requests(s.requests, s.pools), s.sessions, PREFIX)
 
 
+@query
+def session_reuse_known(s: Sample) -> DataFrame:
+    """As above, where the proxy remembers the sessions that have no record of a status yet."""
+    known = s.sessions.filter("not has_status").select("namespace", "session")
+    return sessions.session_reuse(routing.route_requests(s.requests, s.pools), s.sessions, PREFIX, known)
+
+
 @query
 def activation_wait(s: Sample) -> DataFrame:
     return sessions.activation_wait(s.session_requests, s.state_changes, as_of())
@@ -338,6 +364,11 @@ def own_sessions(s: Sample) -> DataFrame:
     return views.own_sessions(s.sessions, "user-7").select("name", "user", "pool", "state")
 
 
+@query
+def own_sessions_by_label(s: Sample) -> DataFrame:
+    return views.own_sessions(s.sessions, "user-7", PREFIX).select("name", "user", "labelUser", "pool", "state")
+
+
 @query
 def instance_states(s: Sample) -> DataFrame:
     return readers.instances_from_applications(s.applications, PREFIX)
@@ -459,10 +490,17 @@ def error_log_trim(s: Sample) -> DataFrame:
 
 @query
 def pool_status_table(s: Sample) -> DataFrame:
+    """Three ticks, one of them written twice, put into the day's files; a fourth tick on its own."""
     path = sinks.work_folder(s.spark, "pool-status")
-    rollup = load.pool_rollup(s.pools, _counts(s))
-    sinks.write_pool_status(sinks.pool_status(rollup, as_of()), path)
-    return s.spark.read.parquet(path).drop("as_of_date", "tick")
+    counts = sinks.materialise(_counts(s), "instance-counts")
+    rollup, listed = load.pool_rollup(s.pools, counts), load.instance_load(counts)
+    for tick in (0, 1, 1, 2, 3):
+        at = as_of() + F.make_dt_interval(secs=F.lit(tick * V.TICK_SECONDS))
+        sinks.write_pool_status(sinks.pool_status(rollup, at, listed), path)
+        if tick == 2:
+            sinks.compact_pool_status(s.spark, path, AS_OF[:10])
+    told = F.transform("instances", lambda i: F.concat_ws("/", i["name"], i["state"], i["active_sessions"]))
+    return sinks.read_pool_status(s.spark, path).withColumn("instances", F.array_join(told, ",")).drop("as_of_date")
 
 
 @query
@@ -503,7 +541,8 @@ def _instants(df: DataFrame) -> DataFrame:
 
 @stream("events")
 def stream_last_activity(s: Sample) -> DataFrame:
-    return _instants(run.finish(jobs.last_activity(s.activity), "last-activity", "update", [*V.POOL, "session"]))
+    rows = run.finish(jobs.last_activity(s.activity), "last-activity", "update")
+    return _instants(rows.groupBy(*V.POOL, "session").agg(F.max("last_activity_at").alias("last_activity_at")))
 
 
 @stream("events")
@@ -585,4 +624,5 @@ def stream_session_transitions(s: Sample) -> DataFrame:
 
 @stream("events")
 def stream_cooldowns(s: Sample) -> DataFrame:
-    return _instants(run.finish(jobs.cooldowns(s.scaling_log, s.pools), "cooldowns"))
+    path = sinks.work_folder(s.spark, "cooldowns")
+    return steps.Steps(s.spark, path, steps.cooldowns(lambda: s.pools)).finish(s.scaling_log)

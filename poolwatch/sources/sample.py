@@ -246,7 +246,7 @@ class Sample:
             "concat('c', l_linenumber) as container",
             "'cpu' as resource",
             "l_shipdate as ts",
-            "cast(round(l_extendedprice * 100) as bigint) as usage_milli",
+            "if(l_orderkey % 31 = 0, null, cast(round(l_extendedprice * 100) as decimal(38,6)) + if(l_orderkey % 5 = 0, 0.25, 0)) as usage_milli",
         )
 
     @cached_property
@@ -354,13 +354,14 @@ class Sample:
             *_home("nk"), "concat('session-', k) as session", "k",
             f"{_back('(k * 7) % 1000 + k % 600')} as start",
             "case when k % 11 = 0 then 'Failed' when k % 13 = 0 then 'Pending' else 'Active' end as outcome",
+            "if(k % 19 = 0, '', concat('app-', k, '.svc')) as host",
         )
         after = lambda seconds: f"timestampadd(second, int({seconds}), start)"
         changes = f"""inline(array(
-            named_struct('seq', 0, 'ts', start, 'previous', '', 'state', 'Pending'),
-            named_struct('seq', 1, 'ts', {after("k % 70")}, 'previous', 'Pending', 'state', outcome),
+            named_struct('seq', 0, 'ts', start, 'previous', '', 'state', 'Pending', 'endpoint', ''),
+            named_struct('seq', 1, 'ts', {after("k % 70")}, 'previous', 'Pending', 'state', outcome, 'endpoint', host),
             named_struct('seq', 2, 'ts', {after("k % 70 + 400")}, 'previous', outcome,
-              'state', if(k % 17 = 0, outcome, 'Terminated'))))"""
+              'state', if(k % 17 = 0, outcome, 'Terminated'), 'endpoint', host)))"""
         return rows.selectExpr("namespace", "pool", "session", changes)
 
     @cached_property

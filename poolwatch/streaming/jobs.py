@@ -11,7 +11,7 @@ from poolwatch.sources.sinks import checkpointed
 from poolwatch.streaming import life, state
 from poolwatch.streaming.life import LIFE_OUTPUT, SessionLife
 from poolwatch.streaming.state import (
-    ASKED, COOLDOWN_OUTPUT, FAILED, OK, OPEN, START_OUTPUT, STATE_OUTPUT, CooldownClock, SessionClock, StartClock,
+    ASKED, FAILED, NO_ENDPOINT, OK, OPEN, START_OUTPUT, STATE_OUTPUT, SessionClock, StartClock,
 )
 
 # The processors travel with the job, so executors need no copy of this package.
@@ -28,9 +28,10 @@ def timed(rows: DataFrame, delay: str = DELAY) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def last_activity(activity: DataFrame) -> DataFrame:
-    """Newest touch per session; update mode. State: one row per session."""
-    return activity.groupBy(*V.POOL, "session").agg(F.max("ts").alias("last_activity_at"))
+def last_activity(activity: DataFrame, keep: str = "1 day", delay: str = DELAY) -> DataFrame:
+    """Newest touch per session and stretch of time; update mode. The newest of a session is the greatest of its rows,
+    as a touch only moves it ahead. State ends with the stretch, so sessions that are over leave none."""
+    return timed(activity, delay).groupBy(*V.POOL, "session", F.window("ts", keep)).agg(F.max("ts").alias("last_activity_at")).drop("window")
 
 
 def thin_touches(activity: DataFrame, minutes: int = V.TOUCH_MINUTES, delay: str = DELAY) -> DataFrame:
@@ -65,7 +66,11 @@ def activation_wait(
     moment or the next that decides within the budget. It comes out once the watermark has passed
     the budget, so it does not depend on how rows are cut into batches. `changes` has a `seq` that
     orders changes of one moment."""
-    outcome = F.when(states.holds_instance(), OK).when(states.start_failed(), FAILED).otherwise(OPEN)
+    lost = states.clean("endpoint") == "" if "endpoint" in changes.columns else F.lit(False)
+    outcome = (
+        F.when(states.holds_instance() & lost, NO_ENDPOINT).when(states.holds_instance(), OK)
+        .when(states.start_failed(), FAILED).otherwise(OPEN)
+    )
     asked = timed(requests, delay).select(*SESSION, "ts", F.lit(ASKED).alias("kind"), F.lit(0).cast("bigint").alias("seq"))
     became = timed(changes, delay).select(*SESSION, "ts", outcome.alias("kind"), F.col("seq").cast("bigint").alias("seq"))
     return (
@@ -81,14 +86,18 @@ def activation_wait(
 def utilisation(
     usage: DataFrame, wanted: DataFrame, tick: str = f"{V.TICK_SECONDS} seconds", delay: str = DELAY
 ) -> DataFrame:
-    """Mean over the pods of a pool per tick. `wanted` has the requests of the pods in question
-    (namespace, pool, pod, container, resource, request_milli)."""
+    """Mean over the pods of a pool per tick, by the rules of the batch job: amounts are summed exactly and rounded
+    up once, and a pod with an amount that cannot be read is left out. `wanted` has the requests of the
+    pods in question (namespace, pool, pod, container, resource, request_milli)."""
     key = ["namespace", "pod", "container", "resource"]
     rows = timed(usage, delay).join(wanted, key)
     per_pod = (
         rows.groupBy(*V.POOL, "pod", "resource", F.window("ts", tick))
-        .agg(F.sum("usage_milli").alias("usage"), F.sum("request_milli").alias("request"))
-        .filter(F.col("request") != 0)
+        .agg(
+            F.ceil(F.sum("usage_milli")).cast("bigint").alias("usage"), F.ceil(F.sum("request_milli")).cast("bigint").alias("request"),
+            F.count_if(F.col("usage_milli").isNull() | F.col("request_milli").isNull()).alias("unreadable"),
+        )
+        .filter((F.col("request") != 0) & (F.col("unreadable") == 0))
         .withColumn("micro", F.expr("(cast(usage as decimal(28,0)) * 100000000) div request"))
     )
     return (
@@ -191,18 +200,3 @@ def session_transitions(news: DataFrame, snapshot: DataFrame, delay: str = DELAY
         # The state operator is sent with the plan of its initial rows, so that plan must be rows alone.
         initialState=checkpointed(snapshot).groupBy(*key),
     )
-
-
-def cooldowns(log: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Shrink actions with the time since the pool's previous one; append mode."""
-    limits = pools.select(*V.POOL, settings.cooldown_seconds().alias("cooldown_seconds"))
-    rows = timed(log.filter(F.col("action") == "shrink"), delay).join(limits, V.POOL, "left").fillna(
-        V.ZERO_COOLDOWN_SECONDS, ["cooldown_seconds"]
-    )
-    return (
-        rows.select(*V.POOL, "action_id", "ts", "cooldown_seconds")
-        .groupBy(*V.POOL)
-        .transformWithStateInPandas(
-            statefulProcessor=CooldownClock(), outputStructType=COOLDOWN_OUTPUT, outputMode="append", timeMode="eventTime"
-        )
-    )

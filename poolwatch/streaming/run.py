@@ -25,12 +25,12 @@ def start(job: DataFrame, path: str, mode: str = "append", every: str | None = N
 
 
 def finish(job: DataFrame, name: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a job over all that is there and return the table it wrote; in update mode the newest
+    """Run a job over all that is there and return the table it wrote; in update mode, with `keys`, the newest
     row per key."""
     spark = job.sparkSession
     path = work_folder(spark, name)
     start(job, path, mode).awaitTermination()
-    if mode == "append":
+    if mode == "append" or keys is None:
         return spark.read.schema(job.schema).parquet(f"{path}/table")
     rest = [c for c in job.columns if c not in keys]
     written = spark.read.option("basePath", f"{path}/table").parquet(f"{path}/table")

@@ -1,4 +1,4 @@
-"""State that outlives a micro-batch: clocks of sessions and start requests, cooldown of a pool."""
+"""State that outlives a micro-batch: clocks of sessions and start requests."""
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
@@ -6,14 +6,10 @@ from pyspark.sql.streaming import StatefulProcessor
 from poolwatch.values import IDLE_MARK_MINUTES
 
 STATE_OUTPUT = "namespace string, pool string, session string, changed_at timestamp, state string, reason string"
-COOLDOWN_OUTPUT = (
-    "namespace string, pool string, action_id bigint, ts timestamp, "
-    "seconds_since_previous bigint, inside_cooldown boolean"
-)
 START_OUTPUT = "namespace string, session string, ts timestamp, wait_seconds bigint, outcome string"
 # What a change of state means to a start request, and the request itself.
-OPEN, OK, FAILED, ASKED = 0, 1, 2, 3
-_OUTCOMES = {OK: "ok", FAILED: "failed"}
+OPEN, OK, FAILED, NO_ENDPOINT, ASKED = 0, 1, 2, 3, 4
+_OUTCOMES = {OK: "ok", FAILED: "failed", NO_ENDPOINT: "no_endpoint"}
 _MINUTE = 60_000_000
 
 
@@ -185,32 +181,3 @@ class StartClock(StatefulProcessor):
                 "outcome": pd.Series([o[2] for o in out], dtype="object"),
             }
         )
-
-
-class CooldownClock(StatefulProcessor):
-    """The last shrink of a pool. A pool acts once per tick, so a batch of one pool is small."""
-
-    def init(self, handle) -> None:
-        self.last = handle.getValueState("last", "ts bigint")
-
-    def handleInputRows(self, key, rows, timerValues):
-        actions = pd.concat(list(rows)).sort_values(["ts", "action_id"])
-        at = _micros(actions["ts"])
-        before = at.shift(1).astype("Int64")
-        if self.last.exists():
-            before.iloc[0] = self.last.get()[0]
-        since = at.astype("Int64") - before
-        self.last.update((int(at.iloc[-1]),))
-        yield pd.DataFrame(
-            {
-                "namespace": key[0],
-                "pool": key[1],
-                "action_id": actions["action_id"],
-                "ts": actions["ts"],
-                "seconds_since_previous": since // 1_000_000,
-                "inside_cooldown": (since <= actions["cooldown_seconds"] * 1_000_000).fillna(False).astype(bool),
-            }
-        )
-
-    def close(self) -> None:
-        pass

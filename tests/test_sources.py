@@ -1,7 +1,8 @@
 """Readers on exported files, and sinks."""
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,7 +157,94 @@ def test_status_of_a_tick_replaces_only_itself(spark, rows, tmp_path):
     rollup = lambda n: rows("namespace string, pool string, running long, ready long, total long", ("d", "p", n, n, n))
     for n, at in [(1, "2024-01-31 00:00:00"), (2, "2024-01-31 00:00:30"), (3, "2024-01-31 00:00:30")]:
         sinks.write_pool_status(sinks.pool_status(rollup(n), F.lit(at).cast("timestamp_ntz")), path)
-    assert sorted(r.total_active_sessions for r in spark.read.parquet(path).collect()) == [1, 3]
+    assert sorted(r.total_active_sessions for r in sinks.read_pool_status(spark, path).collect()) == [1, 3]
+
+
+def _part_files(path):
+    return [f for f in Path(path).rglob("part-*") if f.suffix == ".parquet"]
+
+
+def test_ticks_of_a_day_become_few_files(spark, rows, tmp_path):
+    path = f"{tmp_path}/status"
+    ticks = [datetime(2024, 1, 30, 23, 59, 30), *[datetime(2024, 1, 31) + timedelta(seconds=30 * k) for k in range(40)]]
+    status = lambda at, n: rows("namespace string, pool string, current_replicas long, as_of timestamp_ntz", ("d", "p", n, at), ("d", "q", n, at))
+    for k, at in enumerate(ticks[:6]):
+        sinks.write_pool_status(status(at, k), path)
+    many = rows("namespace string, pool string, current_replicas long, as_of timestamp_ntz", *[("d", p, k, at) for k, at in enumerate(ticks) if k > 5 for p in "pq"])
+    sinks.write_pool_status(many, path)
+    want = sorted((p, k, at) for k, at in enumerate(ticks) for p in "pq")
+    told = lambda: sorted((r.pool, r.current_replicas, r.as_of) for r in sinks.read_pool_status(spark, path).collect())
+    assert told() == want and len(_part_files(f"{path}/ticks")) > 40
+    kept = [(f, f.read_bytes()) for f in Path(f"{path}/ticks/as_of_date=2024-01-31/tick=000000").iterdir()]
+    sinks.compact_pool_status(spark, path, "2024-01-31")
+    assert told() == want and len(_part_files(f"{path}/days")) <= 4 and len(_part_files(f"{path}/ticks")) <= 2
+    # Cut off before the ticks went: they are still there, and count once.
+    for f, data in kept:
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_bytes(data)
+    assert told() == want
+    # A late tick of a day that has its files, and both once more.
+    sinks.write_pool_status(status(datetime(2024, 1, 31, 12), 99), path)
+    for _ in range(2):
+        sinks.compact_pool_status(spark, path, "2024-01-31")
+    assert told() == sorted([*want, ("p", 99, datetime(2024, 1, 31, 12)), ("q", 99, datetime(2024, 1, 31, 12))])
+
+
+def test_two_writers_of_a_tick_leave_one_row(spark, rows, tmp_path):
+    path, at = f"{tmp_path}/status", datetime(2024, 1, 31)
+    row = rows("namespace string, pool string, current_replicas long, as_of timestamp_ntz", ("d", "p", 1, at))
+    sinks.write_pool_status(row, path)
+    folder = f"{path}/ticks/as_of_date=2024-01-31/tick=000000"
+    row.write.mode("append").parquet(folder)
+    assert sinks.read_pool_status(spark, path).count() == 1
+    sinks.compact_pool_status(spark, path, "2024-01-31")
+    assert sinks.read_pool_status(spark, path).count() == 1
+
+
+def test_status_lists_instances_in_order(rows):
+    rollup = rows("namespace string, pool string, running long, ready long, total long", ("d", "p", 2, 1, 3), ("d", "none", 0, 0, 0))
+    listed = rows("namespace string, pool string, instance string, pos long, state string, active_sessions long",
+                  ("d", "p", "b", 10, "Running", 3), ("d", "p", "a", 9, "Draining", 0))
+    got = {r.pool: r.instances for r in sinks.pool_status(rollup, F.lit("2024-01-31").cast("timestamp_ntz"), listed).collect()}
+    assert [(i.name, i.state, i.active_sessions, i.endpoint) for i in got["p"]] == [("a", "Draining", 0, ""), ("b", "Running", 3, "")]
+    assert got["none"] == []
+
+
+def test_session_table_merges_and_compacts(spark, rows, tmp_path):
+    path = f"{tmp_path}/table"
+    base = rows("namespace string, session string, user_name string, state string, assigned_instance string",
+                ("d", "a", "u", "Active", "i"), ("d", "b", "u", "Idle", "i"), ("d", "c", "v", "", ""))
+    change = "namespace string, session string, state string, assigned_instance string, ts timestamp_ntz, seq long"
+    at = lambda m: datetime(2024, 1, 31, 0, m)
+    told = lambda: {r.session: (r.user_name, r.state, r.assigned_instance) for r in sinks.read_session_table(spark, path).collect()}
+    sinks.write_session_base(base, path)
+    assert told() == {"a": ("u", "Active", "i"), "b": ("u", "Idle", "i"), "c": ("v", "", "")}
+    first = rows(change, ("d", "c", "Active", "j", at(1), 0), ("d", "a", "Pending", "", at(2), 0), ("d", "a", "Active", "k", at(2), 1))
+    for _ in range(2):
+        sinks.write_session_batch(first, path, 0)
+    want = {"a": ("u", "Active", "k"), "b": ("u", "Idle", "i"), "c": ("v", "Active", "j")}
+    assert told() == want
+    # A batch that changes the state alone, and one that was cut off before its end.
+    sinks.write_session_batch(rows("namespace string, session string, state string, ts timestamp_ntz, seq long", ("d", "b", "Active", at(0), 0)), path, 1)
+    sinks.write_session_batch(rows(change, ("d", "b", "Failed", "", at(9), 0)), path, 2)
+    Path(f"{path}/changes/batch=2/_SUCCESS").unlink()
+    want["b"] = ("u", "Active", "i")
+    assert told() == want
+    for _ in range(2):
+        sinks.compact_sessions(spark, path)
+        assert told() == want
+    sinks.write_session_batch(rows(change, ("d", "new", "Pending", "", at(3), 0), ("d", "a", "Terminated", "k", at(3), 0)), path, 3)
+    want |= {"new": (None, "Pending", ""), "a": ("u", "Terminated", "k")}
+    assert told() == want
+    sinks.compact_sessions(spark, path)
+    assert told() == want and sorted(p.name for p in Path(f"{path}/base").iterdir()) == ["version=1", "version=3"]
+    assert not list(Path(f"{path}/changes").glob("batch=0"))
+
+
+def test_newest_rows(rows):
+    table = rows("k string, ts timestamp_ntz, seq long, v string", ("a", datetime(2024, 1, 1), 1, "x"), ("a", datetime(2024, 1, 2), 0, "y"),
+                 ("a", datetime(2024, 1, 2), 2, "z"), ("b", None, None, "n"), ("c", datetime(1960, 1, 1), -5, "old"))
+    assert {r.k: r.v for r in sinks.newest_rows(table, ["k"], ["ts", "seq"]).collect()} == {"a": "z", "b": "n", "c": "old"}
 
 
 def test_session_changes_compact_to_the_newest(spark, rows, tmp_path):
