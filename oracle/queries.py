@@ -211,6 +211,44 @@ select concat('ns-', nk % 9) as namespace, concat('session-', k) as session, con
   {AS_OF} - to_minutes(k % 600) as created_at, case when k % 3 = 0 then concat(1 + k % 8, 'g') end as memory
 from f_orders""",
     "own_sessions": "select session as name, user_name as user, pool, state from f_sessions where user_name = 'user-7'",
+    "fleet_rollup": """
+select region, type, case when grouping(pool_name) = 0 then pool_name end as pool_name,
+  cast(grouping(region) + grouping(type) + grouping(pool_name) as int) as level, count(*) as pools,
+  sum(instances)::bigint as instances, sum(running)::bigint as running, sum(ready)::bigint as ready, sum(starting)::bigint as starting,
+  sum(failed)::bigint as failed, sum(total)::bigint as total, sum(waiting)::bigint as waiting,
+  cast(floor(sum(total) * 1000000 / nullif(sum(ready), 0)) as bigint) as micro_sessions_per_ready
+from (select r.*, p.type, concat('region-', n_regionkey) as region, concat_ws('/', r.namespace, r.pool) as pool_name
+  from f_rollup r join f_pools p on p.namespace = r.namespace and p.pool = r.pool join nation on concat('pool-', n_nationkey) = p.pool)
+group by rollup (region, type, pool_name)""",
+    "counts_by_bucket": """
+select s.namespace, s.pool, assigned_instance as instance, count(*) filter (state in ('Active', 'Idle')) as held,
+  count(*) filter (state in ('Pending', '') and assigned_instance = '') as waiting
+from f_sessions s join f_pools p on p.namespace = s.namespace and p.pool = s.pool group by 1, 2, 3""",
+    "balanced_placement": """
+, new as (
+  select c.namespace, c.pool, c.session, row_number() over (partition by c.namespace, c.pool order by s.created_at, c.session) as rank,
+    count(*) over (partition by c.namespace, c.pool) as m
+  from f_check c join f_sessions s on s.namespace = c.namespace and s.session = c.session where c.verdict = 'ok'
+), wanted as (select distinct namespace, pool, m from new),
+-- Every seat an instance could offer, lowest load first: the m lowest of a pool are taken.
+seats as (
+  select l.namespace, l.pool, l.instance, l.pos, l.active_sessions as load, l.active_sessions + x as level
+  from f_load l join wanted w on w.namespace = l.namespace and w.pool = l.pool, unnest(range(0, w.m)) as u(x) where l.state = 'Running'
+), ranked as (
+  select *, row_number() over (partition by namespace, pool order by level, load, pos) as n from seats
+), taken as (
+  select r.* from ranked r join wanted w on w.namespace = r.namespace and w.pool = r.pool where n <= m
+), dealt as (
+  select *, row_number() over (partition by namespace, pool order by load, pos, level) as rank from taken
+)
+select namespace, pool, session, instance from new join dealt using (namespace, pool, rank)""",
+    "label_columns": "select namespace, session, user_name from f_sessions where label_user = 'user-7'",
+    "broken_records": """
+select case when not cut and not nameless then concat('session-', k) end as session,
+  case when not cut and not nameless then ['Pending', '', 'Active', 'Active', 'Idle', 'Terminating', 'Terminated', 'Failed'][k % 8 + 1] end as state,
+  case when cut then concat('{"namespace":"ns-1","name":"session-', k) when nameless then concat('{"namespace":"ns-1","labels":{"k":"', k, '"}}') end as line,
+  case when cut then 'unreadable' when nameless then 'key_missing' end as reason
+from (select k, k % 37 = 0 as cut, k % 41 = 0 as nameless from f_orders)""",
     "own_sessions_by_label": """
 select session as name, user_name as user, label_user as "labelUser", pool, state from f_sessions where label_user = 'user-7'""",
     "instance_states": "select namespace, pool, instance, pos, spark_state, role, app_id, app_state as state from f_instances",

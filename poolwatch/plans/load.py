@@ -51,6 +51,32 @@ def pool_rollup(pools: DataFrame, counts: DataFrame) -> DataFrame:
     return pools.select(*V.POOL).join(per_pool, V.POOL, "left").fillna(0, names)
 
 
+def counts_by_share(sessions: DataFrame) -> DataFrame:
+    """Held and waiting sessions per (pool, instance) of a table in buckets of pool and share: counted inside the
+    buckets, and only the counts of shares are brought together."""
+    key = [*V.POOL, "share", "instance"]
+    inside = sessions.select(*V.POOL, "share", states.clean("assigned_instance").alias("instance"), states.holds_instance().cast("int").alias("held"),
+                             states.is_waiting().cast("int").alias("waiting")).groupBy(*key).agg(F.sum("held").alias("held"), F.sum("waiting").alias("waiting"))
+    return inside.groupBy(*INSTANCE).agg(F.sum("held").alias("held"), F.sum("waiting").alias("waiting"))
+
+
+def by_share(pools: DataFrame, shares: int) -> DataFrame:
+    """Pools to be joined with a table in buckets of pool and share."""
+    return pools.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+
+
+def fleet_rollup(rollup: DataFrame, pools: DataFrame) -> DataFrame:
+    """The roll-up of pools summed over regions, types within a region, pools within both, and all. `pools` has
+    region and type; `level` counts the columns that are summed over."""
+    names = ["instances", "running", "ready", "starting", "failed", "total", "waiting"]
+    rows = rollup.join(pools.select(*V.POOL, "region", "type"), V.POOL)
+    where = F.concat_ws("/", *V.POOL)
+    return rows.withColumn("pool_name", where).rollup("region", "type", "pool_name").agg(
+        F.bit_count(F.grouping_id()).alias("level"), F.count("*").alias("pools"), *[F.sum(n).cast("bigint").alias(n) for n in names],
+        F.try_divide(F.sum(F.col("total") * 1000000).cast("bigint"), F.sum("ready")).cast("bigint").alias("micro_sessions_per_ready"),
+    )
+
+
 def pod_utilisation(instances: DataFrame, usage: DataFrame, requests: DataFrame) -> DataFrame:
     """Usage and request of each driver pod of a ready instance, per tick and resource.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from poolwatch import values as V
 from poolwatch.functions import hosts, settings, states, timing
-from poolwatch.operators.scan import nearest, time_bucket
+from poolwatch.operators.scan import nearest, running_sum, time_bucket
 from poolwatch.plans.load import INSTANCE
 from poolwatch.plans.quota import USER, quota_check
 
@@ -44,6 +44,32 @@ def placement_candidates(pools: DataFrame, load: DataFrame, endpoints: DataFrame
     )
 
 
+def balanced_placement(verdicts: DataFrame, sessions: DataFrame, load: DataFrame) -> DataFrame:
+    """Admitted new sessions dealt over the ready instances of their pool so that loads end as even as they can.
+
+    Water filling: with the instances in order of load, the first k of them are raised to a common
+    level, the largest k for which the sessions suffice. Levels are prefix sums over instances, of which a
+    pool has few; sessions are ranked by their time, in buckets, as a pool may have very many. Both
+    meet by rank, one row each.
+    """
+    times = sessions.select(*SESSION, F.coalesce("created_at", F.lit("1970-01-01").cast("timestamp_ntz")).alias("at"))
+    new = verdicts.filter("verdict = 'ok'").select(*V.POOL, "session").join(times, SESSION).withColumn("one", F.lit(1))
+    ranked = running_sum(new, V.POOL, ["at", "session"], "one", "rank", time_bucket("at", "hour"))
+    wanted = new.groupBy(*V.POOL).agg(F.count("*").alias("m"))
+    by_load = Window.partitionBy(*V.POOL).orderBy("active_sessions", "pos", "instance")
+    every = Window.partitionBy(*V.POOL)
+    rows = load.filter(states.is_ready()).join(wanted, V.POOL).withColumns(
+        {"i": F.row_number().over(by_load), "upto": F.sum("active_sessions").over(by_load.rowsBetween(Window.unboundedPreceding, 0))})
+    used = F.col("i") * F.col("active_sessions") - F.col("upto") <= F.col("m")
+    rows = rows.withColumn("k", F.max(F.when(used, F.col("i"))).over(every)).filter("i <= k")
+    mass = F.col("m") + F.sum("active_sessions").over(every)
+    rows = rows.withColumn("mass", mass).withColumn(
+        "gets", F.expr("mass div k + if(i <= mass % k, 1, 0) - active_sessions")
+    ).withColumn("before", F.sum("gets").over(by_load.rowsBetween(Window.unboundedPreceding, 0)) - F.col("gets"))
+    seats = rows.filter("gets > 0").select(*V.POOL, "instance", F.explode(F.expr("sequence(before + 1, before + gets)")).alias("rank"))
+    return ranked.join(seats, [*V.POOL, "rank"]).select(*V.POOL, "session", "instance")
+
+
 def waiting_outlook(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:
     """What happens to each new session next: refused, placed, or still without an instance."""
     joined = verdicts.join(candidates.select(*V.POOL, "instance", "endpoint"), V.POOL, "left")

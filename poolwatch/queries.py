@@ -1,8 +1,10 @@
 """Registered queries: each job over the sample views of a folder of test tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from poolwatch import values as V
+from poolwatch import schemas, values as V
 from poolwatch.functions import hosts, identity, maps, states
 from poolwatch.plans import capacity, load, quota, routing, sessions, views
 from poolwatch.sources import readers, sinks
@@ -35,6 +37,20 @@ def pool_rollup(s: Sample) -> DataFrame:
     return load.pool_rollup(s.pools, _counts(s))
 
 
+@query
+def fleet_rollup(s: Sample) -> DataFrame:
+    return load.fleet_rollup(load.pool_rollup(s.pools, _counts(s)), s.pools.join(s.pool_regions, V.POOL))
+
+
+@query
+def counts_by_bucket(s: Sample) -> DataFrame:
+    """Sessions per pool and instance from a table in buckets, with the pool's type."""
+    name = f"sessions_{uuid.uuid4().hex}"
+    sinks.save_by_pool(s.sessions.select("namespace", "pool", "session", "state", "assigned_instance"), name, sinks.work_folder(s.spark, "by-pool"), 8, 4)
+    sessions_ = s.spark.table(name).join(load.by_share(s.pools.select(*V.POOL, "type"), 4), [*V.POOL, "share"])
+    return load.counts_by_share(sessions_)
+
+
 @query
 def pool_utilisation(s: Sample) -> DataFrame:
     return load.pool_utilisation(s.instances, s.container_usage, s.container_requests).drop("mean_percent")
@@ -144,6 +160,12 @@ def waiting_outlook(s: Sample) -> DataFrame:
     return sessions.waiting_outlook(quota.quota_check(s.sessions, s.pools, s.quotas), _candidates(s))
 
 
+@query
+def balanced_placement(s: Sample) -> DataFrame:
+    verdicts = quota.quota_check(s.sessions, s.pools, s.quotas)
+    return sessions.balanced_placement(verdicts, s.sessions, load.instance_load(_counts(s)))
+
+
 @query
 def session_transitions(s: Sample) -> DataFrame:
     return sessions.session_transitions(s.sessions, s.pools, s.instances, s.quotas, as_of(), _candidates(s))
@@ -389,6 +411,24 @@ def label_selection(s: Sample) -> DataFrame:
     return hit.select("namespace", "session", "user_name")
 
 
+@query
+def label_columns(s: Sample) -> DataFrame:
+    """Sessions of a user by a label that was made a column when they were written."""
+    path = sinks.work_folder(s.spark, "labelled")
+    sinks.write_sessions(s.sessions.withColumn("snapshot_date", as_of().cast("date")), path, PREFIX, {"label_user": "user"})
+    return s.spark.read.parquet(path).filter("snapshot_date = date'2024-01-31' and label_user = 'user-7'").select("namespace", "session", "user_name")
+
+
+@query
+def broken_records(s: Sample) -> DataFrame:
+    """Exported session records, some cut off and some without a name: good ones as ever, the others kept."""
+    path = sinks.work_folder(s.spark, "records")
+    s.session_lines.write.text(path)
+    good, broken = readers.read_records(s.spark, path, schemas.SESSION_RECORD)
+    rows = readers.flatten_sessions(good).select("session", "state", F.lit(None).cast("string").alias("line"), F.lit(None).cast("string").alias("reason"))
+    return rows.unionByName(broken.select("line", "reason"), allowMissingColumns=True)
+
+
 @query
 def keyed_sessions(s: Sample) -> DataFrame:
     keys = s.requests.select("namespace", F.concat(F.lit("session-"), "request_id").alias("session"))

@@ -12,6 +12,32 @@ def _load(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def split_records(lines: DataFrame, schema: str, key: tuple[str, ...] = ("namespace", "name"), column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(good, broken) of lines that should each hold a JSON record.
+
+    Broken is a line that is no JSON, or holds a value of another kind than the schema says, or
+    lacks a field of the key; it is kept as it is, with the other columns of `lines` (such as its file)
+    and the reason. A good record is read as ever.
+    """
+    rest = [c for c in lines.columns if c != column]
+    parsed = F.from_json(column, f"{schema.strip()}, _broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    rows = lines.withColumn("r", parsed)
+    no_key = F.lit(False)
+    for c in key:
+        no_key = no_key | F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == "")
+    why = F.when(F.col("r").isNull() | F.col("r._broken").isNotNull(), "unreadable").when(no_key, "key_missing")
+    rows = rows.withColumn("reason", why)
+    good = rows.filter("reason is null").select(*rest, "r.*").drop("_broken")
+    return good, rows.filter("reason is not null").select(*rest, F.col(column).alias("line"), "reason")
+
+
+def read_records(spark: SparkSession, path: str, schema: str, key: tuple[str, ...] = ("namespace", "name")) -> tuple[DataFrame, DataFrame]:
+    """(good, broken) records of exported files of JSON lines; broken ones with the file they stand in."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    good, broken = split_records(lines.filter("trim(value) <> ''"), schema, key)
+    return good.drop("file"), broken
+
+
 def pool_records(documents: DataFrame, column: str = "doc") -> DataFrame:
     """Pool records out of a column of JSON documents."""
     rest = [c for c in documents.columns if c != column]

@@ -101,6 +101,10 @@ class Sample:
             " as default_session_conf",
         )
 
+    @cached_property
+    def pool_regions(self) -> DataFrame:
+        return self.table("nation").selectExpr(*_home("n_nationkey"), "concat('region-', n_regionkey) as region")
+
     def _at_home(self, rows: DataFrame, customer: str) -> DataFrame:
         """Rows with the instance their customer works on: every customer has one home."""
         suppliers = self.table("supplier").select("s_suppkey", "s_nationkey")
@@ -213,6 +217,14 @@ class Sample:
               'createdAt', date_format({_back("k % 600")}, "yyyy-MM-dd'T'HH:mm:ss'Z'")))) as doc"""
         return self._orders.selectExpr(doc)
 
+    @cached_property
+    def session_lines(self) -> DataFrame:
+        """Session records as lines of text; one in 37 is cut off, one in 41 has no name."""
+        k = F.regexp_extract("doc", '"session-([0-9]+)"', 1).cast("bigint")
+        cut = F.concat(F.lit('{"namespace":"ns-1","name":"session-'), k)
+        nameless = F.concat(F.lit('{"namespace":"ns-1","labels":{"k":"'), k, F.lit('"}}'))
+        return self.session_documents.select(F.when(k % 37 == 0, cut).when(k % 41 == 0, nameless).otherwise(F.col("doc")).alias("value"))
+
     @cached_property
     def container_usage(self) -> DataFrame:
         """Usage per pod, container, resource and month."""

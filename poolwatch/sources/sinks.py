@@ -9,7 +9,7 @@ from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from poolwatch.sources import files
+from poolwatch.sources import files, readers
 
 
 @cache
@@ -181,18 +181,33 @@ def newest_rows(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return last.dropDuplicates(key)
 
 
-def _write_by_day(rows: DataFrame, day: str, order: list[str], mode: str, path: str) -> None:
+def _write_by_day(rows: DataFrame, day: str, order: list[str], mode: str, path: str, options: dict[str, str] | None = None) -> None:
     """Files of even size per day: small days share a task, a large day is split over several."""
     balanced = rows.hint("rebalance", F.col(day)).sortWithinPartitions(day, *order)
-    balanced.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    balanced.write.mode(mode).options(partitionOverwriteMode="dynamic", **(options or {})).partitionBy(day).parquet(path)
 
 
-def write_sessions(snapshot: DataFrame, path: str) -> None:
+def write_sessions(snapshot: DataFrame, path: str, prefix: str | None = None, labels: dict[str, str] | None = None) -> None:
     """Write the session snapshot of a day (`snapshot_date`), replacing that day.
 
-    Rows lie in the order of their pool, so a read of one pool skips most of each file.
+    Rows lie in the order of their pool, so a read of one pool skips most of each file. Labels that
+    are often asked for (`labels`: column and name below `prefix`) become columns with Bloom filters, so
+    that a filter on one reaches the files, and skips row groups that do not hold it.
     """
-    _write_by_day(snapshot, "snapshot_date", ["namespace", "pool"], "overwrite", path)
+    labels = labels or {}
+    rows = readers.with_label_columns(snapshot, prefix, **labels)
+    options = {f"parquet.bloom.filter.enabled#{c}": "true" for c in labels} | {f"parquet.enable.dictionary#{c}": "false" for c in labels}
+    _write_by_day(rows, "snapshot_date", ["namespace", "pool"], "overwrite", path, options)
+
+
+def save_by_pool(sessions: DataFrame, table: str, path: str, buckets: int, shares: int = 1) -> None:
+    """Sessions as a table in buckets of their pool, a file each, in the order of pool and instance. With `shares` a
+    pool is dealt over as many buckets (column `share`), for pools that hold much of all rows; joins and counts by
+    pool and share then need no shuffle of the table."""
+    key = ["namespace", "pool", "share"]
+    share = F.pmod(F.xxhash64("namespace", "session"), F.lit(shares)).cast("int")
+    rows = sessions.withColumn("share", share).repartition(buckets, *key)
+    rows.write.bucketBy(buckets, *key).sortBy(*key, "assigned_instance").mode("overwrite").option("path", path).saveAsTable(table)
 
 
 def write_session_changes(changes: DataFrame, path: str) -> None:
