@@ -22,7 +22,7 @@ def milli(col: Column) -> Column:
     has more digits than any real amount. An exponent is written in place of a unit."""
     unit = F.regexp_extract(col, _UNIT, 1)
     number = F.left(col, F.length(col) - F.length(unit))
-    plain = F.when(~F.contains(col, F.lit(" ")), number)
+    plain = F.when(F.rlike(number, F.lit("^[-+.0-9eE]+$")), number)  # digits of other scripts are none
     scale = F.lit(None).cast("decimal(28,6)")
     for suffix, per_unit in _MILLI.items():
         scale = F.when(unit == suffix, F.lit(per_unit).cast("decimal(28,6)")).otherwise(scale)
