@@ -21,8 +21,6 @@ BUCKETS = 10_000
 PRIOR = 1.0
 # Nats per n-gram. A text of the target mixed evenly with signs and numbers lies far below.
 THRESHOLD = -0.5
-# Trusted documents up to which their ids are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
 MIN_WORDS = 10
 MAX_REPEATED_PERCENT = 20
 WIDTH = 5
@@ -43,9 +41,14 @@ def buckets(text: Column, n_buckets: int = BUCKETS) -> Column:
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, n_buckets: int = BUCKETS) -> list[float]:
-    """log(target / raw) of each bucket. `trusted` names target documents by distinct doc_id."""
+    """log(target / raw) of each bucket. `trusted` names target documents by distinct doc_id.
+
+    Documents meet the ids by a shuffle at every size, as ids grow with the corpus. Rows without
+    doc_id are never trusted; they stay where they are.
+    """
     ids = trusted.withColumn("target", F.lit(1))
-    marked = docs.join(F.broadcast(ids) if trusted.count() <= BROADCAST_IDS else ids, "doc_id", "left")
+    named = docs.filter("doc_id is not null").join(ids.hint("shuffle_hash"), "doc_id", "left")
+    marked = named.unionByName(docs.filter("doc_id is null"), allowMissingColumns=True)
     grams = marked.select(F.coalesce("target", F.lit(0)).cast("long").alias("target"), F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = [PRIOR] * n_buckets, [PRIOR] * n_buckets
