@@ -10,8 +10,10 @@ from other texts.
 Terms stand for their 64-bit hashes, and subset membership is read off the bits of a seeded one, so
 no random numbers are stored.
 
-Defined results: a null text is empty; a text without lexicon terms has the empty fingerprint, like
-only to another empty one; the next document of the last is the first; of rows with one doc_id the
+A text without lexicon terms, as all are in a small table, has the hash of all its terms, or of itself
+if it has none, in every place, so it is like equal ones alone.
+
+Defined results: a null text is empty; the next document of the last is the first; of rows with one doc_id the
 least text is the next document; a null doc_id comes after the last; without any doc_id there is no
 next document and near_next is 0; repeated rows are all returned; an empty table gives no rows; extra
 columns are not read.
@@ -25,8 +27,6 @@ from poolwatch.llm.common import documents, let, stored
 IDF = (3.5, 5.3)
 # Draws of subsets; each draw has one of 1/2, 1/4, ... of the lexicon for every halving.
 DRAWS, HALVINGS = 3, 8
-# Terms of the lexicon up to which it is broadcast (16 bytes each); a larger one is joined by shuffle.
-BROADCAST_TERMS = 1_000_000
 # A doc_id: its number, and whether it is null.
 ID = ["id", "none"]
 TERM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,7 +69,7 @@ def written(signatures: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among those that are not both empty; 1 for two empty fingerprints."""
+    """Share of equal hashes among those that are not both empty; 1 if all are, as their texts are equal."""
     kind = F.zip_with(a, b, lambda x, y: F.when(x.isNull() & y.isNull(), 2).when(x.eqNullSafe(y), 1).otherwise(0))
 
     def share(k):
@@ -80,17 +80,22 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def marked(rows: DataFrame, terms: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` has the keys and text; in place of it comes its signature. Where the lexicon is
-    broadcast, rows stay in the task they are in if that holds all rows of their first keys."""
+    """`rows` has the keys and text; in place of it comes its signature. Rows stay in the task they
+    are in if that holds all rows of their first keys: the lexicon is sent to them. It is bounded, as each of its
+    terms is in 0.5 % of all documents or more: by 200 times the terms of a usual document."""
     # Term 0 is in every text, so that none is lost; it is taken out again below.
-    known = terms.union(terms.sparkSession.createDataFrame([(0,)], "term long"))
-    known = F.broadcast(known) if terms.count() <= BROADCAST_TERMS else known
-    every = F.concat(F.array(F.lit(0).cast("long")), term_hashes(F.col("text")))
+    known = F.broadcast(terms.union(terms.sparkSession.createDataFrame([(0,)], "term long")))
+    found = let(term_hashes(F.col("text")), lambda t: F.struct(
+        F.when(F.size(t) > 0, F.xxhash64(F.sort_array(t))).otherwise(F.xxhash64("text")).alias("whole"),
+        F.concat(F.array(F.lit(0).cast("long")), t).alias("every"),
+    ))
     sets = (
-        rows.select(*keys, F.explode(every).alias("term")).join(known, "term")
-        .groupBy(*keys).agg(F.collect_set("term").alias("terms"))
+        rows.select(*keys, F.explode(F.array(found)).alias("x")).select(*keys, "x.whole", F.explode("x.every").alias("term")).join(known, "term")
+        .groupBy(*keys).agg(F.collect_set("term").alias("terms"), F.first("whole").alias("whole"))
     )
-    return sets.select(*keys, let(F.array_remove("terms", 0), signature).alias("signature"))
+    alone = F.array_repeat(F.col("whole"), DRAWS * HALVINGS)
+    marks = let(F.array_remove("terms", 0), lambda t: F.when(F.size(t) > 0, signature(t)).otherwise(alone))
+    return sets.select(*keys, marks.alias("signature"))
 
 
 def followers(docs: DataFrame) -> DataFrame:
