@@ -5,14 +5,19 @@ by its words and link density, those of its neighbours, and where it stands: ins
 holds no main text, beside an article element, or as a heading. A decision tree, trained on the
 small labelled table below, tells main text from the rest.
 
+An article element tells what stands beside it only where it holds a good part of the page's words; a
+teaser does not. Inside a line, elements that hold no main text are left out and the line stays one block.
+
 Defined results: a null or empty page and a page without main text give the empty string; an
 unfinished tag at the end is dropped; an unclosed script or comment lasts to the end, an unclosed
-drawing is its tag alone; a head needs no end tag; repeated rows
+drawing is its tag alone; a head needs no end tag; time grows with the length of a page, whatever is open in it; repeated rows
 and null ids are extracted like any other; an empty table gives no rows; extra columns are not read.
 """
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,8 +31,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Elements whose content is no text of the page.
 RAW = "script|style|noscript|template|iframe|object|textarea|select|title"
-# The same, but a tag of these that ends in /> is the whole element.
+# The same, but a tag of these without an end of its own, or that ends in />, is the whole element.
 DRAWN = "svg|math"
+# An article holds the page's text if at least one in so many words stands in it.
+HOLDS = 4
 NOT_MAIN = frozenset("nav footer aside form button dialog menu label legend fieldset".split())
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|promos?|promotion|sponsor(?:ed)?|side-?bar|menu|nav|navbar|"
@@ -39,13 +46,15 @@ HINT = re.compile(
 )
 ROLES = re.compile(r"\b(?:navigation|banner|contentinfo|complementary|search|form|dialog|alertdialog|alert|menu|menubar|toolbar)\b", re.I)
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    rf"|<(?P<drawn>{DRAWN})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<=/)>|(?<!/)>(?:.*?</(?P=drawn)\s*>)?)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:(?<!/)>(?:.*?</(?P=raw)\s*>|.*\Z)|(?<=/)>(?:.*?</(?P=raw)\s*>)?)"
+    r"<!--(?:-?>|.*?--!?>|.*\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[a-z/!?][^>]*(?:>|\Z)",
     re.I | re.S,
 )
+_RAW, _DRAWN = frozenset(RAW.split("|")), frozenset(DRAWN.split("|"))
+_RAW_ENDS = re.compile(rf"</({RAW})\s*>", re.I)
+_DRAWN_TAGS = re.compile(rf"<(/?)({DRAWN})\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 # Class names that tell what a page has or is filed under, not what the element is.
 _ABOUT = re.compile(r"(?:^|(?<=\s))(?:(?:has|with|without|no|category|tag)-\S+|\S*comments?-(?:open|closed))(?=\s|$)", re.I)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|([^\s=/\"'>]+)")
@@ -69,6 +78,8 @@ def _hinted(tag: str, attrs: str) -> bool:
         return False
     for name, value, bare in _ATTR.findall(attrs):
         name, value = (name or bare).lower(), value.strip("\"'")
+        if name in ("class", "id"):
+            value = _CAMEL.sub("-", value)
         if name in ("class", "id") and HINT.search(_ABOUT.sub("", value) if name == "class" else value) or name == "role" and ROLES.search(value) or name == "hidden":
             return True
         if name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -76,11 +87,42 @@ def _hinted(tag: str, attrs: str) -> bool:
     return False
 
 
+class _Ends:
+    """Where elements whose content is no text end. Each kind of tag is looked for once a page."""
+
+    def __init__(self, page: str):
+        self.raw: dict[str, list[int]] = {}
+        for m in _RAW_ENDS.finditer(page):
+            self.raw.setdefault(m[1].lower(), []).append(m.end())
+        self.drawn: dict[int, int] = {}
+        open_: dict[str, list[int]] = {}
+        for m in _DRAWN_TAGS.finditer(page):
+            kind = open_.setdefault(m[2].lower(), [])
+            if not m[1] and not m[3].endswith("/"):
+                kind.append(m.start())
+            elif m[1] and kind:
+                self.drawn[kind.pop()] = m.end()
+        self.size = len(page)
+
+    def after(self, m: re.Match, tag: str) -> int:
+        """The place behind the element that begins with this tag."""
+        if tag in _DRAWN:
+            return self.drawn.get(m.start(), m.end())
+        ends = self.raw.get(tag, ())
+        at = bisect_right(ends, m.end())
+        if at < len(ends):
+            return ends[at]
+        return m.end() if m["attrs"].endswith("/") else self.size
+
+
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     # Open elements: tag, whether they or one around them hold no main text, whether inside an article,
-    # whether they hold none by their tags, and by these and the hints inside the article alone.
-    stack: list[tuple[str, bool, bool, bool, bool]] = [("", False, False, False, False)]
+    # whether they hold none by their tags, by these and the hints inside the article alone, whether in
+    # a link, and whether in a line's element that holds no main text.
+    stack: list[tuple[str, bool, bool, bool, bool, bool, bool]] = [("", False, False, False, False, False, False)]
+    opened: Counter[str] = Counter()
+    ends: _Ends | None = None
     within: list[bool] = []
     parts: list[tuple[str, bool]] = []
     heading = ""
@@ -91,23 +133,45 @@ def blocks(page: str) -> list[Block]:
             linked = sum(len(html.unescape(p).split()) for p, link in parts if link)
             words = html.unescape(text).split()
             if words:
-                _, outside, inside, _, own = stack[-1]
+                _, outside, inside, _, own, _, _ = stack[-1]
                 within.append(own)
                 out.append(Block(" ".join(words), len(words), min(1.0, linked / len(words)), outside, inside, bool(heading)))
         parts.clear()
 
     def leave(place: int) -> None:
+        opened.subtract(t for t, *_ in stack[place:])
         del stack[place:]
 
+    def read(begin: int, to: int) -> None:
+        if to > begin and not stack[-1][6]:
+            parts.append((page[begin:to], stack[-1][5]))
+
+    def close_open(tags: set, barrier: frozenset) -> None:
+        """Ends an open element of these tags, unless another list or section began in it."""
+        if not any(opened[t] for t in tags):
+            return
+        for place in range(len(stack) - 1, 0, -1):
+            if stack[place][0] in tags:
+                leave(place)
+                return
+            if stack[place][0] in barrier or not barrier and stack[place][0] in BLOCKS:
+                return
+
     end = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > end:
-            parts.append((page[end : m.start()], any(t == "a" for t, *_ in stack)))
+        if m.start() < end:
+            continue  # inside an element without text
+        read(end, m.start())
         end = m.end()
         tag = m["tag"]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in _RAW or tag in _DRAWN:
+            if not m["end"]:
+                ends = ends or _Ends(page)
+                end = ends.after(m, tag)
+            continue
         is_block = tag in BLOCKS
         if is_block:
             close()
@@ -117,7 +181,7 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if m["end"]:
-            for place in range(len(stack) - 1, 0, -1):
+            for place in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[place][0] == tag:
                     leave(place)
                     break
@@ -125,20 +189,19 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         if is_block:
-            _close_open(stack, {"p"}, frozenset())
+            close_open({"p"}, frozenset())
         if tag in _CLOSES:
-            _close_open(stack, _CLOSES[tag], _LISTS)
-        _, outside, inside, by_tag, own = stack[-1]
+            close_open(_CLOSES[tag], _LISTS)
+        _, outside, inside, by_tag, own, linked, skipped = stack[-1]
         named = tag in NOT_MAIN or tag == "header" and not inside
         apart = named or _hinted(tag, m["attrs"])
-        if apart and not is_block:
-            close()
         opens = tag in ("article", "main") and not inside
-        stack.append((tag, outside or apart, inside or opens, by_tag or named, (by_tag if opens else own) or apart))
+        stack.append((tag, outside or apart, inside or opens, by_tag or named, (by_tag if opens else own) or apart,
+                      linked or tag == "a", not is_block and (skipped or apart)))
+        opened[tag] += 1
         if tag[0] == "h" and tag[1:].isdigit():
             heading = tag
-    if end < len(page):
-        parts.append((page[end:], any(t == "a" for t, *_ in stack)))
+    read(end, len(page))
     close()
     # Hints around an article do not count where nothing else on the page is left.
     if all(b.outside for b in out):
@@ -147,22 +210,13 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _close_open(stack: list, tags: set, barrier: frozenset) -> None:
-    """Ends an open element of these tags, unless another list or section began in it."""
-    for place in range(len(stack) - 1, 0, -1):
-        if stack[place][0] in tags:
-            del stack[place:]
-            return
-        if stack[place][0] in barrier or not barrier and stack[place][0] in BLOCKS:
-            return
-
-
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "outside", "inside", "beside", "heading")
 
 
 def features(page_blocks: list[Block]) -> np.ndarray:
     n = len(page_blocks)
-    held = any(b.inside and not b.outside for b in page_blocks)
+    here = [b for b in page_blocks if not b.outside]
+    held = HOLDS * sum(b.words for b in here if b.inside) >= sum(b.words for b in here) > 0
     own = np.array([(b.words, b.links) for b in page_blocks], float).reshape(n, 2)
     edge = np.zeros((1, 2))
     flags = np.array([(b.outside, b.inside, held and not b.inside, b.heading) for b in page_blocks], float).reshape(n, 4)

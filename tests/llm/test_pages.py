@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -68,6 +69,36 @@ OPEN = {
 }
 
 
+INLINE = {
+    "button": f"<article><p>{LONG} <button>Share</button></p></article>",
+    "label": f"<article><p><label>Mail</label>{LONG}</p></article>",
+    "advert in a line": f'<article><p>{LONG[:20]}<span class="ad">Buy <b>now</b></span>{LONG[20:]}</p></article>',
+    "hidden in a line": f"<article><p><span hidden>secret</span>{LONG}</p></article>",
+    "camel case": f'<article><div class="adBox">Buy now</div><p>{LONG}</p><div id="relatedPosts"><p>{LONG} no</p></div></article>',
+    "nested drawings": f"<article><svg><svg><text>a</text></svg><text>b</text></svg><p>{LONG}</p></article>",
+    "open drawing ahead of a closed one": f"<article><svg class=x><p>{LONG}</p><svg><text>b</text></svg></article>",
+    "comment with an odd end": f"<!-- x --!><article><!--> <!---> <p>{LONG}</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", INLINE)
+def test_what_is_inside_a_line(tree, name):
+    assert pages.main_text(INLINE[name], tree) == LONG
+
+
+def test_a_teaser_does_not_displace_the_text(tree):
+    page = f"<div><article><p>More news.</p></article></div><h1>Bridge</h1>{f'<p>{LONG}</p>' * 4}"
+    assert pages.main_text(page, tree).endswith("\n\n".join([LONG] * 4))
+
+
+@pytest.mark.parametrize("part", ["<svg>", "<iframe/>", "<iframe>", "<div>", "<b>", "<li>", "</section>", "<!-- x --!>", "<a href=1>x", "<script/>", "<math/>x", "<p><span hidden>x"])
+def test_time_grows_with_the_page(tree, part):
+    page = part * (2_000_000 // len(part)) if part in ("<svg>", "<iframe/>", "<!-- x --!>") else part * (300_000 // len(part))
+    began = time.process_time()
+    pages.main_text(f"<article><p>{LONG}</p>{page}", tree)
+    assert time.process_time() - began < 10
+
+
 @pytest.mark.parametrize("name", OPEN)
 def test_open_elements_and_wrappers(tree, name):
     assert pages.main_text(OPEN[name], tree) == LONG
