@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from poolwatch.llm.common import documents, in_small_batches, stored
 from poolwatch.llm.components import components
+from poolwatch.llm.filters import id_filter
 
 WORDS = 5
 # Similarity as a fraction of whole numbers.
@@ -37,8 +38,8 @@ SIMILAR = (75, 100)
 # Counters of the global order: 4 bytes each, the only table sent to all tasks.
 BUCKETS = 1 << 22
 _CHUNK = 1 << 16
-# Rows of ids (16 bytes each) up to which they are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+# Bits of the filter over ids of documents to be cut, sent to all tasks like the counters; to grow with the corpus.
+FILTER_BITS = 24
 FRAGMENTS = 8
 # Words of at most LONGEST_WORD bytes whose hashes a task keeps, until it ends.
 KEPT_WORDS = 250_000
@@ -167,30 +168,25 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>")
 
 
-def counted(ids: DataFrame) -> DataFrame:
-    """A stored table of ids, to be broadcast if it is known to be small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
     """Least overlap of two sets of these sizes that are similar."""
     a, b = similar
     return F.ceil(a * (n + m) / F.lit(a + b))
 
 
-def segments(docs: DataFrame, order, words: int) -> DataFrame:
-    """(set, fragment, grams): the set of each document cut by the fragments of the global order."""
+def segments(docs: DataFrame, order, wanted, words: int) -> DataFrame:
+    """(set, fragment, grams): the set of each document whose id may be wanted, cut by the fragments of the global
+    order. Texts stay where they are; a filter of fixed size is sent to them."""
 
     def run(batches):
-        ranks, known = order.value, Hashes()
+        ranks, ids, known = order.value, wanted.value, Hashes()
         for batch in batches:
+            batch = batch.filter(pa.array(ids.has(batch.column(0).to_numpy())))
             for at in range(0, batch.num_rows, 64):
                 out = [], [], []
-                rows = batch.slice(at, 64)
-                for name, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
+                for text in batch.column(1).slice(at, 64).to_pylist():
                     grams = shingles(text, words, known)
-                    if set_name(grams) != name:
-                        continue  # another row of this doc_id
+                    name = set_name(grams)
                     grams, rank = ranks.sort(grams)
                     part = ranks.fragment(grams, rank)
                     for f in np.unique(part):
@@ -200,26 +196,26 @@ def segments(docs: DataFrame, order, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(out, kinds)], names=["set", "fragment", "grams"])
 
-    return docs.select("set", F.col("text").cast("string")).mapInArrow(run, "set long, fragment int, grams array<long>")
+    named = docs.filter("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("id"), F.col("text").cast("string"))
+    return named.mapInArrow(run, "set long, fragment int, grams array<long>")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words: int, similar) -> DataFrame:
     """Of the pairs of classes (a, na, b, nb), those whose overlap, summed over fragments, suffices."""
-    named = stored(
+    named = (
         pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-        .join(classes, "set").select("set", F.col("id").alias("doc_id")),
-        "named",
+        .join(classes, "set").select(F.xxhash64("id").alias("id"))
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = docs.sparkSession.sparkContext.broadcast(id_filter(named, FILTER_BITS))
     # Dealt out once for both sides of a pair, and the same way whatever its size.
-    cut = segments(texts.join(counted(named), "doc_id"), order, words).repartition("set", "fragment")
+    cut = segments(docs, order, wanted, words).repartition("set", "fragment")
     wanted = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).alias("p")
     met = (
         wanted.join(cut.hint("merge").alias("l"), F.expr("p.a = l.set and p.fragment = l.fragment"))
         .join(cut.hint("merge").alias("r"), F.expr("p.b = r.set and p.fragment = r.fragment"))
     )
     shared = F.size(F.array_intersect("l.grams", "r.grams")).cast("long")
-    # Repeated rows of a document have equal segments.
+    # Documents of one set, of which the filter may let several pass, have equal segments.
     partial = met.groupBy("p.a", "p.na", "p.b", "p.nb", "p.fragment").agg(F.max(shared).alias("shared"))
     total = partial.groupBy("a", "na", "b", "nb").agg(F.sum("shared").alias("shared"))
     x, y = similar
@@ -264,12 +260,12 @@ def near_copies(
 
     # Pairs across components: the shorter set, by its shorter prefix, against the longer one's.
     placed = stored(
-        posts.join(counted(joined).withColumnRenamed("id", "set"), "set", "left")
+        posts.join(joined.withColumnRenamed("id", "set"), "set", "left")
         .withColumn("component", F.coalesce("component", "set")),
         "placed",
     )
     several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = placed.join(counted(stored(several.select("gram"), "several")), "gram", "left_semi")
+    open_ = placed.join(several.select("gram"), "gram", "left_semi")
     short = open_.filter(F.col("n") - F.col("place") >= needed(F.col("n"), F.col("n"), similar)).select(
         "gram", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"),
         F.col("component").alias("ca"),
