@@ -32,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from poolwatch.llm.common import SALTS, documents, stored
+from poolwatch.llm.filters import Filter, id_filter
 
 LEAST = 30
 LONGEST = 4
@@ -54,7 +55,6 @@ TOKENS = 1_000_000
 _DENSE = SIDE * BLOCKS
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _PLAIN = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK_BITS = 16
 CELLS = "left long, right long, n long, tile int, salt int, counts binary"
 
 
@@ -79,23 +79,6 @@ def _word_tail(lang: str, word: bytes) -> int:
     return -1 - (xxhash.xxh3_64_intdigest(lang.encode() + b"\0" + word) >> 2)
 
 
-class Filter:
-    """Whether an id beyond the ranked ones may be frequent."""
-
-    def __init__(self, chunks: list[tuple[int, bytes]], bits: int):
-        self.mask = (1 << bits) - 1
-        self.held = np.zeros(1 << bits, bool)
-        for chunk, packed in chunks:
-            part = np.unpackbits(np.frombuffer(zlib.decompress(packed), np.uint8))
-            self.held[chunk << _CHUNK_BITS : (chunk << _CHUNK_BITS) + part.size] = part.view(bool)
-
-    def __contains__(self, tail: int) -> bool:
-        return bool(self.held[tail & self.mask])
-
-    def keep(self, tails: np.ndarray) -> np.ndarray:
-        return np.where(self.held[tails & self.mask], tails, 0)
-
-
 class Words:
     """Ids of words: those ranked by frequency, from 1, and hashes of the others."""
 
@@ -227,26 +210,6 @@ def word_counts(docs: DataFrame, least: int) -> DataFrame:
     return counted.filter((F.col("n") >= least) | F.col("word").isNull())
 
 
-def tail_filter(tails: DataFrame, bits: int) -> Filter:
-    """The filter over ids (tail), of a size that `bits` fixes."""
-
-    def fill(batches):
-        held = {}
-        for batch in batches:
-            place = batch.column(0).to_numpy()
-            for chunk in np.unique(place >> _CHUNK_BITS).tolist():
-                if chunk not in held:
-                    held[chunk] = np.zeros(1 << min(_CHUNK_BITS, bits), bool)
-                held[chunk][place[place >> _CHUNK_BITS == chunk] & ((1 << _CHUNK_BITS) - 1)] = True
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1) for x in held.values()], pa.binary())],
-            names=["chunk", "bits"])
-
-    places = tails.select(F.col("tail").bitwiseAND((1 << bits) - 1).alias("place")).distinct()
-    dealt = places.repartition(F.shiftright("place", _CHUNK_BITS)).mapInArrow(fill, "chunk int, bits binary")
-    return Filter([(c, bytes(b)) for c, b in dealt.collect()], bits)
-
-
 def ranked_words(words: DataFrame, ranked: int, bits: int) -> Words:
     """`words`: (lang, word, n) of frequent words."""
     short = words.filter(F.octet_length("word") <= LONGEST_WORD)
@@ -263,7 +226,7 @@ def ranked_words(words: DataFrame, ranked: int, bits: int) -> Words:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_word_tail(lang, w) for lang, w in rows if w not in own.get(lang, ())], pa.int64())], names=["tail"])
 
-    return Words(top, tail_filter(words.select("lang", "word").mapInArrow(rest, "tail long"), bits))
+    return Words(top, id_filter(words.select("lang", "word").mapInArrow(rest, "tail long"), bits))
 
 
 def ranked_grams(cells: DataFrame, ranked: int, bits: int) -> Grams:
@@ -280,7 +243,7 @@ def ranked_grams(cells: DataFrame, ranked: int, bits: int) -> Grams:
             new = known.value.ids(l, r) == 0
             yield pa.RecordBatch.from_arrays([pa.array(_tail(_mixed(l[new], r[new])))], names=["tail"])
 
-    return Grams(left, right, tail_filter(cells.select("left", "right").mapInArrow(rest, "tail long"), bits))
+    return Grams(left, right, id_filter(cells.select("left", "right").mapInArrow(rest, "tail long"), bits))
 
 
 def _cells_of(words: np.ndarray, grams: list[Grams]) -> tuple[np.ndarray, np.ndarray]:
@@ -411,8 +374,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, longest: i
     score = F.expr(f"({SCALE} * cast(a as decimal(20,0))) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))")
     cut = cuts.join(first, ["lang", "first"]).join(rest, ["lang", "rest"]).withColumn("score", score)
     scored = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c")).select("lang", "phrase", "a", "c.l", "c.r", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    best_first = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # In shares of a language first, so that the last window has few rows of each.
+    share = Window.partitionBy("lang", "share").orderBy(*best_first)
+    few = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("at", F.row_number().over(share)).filter(F.col("at") <= top)
+    best = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))).filter(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
