@@ -16,9 +16,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many sources share go; n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs)
+    cleaned = lines.dedup_lines(docs, counts=("_n_lines", "_n_removed"))
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    changed = F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars"))
+    changed = F.when(F.col("_n_removed") > 0, length).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(docs.columns)
 
 

@@ -5,9 +5,13 @@ hashed to HyperLogLog sketches, which merge by aggregation, in parts per salt fi
 third of all pages is not one task's work. A line whose estimate lies clearly above the threshold
 goes; one near it is counted exactly.
 
+A document all of whose lines are such lines is a copy as a whole, and stays as it is: whether one of its
+copies is enough is for the near-copy operator to say, which keeps one.
+
 Defined results: lines are compared without surrounding white space; blank lines always stay; a
 null text stays null, without lines; a null source is one site of its own; a null doc_id and
-repeated rows are cleaned like any other; an empty table gives no rows; extra columns are kept.
+repeated rows are cleaned like any other; an empty table gives no rows; extra columns are kept, but
+for those of the names in `counts`, in whose place the counts come.
 """
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -54,8 +58,11 @@ def site_spread(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR)
     return stored(spread.filter(sure).select("line").union(exact.select("line")), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
-    """The documents with `text` cleaned, and before it n_lines and n_removed; all other columns stay."""
+def dedup_lines(
+    docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR, counts: tuple[str, str] = ("n_lines", "n_removed")
+) -> DataFrame:
+    """The documents with `text` cleaned, and before it the numbers of its lines and of those removed; all other
+    columns stay."""
     bad = site_spread(docs, min_sites, near)
     held = (
         docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
@@ -65,24 +72,23 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, near: float = NEAR)
     of_doc = salted_semi(held, bad, "line").groupBy(F.col("doc_id").alias("of")).agg(
         F.collect_set("line").alias("bad")
     )
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", *counts)]
     kept = docs.alias("d").join(of_doc.alias("b"), F.expr("d.doc_id <=> b.of"), "left")
     lines = F.split("d.text", "\n")
     blank = lambda x: F.trim(x, F.lit(_BLANK)) == ""
     good = let(lines, lambda all_lines: F.filter(
         all_lines, lambda x: blank(x) | ~F.array_contains(F.col("b.bad"), line_hash(x))
     ))
-    cleaned = F.when(F.col("b.bad").isNull(), F.col("d.text")).otherwise(F.array_join(good, "\n"))
-    left = F.when(F.col("b.bad").isNull(), F.size(lines)).otherwise(F.size(good))
-    return kept.select(
-        "d.doc_id", F.struct(cleaned.alias("text"), F.size(lines).alias("n"), left.alias("left")).alias("_lines"),
-        *[F.col(f"d.`{c}`") for c in rest],
-    ).select(
-        "doc_id",
-        F.when(F.col("_lines.text").isNull(), 0).otherwise(F.col("_lines.n")).cast("long").alias("n_lines"),
-        F.when(F.col("_lines.text").isNull(), 0)
-        .otherwise(F.col("_lines.n") - F.col("_lines.left")).cast("long").alias("n_removed"),
-        F.col("_lines.text").alias("text"), *[F.col(f"`{c}`") for c in rest],
+    result = lambda text, n, left: F.struct(text.alias("text"), n.cast("long").alias("n"), (n - left).cast("long").alias("gone"))
+    whole = result(F.col("d.text"), F.coalesce(F.size(lines), F.lit(0)), F.coalesce(F.size(lines), F.lit(0)))
+    cleaned = let(good, lambda g: F.when(F.forall(g, blank), whole).otherwise(result(F.array_join(g, "\n"), F.size(lines), F.size(g))))
+    same = F.col("b.bad").isNull() | F.col("d.text").isNull()
+    taken = kept.select(
+        "d.doc_id", F.when(same, whole).otherwise(cleaned).alias("_lines"), *[F.col(f"d.`{c}`") for c in rest],
+    )
+    n, gone = (F.when(F.col("_lines.text").isNull(), F.lit(0).cast("long")).otherwise(F.col(f"_lines.{c}")) for c in ("n", "gone"))
+    return taken.select(
+        "doc_id", n.alias(counts[0]), gone.alias(counts[1]), F.col("_lines.text").alias("text"), *[F.col(f"`{c}`") for c in rest]
     )
 
 
@@ -101,7 +107,7 @@ with lines as (
   select bare from lines where bare <> '' group by bare
   having count(distinct source) + max(case when source is null then 1 else 0 end) >= {MIN_SITES}
 ), judged as (
-  select l.doc_id, l.pos, l.line, b.bare is not null as goes
+  select l.doc_id, l.pos, l.line, b.bare is not null and bool_or(b.bare is null and l.bare <> '') over (partition by l.doc_id) as goes
   from lines l left join bad b on l.bare = b.bare
 ), kept as (
   select doc_id, count(*) as n_lines, sum(case when goes then 1 else 0 end) as n_removed,

@@ -14,6 +14,8 @@ def brute(rows, min_sites):
     for i, text, _, _ in rows:
         all_lines = [] if text is None else text.split("\n")
         kept = [x for x in all_lines if bare(x) not in bad]
+        if not any(bare(x) for x in kept):
+            kept = all_lines
         out.append((i, len(all_lines), len(all_lines) - len(kept), None if text is None else "\n".join(kept)))
     return sorted(out, key=repr)
 
@@ -42,6 +44,22 @@ def test_many_sites_by_sketch(docs):
         assert answer(docs(*rows), min_sites=least) == brute(rows, least)
 
 
+def test_copies_over_many_sites_stay(docs):
+    """Twelve copies over twelve sites are none of this operator's business; their lines in other texts are."""
+    rows = [(i, "one line\n\nanother line", "en", f"s{i}") for i in range(12)] + [(20, "one line\nown text", "en", "s0")]
+    got = answer(docs(*rows))
+    assert got == brute(rows, 10)
+    assert {r[3] for r in got} == {"one line\n\nanother line", "own text"}
+
+
+def test_extra_columns_of_the_same_names(docs):
+    df = docs((1, "a\nb", "en", "s")).selectExpr("*", "'given' as n_lines", "'given' as n_removed")
+    (row,) = lines.dedup_lines(df).collect()
+    assert (row.n_lines, row.n_removed, row.n_chars) == (2, 0, 3)
+    (row,) = lines.dedup_lines(df, counts=("x", "y")).collect()
+    assert (row.n_lines, row.n_removed, row.x, row.y) == ("given", "given", 2, 0)
+
+
 def test_edges(docs):
     rows = [
         (1, None, None, "a"), (2, "", None, "b"), (3, "x\n\n x ", "en", None), (4, "x", "en", "a"), (None, "x\ny", "en", "b"),
