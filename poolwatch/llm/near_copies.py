@@ -8,7 +8,8 @@ for several n-grams, which leaves the order exact as an order.
 2. Prefixes: two sets of the wanted similarity share an n-gram among the first of either; the
    shorter one needs even fewer. Only prefixes are shuffled, by n-gram; n-grams of one class drop out.
 3. Each class is paired with the one in which an n-gram stands earliest, for each n-gram, so that a large group of near copies
-   becomes one component by as many pairs as it has members. Then classes of different components
+   becomes one component by as many pairs as it has members; and once more, where components still share an
+   n-gram, with the class of it in the largest of them. Then classes of different components
    are paired wherever the lengths and places of a shared n-gram still allow the similarity.
 4. The global order is cut into fragments. The segments of a pair are intersected fragment by
    fragment, and the partial overlaps are summed per pair, which decides it exactly.
@@ -168,6 +169,16 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>")
 
 
+def still_open(posts: DataFrame, joined: DataFrame) -> DataFrame:
+    """The posts with their `component`, of those n-grams that several components share."""
+    placed = stored(
+        posts.join(joined.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")),
+        "placed",
+    )
+    several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    return stored(placed.join(several.select("gram"), "gram", "left_semi"), "open")
+
+
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
     """Least overlap of two sets of these sizes that are similar."""
     a, b = similar
@@ -258,14 +269,21 @@ def near_copies(
     first = stored(verified(stars, classes, docs, order, words, similar), "star-links")
     joined = stored(components(first), "star-components")
 
+    # Of n-grams that several components share, each class is paired with the one in the largest component, as far as
+    # it is in another: what the first centres missed of a large group joins the rest of it.
+    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
+    open_ = still_open(posts, joined)
+    sized = open_.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    large = sized.groupBy("gram").agg(F.max(F.struct("size", (-F.col("place")).alias("early"), "set", "n", "component")).alias("c")).select(
+        "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), (-F.col("c.early")).alias("pa"), F.col("c.component").alias("ca"))
+    around = open_.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
+    met = around.join(large, "gram").filter("ca <> cb").filter(possible("na", "pa", "nb", "pb"))
+    more = verified(stored(met.select("a", "na", "b", "nb").distinct(), "more-stars"), classes, docs, order, words, similar)
+    first = first.unionByName(stored(more, "more-links"))
+    joined = stored(components(first), "components")
+
     # Pairs across components: the shorter set, by its shorter prefix, against the longer one's.
-    placed = stored(
-        posts.join(joined.withColumnRenamed("id", "set"), "set", "left")
-        .withColumn("component", F.coalesce("component", "set")),
-        "placed",
-    )
-    several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    open_ = placed.join(several.select("gram"), "gram", "left_semi")
+    open_ = still_open(open_.drop("component"), joined)
     short = open_.filter(F.col("n") - F.col("place") >= needed(F.col("n"), F.col("n"), similar)).select(
         "gram", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"),
         F.col("component").alias("ca"),
