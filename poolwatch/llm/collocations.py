@@ -31,7 +31,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from poolwatch.llm.common import SALTS, documents, stored
+from poolwatch.llm.common import SALTS, documents, in_small_batches, stored
 from poolwatch.llm.filters import Filter, id_filter
 
 LEAST = 30
@@ -332,7 +332,7 @@ def _coded(cells: DataFrame, ids) -> DataFrame:
 def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, ranked: int = RANKED, bits: int = FILTER_BITS):
     """(lang, phrase, words, n) of all frequent phrases, single words included; and (lang, n), the words of each language."""
     sent = docs.sparkSession.sparkContext.broadcast
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = in_small_batches(docs).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     counted = stored(word_counts(rows, least), "words")
     words = counted.filter("word is not null")
     ids, grams = sent(ranked_words(words, ranked, bits)), []
