@@ -202,3 +202,11 @@ def test_reuse_of_sessions_the_proxy_made(rows):
     told = lambda **how: {r.request_id: r.session for r in sessions.session_reuse(routed, table, "x", **how).collect()}
     assert told() == {1: "late", 2: None}
     assert told(known=rows("namespace string, session string", ("n", "fresh"), ("n", "fresh"))) == {1: "fresh", 2: None}
+
+
+def test_listing_stands_in_order(rows, tmp_path):
+    table = rows("name string, user string", *[(f"s{k:03}", "u") for k in random.Random(1).sample(range(300), 300)]).repartition(7)
+    sinks.write_listing(table, f"{tmp_path}/listing")
+    files = sorted((tmp_path / "listing").glob("part-*.txt"))
+    names = [re.search(r'"name":"(\w+)"', line)[1] for f in files for line in f.read_text().splitlines()]
+    assert names == [f"s{k:03}" for k in range(300)]
