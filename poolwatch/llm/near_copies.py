@@ -171,12 +171,13 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
 
 def still_open(posts: DataFrame, joined: DataFrame) -> DataFrame:
     """The posts with their `component`, of those n-grams that several components share."""
+    # Merged whatever their sizes, so that small tables show the plan of large ones.
     placed = stored(
-        posts.join(joined.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set")),
+        posts.join(joined.withColumnRenamed("id", "set").hint("merge"), "set", "left").withColumn("component", F.coalesce("component", "set")),
         "placed",
     )
     several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return stored(placed.join(several.select("gram"), "gram", "left_semi"), "open")
+    return stored(placed.join(several.select("gram").hint("merge"), "gram", "left_semi"), "open")
 
 
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
@@ -263,7 +264,7 @@ def near_copies(
         "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa")
     )
     around = posts.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
-    met = around.join(centre, "gram").filter("a <> b").filter(possible("na", "pa", "nb", "pb"))
+    met = around.join(centre.hint("merge"), "gram").filter("a <> b").filter(possible("na", "pa", "nb", "pb"))
     stars = met.select("a", "na", "b", "nb").distinct()
     stars = stored(stars, "stars")
     first = stored(verified(stars, classes, docs, order, words, similar), "star-links")
@@ -273,11 +274,11 @@ def near_copies(
     # it is in another: what the first centres missed of a large group joins the rest of it.
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
     open_ = still_open(posts, joined)
-    sized = open_.join(sizes, "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    sized = open_.join(sizes.hint("merge"), "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
     large = sized.groupBy("gram").agg(F.max(F.struct("size", (-F.col("place")).alias("early"), "set", "n", "component")).alias("c")).select(
         "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), (-F.col("c.early")).alias("pa"), F.col("c.component").alias("ca"))
     around = open_.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
-    met = around.join(large, "gram").filter("ca <> cb").filter(possible("na", "pa", "nb", "pb"))
+    met = around.join(large.hint("merge"), "gram").filter("ca <> cb").filter(possible("na", "pa", "nb", "pb"))
     more = verified(stored(met.select("a", "na", "b", "nb").distinct(), "more-stars"), classes, docs, order, words, similar)
     first = first.unionByName(stored(more, "more-links"))
     joined = stored(components(first), "components")
