@@ -39,6 +39,8 @@ SIMILAR = (75, 100)
 # Counters of the global order: 4 bytes each, the only table sent to all tasks.
 BUCKETS = 1 << 22
 _CHUNK = 1 << 16
+# Rows of ids (24 bytes each) up to which they are broadcast; more are merged by shuffle.
+BROADCAST_IDS = 1_000_000
 # Bits of the filter over ids of documents to be cut, sent to all tasks like the counters; to grow with the corpus.
 FILTER_BITS = 24
 FRAGMENTS = 8
@@ -169,15 +171,21 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>")
 
 
+def checked(ids: DataFrame) -> DataFrame:
+    """A stored table of ids, to be broadcast if it is known to be small, else to be merged."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+
+
 def still_open(posts: DataFrame, joined: DataFrame) -> DataFrame:
-    """The posts with their `component`, of those n-grams that several components share."""
-    # Merged whatever their sizes, so that small tables show the plan of large ones.
+    """The posts with their `component` and its `size`, of those n-grams that several components share."""
+    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
+    told = stored(joined.join(sizes, "component").select(F.col("id").alias("set"), "component", "size"), "sized")
     placed = stored(
-        posts.join(joined.withColumnRenamed("id", "set").hint("merge"), "set", "left").withColumn("component", F.coalesce("component", "set")),
+        posts.join(checked(told), "set", "left").withColumns({"component": F.coalesce("component", "set"), "size": F.coalesce("size", F.lit(1))}),
         "placed",
     )
     several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return stored(placed.join(several.select("gram").hint("merge"), "gram", "left_semi"), "open")
+    return stored(placed.join(checked(stored(several.select("gram"), "several")), "gram", "left_semi"), "open")
 
 
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
@@ -272,10 +280,8 @@ def near_copies(
 
     # Of n-grams that several components share, each class is paired with the one in the largest component, as far as
     # it is in another: what the first centres missed of a large group joins the rest of it.
-    sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
     open_ = still_open(posts, joined)
-    sized = open_.join(sizes.hint("merge"), "component", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    large = sized.groupBy("gram").agg(F.max(F.struct("size", (-F.col("place")).alias("early"), "set", "n", "component")).alias("c")).select(
+    large = open_.groupBy("gram").agg(F.max(F.struct("size", (-F.col("place")).alias("early"), "set", "n", "component")).alias("c")).select(
         "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), (-F.col("c.early")).alias("pa"), F.col("c.component").alias("ca"))
     around = open_.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
     met = around.join(large.hint("merge"), "gram").filter("ca <> cb").filter(possible("na", "pa", "nb", "pb"))
@@ -284,7 +290,7 @@ def near_copies(
     joined = stored(components(first), "components")
 
     # Pairs across components: the shorter set, by its shorter prefix, against the longer one's.
-    open_ = still_open(open_.drop("component"), joined)
+    open_ = still_open(open_.drop("component", "size"), joined)
     short = open_.filter(F.col("n") - F.col("place") >= needed(F.col("n"), F.col("n"), similar)).select(
         "gram", F.col("set").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"),
         F.col("component").alias("ca"),
