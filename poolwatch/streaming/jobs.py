@@ -21,6 +21,13 @@ cloudpickle.register_pickle_by_value(life)
 DELAY = "10 minutes"
 # Keys a pool's sessions are dealt to; news of the pool goes to each.
 SHARDS = 64
+# Keys all sessions are dealt to where no pool matters; to grow with them, as a key's state is read and written whole.
+CLOCK_SHARDS = 1024
+
+
+def _dealt(rows: DataFrame, by: list[str], shards: int):
+    """Rows by shards of their sessions."""
+    return rows.withColumn("shard", F.pmod(F.xxhash64(*by), F.lit(shards)).cast("int")).groupBy("shard")
 
 
 def timed(rows: DataFrame, delay: str = DELAY) -> DataFrame:
@@ -60,7 +67,7 @@ def first_requests(requests: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def activation_wait(
-    requests: DataFrame, changes: DataFrame, budget: int = V.START_BUDGET_SECONDS, delay: str = DELAY
+    requests: DataFrame, changes: DataFrame, budget: int = V.START_BUDGET_SECONDS, delay: str = DELAY, shards: int = CLOCK_SHARDS
 ) -> DataFrame:
     """Outcome of each start request, as the batch job has it: the state its session is in at that
     moment or the next that decides within the budget. It comes out once the watermark has passed
@@ -73,13 +80,9 @@ def activation_wait(
     )
     asked = timed(requests, delay).select(*SESSION, "ts", F.lit(ASKED).alias("kind"), F.lit(0).cast("bigint").alias("seq"))
     became = timed(changes, delay).select(*SESSION, "ts", outcome.alias("kind"), F.col("seq").cast("bigint").alias("seq"))
-    return (
-        asked.unionByName(became)
-        .withColumn("budget", F.lit(budget).cast("bigint"))
-        .groupBy(*SESSION)
-        .transformWithStateInPandas(
-            statefulProcessor=StartClock(), outputStructType=START_OUTPUT, outputMode="append", timeMode="eventTime"
-        )
+    rows = asked.unionByName(became).withColumn("budget", F.lit(budget).cast("bigint"))
+    return _dealt(rows, SESSION, shards).transformWithStateInPandas(
+        statefulProcessor=StartClock(), outputStructType=START_OUTPUT, outputMode="append", timeMode="eventTime"
     )
 
 
@@ -119,16 +122,13 @@ def live_load(changes: DataFrame, by: list[str] = V.POOL) -> DataFrame:
     )
 
 
-def session_states(activity: DataFrame, pools: DataFrame, delay: str = DELAY) -> DataFrame:
+def session_states(activity: DataFrame, pools: DataFrame, delay: str = DELAY, shards: int = CLOCK_SHARDS) -> DataFrame:
     """State changes of every session as touches arrive and clocks run out; append mode."""
     limits = pools.select(*V.POOL, settings.idle_minutes().alias("idle_minutes"))
     rows = timed(activity, delay).join(limits, V.POOL, "left").fillna(V.ZERO_IDLE_MINUTES, ["idle_minutes"])
-    return (
-        rows.select(*V.POOL, "session", "ts", "idle_minutes")
-        .groupBy(*V.POOL, "session")
-        .transformWithStateInPandas(
-            statefulProcessor=SessionClock(), outputStructType=STATE_OUTPUT, outputMode="append", timeMode="eventTime"
-        )
+    rows = rows.select(*V.POOL, "session", "ts", "idle_minutes")
+    return _dealt(rows, [*V.POOL, "session"], shards).transformWithStateInPandas(
+        statefulProcessor=SessionClock(), outputStructType=STATE_OUTPUT, outputMode="append", timeMode="eventTime"
     )
 
 
