@@ -429,8 +429,11 @@ class Sample:
               'activeSessions', int(c % 6), 'endpoint', concat('tenant-', c, '-driver-svc.fleet.svc'),
               'sparkApplicationState', 'RUNNING')),
             'totalActiveSessions', int(c % 30), 'currentReplicas', int(c % 4), 'readyReplicas', int(c % 3)))"""
-        rows = self.table("customer").selectExpr("c_custkey as c", "c_nationkey")
-        return rows.selectExpr("c as pos", f"to_json({doc}) as doc")
+        # A record is far more work than its key, and one row group may hold all keys: they are dealt out first. The
+        # records are rows of a generator, so that no filter on what is in them is moved ahead of that.
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = self.table("customer").selectExpr("c_custkey as c", "c_nationkey").repartition(tasks, "c")
+        return rows.selectExpr("c as pos", f"explode(array(to_json({doc}))) as doc")
 
     @cached_property
     def pool_records(self) -> DataFrame:

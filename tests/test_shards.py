@@ -38,3 +38,13 @@ def test_clocks_are_held_by_shard(feed, rows, tmp_path):  # noqa: F811
     got, held = done(jobs.session_states(touched, pools, shards=2), tmp_path / "states")
     assert {(r.session, r.state) for r in got.filter("session <> 'end'").collect()} == {(s, x) for s in NAMES for x in ("Active", "Idle")}
     assert held <= 16
+
+
+def test_records_are_dealt_out_before_they_are_made(spark, rows, tmp_path):
+    keys = [(k, f"c{k}", k % 25, 1.0, "m") for k in range(200)]
+    rows("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", *keys).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    pools = Sample(spark, str(tmp_path)).tenant_pools.filter("type = 'connect'")
+    before = pools._jdf.queryExecution().executedPlan().toString().split("Exchange", 1)
+    # The keys alone are read and dealt out; whatever is asked of a record comes later.
+    assert len(before) == 2 and "json" in before[0] and "json" not in before[1]
+    assert pools.count() == sum(k % 2 == 0 and k % 41 != 0 for k in range(200))
