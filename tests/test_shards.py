@@ -48,3 +48,10 @@ def test_records_are_dealt_out_before_they_are_made(spark, rows, tmp_path):
     # The keys alone are read and dealt out; whatever is asked of a record comes later.
     assert len(before) == 2 and "json" in before[0] and "json" not in before[1]
     assert pools.count() == sum(k % 2 == 0 and k % 41 != 0 for k in range(200))
+
+
+def test_newest_rows_read_the_log_once(rows):
+    log = rows("k string, v string, ts timestamp, seq long", ("a", "old", at(0), 9), ("a", "new", at(1), 1), ("a", "last", at(1), 2), ("b", "x", None, None), (None, "y", at(1), 1))
+    got = sinks.newest_rows(log, ["k"], ["ts", "seq"])
+    assert {r.k: (r.v, r.seq) for r in got.collect()} == {"a": ("last", 2), "b": ("x", None)}
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
