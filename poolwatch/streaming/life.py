@@ -26,21 +26,20 @@ _NEVER = -(1 << 62)
 _HELD, _NEW = ("Active", "Idle"), ("", "Pending")
 _FIELDS = ("session", "kind", "seq", "user_name", "state", "instance", "endpoint", "minutes", "flag", "reason")
 _TIMES = ("ts", "created_at", "last_activity_at")
+_SESSION = ("user_name", "state", "instance", "endpoint", "created", "last", "cell")
 
 
 class SessionLife(StatefulProcessor):
-    """States of a session: new, held (active or idle), ended; an ended one is forgotten."""
+    """States of a session: new, held (active or idle), ended; an ended one is forgotten.
+
+    What a shard holds is one value, read and written whole, and the rows that arrive are noted unread until
+    its one timer, the next cell's, runs out: a call to the state store costs far more than a session.
+    """
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.pool = handle.getValueState("pool", "known boolean, minutes int")
-        self.instances = handle.getMapState("instances", "instance string", "ready boolean")
-        self.sessions = handle.getMapState(
-            "sessions", "session string",
-            "user_name string, state string, instance string, endpoint string, created bigint, last bigint, cell bigint",
-        )
-        self.clocks = handle.getMapState("clocks", "cell bigint", "sessions string")
-        self.waiting = handle.getMapState("waiting", "cell bigint", "events string")
+        self.arrived = handle.getListState("arrived", "events string")
+        self.shard = handle.getValueState("shard", "held string")
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         self._wait(initialState)
@@ -53,27 +52,40 @@ class SessionLife(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         # All cells the watermark has passed, in order: working one off may note clocks in another.
         self.passed = timerValues.getCurrentWatermarkInMs() * 1000
-        self.open = sorted({c for state in (self.waiting, self.clocks) for (c,) in list(state.keys()) if self._has_passed(c)})
         self.out = []
-        if self.open:
-            known = self.pool.get() if self.pool.exists() else None
-            # A pool nobody has told of is gone.
-            self.known, self.minutes = known if known else (False, ZERO_IDLE_MINUTES)
-            while self.open:
-                self._work_off(heapq.heappop(self.open))
-            self.pool.update((self.known, self.minutes))
+        self._read()
+        self.open = sorted({c for state in (self.waiting, self.clocks) for c in state if self._has_passed(c)})
+        while self.open:
+            self._work_off(heapq.heappop(self.open))
+        self._write()
         yield self._frame(key, self.out)
 
+    def _read(self) -> None:
+        # A pool nobody has told of is gone.
+        nothing = [False, ZERO_IDLE_MINUTES, [], [], [], []]
+        self.known, self.minutes, instances, sessions, clocks, waiting = json.loads(self.shard.get()[0]) if self.shard.exists() else nothing
+        self.instances, self.sessions, self.clocks, self.waiting = set(instances), dict(sessions), dict(clocks), dict(waiting)
+        for (text,) in self.arrived.get():
+            for cell, events in json.loads(text):
+                self.waiting.setdefault(cell, []).extend(events)
+        self.arrived.clear()
+
+    def _write(self) -> None:
+        held = [self.known, self.minutes, list(self.instances), *[list(d.items()) for d in (self.sessions, self.clocks, self.waiting)]]
+        self.shard.update((json.dumps(held),))
+        if cells := [*self.clocks, *self.waiting]:
+            self.handle.registerTimer((min(cells) + 1) * _MINUTE // 1000)
+
     def _has_passed(self, cell) -> bool:
         return (cell + 1) * _MINUTE <= self.passed
 
     def _work_off(self, cell) -> None:
         self.due, self.cell, self.now = [], cell, cell * _MINUTE
-        for name in json.loads(self._taken(self.clocks, cell) or "[]"):
+        for name in self.clocks.pop(cell, ()):
             one = self._session(name)
             if one and one["cell"] == cell:
                 heapq.heappush(self.due, (cell * _MINUTE, name))
-        events = [json.loads(line) for line in (self._taken(self.waiting, cell) or "").splitlines()]
+        events = (dict(zip((*_FIELDS, *_TIMES), values)) for values in self.waiting.pop(cell, ()))
         for event in sorted(events, key=lambda e: (e["ts"], e["kind"], e["seq"] or 0, e["session"] or "")):
             self._clocks_before(event["ts"])
             self.now = event["ts"]
@@ -87,30 +99,17 @@ class SessionLife(StatefulProcessor):
         times = {c: rows[c].astype("datetime64[us]").astype("int64").where(rows[c].notna(), _NEVER).tolist() for c in _TIMES}
         plain = {c: rows[c].astype(object).where(rows[c].notna(), None).tolist() for c in _FIELDS}
         cells = {}
-        for i, ts in enumerate(times["ts"]):
-            row = {c: v[i] for c, v in plain.items()} | {c: v[i] for c, v in times.items()}
-            cells.setdefault(ts // _MINUTE, []).append(json.dumps(row, default=int))
-        for cell, lines in cells.items():
-            held = [self.waiting.getValue((cell,))[0]] if self.waiting.containsKey((cell,)) else []
-            self.waiting.updateValue((cell,), ("\n".join([*held, *lines]),))
-            self.handle.registerTimer((cell + 1) * _MINUTE // 1000)
-
-    @staticmethod
-    def _taken(state, cell):
-        if not state.containsKey((cell,)):
-            return None
-        value = state.getValue((cell,))[0]
-        state.removeKey((cell,))
-        return value
+        for ts, *values in zip(times["ts"], *plain.values(), *times.values()):
+            cells.setdefault(ts // _MINUTE, []).append(values)
+        if cells:
+            self.arrived.appendList([(json.dumps(list(cells.items()), default=int),)])
+            self.handle.registerTimer((min(cells) + 1) * _MINUTE // 1000)
 
     def _session(self, name):
-        if not self.sessions.containsKey((name,)):
-            return None
-        values = self.sessions.getValue((name,))
-        return dict(zip(("user_name", "state", "instance", "endpoint", "created", "last", "cell"), values))
+        return dict(zip(_SESSION, self.sessions[name])) if name in self.sessions else None
 
     def _put(self, name, one) -> None:
-        self.sessions.updateValue((name,), tuple(one.values()))
+        self.sessions[name] = list(one.values())
 
     def _end_of_wait(self, one):
         """When the clock of a held session runs out next, and what it becomes then."""
@@ -129,12 +128,9 @@ class SessionLife(StatefulProcessor):
         if cell == self.cell:
             heapq.heappush(self.due, (max(wait[0], self.now), name))
             return
-        held = json.loads(self.clocks.getValue((cell,))[0]) if self.clocks.containsKey((cell,)) else []
-        self.clocks.updateValue((cell,), (json.dumps([*held, name]),))
-        if not self._has_passed(cell):
-            self.handle.registerTimer((cell + 1) * _MINUTE // 1000)
-        elif not held and cell not in self.open:
+        if self._has_passed(cell) and cell not in self.clocks and cell not in self.open:
             heapq.heappush(self.open, cell)
+        self.clocks.setdefault(cell, []).append(name)
 
     def _clocks_before(self, now) -> None:
         """Clocks that ran out strictly before `now`; those of later cells are noted there. What is in `due` is no
@@ -162,7 +158,7 @@ class SessionLife(StatefulProcessor):
             one["state"] = "Terminated"
             self._tell(name, one, ts, "closing")
         if one["state"] in ("Terminated", "Failed"):
-            self.sessions.removeKey((name,))
+            self.sessions.pop(name, None)
         else:
             self._set_clock(name, one)
             self._put(name, one)
@@ -171,7 +167,7 @@ class SessionLife(StatefulProcessor):
         self.out.append((name, ts, len(self.out), one["state"], reason, one["instance"], one["endpoint"], one["created"], one["last"]))
 
     def _all(self) -> list:
-        return [key[0] for key in self.sessions.keys()]
+        return list(self.sessions)
 
     def _apply(self, e) -> None:
         getattr(self, ("_pool", "_instance", "_snapshot", "_record", "_outlook", "_touch", "_end")[e["kind"]])(e, e["ts"])
@@ -192,9 +188,9 @@ class SessionLife(StatefulProcessor):
     def _instance(self, e, ts) -> None:
         """News of an instance: only a ready one keeps its sessions."""
         if e["flag"]:
-            self.instances.updateValue((e["instance"],), (True,))
+            self.instances.add(e["instance"])
             return
-        self.instances.removeKey((e["instance"],))
+        self.instances.discard(e["instance"])
         for name in self._all():
             one = self._session(name)
             if one["state"] in _HELD and one["instance"] == e["instance"]:
@@ -221,7 +217,7 @@ class SessionLife(StatefulProcessor):
             past = lambda minutes: one["last"] != _NEVER and one["last"] + minutes * _MINUTE < ts
             if not self.known:
                 self._change(name, one, ts, "Terminated", "pool_deleted")
-            elif not self.instances.containsKey((one["instance"],)):
+            elif one["instance"] not in self.instances:
                 self._lose(name, one, ts)
             elif past(self.minutes):
                 self._change(name, one, ts, "Terminating", "idle_timeout")
@@ -233,7 +229,7 @@ class SessionLife(StatefulProcessor):
 
     def _record(self, e, ts) -> None:
         """A new session somebody asked for."""
-        if not self.sessions.containsKey((e["session"],)):
+        if e["session"] not in self.sessions:
             self._snapshot(e | {"state": "", "created_at": _NEVER, "last_activity_at": _NEVER}, ts)
 
     def _outlook(self, e, ts) -> None:

@@ -40,6 +40,19 @@ def test_clocks_are_held_by_shard(feed, rows, tmp_path):  # noqa: F811
     assert held <= 16
 
 
+def test_lives_are_held_by_shard(feed, rows, tmp_path):  # noqa: F811
+    pools = rows("namespace string, pool string, idle_timeout_minutes int", ("n", "p", 30))
+    seats = rows("namespace string, pool string, instance string, state string", ("n", "p", "i", "Running"))
+    snapshot = rows(
+        "namespace string, pool string, session string, user_name string, state string, assigned_instance string, created_at timestamp, "
+        "last_activity_at timestamp", *[("n", "p", s, "u", "Active", "i", at(-1), at(0)) for s in NAMES])
+    news = jobs.touch_news(feed("namespace string, pool string, session string, ts timestamp", [("n", "p", "none", at(1))], [("n", "p", "none", at(22))]), 2)
+    start = jobs.life_snapshot(snapshot, pools, seats, F.lit(T), 2)
+    got, held = done(jobs.session_transitions(news, start), tmp_path / "life")
+    assert {(r.session, r.state, r.changed_at) for r in got.collect()} == {(s, "Idle", at(10)) for s in NAMES}
+    assert held <= 16
+
+
 def test_records_are_dealt_out_before_they_are_made(spark, rows, tmp_path):
     keys = [(k, f"c{k}", k % 25, 1.0, "m") for k in range(200)]
     rows("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", *keys).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
