@@ -11,7 +11,9 @@ for several n-grams, which leaves the order exact as an order.
    becomes one component by as many pairs as it has members; and once more, where components still share an
    n-gram, with the class of it in the largest of them. Then classes of different components
    are paired wherever the lengths and places of a shared n-gram still allow the similarity.
-4. The global order is cut into fragments. The segments of a pair are intersected fragment by
+4. Each class has marks, about a bit an n-gram. Where those of a pair differ in more places than similar sets may have
+   n-grams apart, the pair has met by chance and goes before its n-grams are moved.
+5. The global order is cut into fragments. The segments of a pair are intersected fragment by
    fragment, and the partial overlaps are summed per pair, which decides it exactly.
 
 Hashes have 64 bits; two different n-grams of one pair of documents take the same hash with a chance
@@ -83,6 +85,14 @@ def set_name(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), seed=grams.size) - (1 << 63)
 
 
+def marks(grams: np.ndarray) -> np.ndarray:
+    """For each of at least as many cells as there are grams, a power of two, whether it holds an odd number of them; 64
+    cells in a number. A gram that only one of two sets has changes one cell."""
+    cells = 1 << max(6, (grams.size - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (grams & np.uint64(buckets - 1)).astype(np.int64)
 
@@ -151,7 +161,7 @@ class Order:
 
 
 def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> DataFrame:
-    """(doc_id, n, set, prefix): size of the set, its hash, and its first n-grams in global order."""
+    """(doc_id, n, set, prefix, marks): size of the set, its hash, its first n-grams in global order, and its marks."""
     a, b = similar
 
     def run(batches):
@@ -163,12 +173,14 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
                 firsts = [ranks.sort(s)[0][: s.size - -(-a * s.size // b) + 1].view(np.int64) if s.size else None
                           for s in sets]
                 names = [set_name(s) for s in sets]
+                marked = [marks(s) if s.size else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(names, pa.int64()),
-                     pa.array(firsts, pa.list_(pa.int64()))], names=["doc_id", "n", "set", "prefix"])
+                     pa.array(firsts, pa.list_(pa.int64())), pa.array(marked, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "set", "prefix", "marks"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>")
+    return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>, marks array<long>")
 
 
 def checked(ids: DataFrame) -> DataFrame:
@@ -194,6 +206,34 @@ def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:
     return F.ceil(a * (n + m) / F.lit(a + b))
 
 
+def apart(x: Column, y: Column) -> Column:
+    """Cells in which the marks of two sets differ; the sets have no fewer n-grams that the other lacks. The marks of more
+    cells are folded to as many as the others have."""
+    width = F.least(F.size(x), F.size(y))
+
+    def folded(marks: Column, i: Column) -> Column:
+        places = F.sequence(i, F.size(marks) - 1, width)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda odd, j: odd.bitwiseXOR(marks[j]))
+
+    return F.aggregate(
+        F.sequence(F.lit(0), width - 1), F.lit(0), lambda n, i: n + F.bit_count(folded(x, i).bitwiseXOR(folded(y, i)))
+    )
+
+
+def likely(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """The pairs of classes (a, na, b, nb) without those that their marks rule out."""
+    x, y = similar
+    marked = classes.select("set", "marks")
+    met = (
+        pairs.alias("p").join(marked.hint("merge").alias("l"), F.expr("p.a = l.set"))
+        .join(marked.hint("merge").alias("r"), F.expr("p.b = r.set"))
+    )
+    both = F.col("na") + F.col("nb")
+    # What the sets share is at most half of what the marks leave of both.
+    fits = (both - apart(F.col("l.marks"), F.col("r.marks"))) * (x + y) >= both * (2 * x)
+    return met.filter(fits).select("p.a", "p.na", "p.b", "p.nb")
+
+
 def segments(docs: DataFrame, order, wanted, words: int) -> DataFrame:
     """(set, fragment, grams): the set of each document whose id may be wanted, cut by the fragments of the global
     order. Texts stay where they are; a filter of fixed size is sent to them."""
@@ -222,6 +262,7 @@ def segments(docs: DataFrame, order, wanted, words: int) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words: int, similar) -> DataFrame:
     """Of the pairs of classes (a, na, b, nb), those whose overlap, summed over fragments, suffices."""
+    pairs = stored(likely(pairs, classes, similar), "pairs")
     named = (
         pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
         .join(classes, "set").select(F.xxhash64("id").alias("id"))
@@ -250,13 +291,15 @@ def near_copies(
     order = spark.sparkContext.broadcast(Order(bucket_counts(docs, words, buckets), buckets))
     sets = stored(prefixes(docs, order, words, similar), "sets")
     full = sets.filter("n > 0")
-    classes = stored(full.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n").alias("n")), "classes")
+    classes = stored(full.groupBy("set").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"), F.first("marks").alias("marks")), "classes")
 
     # Size and place travel as one number: three words a row is all that is shuffled of a prefix.
     packed = (F.shiftleft("n", 31) + F.col("place")).alias("packed")
     dealt = full.select("set", "n", F.posexplode("prefix").alias("place", "gram")).select("gram", "set", packed)
     dealt = dealt.repartition("gram")
-    shared = dealt.groupBy("gram").agg(F.min("set").alias("lo"), F.max("set").alias("hi")).filter("lo <> hi")
+    # All columns are read here too: else the rows would be dealt out once more, without the third.
+    ends = F.min("set").alias("lo"), F.max("set").alias("hi"), F.min("packed").alias("least")
+    shared = dealt.groupBy("gram").agg(*ends).filter("lo <> hi and least >= 0")
     posts = dealt.join(shared.select("gram").hint("shuffle_hash"), "gram").distinct().select(
         "gram", "set", F.shiftright("packed", 31).alias("n"), (F.col("packed") % (1 << 31)).alias("place")
     )
@@ -274,7 +317,6 @@ def near_copies(
     around = posts.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"))
     met = around.join(centre.hint("merge"), "gram").filter("a <> b").filter(possible("na", "pa", "nb", "pb"))
     stars = met.select("a", "na", "b", "nb").distinct()
-    stars = stored(stars, "stars")
     first = stored(verified(stars, classes, docs, order, words, similar), "star-links")
     joined = stored(components(first), "star-components")
 
@@ -285,7 +327,7 @@ def near_copies(
         "gram", F.col("c.set").alias("a"), F.col("c.n").alias("na"), (-F.col("c.early")).alias("pa"), F.col("c.component").alias("ca"))
     around = open_.select("gram", F.col("set").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("cb"))
     met = around.join(large.hint("merge"), "gram").filter("ca <> cb").filter(possible("na", "pa", "nb", "pb"))
-    more = verified(stored(met.select("a", "na", "b", "nb").distinct(), "more-stars"), classes, docs, order, words, similar)
+    more = verified(met.select("a", "na", "b", "nb").distinct(), classes, docs, order, words, similar)
     first = first.unionByName(stored(more, "more-links"))
     joined = stored(components(first), "components")
 
@@ -300,10 +342,9 @@ def near_copies(
         F.col("component").alias("cb"),
     )
     later = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    across = stored(
+    across = (
         short.join(long_, "gram").filter((F.col("ca") != F.col("cb")) & later & possible("na", "pa", "nb", "pb"))
-        .select("a", "na", "b", "nb").distinct(),
-        "across",
+        .select("a", "na", "b", "nb").distinct()
     )
     links = first.union(verified(across, classes, docs, order, words, similar))
 

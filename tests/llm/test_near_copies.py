@@ -1,7 +1,9 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from poolwatch.llm import near_copies
 from poolwatch.llm.components import components
@@ -110,3 +112,51 @@ def test_components_of_long_chains(spark):
     random.Random(1).shuffle(chain)
     got = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert got == {i: 10 for i in range(10, 61)} | {5: 5, 100: 5, 7: 5}
+
+
+def test_marks_never_differ_more_than_the_sets(spark):
+    seed = random.Random(3)
+    pairs = []
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (64, 65, 60), (100, 130, 100), (128, 128, 0), (40, 700, 40), (900, 1100, 850), (5000, 5100, 10)]:
+        both = [seed.getrandbits(64) for _ in range(shared)]
+        x, y = (np.unique(np.array(both + [seed.getrandbits(64) for _ in range(k - shared)], np.uint64)) for k in (n, m))
+        pairs.append((n + m - 2 * shared, near_copies.marks(x).tolist(), near_copies.marks(y).tolist()))
+    df = spark.createDataFrame(pairs, "differ int, x array<long>, y array<long>")
+    got = df.select("differ", near_copies.apart(F.col("x"), F.col("y")).alias("n"), near_copies.apart(F.col("y"), F.col("x")).alias("m")).collect()
+    assert all(r.n == r.m <= r.differ and r.n % 2 == r.differ % 2 for r in got)
+    assert [r.n for r in got][:2] == [pairs[0][1] != pairs[0][2] and 2, 0]
+
+
+def test_texts_that_meet_by_chance_send_no_segments(docs, monkeypatch):
+    seed = random.Random(5)
+    passage = [f"p{i}" for i in range(30)]
+    own = [[f"w{seed.randrange(10**9)}" for _ in range(100)] for _ in range(12)]
+    rows = [(i, " ".join(x + passage)) for i, x in enumerate(own)] + [(20, " ".join(own[3] + passage + ["end"]))]
+    asked, plain = [], near_copies.id_filter
+
+    def counted(ids, bits):
+        asked.append(ids.distinct().count())
+        return plain(ids, bits)
+
+    monkeypatch.setattr(near_copies, "id_filter", counted)
+    # One bucket: the order is by hash, and n-grams of the passage are among the first of every text.
+    assert answer(docs(*rows), buckets=1) == expected(rows)
+    assert asked == [2, 0, 0]
+
+
+def test_prefixes_are_dealt_out_once(docs, monkeypatch):
+    df, plans, plain = docs((1, "a b c d e f g"), (2, "a b c d e f h")), [], near_copies.stored
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+
+    def seen(table, name):
+        if name == "posts":
+            conf.set("spark.sql.adaptive.enabled", "false")
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+            conf.set("spark.sql.adaptive.enabled", adaptive)
+        return plain(table, name)
+
+    monkeypatch.setattr(near_copies, "stored", seen)
+    near_copies.near_copies(df)
+    # An exchange that is reused names no rows of its own.
+    assert [line.count("REPARTITION_BY_COL") for line in plans[0].splitlines() if "Exchange" in line and "Reused" not in line] == [1]
