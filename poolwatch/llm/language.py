@@ -184,23 +184,38 @@ class Model:
         return total / np.maximum(size, 1)[:, None], size
 
 
+def ngrams(points: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the distinct k-grams of texts that stand one after another, up to `ends`; how often each is there,
+    and the hashes of its first and its last k - 1 characters."""
+    points, inside = points.astype(np.uint64), np.ones(points.size, bool)
+    for j in range(1, k):
+        inside[ends - j] = False
+    begins = np.nonzero(inside)[0]
+    found, first, counts = np.unique(grams(points, k)[begins], return_index=True, return_counts=True)
+    if k == 1:
+        return found, counts, np.zeros_like(found), np.zeros_like(found)
+    at = begins[first]
+    head, tail = (hashed([points[at + j] for j in range(b, b + k - 1)]) for b in (0, 1))
+    return found, counts, head, tail
+
+
 def fit(texts: dict[str, list[str]], order: int = ORDER) -> Model:
     langs = sorted(texts)
-    runs = {x: [p for t in texts[x] if (p := letters(t, order)).size] for x in langs}
+    # The n-grams of one language at a time, for the driver's memory.
+    runs = {}
+    for x in langs:
+        each = [p.astype(np.uint32) for t in texts[x] if (p := letters(t, order)).size]
+        runs[x] = np.concatenate([np.empty(0, np.uint32), *each]), np.cumsum([p.size for p in each], dtype=np.int64)
     keys, counts, parts = [], [], []
     for k in range(1, order + 1):
-        seen = {x: [grams(p, k) for p in runs[x]] for x in langs}
-        heads = {x: [grams(p[:-1], k - 1) if k > 1 else np.zeros(p.size, np.uint64) for p in runs[x]] for x in langs}
-        tails = {x: [grams(p[1:], k - 1) if k > 1 else np.zeros(p.size, np.uint64) for p in runs[x]] for x in langs}
-        flat = lambda v, x: np.concatenate([np.empty(0, np.uint64), *v[x]])
-        found = {x: np.unique(flat(seen, x), return_index=True, return_counts=True) for x in langs}
+        found = {x: ngrams(*runs[x], k) for x in langs}
         keys.append(np.unique(np.concatenate([found[x][0] for x in langs])))
         counts.append(np.zeros((keys[-1].size, len(langs))))
         head, tail = np.zeros(keys[-1].size, np.uint64), np.zeros(keys[-1].size, np.uint64)
         for i, x in enumerate(langs):
             at = np.searchsorted(keys[-1], found[x][0])
-            counts[-1][at, i] = found[x][2]
-            head[at], tail[at] = flat(heads, x)[found[x][1]], flat(tails, x)[found[x][1]]
+            counts[-1][at, i] = found[x][1]
+            head[at], tail[at] = found[x][2:]
         parts.append((head, tail))
     # Below the top order, a count is the number of different characters seen before the n-gram.
     for k in range(order - 1):

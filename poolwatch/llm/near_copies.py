@@ -41,8 +41,6 @@ SIMILAR = (75, 100)
 # Counters of the global order: 4 bytes each, the only table sent to all tasks.
 BUCKETS = 1 << 22
 _CHUNK = 1 << 16
-# Rows of ids (24 bytes each) up to which they are broadcast; more are merged by shuffle.
-BROADCAST_IDS = 1_000_000
 # Bits of the filter over ids of documents to be cut, sent to all tasks like the counters; to grow with the corpus.
 FILTER_BITS = 24
 FRAGMENTS = 8
@@ -183,21 +181,17 @@ def prefixes(docs: DataFrame, order, words: int, similar: tuple[int, int]) -> Da
     return texts.mapInArrow(run, "doc_id long, n long, set long, prefix array<long>, marks array<long>")
 
 
-def checked(ids: DataFrame) -> DataFrame:
-    """A stored table of ids, to be broadcast if it is known to be small, else to be merged."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
-
-
 def still_open(posts: DataFrame, joined: DataFrame) -> DataFrame:
-    """The posts with their `component` and its `size`, of those n-grams that several components share."""
+    """The posts with their `component` and its `size`, of those n-grams that several components share. Tables of ids grow
+    with the documents and are merged, never sent through the driver by force."""
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
     told = stored(joined.join(sizes, "component").select(F.col("id").alias("set"), "component", "size"), "sized")
     placed = stored(
-        posts.join(checked(told), "set", "left").withColumns({"component": F.coalesce("component", "set"), "size": F.coalesce("size", F.lit(1))}),
+        posts.join(told.hint("merge"), "set", "left").withColumns({"component": F.coalesce("component", "set"), "size": F.coalesce("size", F.lit(1))}),
         "placed",
     )
     several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    return stored(placed.join(checked(stored(several.select("gram"), "several")), "gram", "left_semi"), "open")
+    return stored(placed.join(several.select("gram").hint("merge"), "gram", "left_semi"), "open")
 
 
 def needed(n: Column, m: Column, similar: tuple[int, int]) -> Column:

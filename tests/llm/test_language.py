@@ -1,5 +1,8 @@
+import random
+import tracemalloc
 import zlib
 
+import numpy as np
 import pytest
 
 from poolwatch.llm import language
@@ -90,3 +93,31 @@ def test_nothing_to_learn(docs):
     assert language.predict(empty, language.learn(empty)).count() == 0
     unlabelled = docs((1, "a b c", None, "s"))
     assert language.predict(unlabelled, language.learn(unlabelled)).first().lang_pred == "und"
+
+
+def test_ngrams_of_texts_in_a_row():
+    texts = [language.letters(t, 4) for t in ("abcab", "a", "Bca bcA", "cabx")]
+    points, ends = np.concatenate(texts), np.cumsum([t.size for t in texts])
+    for k in range(1, 5):
+        want = {}
+        for t in texts:
+            for i in range(t.size - k + 1):
+                gram = tuple(t[i : i + k].tolist())
+                want[gram] = want.get(gram, 0) + 1
+        one = lambda gram: int(language.grams(np.array(gram, np.uint64), len(gram))[0]) if gram else 0
+        got = list(zip(*(x.tolist() for x in language.ngrams(points.astype(np.uint32), ends, k))))
+        assert got == sorted((one(g), n, one(g[:-1]), one(g[1:])) for g, n in want.items())
+
+
+def test_fitting_holds_ngrams_of_one_language_at_a_time():
+    seed = random.Random(1)
+    texts = {f"l{i}": ["".join(seed.choices("abcdefgh ", k=20_000)) for _ in range(10)] for i in range(8)}
+    language.letters("a", 4)
+    tracemalloc.start()
+    try:
+        language.fit(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    print("bytes a letter", peak / 1_600_000)
+    assert peak < 30 * 8 * 10 * 20_000

@@ -160,3 +160,28 @@ def test_prefixes_are_dealt_out_once(docs, monkeypatch):
     near_copies.near_copies(df)
     # An exchange that is reused names no rows of its own.
     assert [line.count("REPARTITION_BY_COL") for line in plans[0].splitlines() if "Exchange" in line and "Reused" not in line] == [1]
+
+
+def test_ids_of_documents_are_not_sent_through_the_driver(docs, monkeypatch):
+    seed = random.Random(9)
+    text = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(text[:20] + [f"v{seed.randrange(4)}" for _ in range(seed.randint(1, 30))])) for i in range(30)]
+    df, plans, plain = docs(*rows), [], near_copies.stored
+    conf = df.sparkSession.conf
+    before = {k: conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+
+    def seen(table, name):
+        if name in ("placed", "open"):
+            conf.set("spark.sql.adaptive.enabled", "false")
+            plans.append(table._jdf.queryExecution().executedPlan().toString())
+            conf.set("spark.sql.adaptive.enabled", before["spark.sql.adaptive.enabled"])
+        return plain(table, name)
+
+    monkeypatch.setattr(near_copies, "stored", seen)
+    conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert answer(df) == expected(rows)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+    assert len(plans) == 4 and not any("BroadcastExchange" in p for p in plans)
