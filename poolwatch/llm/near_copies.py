@@ -185,7 +185,7 @@ def still_open(posts: DataFrame, joined: DataFrame) -> DataFrame:
     """The posts with their `component` and its `size`, of those n-grams that several components share. Tables of ids grow
     with the documents and are merged, never sent through the driver by force."""
     sizes = joined.groupBy("component").agg(F.count("*").alias("size"))
-    told = stored(joined.join(sizes, "component").select(F.col("id").alias("set"), "component", "size"), "sized")
+    told = joined.join(sizes.hint("merge"), "component").select(F.col("id").alias("set"), "component", "size")
     placed = stored(
         posts.join(told.hint("merge"), "set", "left").withColumns({"component": F.coalesce("component", "set"), "size": F.coalesce("size", F.lit(1))}),
         "placed",
@@ -215,9 +215,9 @@ def apart(x: Column, y: Column) -> Column:
 
 
 def likely(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """The pairs of classes (a, na, b, nb) without those that their marks rule out."""
+    """The pairs of classes (a, na, b, nb) without those that their marks rule out, and the ids (ia, ib) of both."""
     x, y = similar
-    marked = classes.select("set", "marks")
+    marked = classes.select("set", "id", "marks")
     met = (
         pairs.alias("p").join(marked.hint("merge").alias("l"), F.expr("p.a = l.set"))
         .join(marked.hint("merge").alias("r"), F.expr("p.b = r.set"))
@@ -225,7 +225,7 @@ def likely(pairs: DataFrame, classes: DataFrame, similar: tuple[int, int]) -> Da
     both = F.col("na") + F.col("nb")
     # What the sets share is at most half of what the marks leave of both.
     fits = (both - apart(F.col("l.marks"), F.col("r.marks"))) * (x + y) >= both * (2 * x)
-    return met.filter(fits).select("p.a", "p.na", "p.b", "p.nb")
+    return met.filter(fits).select("p.a", "p.na", "p.b", "p.nb", F.col("l.id").alias("ia"), F.col("r.id").alias("ib"))
 
 
 def segments(docs: DataFrame, order, wanted, words: int) -> DataFrame:
@@ -257,10 +257,7 @@ def segments(docs: DataFrame, order, wanted, words: int) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order, words: int, similar) -> DataFrame:
     """Of the pairs of classes (a, na, b, nb), those whose overlap, summed over fragments, suffices."""
     pairs = stored(likely(pairs, classes, similar), "pairs")
-    named = (
-        pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-        .join(classes, "set").select(F.xxhash64("id").alias("id"))
-    )
+    named = pairs.select(F.explode(F.array("ia", "ib")).alias("id")).select(F.xxhash64("id").alias("id"))
     wanted = docs.sparkSession.sparkContext.broadcast(id_filter(named, FILTER_BITS))
     # Dealt out once for both sides of a pair, and the same way whatever its size.
     cut = segments(docs, order, wanted, words).repartition("set", "fragment")
@@ -344,11 +341,11 @@ def near_copies(
 
     ids = classes.select("set", "id")
     links = (
-        links.join(ids.toDF("a", "ia"), "a").join(ids.toDF("b", "ib"), "b")
+        links.join(ids.toDF("a", "ia").hint("merge"), "a").join(ids.toDF("b", "ib").hint("merge"), "b")
         .select(F.col("ia").alias("a"), F.col("ib").alias("b"))
     )
     found = components(links)
-    of_set = classes.join(found, "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
+    of_set = classes.join(found.hint("merge"), "id", "left").select("set", F.coalesce("component", "id").alias("component_id"))
     return sets.select("doc_id", "n", "set").join(of_set, "set", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),

@@ -1,4 +1,5 @@
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -114,6 +115,36 @@ def test_components_of_long_chains(spark):
     assert got == {i: 10 for i in range(10, 61)} | {5: 5, 100: 5, 7: 5}
 
 
+def test_rounds_end_with_stars_and_send_no_table_through_the_driver(spark, monkeypatch):
+    module, plans, plain, conf = sys.modules[components.__module__], [], near_copies.stored, spark.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+
+    def seen(table, name):
+        conf.set("spark.sql.adaptive.enabled", "false")
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+        return plain(table, name)
+
+    monkeypatch.setattr(module, "stored", seen)
+    got = components(spark.createDataFrame([(9, 1), (9, 4), (9, 7), (2, 3), (3, 3), (6, 6)], "a long, b long"))
+    # The links as they are given, and one round of them.
+    assert len(plans) == 2 and not any("BroadcastExchange" in p for p in plans)
+    assert Counter(map(tuple, got.collect())) == Counter([(i, 1) for i in (1, 4, 7, 9)] + [(2, 2), (3, 2)])
+    assert components(spark.createDataFrame([(3, 3)], "a long, b long")).isEmpty()
+
+
+def test_whole_join_takes_few_jobs(docs):
+    text = "a b c d e f g h i j k l m n"
+    df = docs((1, text), (2, text + " o"), (3, "p " + text), (4, "other words that stand alone here"))
+    context = df.sparkSession.sparkContext
+    context.setJobGroup("whole-join", "")
+    try:
+        assert [r.component_id for r in near_copies.near_copies(df).orderBy("doc_id").collect()] == [1, 1, 1, 4]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(context.statusTracker().getJobIdsForGroup("whole-join")) <= 110
+
+
 def test_marks_never_differ_more_than_the_sets(spark):
     seed = random.Random(3)
     pairs = []
