@@ -10,6 +10,7 @@ changes do not depend on how rows are cut into batches.
 import heapq
 import json
 
+import numpy as np
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -23,6 +24,8 @@ LIFE_OUTPUT = (
 POOL, INSTANCE, SNAPSHOT, RECORD, OUTLOOK, TOUCH, END = range(7)
 _MINUTE = 60_000_000
 _NEVER = -(1 << 62)
+# As numpy holds a missing time.
+_NOT_A_TIME = -(1 << 63)
 _HELD, _NEW = ("Active", "Idle"), ("", "Pending")
 _FIELDS = ("session", "kind", "seq", "user_name", "state", "instance", "endpoint", "minutes", "flag", "reason")
 _TIMES = ("ts", "created_at", "last_activity_at")
@@ -266,8 +269,9 @@ class SessionLife(StatefulProcessor):
         made = {"namespace": pd.Series([key[0]] * len(out), dtype="object"), "pool": pd.Series([key[1]] * len(out), dtype="object")}
         for name, values in columns.items():
             if name in ("changed_at", "created_at", "last_activity_at"):
-                at = pd.Series(values, dtype="int64")
-                made[name] = pd.to_datetime(at.where(at != _NEVER), unit="us")
+                # Not by way of floats: pandas then multiplies what it left unset where a time is missing, which may overflow.
+                at = np.array(values, dtype="int64")
+                made[name] = pd.Series(np.where(at == _NEVER, _NOT_A_TIME, at).view("datetime64[us]"))
             else:
                 made[name] = pd.Series(values, dtype="int32" if name == "step" else "object")
         return pd.DataFrame(made)

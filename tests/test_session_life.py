@@ -3,11 +3,14 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from poolwatch.plans import sessions as plans
 from poolwatch.streaming import jobs, run
+from poolwatch.streaming.life import _NEVER, SessionLife
 from test_streaming import T, feed, minutes  # noqa: F401
 
 SESSIONS = ("namespace string, pool string, session string, user_name string, state string, assigned_instance string, endpoint string, "
@@ -146,3 +149,19 @@ def test_snapshot_alone_is_dated(life):
     got = life([one("x", "Terminating")], (jobs.touch_news, TOUCHES, [("n", "p", "x", at(-1))]))
     (row,) = got.collect()
     assert (row.state, row.reason, row.changed_at) == ("Terminated", "closing", datetime(2024, 1, 1))
+
+
+def test_times_come_out_exact_whatever_is_missing():
+    told_at = lambda ts, last: ("s", ts, 0, "Pending", "instance_lost", "", "", last, last)
+    # What lies in freed memory must not matter where a time is missing.
+    for size in [1, 2, 50, 3000, 40_000, 400_000]:
+        for _ in range(3):
+            waste = [np.full(size, 1.7e308) for _ in range(8)]
+            del waste
+            got = SessionLife._frame(("n", "p", 0), [told_at(k, _NEVER if k % 2 else k) for k in range(size)])
+            assert got["last_activity_at"].isna().sum() == size // 2 and got["changed_at"].iloc[-1].value == (size - 1) * 1000
+    # Floats cannot tell these microseconds, of the year 2255, apart.
+    late = (1 << 53) + 1
+    got = SessionLife._frame(("n", "p", 0), [told_at(late, late), told_at(late, _NEVER)])
+    assert got["last_activity_at"].iloc[0] == got["changed_at"].iloc[1] == pd.Timestamp(late, unit="us")
+    assert SessionLife._frame(("n", "p", 0), []).empty
