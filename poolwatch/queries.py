@@ -635,9 +635,9 @@ def stream_session_states(s: Sample) -> DataFrame:
     return _instants(run.finish(jobs.session_states(s.activity, s.pools), "session-states"))
 
 
-def _news(s: Sample) -> DataFrame:
+def _news(s: Sample) -> tuple[DataFrame, int]:
     """News after the snapshot: outlooks at once, requests to end after 5 minutes, every 20th instance lost after
-    7, one pool gone after 8, a session of its own much later."""
+    7, one pool gone after 8, a session of its own much later. Its number of rows comes with it."""
     after = lambda minutes: as_of() + F.make_dt_interval(mins=F.lit(minutes))
     outlook = sessions.waiting_outlook(quota.quota_check(s.sessions, s.pools, s.quotas), _candidates(s)).withColumn("ts", after(0))
     asks = s.termination_asks.join(s.sessions.select("namespace", "session", "pool"), ["namespace", "session"]).withColumn("ts", after(5))
@@ -652,13 +652,15 @@ def _news(s: Sample) -> DataFrame:
         news = news.unionByName(part)
     path = sinks.work_folder(s.spark, "news")
     news.write.parquet(path)
-    return s.spark.readStream.schema(news.schema).parquet(path)
+    return s.spark.readStream.schema(news.schema).parquet(path), s.spark.read.schema(news.schema).parquet(path).count()
 
 
 @stream()
 def stream_session_transitions(s: Sample) -> DataFrame:
     start = jobs.life_snapshot(s.sessions, s.pools, s.instances, as_of().cast("timestamp"))
-    rows = _instants(run.finish(jobs.session_transitions(_news(s), start), "session-transitions"))
+    news, told = _news(s)
+    parts = (s.sessions.count() + told) // run.ROWS_PER_PART + 1
+    rows = _instants(run.finish(jobs.session_transitions(news, start), "session-transitions", parts=parts))
     return rows.select("namespace", "pool", "session", "changed_at", "state", "reason", "assigned_instance", "endpoint", "last_activity_at")
 
 

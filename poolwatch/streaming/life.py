@@ -72,6 +72,7 @@ class SessionLife(StatefulProcessor):
             for cell, events in json.loads(text):
                 self.waiting.setdefault(cell, []).extend(events)
         self.arrived.clear()
+        self.held = None
 
     def _write(self) -> None:
         held = [self.known, self.minutes, list(self.instances), *[list(d.items()) for d in (self.sessions, self.clocks, self.waiting)]]
@@ -113,6 +114,19 @@ class SessionLife(StatefulProcessor):
 
     def _put(self, name, one) -> None:
         self.sessions[name] = list(one.values())
+        if self.held is not None and one["state"] in _HELD:
+            self.held.setdefault(one["instance"], {})[name] = None
+
+    def _held_by(self, instance) -> list:
+        """Sessions an instance holds. They are looked up, as a failed machine may take many instances with it; the
+        first look notes those of all instances, and one that has left since may still be among them."""
+        if self.held is None:
+            self.held = {}
+            for name in self.sessions:
+                one = self._session(name)
+                if one["state"] in _HELD:
+                    self.held.setdefault(one["instance"], {})[name] = None
+        return list(self.held.pop(instance, ()))
 
     def _end_of_wait(self, one):
         """When the clock of a held session runs out next, and what it becomes then."""
@@ -194,9 +208,9 @@ class SessionLife(StatefulProcessor):
             self.instances.add(e["instance"])
             return
         self.instances.discard(e["instance"])
-        for name in self._all():
+        for name in self._held_by(e["instance"]):
             one = self._session(name)
-            if one["state"] in _HELD and one["instance"] == e["instance"]:
+            if one and one["state"] in _HELD and one["instance"] == e["instance"]:
                 self._lose(name, one, ts)
 
     def _lose(self, name, one, ts) -> None:

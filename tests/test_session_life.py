@@ -165,3 +165,41 @@ def test_times_come_out_exact_whatever_is_missing():
     got = SessionLife._frame(("n", "p", 0), [told_at(late, late), told_at(late, _NEVER)])
     assert got["last_activity_at"].iloc[0] == got["changed_at"].iloc[1] == pd.Timestamp(late, unit="us")
     assert SessionLife._frame(("n", "p", 0), []).empty
+
+
+def test_a_lost_instance_looks_at_its_own_sessions_alone():
+    shard, looks = SessionLife(), []
+    shard.known, shard.minutes, shard.instances, shard.held = True, 30, set(), None
+    shard.clocks, shard.waiting, shard.due, shard.open, shard.out = {}, {}, [], [], []
+    shard.cell = shard.now = shard.passed = 0
+    state = lambda k: ("Active", "Idle", "Pending")[k % 3]
+    shard.sessions = {f"s{k}": ["u", state(k), f"i{k % 400}", "e", 0, 0, _NEVER] for k in range(2000)}
+    look = shard._session
+    shard._session = lambda name: looks.append(name) or look(name)
+    for i in range(400):
+        shard._instance({"flag": False, "instance": f"i{i}"}, 0)
+    assert sorted(o[0] for o in shard.out) == sorted(f"s{k}" for k in range(2000) if k % 3 != 2)
+    assert {(o[3], o[4], o[5]) for o in shard.out} == {("Pending", "instance_lost", "")}
+    assert len(looks) < 5 * 2000
+    # One that is placed again, on an instance lost before or not yet, is found again.
+    before = len(shard.out)
+    for instance in ("i7", "new"):
+        shard._outlook({"session": "s0", "instance": instance, "endpoint": "e2"}, 1)
+        shard._instance({"flag": False, "instance": instance}, 2)
+        shard._instance({"flag": False, "instance": instance}, 2)
+    assert [(o[0], o[4]) for o in shard.out[before:]] == [("s0", "placed"), ("s0", "instance_lost")] * 2
+    # One that went on since the sessions were noted is not taken for held.
+    shard._outlook({"session": "s1", "instance": "i8", "endpoint": "e2"}, 3)
+    shard._end({"session": "s1", "user_name": "u"}, 4)
+    before = len(shard.out)
+    shard._instance({"flag": False, "instance": "i8"}, 5)
+    assert shard.out[before:] == []
+
+
+def test_state_lies_in_as_many_partitions_as_asked_for(feed, spark, tmp_path):  # noqa: F811
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    for asked, made in ((7, 7), (2, int(was))):
+        activity = feed(TOUCHES, [("n", "p", f"s{k}", at(k)) for k in range(20)])
+        run.start(jobs.thin_touches(activity), f"{tmp_path}/{asked}", parts=asked).awaitTermination()
+        assert len(list((tmp_path / str(asked) / "checkpoint" / "state" / "0").glob("[0-9]*"))) == made
+        assert spark.conf.get("spark.sql.shuffle.partitions") == was
